@@ -1,7 +1,785 @@
-"""Every query over the standard tables, with DuckDB SQL for its result."""
+"""Every query over the standard tables, with DuckDB SQL for its result.
+
+The operators are made for typed events, reference data and graph edges.  The standard tables stand in
+for those: customers for patients, orders and lineitems for orders of parts (medications), suppliers for
+payers, events for the event stream.  Edges between parts come from plain rules over their attributes.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import text as T
+from quern.functions import vectors as V
+from quern.operators import evidence, patterns, rules, similarity, upsert
+from quern.plans import planner
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
 FLAGSHIP = "customer_context"
+
+
+def query(sql: str | None):
+    """Register a function under its name, with the SQL of its result."""
+
+    def register(make: Query) -> Query:
+        QUERIES[make.__name__] = make
+        if sql:
+            SQL[make.__name__] = sql
+        return make
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# -- Stand-ins shared by several queries --------------------------------------------------------------
+
+#: Event rules (id, type, operator, bound, signal); 14 of them, like a laboratory pack.
+EVENT_RULES = [
+    (f"{kind}_{op}", kind, op, bound, f"{kind}-{'high' if op[0] == 'g' else 'low'}")
+    for kind, low, high in (("signup", 5.0, 150.0), ("purchase", 4.0, 120.0), ("view", 3.0, 100.0), ("click", 2.0, 90.0), ("error", 1.0, 80.0))
+    for op, bound in (("lt", low), ("gte", high))
+] + [("view_gt", "view", "gt", 200.0, "view-extreme"), ("click_lte", "click", "lte", 0.5, "click-idle"), ("error_gt", "error", "gt", 150.0, "error-extreme"), ("purchase_gt", "purchase", "gt", 200.0, "purchase-extreme")]
+_EVENT_RULES_SQL = "(VALUES " + ", ".join(f"('{i}', '{k}', '{o}', {b}, '{s}')" for i, k, o, b, s in EVENT_RULES) + ") AS r(rule_id, observation, operator, bound, condition)"
+_COMPARED_SQL = "CASE r.operator WHEN 'gt' THEN e.value > r.bound WHEN 'gte' THEN e.value >= r.bound WHEN 'lt' THEN e.value < r.bound WHEN 'lte' THEN e.value <= r.bound ELSE e.value = r.bound END"
+
+
+def event_rules(spark: SparkSession) -> DataFrame:
+    made = spark.createDataFrame(EVENT_RULES, "rule_id string, observation string, operator string, bound double, condition string")
+    return made.withColumns({"reason": F.col("rule_id"), "severity": F.lit("moderate")})
+
+
+#: Claim-like rules over lineitems: (id, return flag or null, ship modes as last digits of parts or null, outcome).
+FLAG_RULES = [("returned", "R", None, "HO"), ("digits_a", None, ["1", "3"], "LT"), ("digits_b", "A", ["2"], "DE"), ("open", "N", None, "DS"), ("digits_c", None, ["5", "7"], "HO"), ("any", None, None, "OT")]
+
+
+def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(owner, item, state): what each customer ordered."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("state"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("item")).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("owner", "item", "state")
+
+
+_ITEMS_SQL = "items AS (SELECT o_custkey AS owner, l_partkey AS item, o_orderstatus AS state FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+def part_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_a, item_b, risk, severity): each part interacts with the parts 7 and 13 places on."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_a"), "p_size", "p_type")
+    shifted = parts.select("item_a", "p_size", "p_type", F.explode(F.array(F.lit(7), F.lit(13))).alias("shift"))
+    severity = F.when(F.col("p_size") % 3 == 0, "high").when(F.col("p_size") % 3 == 1, "moderate").otherwise("low")
+    linked = shifted.select("item_a", (F.col("item_a") + F.col("shift")).alias("item_b"), F.concat(F.lower("p_type"), F.lit("_risk")).alias("risk"), severity.alias("severity"))
+    return linked.join(parts.select(F.col("item_a").alias("item_b")), "item_b", "left_semi").select("item_a", "item_b", "risk", "severity")
+
+
+_LINKS_SQL = """links AS (
+  SELECT a.p_partkey AS item_a, a.p_partkey + s.shift AS item_b, lower(a.p_type) || '_risk' AS risk,
+         CASE a.p_size % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'moderate' ELSE 'low' END AS severity
+  FROM part a, (SELECT unnest([7, 13]) AS shift) s WHERE EXISTS (SELECT 1 FROM part b WHERE b.p_partkey = a.p_partkey + s.shift))"""
+
+
+def contra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item, segment, reason): parts that do not suit a market segment."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), "p_type", "p_size")
+    segment = F.when(F.col("p_type") == "PROMO", "BUILDING").when(F.col("p_type") == "LARGE", "MACHINERY").when(F.col("p_type") == "ECONOMY", "AUTOMOBILE")
+    return parts.select("item", segment.alias("segment"), F.when(F.col("p_size") > 25, "high").otherwise("low").alias("severity")).where("segment is not null")
+
+
+_CONTRA_SQL = """contra AS (
+  SELECT p_partkey AS item, CASE p_type WHEN 'PROMO' THEN 'BUILDING' WHEN 'LARGE' THEN 'MACHINERY' WHEN 'ECONOMY' THEN 'AUTOMOBILE' END AS segment,
+         CASE WHEN p_size > 25 THEN 'high' ELSE 'low' END AS severity FROM part WHERE p_type IN ('PROMO', 'LARGE', 'ECONOMY'))"""
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("owner"), F.col("c_mktsegment").alias("segment"))
+
+
+# -- Rules and lookups --------------------------------------------------------------------------------
+
+
+@query(f"SELECT e.event_id, r.rule_id, r.condition FROM events e JOIN {_EVENT_RULES_SQL} ON lower(e.event_type) = r.observation AND {_COMPARED_SQL}")
+def lab_signal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[J05, F06, F07]"""
+    return rules.threshold_signals(table(spark, sf_dir, "events"), event_rules(spark), "event_type", "value").select("event_id", "rule_id", "condition")
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, r.rule_id, r.outcome FROM lineitem JOIN (VALUES "
+    + ", ".join(f"('{i}', {repr(f) if f else 'NULL'}, {c if c else 'NULL'}, '{o}')" for i, f, c, o in FLAG_RULES)
+    + ") AS r(rule_id, claim_type, codes, outcome) ON (r.claim_type IS NULL OR r.claim_type = l_returnflag) AND (r.codes IS NULL OR list_contains(r.codes, right(CAST(l_partkey AS VARCHAR), 1)))"
+)
+def claim_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[J06, F08]"""
+    pack = spark.createDataFrame([(i, f, c, o, "moderate") for i, f, c, o in FLAG_RULES], "rule_id string, claim_type string, codes array<string>, outcome string, severity string")
+    facts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.right(F.col("l_partkey").cast("string"), F.lit(1)).alias("code"))
+    return rules.wildcard_signals(facts, pack, "l_returnflag", "code").select("l_orderkey", "l_linenumber", "rule_id", "outcome")
+
+
+@query(f"""SELECT event_type, condition, count(DISTINCT user_id) AS patient_count, count(*) AS n FROM
+(SELECT e.*, r.condition FROM events e JOIN {_EVENT_RULES_SQL} ON lower(e.event_type) = r.observation AND {_COMPARED_SQL})
+GROUP BY 1, 2 ORDER BY patient_count DESC, n DESC, condition LIMIT 15""")
+def rule_signal_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C15, A05, O03]"""
+    fired = rules.threshold_signals(table(spark, sf_dir, "events"), event_rules(spark), "event_type", "value")
+    counted = fired.groupBy("event_type", "condition").agg(F.count_distinct("user_id").alias("patient_count"), F.count("*").alias("n"))
+    return counted.orderBy(F.desc("patient_count"), F.desc("n"), "condition").limit(15)
+
+
+@query("""SELECT l_orderkey, l_linenumber, c_name AS customer, s_name AS supplier, p_name AS part,
+CAST((c_custkey IS NOT NULL)::INT + (s_suppkey IS NOT NULL)::INT + (p_partkey IS NOT NULL)::INT AS INTEGER) AS reference_hit_count
+FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 5 > 0) ON o_custkey = c_custkey
+LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON l_suppkey = s_suppkey LEFT JOIN part ON l_partkey = p_partkey""")
+def enrich_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[J01, J02] Reference data of three kinds, some of it missing."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    facts = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    dimensions = {
+        "customer": (table(spark, sf_dir, "customer").where("c_custkey % 5 > 0").select("c_custkey", "c_name"), "o_custkey", "c_custkey"),
+        "supplier": (table(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey", "s_name"), "l_suppkey", "s_suppkey"),
+        "part": (table(spark, sf_dir, "part").select("p_partkey", "p_name"), "l_partkey", "p_partkey"),
+    }
+    found = rules.enriched(facts, dimensions)
+    return found.select("l_orderkey", "l_linenumber", F.col("customer.c_name").alias("customer"), F.col("supplier.s_name").alias("supplier"), F.col("part.p_name").alias("part"), "reference_hit_count")
+
+
+_VOCABULARY = [("urgent", "1-URGENT", "PRIORITY", "Urgent"), ("high", "2-HIGH", "PRIORITY", "High"), ("medium", "3-MEDIUM", "PRIORITY", "Medium")]
+
+
+@query(
+    "SELECT o_orderkey, v.standard_system, v.display FROM orders LEFT JOIN (VALUES "
+    + ", ".join(f"('{c.lower()}', '{s}', '{d}')" for _, c, s, d in _VOCABULARY)
+    + ") AS v(lookup, standard_system, display) ON lower(trim(o_orderpriority)) = v.lookup"
+)
+def vocab_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[J03]"""
+    terms = spark.createDataFrame([("priority", c, s, d, c.lower()) for _, c, s, d in _VOCABULARY], "family string, local_code string, standard_system string, display string, lookup string")
+    found = rules.standardised(table(spark, sf_dir, "orders"), terms, F.col("o_orderpriority"), "priority")
+    return found.select("o_orderkey", "standard.standard_system", "standard.display")
+
+
+@query("""SELECT event_id, p.trust_level, p.retention_class FROM events LEFT JOIN (VALUES ('PURCHASE', 'high', 'revenue_cycle'), ('SIGNUP', 'curated', 'master_data'), ('ERROR', 'medium', 'standard'))
+AS p(source_type, trust_level, retention_class) ON upper(event_type) = p.source_type""")
+def provenance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[J04, P04]"""
+    classes = spark.createDataFrame([("PURCHASE", "high", "revenue_cycle"), ("SIGNUP", "curated", "master_data"), ("ERROR", "medium", "standard")], "source_type string, trust_level string, retention_class string")
+    events = table(spark, sf_dir, "events").select("event_id", F.upper("event_type").alias("source_type"))
+    return events.join(F.broadcast(classes), "source_type", "left").select("event_id", "trust_level", "retention_class")
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing FROM events")
+def payload_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[S04]"""
+    parsed = F.from_json(F.coalesce("props", F.lit("{}")), "k bigint, missing string")
+    return table(spark, sf_dir, "events").select("event_id", parsed.alias("p")).select("event_id", "p.k", "p.missing")
+
+
+@query("""SELECT CASE WHEN event_type = 'signup' THEN 'reference' WHEN event_type IN ('purchase', 'view', 'click') THEN 'event' ELSE 'skipped' END AS route, count(*) AS n FROM events GROUP BY 1""")
+def topic_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[S05, S06]"""
+    from quern.sources.envelopes import route
+
+    routed = table(spark, sf_dir, "events").withColumn("route", route(F.col("event_type"), ["signup"], ["purchase", "view", "click"]))
+    return routed.groupBy("route").agg(F.count("*").alias("n"))
+
+
+# -- Text and vectors ---------------------------------------------------------------------------------
+
+
+@query(r"""SELECT p_partkey, nullif(trim(regexp_replace('  ' || p_name || '   ' || p_brand || ' ', '\s+', ' ', 'g')), '') AS squeezed,
+array_to_string([upper(left(t, 1)) || lower(substr(t, 2)) for t in regexp_extract_all(nullif(trim(regexp_replace(p_name || ' HbA1c d''x-ray ' || p_brand, '\s+', ' ', 'g')), ''), '([A-Za-z]+|[^A-Za-z]+)')], '') AS titled FROM part""")
+def whitespace_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P01, P02]"""
+    raw = F.concat(F.lit("  "), "p_name", F.lit("   "), "p_brand", F.lit(" "))
+    odd = F.concat("p_name", F.lit(" HbA1c d'x-ray "), "p_brand")
+    return table(spark, sf_dir, "part").select("p_partkey", T.squeeze(raw).alias("squeezed"), T.title(odd).alias("titled"))
+
+
+@query("""SELECT event_id, array_to_string([s for s in ['User ' || user_id || ' ' || event_type || ' equals ' || coalesce(json_extract_string(props, '$.k'), 'None') || '.',
+CASE WHEN c_name IS NULL THEN NULL ELSE 'Profile ' || c_name || ' segment ' || CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'None' END || '.' END] if s IS NOT NULL AND NOT contains(s, 'None')], ' ') AS rendered
+FROM events LEFT JOIN customer ON user_id = c_custkey""")
+def render_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P08, P09]"""
+    joined = table(spark, sf_dir, "events").join(table(spark, sf_dir, "customer"), F.col("user_id") == F.col("c_custkey"), "left")
+    head = F.concat(F.lit("User "), F.col("user_id").cast("string"), F.lit(" "), "event_type", F.lit(" equals "), T.shown(F.get_json_object("props", "$.k")), F.lit("."))
+    segment = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment"))
+    profile = F.when(F.col("c_name").isNotNull(), F.format_string("Profile %s segment %s.", F.col("c_name"), T.shown(segment)))
+    return joined.select("event_id", T.sentences(head, profile).alias("rendered"))
+
+
+_FOLD = "0"
+for _start in (1, 9, 17, 25):
+    _FOLD = f"(({_FOLD}) * 256 + CAST('0x' || substr(md5(t), {_start}, 8) AS BIGINT)) % 384"
+_TOKENS_SQL = r"SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\s]+')) AS t FROM documents WHERE lang = 'en'"
+
+
+@query(f"SELECT CAST({_FOLD} AS INTEGER) AS bucket, count(*) AS n FROM ({_TOKENS_SQL}) GROUP BY 1")
+def md5_bucket_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P11, P12, A13]"""
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    return similarity.bucket_counts(docs, "doc_id", "text").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+@query(f"""SELECT doc_id, count(*) AS buckets, round(sqrt(CAST(sum(n * n) AS DOUBLE)), 6) AS length, max(n) AS largest FROM
+(SELECT doc_id, {_FOLD} AS bucket, count(*) AS n FROM ({_TOKENS_SQL}) GROUP BY 1, 2) GROUP BY doc_id""")
+def md5_embedding_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P13, A14] The sparse form of the embedding; its components are n / length."""
+    counts = similarity.bucket_counts(table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "text")
+    squares = F.sum(F.col("n") * F.col("n")).cast("double")
+    return counts.groupBy("doc_id").agg(F.count("*").alias("buckets"), F.round(F.sqrt(squares), 6).alias("length"), F.max("n").alias("largest"))
+
+
+@query("SELECT event_id, CAST(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 16) AS UBIGINT) AS DECIMAL(20, 0)) AS point_id FROM events")
+def point_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P15]"""
+    return table(spark, sf_dir, "events").select("event_id", T.point_id(F.col("event_id").cast("string")).alias("point_id"))
+
+
+_NEAREST = """SELECT vec_id, label, round(list_dot_product(CAST(embedding AS DOUBLE[]), q) / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_dot_product(q, q))), 6) AS score
+FROM embeddings, (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0) {where} ORDER BY score DESC, vec_id LIMIT 10"""
+
+
+def _nearest(spark: SparkSession, sf_dir: str, keep) -> DataFrame:
+    points = table(spark, sf_dir, "embeddings")
+    return similarity.nearest(points, points.where("vec_id = 0"), 10, keep=keep)
+
+
+@query(_NEAREST.format(where=""))
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[O04, Q04]"""
+    return _nearest(spark, sf_dir, None)
+
+
+@query(_NEAREST.format(where="WHERE label = 3"))
+def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[F01]"""
+    return _nearest(spark, sf_dir, F.col("label") == 3)
+
+
+@query(_NEAREST.format(where="WHERE label = 1 OR vec_id % 7 = 2 OR label = 4"))
+def vector_topk_should(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[F02]"""
+    return _nearest(spark, sf_dir, (F.col("label") == 1) | (F.col("vec_id") % 7 == 2) | (F.col("label") == 4))
+
+
+# -- Ranking and shaping ------------------------------------------------------------------------------
+
+
+@query("""SELECT event_id, event_type, CAST(CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 99 END AS INTEGER) AS priority,
+CAST(row_number() OVER (ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 99 END, coalesce(value, 0) DESC, CAST(event_id AS VARCHAR)) AS INTEGER) AS rank
+FROM events QUALIFY rank <= 50""")
+def evidence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[O01] A ranked report of fifty."""
+    from pyspark.sql import Window
+
+    place = evidence.priority(F.col("event_type"), ("purchase", "view", "click"))
+    hits = table(spark, sf_dir, "events").select("event_id", "event_type", "value", place.alias("priority"))
+    best = hits.orderBy("priority", F.coalesce("value", F.lit(0.0)).desc(), F.col("event_id").cast("string")).limit(50)
+    order = Window.orderBy("priority", F.coalesce("value", F.lit(0.0)).desc(), F.col("event_id").cast("string"))
+    return best.select("event_id", "event_type", "priority", F.row_number().over(order).alias("rank"))
+
+
+@query("""SELECT user_id, conditions, observations FROM (SELECT user_id, len(list(DISTINCT event_type)) AS conditions, count(*) FILTER (value > 50) AS observations FROM events GROUP BY user_id)
+ORDER BY conditions + observations DESC, conditions DESC, user_id LIMIT 20""")
+def graph_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[O02]"""
+    per_user = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("c"), F.collect_list(F.when(F.col("value") > 50, F.col("event_id"))).alias("o"))
+    ranked = evidence.ranked_entities(per_user, "user_id", "c", "o").limit(20)
+    return ranked.select("user_id", F.size("c").cast("long").alias("conditions"), F.size("o").cast("long").alias("observations"))
+
+
+@query("""SELECT doc_id, length(text) > 240 AS text_redacted_long, CASE WHEN length(text) <= 240 THEN text ELSE left(text, 237) || '...' END AS bounded FROM documents""")
+def redact_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P23, P26]"""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", (F.char_length("text") > 240).alias("text_redacted_long"), T.truncated(F.col("text"), 240).alias("bounded"))
+
+
+@query("""SELECT conv_id, turn, CAST(used AS BIGINT) AS used FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM conversations) WHERE used <= 900""")
+def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P27]"""
+    kept = evidence.within_budget(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.char_length("text"), 900)
+    return kept.select("conv_id", "turn", "used")
+
+
+@query("SELECT event_type, count(*) AS n, max(value) AS top_score FROM events GROUP BY event_type")
+def hits_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[A11, C42]"""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max("value").alias("top_score"))
+
+
+@query("SELECT event_type, min(event_id) AS first_seen FROM events GROUP BY event_type ORDER BY first_seen LIMIT 5")
+def first_seen_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[A16]"""
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.min("event_id").alias("first_seen")).orderBy("first_seen").limit(5)
+
+
+@query("SELECT count(DISTINCT user_id) AS users, count(*) AS hits FROM events WHERE regexp_matches(event_type, '(?i)PURCH|click')")
+def unique_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[A12, F11]"""
+    return table(spark, sf_dir, "events").where(F.col("event_type").rlike("(?i)PURCH|click")).agg(F.count_distinct("user_id").alias("users"), F.count("*").alias("hits"))
+
+
+@query("""SELECT round(avg(quality), 4) AS quality, round(avg(toxic), 4) AS toxic, round(avg(CASE WHEN n_chars <= 3000 THEN 1.0 WHEN n_chars >= 6000 THEN 0.0 ELSE 1 - (n_chars - 3000) / 3000.0 END), 4) AS latency, count(*) AS cases
+FROM labels JOIN documents USING (doc_id)""")
+def eval_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[A17, P32]"""
+    from quern.plans.evaluation import linear_score, means
+
+    cases = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    scored = cases.select("quality", "toxic", linear_score(F.col("n_chars"), 3000, 6000).alias("latency"))
+    return means(scored, ["quality", "toxic", "latency"])
+
+
+_KINDS_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(p.keywords)}') THEN '{p.name}'" for p in planner.CLINICAL[:3]) + f" WHEN regexp_matches(lower(text), '{'|'.join(planner.CLINICAL[3].keywords)}') OR conv_id % 4 = 0 THEN 'cohort_triage' ELSE 'patient_summary' END"
+
+
+@query(f"SELECT conv_id, turn, {_KINDS_SQL} AS kind FROM conversations")
+def planner_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[Q01, F12]"""
+    scope = F.when(F.col("conv_id") % 4 != 0, F.col("conv_id").cast("string"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", planner.classified(F.col("text"), scope).alias("kind"))
+
+
+_SUPPLY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(p.keywords)}') THEN '{p.name}'" for p in planner.SUPPLY[:-1]) + " ELSE 'procurement_overview' END"
+
+
+@query(f"SELECT conv_id, turn, {_SUPPLY_SQL} AS kind FROM conversations")
+def planner_classify_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[Q03]"""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", planner.classified(F.col("text"), None, planner.SUPPLY).alias("kind"))
+
+
+_CAPS_SQL = " ".join(f"WHEN '{p.name}' THEN greatest(1, least(turn, {p.cap}))" for p in planner.CLINICAL if p.name != "cohort_triage")
+
+
+@query(f"""SELECT conv_id, turn, CAST(CASE kind {_CAPS_SQL} ELSE least(greatest(1, turn), greatest(3, least(greatest(1, turn), 8))) END AS INTEGER) AS top_k, length(text) AS n
+FROM (SELECT conv_id, turn, text, {_KINDS_SQL} AS kind FROM conversations)""")
+def planner_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[Q02, O06]"""
+    scope = F.when(F.col("conv_id") % 4 != 0, F.col("conv_id").cast("string"))
+    kind = planner.classified(F.col("text"), scope)
+    plan = planner.planned(F.col("text"), F.col("kind"), F.col("scope"), F.col("turn"))
+    asked = table(spark, sf_dir, "conversations").withColumns({"scope": scope, "kind": kind})
+    return asked.select("conv_id", "turn", plan["top_k"].alias("top_k"), F.char_length("text").cast("long").alias("n"))
+
+
+@query(r"""SELECT doc_id, array_to_string(list_filter([
+CASE WHEN regexp_matches(text, '(?i)ignore\s+(all\s+)?previous\s+instructions|system\s*:\s*you\s+are|<\s*/?\s*system\s*>|\bDAN\b.*\bjailbreak\b|pretend\s+you\s+are\s+(not\s+)?a') THEN 'prompt_injection_detected' END,
+CASE WHEN regexp_matches(text, '\b\d{3}-\d{2}-\d{4}\b|\b\d{16}\b') THEN 'sensitive_data_in_input' END,
+CASE WHEN length(text) > 5000 THEN 'input_exceeds_safe_length' END], lambda x: x IS NOT NULL), ',') AS reasons FROM documents""")
+def guard_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[F13]"""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.input_reasons(F.col("text")), ",").alias("reasons"))
+
+
+@query(r"""SELECT conv_id, turn, array_to_string(list_filter([
+CASE WHEN regexp_matches(text, '(?i)\b(social\s+security\s+number|ssn)\b|\bcredit\s+card\s+number\b|\bpassword\b.*\b(is|:)\s*\S+') THEN 'sensitive_data_in_output' END,
+CASE WHEN trim(text) = '' THEN 'empty_answer' END,
+CASE WHEN trim(text) <> '' AND NOT regexp_matches(text, '(?i)not medical advice|consult|clinical judgment|demo data|synthetic|safety caveat|not a substitute|healthcare professional') THEN 'missing_safety_caveat' END,
+CASE WHEN trim(text) <> '' AND turn = 0 THEN 'no_evidence_available' END], lambda x: x IS NOT NULL), ',') AS reasons FROM conversations""")
+def output_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[F14]"""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(T.output_reasons(F.col("text"), F.col("turn") != 0), ",").alias("reasons"))
+
+
+@query("""SELECT role, tool, count(*) AS calls, coalesce(p.allowed, false) AS allowed FROM (SELECT role, CASE turn % 3 WHEN 0 THEN 'query' WHEN 1 THEN 'graph' ELSE 'export' END AS tool FROM conversations)
+LEFT JOIN (VALUES ('user', 'query', true), ('user', 'graph', true), ('assistant', 'export', true)) AS p(role, tool, allowed) USING (role, tool) GROUP BY ALL""")
+def role_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[F19]"""
+    policy = spark.createDataFrame([("user", "query"), ("user", "graph"), ("assistant", "export")], "role string, tool string")
+    tool = F.when(F.col("turn") % 3 == 0, "query").when(F.col("turn") % 3 == 1, "graph").otherwise("export")
+    calls = table(spark, sf_dir, "conversations").select("role", tool.alias("tool"))
+    return evidence.allowed(calls, policy).groupBy("role", "tool", "allowed").agg(F.count("*").alias("calls"))
+
+
+# -- Upserts ------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2")
+def latest_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[W02, K4] The last write of each key by arrival."""
+    writes = table(spark, sf_dir, "events").withColumn("arrival", F.col("event_id"))
+    return upsert.latest(writes, ["user_id", "event_type"], "arrival", ["value", "event_id"])
+
+
+@query("SELECT user_id, event_type, arg_min(ts, event_id) AS first_seen, CASE WHEN count(*) > 1 THEN arg_max(ts, event_id) END AS last_seen, count(*) AS writes FROM events GROUP BY 1, 2")
+def first_last_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[W03, W04]"""
+    return upsert.first_and_last(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id", "ts")
+
+
+@query("""SELECT user_id, arg_max(big, event_id) FILTER (big IS NOT NULL) AS big, arg_max(kind, event_id) FILTER (kind IS NOT NULL) AS kind FROM
+(SELECT user_id, event_id, CASE WHEN value > 100 THEN value END AS big, CASE WHEN event_type <> 'view' THEN event_type END AS kind FROM events) GROUP BY user_id""")
+def coalesce_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P17]"""
+    writes = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("value") > 100, F.col("value")).alias("big"), F.when(F.col("event_type") != "view", F.col("event_type")).alias("kind"))
+    return upsert.latest_known(writes, ["user_id"], "event_id", ["big", "kind"])
+
+
+@query("SELECT l_partkey AS src, l_suppkey AS dst, arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS quantity FROM lineitem GROUP BY 1, 2")
+def edge_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[U02, M12] One edge per part and supplier, with the last write's quantity."""
+    writes = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").alias("quantity"))
+    return upsert.edges(writes, ["src", "dst"], "seq", ["quantity"])
+
+
+@query("""SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' OR o_orderkey % 10 = 3)
+UNION ALL SELECT o_orderkey, 'X', o_totalprice + 1 FROM orders WHERE o_orderstatus = 'P' OR o_orderkey % 10 = 3""")
+def merge_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[U02, S08] State merged with a batch of changes."""
+    state = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    batch = state.where("o_orderstatus = 'P' OR o_orderkey % 10 = 3").select("o_orderkey", F.lit("X").alias("o_orderstatus"), (F.col("o_totalprice") + 1).alias("o_totalprice"))
+    return upsert.merged(state, batch, ["o_orderkey"])
+
+
+# -- Graph context and patterns -----------------------------------------------------------------------
+
+_CONTEXT_LISTS = {
+    "priorities": ("SELECT o_custkey AS owner, {'priority': o_orderpriority, 'status': o_orderstatus} AS v FROM orders", 20),
+    "brands": ("SELECT o_custkey AS owner, p_brand AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey", 20),
+    "observations": ("SELECT user_id AS owner, {'name': event_type, 'value': value} AS v FROM events", 20),
+    "items": ("SELECT owner, {'item': item, 'state': state} AS v FROM items", 20),
+    "interactions": ("SELECT owner, {'item_a': item_a, 'item_b': item_b, 'risk': risk, 'severity': severity} AS v FROM items JOIN links ON item = item_a WHERE state NOT IN ('F')", 20),
+    "large": ("SELECT user_id AS owner, {'value': value, 'k': json_extract_string(props, '$.k')} AS v FROM events WHERE value > 60", 20),
+    "claims": ("SELECT o_custkey AS owner, {'order': l_orderkey, 'line': l_linenumber, 'flag': l_returnflag} AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'", 20),
+    "signals": (f"SELECT e.user_id AS owner, {{'event': e.event_id, 'condition': r.condition}} AS v FROM events e JOIN {_EVENT_RULES_SQL} ON lower(e.event_type) = r.observation AND {_COMPARED_SQL}", 20),
+    "nations": ("SELECT c_custkey AS owner, {'nation': n_name, 'region': r_name} AS v FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey", 20),
+    "suppliers": ("SELECT o_custkey AS owner, s_name AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_acctbal < 1000", 20),
+    "contraindications": ("SELECT i.owner, {'item': i.item, 'segment': c.segment, 'severity': c.severity} AS v FROM items i JOIN customer ON c_custkey = i.owner JOIN contra c ON c.item = i.item AND c.segment = c_mktsegment WHERE i.state NOT IN ('F')", 10),
+}
+_CONTEXT_SQL = f"WITH {_ITEMS_SQL}, {_LINKS_SQL}, {_CONTRA_SQL}\nSELECT c_custkey, " + ", ".join(
+    f"coalesce(CAST(to_json(t_{n}.v) AS VARCHAR), '[]') AS {n}" for n in _CONTEXT_LISTS
+) + " FROM customer\n" + "\n".join(f"LEFT JOIN (SELECT owner, list_sort(list(DISTINCT v))[1:{k}] AS v FROM ({sql}) GROUP BY owner) t_{n} ON t_{n}.owner = c_custkey" for n, (sql, k) in _CONTEXT_LISTS.items())
+
+
+@query(_CONTEXT_SQL)
+def customer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C01-C11, Q05, A01, A20] Eleven lists per customer, each collected before they meet.
+
+    Lists are shown as JSON; numbers in them are as SQL writes them.
+    """
+    c = F.col
+    orders, events = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
+    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    items, links, wrong = order_items(spark, sf_dir), part_links(spark, sf_dir), contra(spark, sf_dir)
+    owned = lines.join(orders.select("o_orderkey", c("o_custkey").alias("owner")), c("l_orderkey") == c("o_orderkey"))
+    live = items.where(patterns.active(c("state"), ("F",)))
+    fired = rules.threshold_signals(events, event_rules(spark), "event_type", "value")
+    home = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey")).join(table(spark, sf_dir, "region"), c("n_regionkey") == c("r_regionkey"))
+    listed = lambda rows, owner, value, n=20: rows.groupBy(c(owner).alias("owner")).agg(patterns.listed(value, n).alias("v"))
+    lists = {
+        "priorities": listed(orders, "o_custkey", [c("o_orderpriority").alias("priority"), c("o_orderstatus").alias("status")]),
+        "brands": listed(owned.join(part, c("p_partkey") == c("l_partkey")), "owner", c("p_brand")),
+        "observations": listed(events, "user_id", [c("event_type").alias("name"), c("value")]),
+        "items": listed(items, "owner", [c("item"), c("state")]),
+        "interactions": listed(live.join(links, c("item") == c("item_a")), "owner", [c("item_a"), c("item_b"), c("risk"), c("severity")]),
+        "large": listed(events.where("value > 60"), "user_id", [c("value"), F.get_json_object("props", "$.k").alias("k")]),
+        "claims": listed(owned.where("l_returnflag = 'R'"), "owner", [c("l_orderkey").alias("order"), c("l_linenumber").alias("line"), c("l_returnflag").alias("flag")]),
+        "signals": listed(fired, "user_id", [c("event_id").alias("event"), c("condition")]),
+        "nations": listed(home, "c_custkey", [c("n_name").alias("nation"), c("r_name").alias("region")]),
+        "suppliers": listed(owned.join(table(spark, sf_dir, "supplier").where("s_acctbal < 1000"), c("s_suppkey") == c("l_suppkey")), "owner", c("s_name")),
+        "contraindications": listed(live.join(segments(spark, sf_dir), "owner").join(wrong, ["item", "segment"]), "owner", [c("item"), c("segment"), c("severity")], 10),
+    }
+    found = patterns.with_lists(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", lists)
+    return found.select("c_custkey", *[F.to_json(n).alias(n) for n in lists])
+
+
+@query("""SELECT s_suppkey AS id, 'Supplier' AS type, coalesce(t.parts, '') AS parts, coalesce(t.n, 0) AS n_lines, coalesce(r.returns, 0) AS returns FROM supplier
+LEFT JOIN (SELECT l_suppkey, array_to_string(list_sort(list(DISTINCT l_partkey))[1:10], ',') AS parts, count(*) AS n FROM lineitem GROUP BY 1) t ON t.l_suppkey = s_suppkey
+LEFT JOIN (SELECT l_suppkey, count(*) AS returns FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) r ON r.l_suppkey = s_suppkey""")
+def entity_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[Q06, Q07, P21]"""
+    lines = table(spark, sf_dir, "lineitem")
+    facts = lines.groupBy("l_suppkey").agg(patterns.listed(F.col("l_partkey"), 10).alias("parts"), F.count("*").alias("n_lines"), F.count_if(F.col("l_returnflag") == "R").alias("returns"))
+    joined = table(spark, sf_dir, "supplier").join(facts, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
+    return joined.select(F.col("s_suppkey").alias("id"), F.lit("Supplier").alias("type"), F.coalesce(F.array_join(F.transform("parts", lambda p: p.cast("string")), ","), F.lit("")).alias("parts"), zero("n_lines"), zero("returns"))
+
+
+@query("""SELECT p_brand AS medication, count(*) AS signal_count, array_to_string(list_sort(list(DISTINCT l_returnflag))[1:3], ',') AS severities, array_to_string(list_sort(list(DISTINCT p_type))[1:5], ',') AS terms
+FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N' GROUP BY 1 ORDER BY signal_count DESC, medication LIMIT 10""")
+def ae_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C12, C35, A19]"""
+    found = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    joined = lambda n, k: F.array_join(patterns.listed(F.col(n), k), ",")
+    counted = found.groupBy(F.col("p_brand").alias("medication")).agg(F.count("*").alias("signal_count"), joined("l_returnflag", 3).alias("severities"), joined("p_type", 5).alias("terms"))
+    return counted.orderBy(F.desc("signal_count"), "medication").limit(10)
+
+
+@query(f"""WITH {_ITEMS_SQL}, {_CONTRA_SQL} SELECT c_custkey AS owner, c.item, c.segment, c.severity FROM customer JOIN contra c ON c.segment = c_mktsegment
+WHERE EXISTS (SELECT 1 FROM items i WHERE i.owner = c_custkey AND i.item = c.item) ORDER BY severity DESC, owner, item LIMIT 20""")
+def contra_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C13, C34, J11] Severity sorts as a string.
+
+    The semi join is done from the orders' side: what a customer ordered, checked for its segment.
+    """
+    held = order_items(spark, sf_dir).select("owner", "item").distinct()
+    found = held.join(segments(spark, sf_dir), "owner").join(contra(spark, sf_dir), ["item", "segment"])
+    return found.select("owner", "item", "segment", "severity").orderBy(F.desc("severity"), "owner", "item").limit(20)
+
+
+_EXPOSURE = """SELECT a.owner, l.item_a, l.item_b, l.risk, l.severity FROM items a JOIN links l ON a.item = l.item_a {where} EXISTS (SELECT 1 FROM items b WHERE b.owner = a.owner AND b.item = l.item_b)"""
+
+
+def _exposed(spark: SparkSession, sf_dir: str, links: DataFrame) -> DataFrame:
+    items = order_items(spark, sf_dir)
+    linked = items.select("owner", F.col("item").alias("item_a")).join(links, "item_a")
+    return patterns.having(linked, items.select("owner", F.col("item").alias("item_b")), ["owner", "item_b"]).select("owner", "item_a", "item_b", "risk", "severity")
+
+
+@query(f"WITH {_ITEMS_SQL}, {_LINKS_SQL} " + _EXPOSURE.format(where="WHERE l.severity = 'high' AND") + " ORDER BY owner, item_a, item_b LIMIT 20")
+def interaction_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C14] A row for each order of the first item."""
+    return _exposed(spark, sf_dir, part_links(spark, sf_dir).where("severity = 'high'")).orderBy("owner", "item_a", "item_b").limit(20)
+
+
+@query(f"WITH {_ITEMS_SQL}, {_LINKS_SQL} " + _EXPOSURE.format(where="WHERE"))
+def interaction_exposure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C36]"""
+    return _exposed(spark, sf_dir, part_links(spark, sf_dir))
+
+
+@query(f"WITH {_ITEMS_SQL}, {_LINKS_SQL} SELECT owner, item_a, item_b, risk, severity FROM items JOIN links ON item = item_a")
+def interaction_unchecked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C39, J10] The partner need not be ordered."""
+    return order_items(spark, sf_dir).join(part_links(spark, sf_dir), F.col("item") == F.col("item_a")).select("owner", "item_a", "item_b", "risk", "severity")
+
+
+@query(f"""WITH {_ITEMS_SQL}, {_LINKS_SQL} SELECT a.owner, l.item_a, l.item_b, l.risk, l.severity, count(*) AS n FROM items a JOIN links l ON a.item = l.item_a JOIN items b ON b.owner = a.owner AND b.item = l.item_b
+WHERE l.severity = 'high' AND a.state NOT IN ('discontinued', 'hold') AND b.state NOT IN ('discontinued', 'hold') GROUP BY ALL""")
+def interaction_diamond(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C18, J12] Each pair as often as the orders combine."""
+    pairs = patterns.diamond(order_items(spark, sf_dir), part_links(spark, sf_dir).where("severity = 'high'"))
+    return pairs.groupBy("owner", "item_a", "item_b", "risk", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_ITEMS_SQL}, {_CONTRA_SQL} SELECT v.owner, v.item, v.segment, coalesce(array_to_string(list_sort(list(DISTINCT e.event_id) FILTER (e.event_id IS NOT NULL))[1:3], ','), '') AS confirming FROM
+(SELECT DISTINCT i.owner, i.item, c.segment FROM items i JOIN customer ON c_custkey = i.owner JOIN contra c ON c.item = i.item AND c.segment = c_mktsegment WHERE i.state NOT IN ('F')) v
+LEFT JOIN events e ON e.user_id = v.owner AND e.value > 60 GROUP BY 1, 2, 3 ORDER BY owner, item LIMIT 15""")
+def contra_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C19]"""
+    live = order_items(spark, sf_dir).where(patterns.active(F.col("state"), ("F",))).select("owner", "item").distinct()
+    found = live.join(segments(spark, sf_dir), "owner").join(contra(spark, sf_dir), ["item", "segment"]).select("owner", "item", "segment")
+    signs = table(spark, sf_dir, "events").where("value > 60").groupBy(F.col("user_id").alias("owner")).agg(F.array_join(F.transform(patterns.listed(F.col("event_id"), 3), lambda e: e.cast("string")), ",").alias("confirming"))
+    return found.join(signs, "owner", "left").withColumn("confirming", F.coalesce("confirming", F.lit(""))).orderBy("owner", "item").limit(15)
+
+
+@query(f"""WITH {_ITEMS_SQL}, {_LINKS_SQL}, {_CONTRA_SQL},
+held AS (SELECT DISTINCT owner, item FROM items WHERE state NOT IN ('F')),
+big AS (SELECT owner FROM held GROUP BY owner HAVING count(*) >= 3),
+pairs AS (SELECT owner, count(*) AS n FROM (SELECT DISTINCT a.owner, l.item_a, l.item_b FROM items a JOIN links l ON a.item = l.item_a AND l.severity = 'high' JOIN items b ON b.owner = a.owner AND b.item = l.item_b) GROUP BY owner),
+wrong AS (SELECT h.owner, count(*) AS n FROM held h JOIN customer ON c_custkey = h.owner JOIN contra c ON c.item = h.item AND c.segment = c_mktsegment GROUP BY 1)
+SELECT owner, least(pairs.n, 5) AS interaction_count, least(coalesce(wrong.n, 0), 5) AS contraindication_count FROM big JOIN pairs USING (owner) LEFT JOIN wrong USING (owner)
+ORDER BY 2 DESC, 3 DESC, owner LIMIT 10""")
+def triple_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C20, A10, J17] Counts are pre-aggregated per owner; then they meet."""
+    items = order_items(spark, sf_dir)
+    held = items.where(patterns.active(F.col("state"), ("F",))).select("owner", "item").distinct()
+    big = held.groupBy("owner").agg(F.count("*").alias("items")).where("items >= 3")
+    pairs = patterns.diamond(items.withColumn("state", F.lit("active")), part_links(spark, sf_dir).where("severity = 'high'")).select("owner", "item_a", "item_b").distinct().groupBy("owner").agg(F.count("*").alias("pairs"))
+    wrong = held.join(segments(spark, sf_dir), "owner").join(contra(spark, sf_dir), ["item", "segment"]).groupBy("owner").agg(F.count("*").alias("wrong"))
+    found = big.join(pairs, "owner").join(wrong, "owner", "left")
+    capped = found.select("owner", F.least("pairs", F.lit(5)).alias("interaction_count"), F.least(F.coalesce("wrong", F.lit(0)), F.lit(5)).alias("contraindication_count"))
+    return capped.orderBy(F.desc("interaction_count"), F.desc("contraindication_count"), "owner").limit(10)
+
+
+@query("""SELECT o_custkey AS owner, l_orderkey, l_linenumber, p_name AS procedure, s_name AS payer, l_extendedprice AS billed FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON p_partkey = l_partkey LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 0) ON s_suppkey = l_suppkey
+WHERE l_returnflag = 'R' ORDER BY billed DESC, l_orderkey, l_linenumber LIMIT 15""")
+def hospital_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C16, C40] The fifteen are found before the optional joins, which keep every row."""
+    top = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(15)
+    owned = top.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    named = owned.join(table(spark, sf_dir, "part").where("p_size > 10"), F.col("p_partkey") == F.col("l_partkey"), "left").join(table(spark, sf_dir, "supplier").where("s_acctbal > 0"), F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    return named.select(F.col("o_custkey").alias("owner"), "l_orderkey", "l_linenumber", F.col("p_name").alias("procedure"), F.col("s_name").alias("payer"), F.col("l_extendedprice").alias("billed")).orderBy(F.desc("billed"), "l_orderkey", "l_linenumber")
+
+
+@query(f"""WITH {_ITEMS_SQL}, {_LINKS_SQL} SELECT o_custkey AS owner, l_orderkey, l_linenumber, l.item_a, l.item_b, l.risk, l.severity FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN links l ON l.item_a = l_partkey
+WHERE l_returnflag = 'R' AND EXISTS (SELECT 1 FROM items b WHERE b.owner = o_custkey AND b.item = l.item_b) ORDER BY severity DESC, owner, l_orderkey, l_linenumber, item_b LIMIT 20""")
+def ae_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C17]"""
+    returned = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").join(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("owner")), F.col("l_orderkey") == F.col("o_orderkey"))
+    linked = returned.join(part_links(spark, sf_dir), F.col("l_partkey") == F.col("item_a"))
+    held = order_items(spark, sf_dir).select("owner", F.col("item").alias("item_b"))
+    found = patterns.having(linked, held, ["owner", "item_b"])
+    return found.select("owner", "l_orderkey", "l_linenumber", "item_a", "item_b", "risk", "severity").orderBy(F.desc("severity"), "owner", "l_orderkey", "l_linenumber", "item_b").limit(20)
+
+
+@query("SELECT p_type AS medication, o_orderstatus AS state, count(DISTINCT o_custkey) AS patients FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
+def status_by_item(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C22, A05]"""
+    items = order_items(spark, sf_dir).join(table(spark, sf_dir, "part"), F.col("item") == F.col("p_partkey"))
+    return items.groupBy(F.col("p_type").alias("medication"), "state").agg(F.count_distinct("owner").alias("patients"))
+
+
+@query("SELECT l_linestatus AS status, count(*) AS n, round(avg(l_extendedprice), 4) AS billed, round(avg(l_extendedprice * (1 - l_discount)), 4) AS allowed FROM lineitem GROUP BY 1")
+def status_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C23, A06]"""
+    allowed = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("status")).agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("billed"), F.round(F.avg(allowed), 4).alias("allowed"))
+
+
+@query(f"""WITH {_ITEMS_SQL}, {_CONTRA_SQL} SELECT d.owner, d.denied, array_to_string(list_sort(list(DISTINCT c.item))[1:3], ',') AS items FROM
+(SELECT o_custkey AS owner, count(*) AS denied FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) d JOIN customer ON c_custkey = d.owner JOIN items i ON i.owner = d.owner JOIN contra c ON c.item = i.item AND c.segment = c_mktsegment
+GROUP BY 1, 2 ORDER BY denied DESC, owner LIMIT 20""")
+def denied_and_contra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C24]"""
+    denied = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("owner")).agg(F.count("*").alias("denied"))
+    wrong = order_items(spark, sf_dir).select("owner", "item").distinct().join(segments(spark, sf_dir), "owner").join(contra(spark, sf_dir), ["item", "segment"])
+    items = wrong.groupBy("owner").agg(F.array_join(F.transform(patterns.listed(F.col("item"), 3), lambda i: i.cast("string")), ",").alias("items"))
+    return denied.join(items, "owner").orderBy(F.desc("denied"), "owner").limit(20)
+
+
+@query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events WHERE contains(props, '7') AND json_extract_string(props, '$.k') IS NOT NULL GROUP BY 1, 2")
+def payload_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C25, C26, F10]"""
+    k = F.get_json_object("props", "$.k")
+    return table(spark, sf_dir, "events").where(F.col("props").contains("7") & k.isNotNull()).groupBy("event_type", k.alias("k")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT u.o_custkey AS owner, o_orderpriority AS encounter, count(*) AS events, min(e.event_id) AS first_event FROM events e JOIN (SELECT o_custkey, o_orderpriority FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2) u ON u.o_custkey = e.user_id
+WHERE e.event_type = 'purchase' GROUP BY 1, 2""")
+def encounter_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C21] Events of one source per owner and encounter."""
+    encounters = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("owner"), F.col("o_orderpriority").alias("encounter")).distinct()
+    events = table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", F.col("user_id").alias("owner"))
+    return events.join(encounters, "owner").groupBy("owner", "encounter").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"))
+
+
+_BOM_SQL = """WITH RECURSIVE edges AS (SELECT p_partkey AS src, CAST(floor(p_partkey / 2) AS BIGINT) AS dst FROM part WHERE p_partkey > 1),
+walk AS (SELECT src, dst, 1 AS hops, [src, dst] AS path FROM edges UNION ALL SELECT w.src, e.dst, w.hops + 1, list_append(w.path, e.dst) FROM walk w JOIN edges e ON w.dst = e.src WHERE w.hops < 3)
+SELECT src, dst, hops, array_to_string(path, '>') AS path FROM walk"""
+
+
+@query(_BOM_SQL)
+def bom_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C27, J16, P22]"""
+    edges = table(spark, sf_dir, "part").where("p_partkey > 1").select(F.col("p_partkey").alias("src"), F.floor(F.col("p_partkey") / 2).alias("dst"))
+    found = patterns.paths(edges, 3)
+    return found.select("src", "dst", "hops", F.array_join(F.transform("path", lambda p: p.cast("string")), ">").alias("path"))
+
+
+@query("SELECT l_partkey AS part, min(l_suppkey) AS supplier FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1 ORDER BY part LIMIT 100")
+def exclusive_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C28] Single-source parts: least and greatest supplier agree, so no distinct is needed."""
+    ends = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.min("l_suppkey").alias("supplier"), F.max("l_suppkey").alias("last"))
+    return ends.where("supplier = last").select("part", "supplier").orderBy("part").limit(100)
+
+
+@query("SELECT l_suppkey AS supplier, array_to_string(list_sort(list(DISTINCT p_type)), ',') AS categories, count(DISTINCT p_type) AS n FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_discount > 0.08 GROUP BY 1 ORDER BY n DESC, supplier LIMIT 10")
+def risk_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C29, A08]"""
+    found = table(spark, sf_dir, "lineitem").where("l_discount > 0.08").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    sets = found.groupBy(F.col("l_suppkey").alias("supplier")).agg(F.array_sort(F.collect_set("p_type")).alias("c"))
+    return sets.select("supplier", F.array_join("c", ",").alias("categories"), F.size("c").cast("long").alias("n")).orderBy(F.desc("n"), "supplier").limit(10)
+
+
+@query("SELECT s_name, n_name, l_orderkey, l_linenumber, l_quantity FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey ORDER BY l_quantity DESC, l_orderkey, l_linenumber LIMIT 15")
+def disruption_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C30] Top rows first; dimensions are joined to fifteen rows."""
+    top = table(spark, sf_dir, "lineitem").orderBy(F.desc("l_quantity"), "l_orderkey", "l_linenumber").limit(15)
+    named = top.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return named.select("s_name", "n_name", "l_orderkey", "l_linenumber", "l_quantity").orderBy(F.desc("l_quantity"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_suppkey AS supplier, count(*) AS inspections, round(avg(l_discount), 6) AS avg_defect, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM lineitem GROUP BY 1")
+def quality_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C31, A07]"""
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count("*").alias("inspections"), F.round(F.avg("l_discount"), 6).alias("avg_defect"), F.count_if(F.col("l_returnflag") == "R").alias("failed"))
+
+
+@query("SELECT p_partkey, p_name, p_size, p_retailprice FROM part WHERE p_size < 5 ORDER BY p_size, p_retailprice DESC, p_partkey LIMIT 15")
+def below_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C32, C38, F09]"""
+    return table(spark, sf_dir, "part").where("p_size < 5").orderBy("p_size", F.desc("p_retailprice"), "p_partkey").select("p_partkey", "p_name", "p_size", "p_retailprice").limit(15)
+
+
+@query("""SELECT * FROM (SELECT CAST(o_custkey AS VARCHAR) AS src, 'PLACED' AS relation, CAST(o_orderkey AS VARCHAR) AS dst FROM orders WHERE o_custkey = 7
+UNION ALL SELECT CAST(user_id AS VARCHAR), 'DID', CAST(event_id AS VARCHAR) FROM events WHERE user_id = 7 UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'LIVES_IN', CAST(c_nationkey AS VARCHAR) FROM customer WHERE c_custkey = 7) ORDER BY relation, dst LIMIT 100""")
+def patient_journey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C37, U01] All kinds of edges of one entity; the filter reaches every scan."""
+    edges = {
+        "PLACED": table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst")),
+        "DID": table(spark, sf_dir, "events").select(F.col("user_id").alias("src"), F.col("event_id").alias("dst")),
+        "LIVES_IN": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src"), F.col("c_nationkey").alias("dst")),
+    }
+    mine = {k: e.where(F.col("src") == 7) for k, e in edges.items()}
+    return patterns.journey(mine).orderBy("relation", "dst").limit(100)
+
+
+@query("SELECT event_id, user_id, event_type, ts FROM events ORDER BY ts DESC, event_id LIMIT 25")
+def event_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C41, C33]"""
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts").orderBy(F.desc("ts"), "event_id").limit(25)
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def uncoded_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[J18, U06]"""
+    coded = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return patterns.lacking(table(spark, sf_dir, "customer").select("c_custkey"), coded, ["c_custkey"])
+
+
+@query("""SELECT e.event_id AS note_id, e.user_id AS patient_id, count(DISTINCT o.event_type) AS drugs, min(o.event_type) AS first_drug FROM events e JOIN events o ON o.user_id = e.user_id AND o.event_id < e.event_id
+JOIN (VALUES ('purchase', 'error'), ('view', 'error'), ('click', 'signup')) AS k(medication, symptom) ON k.symptom = e.event_type AND k.medication = o.event_type GROUP BY 1, 2""")
+def adverse_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[J14, M09] Earlier orders matter only by their first arrival, so they are folded before the join."""
+    events = table(spark, sf_dir, "events")
+    known = spark.createDataFrame([("purchase", "error", "low", "a"), ("view", "error", "high", "b"), ("click", "signup", "low", "c")], "medication string, symptom string, severity string, meddra_term string")
+    notes = events.select(F.col("event_id").alias("note_id"), F.col("user_id").alias("patient_id"), F.col("event_type").alias("symptom"), F.col("event_id").alias("seq"))
+    orders = events.select(F.col("user_id").alias("patient_id"), F.col("event_type").alias("medication"), F.col("event_id").alias("seq"))
+    found = rules.adverse_matches(notes, orders, known)
+    return found.groupBy("note_id", "patient_id").agg(F.count("*").alias("drugs"), F.min("medication").alias("first_drug"))
+
+
+@query("""SELECT p.p_partkey AS part, count(*) AS alerts FROM (SELECT event_id, unnest([user_id, user_id + 5, user_id + 9]) AS affected FROM events WHERE event_type = 'error') a JOIN part p ON p.p_partkey = a.affected GROUP BY 1""")
+def unwind_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[M15, J13]"""
+    u = F.col("user_id")
+    alerts = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.explode(F.array(u, u + 5, u + 9)).alias("part"))
+    known = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"))
+    return alerts.join(known, "part").groupBy("part").agg(F.count("*").alias("alerts"))
+
+
+@query("SELECT event_type, coalesce('S' || s_suppkey, 'P' || p_partkey, 'C' || c_custkey) AS entity, count(*) AS n FROM events LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 = 0) ON s_suppkey = user_id LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 0) ON p_partkey = user_id LEFT JOIN customer ON c_custkey = user_id GROUP BY 1, 2")
+def resolve_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[J13, P20] The first kind of entity that has the id."""
+    events = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    kinds = {"S": ("supplier", "s_suppkey", "s_suppkey % 3 = 0"), "P": ("part", "p_partkey", "p_partkey % 2 = 0"), "C": ("customer", "c_custkey", "true")}
+    for name, key, only in kinds.values():
+        events = events.join(table(spark, sf_dir, name).where(only).select(key), F.col(key) == F.col("user_id"), "left")
+    entity = F.coalesce(*[F.concat(F.lit(k), F.col(key).cast("string")) for k, (_, key, _) in kinds.items()])
+    return events.groupBy("event_type", entity.alias("entity")).agg(F.sum("n").alias("n"))
+
+
+@query("SELECT round(avg(CASE WHEN t.p_partkey IS NULL THEN 0.0 ELSE 1.0 END), 4) AS coverage, count(*) AS terms FROM (SELECT DISTINCT l_partkey FROM lineitem) s LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 3) t ON t.p_partkey = s.l_partkey")
+def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[A18]"""
+    from quern.plans.evaluation import coverage
+
+    used = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("term"))
+    known = table(spark, sf_dir, "part").where("p_size > 3").select(F.col("p_partkey").alias("term"))
+    return coverage(used, known, "term")
+
+
+@query(None)
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[T03-T06, S02, U02] Events replayed as a stream into a keyed table; compare ``latest_upsert``."""
+    from quern.streaming.ingest import replay_latest
+
+    return replay_latest(spark, f"{sf_dir}/events.parquet", ["user_id", "event_type"], "event_id", ["value", "event_id"])
+
+
+@query(None)
+def react_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[Q08, Q09] One question taken through the control loop, with its trace."""
+    from quern.plans.control import answer_trace
+
+    return answer_trace(spark, table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "events"))
