@@ -35,6 +35,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def long_texts(docs: DataFrame) -> DataFrame:
+    """``docs``, once the session sends whole texts to Python in batches of bounded size.
+
+    An Arrow batch of 64 MB of text takes several times as much in a Python worker.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return docs
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: the unit in which hot groups are split."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -50,3 +59,13 @@ def replaced(df: DataFrame, **columns: Column) -> DataFrame:
     new = {c.lower() for c in columns}
     kept = [F.col(f"`{c}`") for c in df.columns if c.lower() not in new]
     return df.select(*kept, *[v.alias(k) for k, v in columns.items()])
+
+
+def smallest(rows: DataFrame, order: Column, n: int) -> DataFrame:
+    """The ``n`` rows of ``rows`` with the least ``order`` (a long), more if the last one ties.
+
+    Only the numbers are sorted; the rows themselves, texts and all, are then filtered where they lie.
+    """
+    least = rows.select(order.alias("at")).where("at is not null").orderBy("at").limit(n)
+    last = least.agg(F.max("at")).first()[0]
+    return rows.where(order <= last) if last is not None else rows.limit(0)

@@ -14,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import SPACES, ascii_lower, row_key, shuffle_width
+from quern.llm.common import SPACES, ascii_lower, materialize, row_key, shuffle_width
 
 #: Lines whose drop flags share a word of the bitmap.
 WORD_BITS = 63
+#: Bitmaps up to this size are broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def lines_of(text: Column) -> Column:
@@ -26,14 +28,14 @@ def lines_of(text: Column) -> Column:
 
 def _long_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(hash, doc, row, pos) of every line whose key is long enough."""
-    slim = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")).where("doc is not null and text is not null")
-    key = ascii_lower(F.btrim(F.col("line"), F.lit(SPACES)))
+    text = F.col(f"`{text_col}`")
+    # The row's hash is taken before the lines are: else every line would hash its whole text.
+    slim = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(text).alias("row"), text.alias("text")).where("doc is not null and text is not null")
+    stripped = F.btrim(F.col("line"), F.lit(SPACES))
     return (
-        slim.select("doc", F.xxhash64("text").alias("row"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-        .where(F.char_length("line") >= min_chars)
-        .select("doc", "row", "pos", key.alias("key"))
-        .where(F.char_length("key") >= min_chars)
-        .select(F.unhex(F.md5("key")).alias("hash"), "doc", "row", "pos")
+        slim.select("doc", "row", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+        .where((F.char_length("line") >= min_chars) & (F.char_length(stripped) >= min_chars))
+        .select(F.unhex(F.md5(ascii_lower(stripped))).alias("hash"), "doc", "row", "pos")
     )
 
 
@@ -90,6 +92,12 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """``docs`` with ``line_report``; an input column of that name is replaced."""
+    """``docs`` with ``line_report``; an input column of that name is replaced.
+
+    The bitmaps are measured: up to BROADCAST_BYTES they go to the texts, beyond that both are joined
+    by a shuffle.
+    """
     docs = docs.drop("line_report")
-    return apply_bitmaps(docs, drop_bitmaps(docs, id_col, text_col, min_chars, min_docs), id_col, text_col)
+    bitmaps = materialize(drop_bitmaps(docs, id_col, text_col, min_chars, min_docs))
+    size = bitmaps.agg(F.sum(F.size("words") * 12 + 48)).first()[0] or 0
+    return apply_bitmaps(docs, F.broadcast(bitmaps) if size <= BROADCAST_BYTES else bitmaps, id_col, text_col)
