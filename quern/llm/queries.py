@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import byte_bpe, co_training, language_id, line_dedup, mixing, pii, quality_rules, secrets, simhash, topk
+from quern.llm.common import long_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +28,7 @@ def exact_topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = long_texts(_table(spark, sf_dir, "documents")).select("doc_id", "text")
     judged = quality_rules.judge(docs, quality_rules.fit(docs, _table(spark, sf_dir, "labels")))
     failed = quality_rules.base_failed("verdict")
     counts = [F.col(f"verdict.{c}").alias(c) for c in quality_rules.COUNTS]
@@ -35,9 +36,9 @@ def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", byte_bpe.encode(F.col("text")).alias("ids"))
-    both = docs.withColumn("decoded", byte_bpe.decode(F.col("ids")))
-    return both.select("doc_id", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = long_texts(_table(spark, sf_dir, "documents")).select("doc_id", byte_bpe.encode_decode(F.col("text")).alias("bpe"))
+    ids, decoded = F.col("bpe.ids"), F.col("bpe.decoded")
+    return both.select("doc_id", F.expr("octet_length(bpe.ids) div 4").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
 def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def _kind_is(kind: str):
 
 
 def secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = long_texts(_table(spark, sf_dir, "documents")).select("doc_id", "text")
     found = secrets.find_secrets(docs, secrets.fit(docs))
     base = ("assign", "access", "hex")
     counts = [F.size(F.filter("secrets", _kind_is(k))).cast("long").alias(f"n_{k}") for k in base]
@@ -73,13 +74,13 @@ def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = long_texts(_table(spark, sf_dir, "documents"))
     scored = co_training.classify(docs, co_training.fit(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in ("by_text", "by_meta", "score", "kept")])
 
 
 def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = long_texts(_table(spark, sf_dir, "documents")).select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = language_id.fit(docs.where(~held_out))
     found = language_id.predict(docs.select("doc_id", "text"), model)

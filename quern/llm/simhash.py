@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quern.llm.common import UPPER, WORD, materialize, replaced
+from quern.llm.common import UPPER, WORD, long_texts, materialize, replaced
 
 #: Fixed values of the binary Golay code (23,12): length, covering radius, generator polynomial.
 CODE_BITS = 23
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     to 4.
     """
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    prints = fingerprints(slim, "text", "fingerprint", shingle_words)
+    prints = fingerprints(long_texts(slim), "text", "fingerprint", shingle_words)
     prints = materialize(prints.select("id", F.xxhash64("text").alias("text_hash"), F.col("fingerprint").alias("fp")))
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id")))
     labels = _labels(_links(distinct.select("fp"), threshold))
