@@ -230,3 +230,77 @@ def test_references_come_first(spark):
     assert seen == [("r", 1), ("e", 1)]
     routed = batch.select(envelopes.route(F.col("route"), ["reference"], ["event"]).alias("r"))
     assert {r.r for r in routed.collect()} == {"reference", "event"}
+
+
+def test_rendered_sentences(spark):
+    from quern.operators import normalise
+
+    events = [
+        ("LAB_RESULT", "p1", "LIS", '{"lab_name": "Potassium", "value": 5.50, "unit": "mmol/L", "abnormal": true}'),
+        ("INVENTORY_LEVEL", None, None, '{"facility_id": "f", "part_id": "a", "on_hand_qty": 3, "below_reorder": true, "days_of_supply": 1.0}'),
+        ("PURCHASE_ORDER", None, None, '{"po_number": "1", "part_id": "a"}'),
+        ("OTHER", None, None, '{"x": 1}'),
+    ]
+    made = spark.createDataFrame(events, "event_type string, patient_id string, source_system string, payload_json string")
+    both = normalise.CLINICAL_SENTENCES | normalise.SUPPLY_SENTENCES
+    text = [r.t for r in made.select(normalise.rendered(F.col("event_type"), F.col("payload_json"), both, F.col("payload_json"), 5).alias("t")).collect()]
+    assert text[0] == "Patient p1 lab result. Potassium equals 5.50 mmol/L. Panel None. Specimen None. Abnormal: True" or text[0].startswith("Patient p1 lab result. Potassium equals 5.5")
+    assert text[1] == "Inventory at f part a on_hand 3 BELOW REORDER days_of_supply 1.0."
+    assert text[2] == "Purchase order 1 from supplier None for part a qty None status None."
+    assert text[3] == '{"x":'
+
+
+def test_normalised_events_and_vector_records(spark):
+    from quern.operators import normalise
+
+    typed = envelopes.payload_of(clinical(spark), "CLINICAL_NOTE").withColumn("payload", F.col("payload").withField("symptom", F.lit("  Chest   PAIN ")).withField("icd10_code", F.lit("e87.5")))
+    r = normalise.normalised(typed, "CLINICAL_NOTE").first()
+    assert (r.payload.symptom, r.payload.icd10_code, r.source_type) == ("chest pain", "E87.5", "EHR")
+    people = spark.createDataFrame([((" f ", "HIGH", "41"),), (None,)], "patient struct<sex:string,risk_tier:string,age:string>")
+    out = normalise.normalised_reference(people, ["patient"]).withColumn("said", normalise.reference_summary(["patient"])).collect()
+    assert out[0].patient.sex == "F" and out[0].said == "Patient profile age 41, sex F, risk high." and out[1].said == ""
+    flat = clinical(spark).selectExpr("*", "1 as reference_hit_count", "'high' as trust_level", "'x' as phi_class", "'y' as retention_class", "'some text' as text")
+    point = flat.select(*normalise.vector_record()).first()
+    assert point.payload.enriched and len(point.embedding) == 384 and point.point_id > 0
+    mapping = spark.range(1).select(normalise.code_mapping("CPT", F.lit("99291"), F.lit("care")).alias("a"), normalise.code_mapping("CPT", F.lit(None).cast("string"), F.lit("care")).alias("b")).first()
+    assert mapping.a.standard_code == "99291" and mapping.b is None
+
+
+def test_specialists(spark):
+    from quern.operators import specialists
+
+    context = spark.createDataFrame(
+        [
+            ("p1", [("A", "B")], [], [("A", "c")], [("s",)], [("K", True), ("Na", None)], [("c1",)], [("x", "Hyperkalemia")], [("Hyperkalemia",), ("CKD",)]),
+            ("p2", [], [], [], [], [("Na", False)], [], [], []),
+        ],
+        "patient_id string, interactions array<struct<a:string,b:string>>, adverse_events array<struct<a:string>>, contraindications array<struct<a:string,b:string>>, lab_signals array<struct<a:string>>, observations array<struct<name:string,abnormal:boolean>>, claims array<struct<id:string>>, icd10_codes array<struct<code:string,condition:string>>, conditions array<struct<name:string>>",
+    )
+    assert rows(specialists.medication_safety(context), "patient_id", "interaction_count", "contraindication_count") == [("p1", 1, 1)]
+    assert rows(specialists.lab_interpretation(context), "patient_id", "abnormal_observation_count") == [("p1", 1)]
+    assert rows(specialists.coding_review(context), "patient_id", "uncoded_conditions") == [("p1", ["CKD"])]
+    suppliers = spark.createDataFrame([("s1", [("quality",), ("other",)], ["a"]), ("s2", [], [])], "supplier_id string, risk_signals array<struct<signal:string>>, parts array<string>")
+    assert [rows(f(suppliers), "supplier_id") for f in (specialists.supplier_risk, specialists.disruption_impact, specialists.quality_review)] == [[("s1",)]] * 3
+    facts = spark.createDataFrame([(20, 10, 0.01), (5, 10, 0.2), (1, 1, None)], "actual_lead_days int, expected_lead_days int, defect_rate double")
+    assert [[s.rule_id for s in r.signals] for r in specialists.supply_signals(facts).collect()] == [["lead_time_exceeded"], ["quality_rejection_rate"], []]
+
+
+def test_tools(spark, tmp_path):
+    from quern.plans import tools
+
+    desk = tools.Tools(spark, str(tmp_path / "audit"))
+    desk.register("query", lambda q: {"answer": q})
+    assert desk.call("generation", "query", q="x") == {"answer": "x"}
+    with pytest.raises(tools.NotAuthorised, match="not authorized"):
+        desk.call("read_only", "query", q="x")
+    assert desk.flush() == 2 and desk.flush() == 0
+    assert sorted(r.outcome for r in spark.read.json(str(tmp_path / "audit")).collect()) == ["denied", "success"]
+    big = {"answer": "a" * 200, "vector_context": [{"t": "x" * 100}] * 3, "graph_context": [{"t": "y" * 100}] * 3}
+    fitted = tools.fit_response(big, 450)
+    assert len(tools.canonical(fitted)) <= 450 and not fitted["vector_context"]
+    with pytest.raises(RuntimeError):
+        tools.fit_response(big, 10)
+    layer = {"business_goals": {"g": {"skills": ["a", "b"]}}, "skills": {"a": {"mcp_tools": ["t", "u"]}, "b": {"mcp_tools": ["u", "v"]}}}
+    assert tools.skill_plan(layer, "g")["mcp_tools"] == ["t", "u", "v"]
+    with pytest.raises(ValueError, match="unknown goal"):
+        tools.skill_plan(layer, "h")
