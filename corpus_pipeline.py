@@ -13,21 +13,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import byte_bpe, co_training, line_dedup, mixing, simhash
-from quern.llm.common import checkpoint_folder, row_key
+from quern.llm.common import checkpoint_folder, long_texts, row_key
+
+
+def whole(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` as one column ``row`` beside the ``columns`` an operator works on: no name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = co_training.classify(docs, co_training.fit(docs, labels))
-    return scored.where("quality.kept").select(*docs.columns)
+    scored = co_training.classify(long_texts(whole(docs, "text", "lang", "source", "n_chars")), co_training.fit(docs, labels))
+    return scored.where("quality.kept").select("row.*")
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the long lines that many documents share; n_chars follows.  Null texts stay null."""
-    found = line_dedup.dedup_lines(docs)
+    found = line_dedup.dedup_lines(whole(docs, "doc_id", "text"))
     text = F.when(F.col("text").isNotNull(), F.col("line_report.kept"))
-    return found.withColumns({"text": text, "n_chars": F.when(F.col("line_report.n_dropped") > 0, F.char_length(text).cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    n_chars = F.when(F.col("line_report.n_dropped") > 0, F.char_length(text).cast("long")).otherwise(F.col("row.n_chars"))
+    changed = {"text": text, "n_chars": n_chars}
+    return found.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,28 +43,26 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows without an id are never dropped; repeated rows of the id that stays are kept once.
     """
     found = simhash.near_duplicates(docs)
-    first = found.where("id = component").groupBy("id").agg(F.min("text_hash").alias("text_hash"))
-    kept = first.select(F.struct("id", "text_hash").alias("kept_key"))
-    keyed = docs.withColumn("kept_key", row_key(F.col("doc_id"), F.col("text")))
-    once = keyed.where("doc_id is not null").join(kept, "kept_key", "left_semi").dropDuplicates(["kept_key"])
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = found.where("id = component").groupBy("id").agg(F.min("text_hash").alias("text_hash")).select(F.struct("id", "text_hash").alias("key"))
+    keyed = whole(docs).withColumn("key", row_key(F.col("row.doc_id"), F.col("row.text")))
+    once = keyed.where("row.doc_id is not null").join(kept, "key", "left_semi").dropDuplicates(["key"])
+    return once.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, none to three times."""
-    mixed = mixing.mix(docs).where("copies > 0")
-    mixed = mixed.select(F.col("id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("text_hash").alias("mix_hash"), "copies")
-    same = docs["doc_id"].eqNullSafe(mixed["mix_id"]) & docs["source"].eqNullSafe(mixed["mix_source"]) & F.xxhash64(docs["text"]).eqNullSafe(mixed["mix_hash"])
-    joined = docs.join(mixed, same)
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("mix_copy")).select(*docs.columns)
+    mixed = mixing.mix(docs).where("copies > 0").select("id", "source", "text_hash", "copies")
+    keyed = whole(docs)
+    row = keyed["row"]
+    same = row["doc_id"].eqNullSafe(mixed["id"]) & row["source"].eqNullSafe(mixed["source"]) & F.xxhash64(row["text"]).eqNullSafe(mixed["text_hash"])
+    return keyed.join(mixed, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def byte_bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's token ids (packed little-endian 32-bit), their number, and whether they decode to its text."""
-    encoded = docs.select("doc_id", "lang", "source", "text", byte_bpe.encode(F.col("text")).alias("ids"))
-    decoded = encoded.withColumn("decoded", byte_bpe.decode(F.col("ids")))
-    exact = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return decoded.select("doc_id", "lang", "source", "ids", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), exact.alias("round_trip"))
+    both = long_texts(docs).select("doc_id", "lang", "source", "text", byte_bpe.encode_decode(F.col("text")).alias("bpe"))
+    exact = F.col("bpe.decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return both.select("doc_id", "lang", "source", F.col("bpe.ids").alias("ids"), F.expr("octet_length(bpe.ids) div 4").cast("long").alias("n_tokens"), exact.alias("round_trip"))
 
 
 STAGES = [

@@ -49,6 +49,7 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     salts = shuffle_width(docs.sparkSession)
     lines = _long_lines(docs, id_col, text_col, min_chars).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
+    lines = materialize(lines)  # read by the range sort's sampling, by the sort, and by the join
     ranged = lines.repartitionByRange(salts, "hash", "salt")
     run = Window.partitionBy("hash", "salt").orderBy(F.desc("doc"), "row", "pos")
     before = F.lag("doc").over(run)
