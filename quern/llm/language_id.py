@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quern.llm.common import replaced
+from quern.llm.common import replaced, smallest
 
 #: Documents that the model learns from at most (the smallest hashes of their ids).
 SAMPLE_DOCS = 2500
@@ -124,9 +124,12 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Learn from at most ``sample_docs`` rows with a language and a letter; None if there are none."""
+    """Learn from the ``sample_docs`` rows with a language whose ids have the smallest hashes.
+
+    Repeated ids tie and may add a few; None if no such row has a letter.
+    """
     chosen = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.xxhash64(F.col(f"`{id_col}`")).alias("h")).where("lang is not null and text is not null")
-    chosen = chosen.orderBy("h", "lang", F.xxhash64("text")).limit(sample_docs)
+    chosen = smallest(chosen, F.col("h"), sample_docs)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
