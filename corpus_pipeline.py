@@ -42,11 +42,15 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     Rows without an id are never dropped; repeated rows of the id that stays are kept once.
     """
-    found = simhash.near_duplicates(docs)
-    kept = found.where("id = component").groupBy("id").agg(F.min("text_hash").alias("text_hash")).select(F.struct("id", "text_hash").alias("key"))
-    keyed = whole(docs).withColumn("key", row_key(F.col("row.doc_id"), F.col("row.text")))
-    once = keyed.where("row.doc_id is not null").join(kept, "key", "left_semi").dropDuplicates(["key"])
-    return once.select("row.*").unionByName(docs.where("doc_id is null"))
+    found = simhash.near_duplicates(docs).where("id = component")
+    rows = found.groupBy("id", "text_hash").agg(F.count("*").alias("n"))
+    kept = rows.groupBy("id").agg(F.min(F.struct("text_hash", "n")).alias("first"))
+    kept = kept.select(F.struct("id", "first.text_hash").alias("key"), "first.n")
+    keyed = whole(docs).withColumn("key", row_key(F.col("row.doc_id"), F.col("row.text"))).where("row.doc_id is not null")
+    once = keyed.join(kept.where("n = 1"), "key", "left_semi")
+    # Only rows that are there again are compared whole.
+    again = keyed.join(kept.where("n > 1"), "key", "left_semi").dropDuplicates(["key"])
+    return once.unionByName(again).select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
