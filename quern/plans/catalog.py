@@ -783,3 +783,165 @@ def react_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quern.plans.control import answer_trace
 
     return answer_trace(spark, table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "events"))
+
+
+# -- Projections, windows, specialists, graph programs ------------------------------------------------
+
+
+@query("""SELECT user_id, array_to_string([x.t || ':' || x.e FOR x IN list_sort(list(DISTINCT {'t': event_type, 'e': event_id})) IF regexp_matches(x.t, '(?i)PURCH|err')], ',') AS matching, count(*) AS n FROM events GROUP BY user_id""")
+def regex_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[F11, C43-C54] Lists filtered by a pattern, without regard to case."""
+    lists = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.struct("event_type", "event_id"))).alias("l"), F.count("*").alias("n"))
+    hits = F.filter("l", lambda x: x["event_type"].rlike("(?i)PURCH|err"))
+    return lists.select("user_id", F.array_join(F.transform(hits, lambda x: F.concat_ws(":", x["event_type"], x["event_id"].cast("string"))), ",").alias("matching"), "n")
+
+
+@query("SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[T02] Tumbling windows, the batch form of ``streaming.ingest.windowed_counts``."""
+    counted = table(spark, sf_dir, "events").groupBy(F.window("ts", "6 hours"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return counted.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+@query("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, max(ts) AS ts FROM events GROUP BY 1, 2")
+def latest_by_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[T06] The last write by event time: a late event does not overwrite newer state."""
+    writes = table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
+    return upsert.latest(writes, ["user_id", "event_type"], "at", ["value", "ts"])
+
+
+@query("SELECT f.event_id AS follow_up, min(e.event_id) AS cause FROM events f JOIN events e ON e.user_id = f.user_id AND json_extract_string(e.props, '$.k') = json_extract_string(f.props, '$.k') AND e.event_type = 'error' AND f.event_type = 'purchase' AND e.event_id < f.event_id GROUP BY 1")
+def correlated_followups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[T08] Follow-ups and the first event they refer to; causes are folded to their first before the join."""
+    events = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    causes = events.where("event_type = 'error'").groupBy("user_id", "k").agg(F.min("event_id").alias("cause"))
+    later = events.where("event_type = 'purchase'").join(causes, ["user_id", "k"]).where("cause < event_id")
+    return later.select(F.col("event_id").alias("follow_up"), "cause")
+
+
+@query("SELECT user_id, ts, event_type, min(event_id) AS event_id, count(*) AS copies FROM events GROUP BY 1, 2, 3")
+def dedupe_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[T11, U04]"""
+    return table(spark, sf_dir, "events").groupBy("user_id", "ts", "event_type").agg(F.min("event_id").alias("event_id"), F.count("*").alias("copies"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN l_quantity > l_linenumber * 10 * 1.5 THEN 'lead_time_exceeded' END, CASE WHEN l_discount > 0.05 THEN 'quality_rejection_rate' END], lambda x: x IS NOT NULL), ',') AS signals FROM lineitem""")
+def supply_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[R10]"""
+    from quern.operators import specialists
+
+    facts = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("actual_lead_days"), (F.col("l_linenumber") * 10).alias("expected_lead_days"), F.col("l_discount").alias("defect_rate"))
+    return specialists.supply_signals(facts).select("l_orderkey", "l_linenumber", F.array_join(F.transform("signals", lambda s: s["rule_id"]), ",").alias("signals"))
+
+
+@query(f"""WITH {_ITEMS_SQL}, {_LINKS_SQL}, {_CONTRA_SQL},
+a AS (SELECT owner, least(count(*), 20) AS n FROM (SELECT DISTINCT owner, item_a, item_b FROM items JOIN links ON item = item_a WHERE severity = 'high') GROUP BY 1),
+b AS (SELECT user_id AS owner, least(count(*), 20) AS n FROM events WHERE event_type = 'error' GROUP BY 1),
+c AS (SELECT owner, least(count(*), 10) AS n FROM (SELECT DISTINCT i.owner, i.item, x.segment FROM items i JOIN customer ON c_custkey = i.owner JOIN contra x ON x.item = i.item AND x.segment = c_mktsegment) GROUP BY 1)
+SELECT c_custkey, CAST(coalesce(a.n, 0) AS INTEGER) AS interaction_count, CAST(coalesce(b.n, 0) AS INTEGER) AS adverse_event_count, CAST(coalesce(c.n, 0) AS INTEGER) AS contraindication_count
+FROM customer LEFT JOIN a ON a.owner = c_custkey LEFT JOIN b ON b.owner = c_custkey LEFT JOIN c ON c.owner = c_custkey WHERE a.n > 0 OR b.n > 0 OR c.n > 0""")
+def medication_specialist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[Q11, A15, F16]"""
+    from quern.operators import specialists
+
+    items = order_items(spark, sf_dir)
+    linked = items.join(part_links(spark, sf_dir).where("severity = 'high'"), F.col("item") == F.col("item_a"))
+    wrong = items.join(segments(spark, sf_dir), "owner").join(contra(spark, sf_dir), ["item", "segment"])
+    listed = lambda rows, columns, n: rows.groupBy("owner").agg(patterns.listed([F.col(c) for c in columns], n).alias("v"))
+    errors = table(spark, sf_dir, "events").where("event_type = 'error'").withColumnRenamed("user_id", "owner")
+    lists = {"interactions": listed(linked, ["item_a", "item_b"], 20), "adverse_events": listed(errors, ["event_id"], 20), "contraindications": listed(wrong, ["item", "segment"], 10)}
+    context = patterns.with_lists(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", lists)
+    return specialists.medication_safety(context, "c_custkey").select("c_custkey", "interaction_count", "adverse_event_count", "contraindication_count")
+
+
+@query("""SELECT user_id, len(list(DISTINCT event_type) FILTER (event_type = 'purchase')) AS coded, array_to_string(list_sort(list(DISTINCT event_type) FILTER (event_type NOT IN ('purchase', 'view'))), ',') AS uncoded FROM events GROUP BY 1 HAVING uncoded <> ''""")
+def coding_specialist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[Q11, J18]"""
+    from quern.operators import specialists
+
+    kind = F.col("event_type")
+    context = table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.collect_set(F.struct(kind.alias("name"))).alias("conditions"),
+        F.collect_set(F.when(kind.isin("purchase", "view"), F.struct(kind.alias("condition")))).alias("icd10_codes"),
+        F.collect_set(F.when(kind == "purchase", kind)).alias("claims"),
+    )
+    found = specialists.coding_review(context, "user_id").where(F.size("uncoded_conditions") > 0)
+    return found.select("user_id", F.col("claim_count").cast("long").alias("coded"), F.array_join("uncoded_conditions", ",").alias("uncoded"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'purchase' THEN value < 4 OR value > 120 WHEN 'view' THEN value > 100 ELSE false END AS abnormal FROM events")
+def abnormal_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P36] One- and two-sided limits by type."""
+    limits = {"purchase": (4.0, 120.0), "view": (None, 100.0)}
+    flag = F
+    for kind, (low, high) in limits.items():
+        outside = F.col("value") > high
+        flag = flag.when(F.col("event_type") == kind, outside | (F.col("value") < low) if low is not None else outside)
+    return table(spark, sf_dir, "events").select("event_id", flag.otherwise(False).alias("abnormal"))
+
+
+def _clinical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.upper("event_type")
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("event_id"), F.col("event_id").alias("arrival_seq"), F.col("ts").cast("string").alias("event_ts"), F.lit("web").alias("source_system"), kind.alias("source_type"), kind.alias("event_type"),
+        F.col("user_id").cast("string").alias("patient_id"), F.when(F.col("value") > 50, F.concat(F.lit("enc-"), (F.col("event_id") % 97).cast("string"))).alias("encounter_id"), F.when(F.col("value") > 90, F.lit("prov")).alias("provider_id"), F.lit("1.0.0").alias("schema_version"),
+    )
+
+
+@query("""SELECT 'Patient' AS label, CAST(user_id AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS type FROM events GROUP BY user_id
+UNION ALL SELECT 'SourceSystem', 'web', arg_max(upper(event_type), event_id) FROM events
+UNION ALL SELECT 'ClinicalEvent', CAST(event_id AS VARCHAR), upper(event_type) FROM events
+UNION ALL SELECT DISTINCT 'Encounter', 'enc-' || (event_id % 97), NULL FROM events WHERE value > 50
+UNION ALL SELECT DISTINCT 'Provider', 'prov', NULL FROM events WHERE value > 90""")
+def base_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[M01, M18, F05, J19] Nodes that all events leave; one row per label and key."""
+    from quern.operators import graph
+
+    nodes, _ = graph.writes(_clinical(spark, sf_dir), graph.CLINICAL_BASE)
+    return graph.folded_nodes(nodes).select("label", "key", F.coalesce(F.try_element_at("props", F.lit("type")), F.try_element_at("props", F.lit("event_type"))).alias("type"))
+
+
+@query("""SELECT 'ABOUT_PATIENT' AS kind, CAST(event_id AS VARCHAR) AS src, CAST(user_id AS VARCHAR) AS dst FROM events UNION ALL SELECT 'FROM_SOURCE', CAST(event_id AS VARCHAR), 'web' FROM events
+UNION ALL SELECT 'DURING_ENCOUNTER', CAST(event_id AS VARCHAR), 'enc-' || (event_id % 97) FROM events WHERE value > 50 UNION ALL SELECT DISTINCT 'SEEN_BY', CAST(user_id AS VARCHAR), 'prov' FROM events WHERE value > 90""")
+def base_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[M01, S10] Edges that all events leave; one row per identity."""
+    from quern.operators import graph
+
+    _, edges = graph.writes(_clinical(spark, sf_dir), graph.CLINICAL_BASE)
+    return graph.folded_edges(edges).select("kind", "src", "dst")
+
+
+@query(
+    "SELECT l_orderkey AS claim, r.outcome, array_to_string(list_sort(list(DISTINCT r.rule_id)), ',') AS rule_ids FROM lineitem JOIN (VALUES "
+    + ", ".join(f"('{i}', {repr(f) if f else 'NULL'}, {c if c else 'NULL'}, '{o}')" for i, f, c, o in FLAG_RULES)
+    + ") AS r(rule_id, claim_type, codes, outcome) ON (r.claim_type IS NULL OR r.claim_type = l_returnflag) AND (r.codes IS NULL OR list_contains(r.codes, right(CAST(l_partkey AS VARCHAR), 1))) GROUP BY 1, 2"
+)
+def claim_outcome_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[M08, K6] One edge per claim and outcome, with all rules that gave it."""
+    pack = spark.createDataFrame([(i, f, c, o, "moderate") for i, f, c, o in FLAG_RULES], "rule_id string, claim_type string, codes array<string>, outcome string, severity string")
+    facts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("claim"), "l_returnflag", F.right(F.col("l_partkey").cast("string"), F.lit(1)).alias("code"))
+    fired = rules.wildcard_signals(facts, pack, "l_returnflag", "code")
+    return fired.groupBy("claim", "outcome").agg(F.array_join(F.array_sort(F.collect_set("rule_id")), ",").alias("rule_ids"))
+
+
+@query("SELECT conv_id, turn, substr(sha256(text), 1, 12) AS prompt_hash, length(text) AS used, greatest(0, 900 - length(text)) AS remaining, round(least(1.0, length(text) / 900), 4) AS utilization FROM conversations")
+def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P29, P30]"""
+    n = F.char_length("text")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.short_hash(F.col("text")).alias("prompt_hash"), n.cast("long").alias("used"), F.greatest(F.lit(0), 900 - n).cast("long").alias("remaining"), F.round(F.least(F.lit(1.0), n / 900), 4).alias("utilization"))
+
+
+@query("""SELECT user_id, array_to_string([left(x, 7) || '...' FOR x IN list_sort(list(DISTINCT event_type || '-' || event_id || '-long'))[1:5]], ',') AS shaped FROM events GROUP BY user_id""")
+def sanitised_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P24, P25, Q19] Lists and strings of a role's view, cut by the schema."""
+    long = F.concat_ws("-", "event_type", F.col("event_id").cast("string"), F.lit("long"))
+    lists = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(long)).alias("shaped"))
+    return evidence.shaped(lists, "read_only", chars=10, items=5).select("user_id", F.array_join("shaped", ",").alias("shaped"))
+
+
+@query("SELECT s_suppkey AS supplier, coalesce(max(n_name), '') AS country, count(DISTINCT l_partkey) AS parts, round(coalesce(avg(l_discount), 0), 6) AS defect FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
+def supplier_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[Q07] Facts are folded per supplier before they meet it."""
+    facts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("parts"), F.avg("l_discount").alias("defect"))
+    named = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"), "left").join(facts, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    return named.select(F.col("s_suppkey").alias("supplier"), F.coalesce("n_name", F.lit("")).alias("country"), F.coalesce("parts", F.lit(0)).alias("parts"), F.round(F.coalesce("defect", F.lit(0.0)), 6).alias("defect"))
