@@ -689,10 +689,11 @@ def disruption_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("s_name", "n_name", "l_orderkey", "l_linenumber", "l_quantity").orderBy(F.desc("l_quantity"), "l_orderkey", "l_linenumber")
 
 
-@query("SELECT l_suppkey AS supplier, count(*) AS inspections, round(avg(l_discount), 6) AS avg_defect, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM lineitem GROUP BY 1")
+@query("SELECT l_suppkey AS supplier, count(*) AS inspections, CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS DOUBLE) / count(*) AS avg_defect, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS failed FROM lineitem GROUP BY 1")
 def quality_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[C31, A07]"""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count("*").alias("inspections"), F.round(F.avg("l_discount"), 6).alias("avg_defect"), F.count_if(F.col("l_returnflag") == "R").alias("failed"))
+    """[C31, A07] Percentages are summed as whole numbers, so the mean does not depend on the order of rows."""
+    hundredths = F.sum(F.round(F.col("l_discount") * 100).cast("long"))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("supplier")).agg(F.count("*").alias("inspections"), (hundredths.cast("double") / F.count("*")).alias("avg_defect"), F.count_if(F.col("l_returnflag") == "R").alias("failed"))
 
 
 @query("SELECT p_partkey, p_name, p_size, p_retailprice FROM part WHERE p_size < 5 ORDER BY p_size, p_retailprice DESC, p_partkey LIMIT 15")
@@ -939,9 +940,9 @@ def sanitised_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.shaped(lists, "read_only", chars=10, items=5).select("user_id", F.array_join("shaped", ",").alias("shaped"))
 
 
-@query("SELECT s_suppkey AS supplier, coalesce(max(n_name), '') AS country, count(DISTINCT l_partkey) AS parts, round(coalesce(avg(l_discount), 0), 6) AS defect FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
+@query("SELECT s_suppkey AS supplier, coalesce(max(n_name), '') AS country, count(DISTINCT l_partkey) AS parts, CAST(coalesce(sum(CAST(round(l_discount * 100) AS BIGINT)), 0) AS BIGINT) AS defects FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
 def supplier_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[Q07] Facts are folded per supplier before they meet it."""
-    facts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("parts"), F.avg("l_discount").alias("defect"))
+    facts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("parts"), F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("defects"))
     named = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"), "left").join(facts, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    return named.select(F.col("s_suppkey").alias("supplier"), F.coalesce("n_name", F.lit("")).alias("country"), F.coalesce("parts", F.lit(0)).alias("parts"), F.round(F.coalesce("defect", F.lit(0.0)), 6).alias("defect"))
+    return named.select(F.col("s_suppkey").alias("supplier"), F.coalesce("n_name", F.lit("")).alias("country"), F.coalesce("parts", F.lit(0)).alias("parts"), F.coalesce("defects", F.lit(0)).alias("defects"))
