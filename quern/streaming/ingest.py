@@ -7,6 +7,7 @@ version again, so delivery is effectively once without a table format.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -97,6 +98,4 @@ def replayed(spark: SparkSession, path: str) -> DataFrame:
 
 def _shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder; where none is set (tests) a local one."""
-    import tempfile
-
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-stream-")
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-stream-")
