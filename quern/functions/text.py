@@ -94,3 +94,29 @@ def output_reasons(answer: Column, has_evidence: Column) -> Column:
         missing_safety_caveat=~empty & ~caveat,
         no_evidence_available=~empty & ~has_evidence,
     )
+
+
+def iso(moment: Column) -> Column:
+    """[P18] A timestamp as ISO-8601 text, to the second."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def moment(text: Column) -> Column:
+    """[P18] ISO-8601 text as a timestamp; null if it is none."""
+    return F.try_to_timestamp(text)
+
+
+def mapped(code: Column, table: dict[str, str], default: str) -> Column:
+    """[P37] ``code`` by a fixed table, else ``default``."""
+    pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair]) if table else F.create_map().cast("map<string,string>")
+    return F.coalesce(F.try_element_at(pairs, code), F.lit(default))
+
+
+def json_cut(record: Column, limit: int = 4000) -> Column:
+    """[P40] A record as JSON, cut to ``limit`` characters."""
+    return F.left(F.to_json(record), F.lit(limit))
+
+
+def share(part: Column, whole: Column, digits: int = 4) -> Column:
+    """[P38] ``part`` of ``whole``, rounded; 0 of nothing."""
+    return F.round(F.when(whole != 0, part / whole).otherwise(0.0), digits)

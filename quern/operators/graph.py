@@ -47,6 +47,7 @@ def _p(*names: str) -> dict[str, str]:
 
 _PATIENT, _EVENT = ("Patient", "patient_id"), ("ClinicalEvent", "event_id")
 _ORDERED = "payload.medication"
+_ALLERGY = "payload.event_family = 'ALLERGY_INTOLERANCE' and payload.allergen <> ''"
 
 #: What every clinical event writes [M01].
 CLINICAL_BASE = (
@@ -71,9 +72,9 @@ CLINICAL = {
         Edge("DOCUMENTS", _EVENT, ("Condition", "payload.diagnosis")),
         Edge("DOCUMENTS", _EVENT, ("Symptom", "payload.symptom")),
         Edge("CODED_AS", ("Condition", "payload.diagnosis"), ("ICD10Code", "payload.icd10_code")),
-        Node("AdverseEvent", "concat('ae-allergy-', event_id)", {"symptom_name": "payload.symptom", "allergen": "payload.allergen", "severity": "payload.reaction_severity", "detected_ts": "event_ts"}, ONCE, when="payload.event_family = 'ALLERGY_INTOLERANCE'"),
-        Edge("REPORTED_ADVERSE_REACTION", _PATIENT, ("AdverseEvent", "concat('ae-allergy-', event_id)"), when="payload.event_family = 'ALLERGY_INTOLERANCE'"),
-        Edge("TRIGGERED_BY_EVENT", ("AdverseEvent", "concat('ae-allergy-', event_id)"), _EVENT, when="payload.event_family = 'ALLERGY_INTOLERANCE'"),
+        Node("AdverseEvent", "concat('ae-allergy-', event_id)", {"symptom_name": "payload.symptom", "allergen": "payload.allergen", "severity": "coalesce(payload.reaction_severity, 'unknown')", "meddra_term": "payload.diagnosis", "detected_ts": "event_ts"}, ONCE, when=_ALLERGY),
+        Edge("REPORTED_ADVERSE_REACTION", _PATIENT, ("AdverseEvent", "concat('ae-allergy-', event_id)"), when=_ALLERGY),
+        Edge("TRIGGERED_BY_EVENT", ("AdverseEvent", "concat('ae-allergy-', event_id)"), _EVENT, when=_ALLERGY),
     ),
     "LAB_RESULT": (
         Node("Observation", "event_id", {"name": "payload.lab_name", "abnormal": "coalesce(payload.abnormal, false)", "event_ts": "event_ts"} | _p("value", "unit", "lab_panel", "specimen_type")),

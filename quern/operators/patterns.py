@@ -84,3 +84,42 @@ def journey(edge_tables: dict[str, DataFrame]) -> DataFrame:
         typed = edges.select(F.col("src").cast("string").alias("src"), F.lit(relation).alias("relation"), F.col("dst").cast("string").alias("dst"))
         out = typed if out is None else out.unionByName(typed)
     return out
+
+
+def two_hops(rows: DataFrame, first: DataFrame, second: DataFrame, at: str, middle: str, to: str) -> DataFrame:
+    """[J09] From ``at`` over ``first`` to ``middle`` and over ``second`` to ``to``."""
+    return hop(hop(rows, first, at, middle), second.select("src", "dst"), middle, to)
+
+
+def restricted(rows: DataFrame, key: str, wanted: DataFrame | list) -> DataFrame:
+    """Rows whose key is wanted: a short list becomes a pushed filter, a table a semi join."""
+    if isinstance(wanted, DataFrame):
+        return rows.join(wanted.select(key), key, "left_semi")
+    return rows.where(F.col(key).isin(wanted))
+
+
+def without(rows: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` without ``columns``, which the scan then does not read."""
+    return rows.drop(*columns)
+
+
+def listed_in_order(value: Column, order: Column, limit: int) -> Column:
+    """[A03, O05] All values, repeats included, by ``order``; the first ``limit``."""
+    pairs = F.array_sort(F.collect_list(F.struct(order.alias("order"), value.alias("value"))))
+    return F.transform(F.slice(pairs, 1, limit), lambda p: p["value"])
+
+
+def involved(*ids: Column) -> Column:
+    """[O07, U05] The distinct ids of several lists and values, sorted; nulls are left out."""
+    return F.array_sort(F.array_compact(F.array_distinct(F.concat(*ids))))
+
+
+def lifecycle(events: DataFrame, owner: str, order: str) -> DataFrame:
+    """[W05] ``step``, the event's place in its owner's history, and ``previous`` type (null at first).
+
+    A window over the owner: an owner's history is one task's work.
+    """
+    from pyspark.sql import Window
+
+    history = Window.partitionBy(owner).orderBy(order)
+    return events.withColumns({"step": F.row_number().over(history), "previous": F.lag("event_type").over(history)})

@@ -77,3 +77,22 @@ def adverse_matches(notes: DataFrame, orders: DataFrame, reactions: DataFrame) -
     rows = met.select("n.note_id", "n.patient_id", "n.symptom", F.col("k.medication").alias("medication"), F.col("k.severity").alias("severity"), F.col("k.meddra_term").alias("meddra_term"))
     first = rows.groupBy("note_id").agg(F.min_by(F.struct("severity", "meddra_term"), "medication").alias("first"))
     return rows.drop("severity", "meddra_term").join(first, "note_id").select("note_id", "patient_id", "symptom", "medication", "first.severity", "first.meddra_term")
+
+
+#: Substances whose allergies are tied to medications.
+ALLERGENS = ("Penicillin", "Aspirin", "ACE inhibitors", "Morphine", "Sulfa drugs", "Amoxicillin")
+
+
+def allergy_matches(notes: DataFrame, medications: DataFrame, allergens: tuple[str, ...] = ALLERGENS) -> DataFrame:
+    """[J15, M10] (note_id, medication): allergy notes (note_id, allergen) tied to the medication of that name.
+
+    Only listed substances are tied, and only to medications that exist.
+    """
+    told = notes.where(F.col("allergen").isin(*allergens)).select("note_id", F.col("allergen").alias("medication"))
+    return told.join(medications.select("medication").distinct(), "medication", "left_semi").select("note_id", "medication")
+
+
+def signal_edges(fired: DataFrame, key: str) -> DataFrame:
+    """[M05] One edge (src, dst, reason) per fact, condition and reason, with the last rule by id; none from none."""
+    named = fired.where(F.col(key).isNotNull())
+    return named.groupBy(F.col(key).cast("string").alias("src"), F.col("condition").alias("dst"), "reason").agg(F.max("rule_id").alias("rule_id"))

@@ -946,3 +946,62 @@ def supplier_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("parts"), F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("defects"))
     named = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"), "left").join(facts, F.col("l_suppkey") == F.col("s_suppkey"), "left")
     return named.select(F.col("s_suppkey").alias("supplier"), F.coalesce("n_name", F.lit("")).alias("country"), F.coalesce("parts", F.lit(0)).alias("parts"), F.coalesce("defects", F.lit(0)).alias("defects"))
+
+
+@query("SELECT event_id, CAST(row_number() OVER w AS INTEGER) AS step, lag(event_type) OVER w AS previous FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+def lifecycle_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[W05, W01]"""
+    return patterns.lifecycle(table(spark, sf_dir, "events"), "user_id", "event_id").select("event_id", "step", "previous")
+
+
+@query("SELECT c_custkey, o_orderkey, l_partkey FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_custkey IN (3, 5, 8, 13)")
+def two_hop_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[J07, J09, F03] Customer to order to part; the list of customers reaches the scans."""
+    placed = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    holds = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    some = patterns.restricted(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", [3, 5, 8, 13])
+    return patterns.two_hops(some, placed, holds, "c_custkey", "o_orderkey", "l_partkey")
+
+
+@query("SELECT e.event_id AS note_id, e.event_type AS medication FROM events e WHERE e.event_type IN ('purchase', 'error') AND EXISTS (SELECT 1 FROM events m WHERE m.event_type = e.event_type AND m.value > 100)")
+def allergy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[J15, M10]"""
+    events = table(spark, sf_dir, "events")
+    notes = events.select(F.col("event_id").alias("note_id"), F.col("event_type").alias("allergen"))
+    return rules.allergy_matches(notes, events.where("value > 100").select(F.col("event_type").alias("medication")), ("purchase", "error"))
+
+
+@query(f"SELECT CAST(e.event_id AS VARCHAR) AS src, r.condition AS dst, r.rule_id AS reason, r.rule_id FROM events e JOIN {_EVENT_RULES_SQL} ON lower(e.event_type) = r.observation AND {_COMPARED_SQL}")
+def signal_edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[M05]"""
+    fired = rules.threshold_signals(table(spark, sf_dir, "events"), event_rules(spark), "event_type", "value")
+    return rules.signal_edges(fired, "event_id")
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at, CASE event_type WHEN 'purchase' THEN 'P10' WHEN 'view' THEN 'V20' ELSE 'R69' END AS code FROM events""")
+def coded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P18, P37]"""
+    return table(spark, sf_dir, "events").select("event_id", T.iso(F.col("ts")).alias("at"), T.mapped(F.col("event_type"), {"purchase": "P10", "view": "V20"}, "R69").alias("code"))
+
+
+@query("""SELECT user_id, array_to_string(list(event_type ORDER BY event_id)[1:5], ',') AS first_five, array_to_string(list_sort(list_distinct(list(event_id % 10))), ',') AS digits, round(count(*) FILTER (event_type = 'error') / count(*), 4) AS error_share FROM events GROUP BY 1""")
+def ordered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[A03, A04, O05, O07, U05, P38, A09]"""
+    lists = table(spark, sf_dir, "events").groupBy("user_id").agg(
+        patterns.listed_in_order(F.col("event_type"), F.col("event_id"), 5).alias("five"),
+        F.collect_list(F.col("event_id") % 10).alias("digits"),
+        F.count_if(F.col("event_type") == "error").alias("errors"),
+        F.count("*").alias("n"),
+    )
+    digits = F.transform(patterns.involved(F.col("digits")), lambda d: d.cast("string"))
+    return lists.select("user_id", F.array_join("five", ",").alias("first_five"), F.array_join(digits, ",").alias("digits"), T.share(F.col("errors"), F.col("n")).alias("error_share"))
+
+
+@query("SELECT event_id, event_type, user_id FROM events WHERE event_id % 50 <> 0 OR NOT EXISTS (SELECT 1 FROM events c WHERE c.event_id = events.event_id + 1 AND c.event_type = 'error')")
+def corrected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[T07] Events that a later one corrects are dropped: the extension of the pass-through."""
+    from quern.streaming.ingest import corrected
+
+    target = F.col("event_id") - 1
+    marked = table(spark, sf_dir, "events").withColumns({"is_correction": (F.col("event_type") == "error") & (target % 50 == 0), "correction_of_event_id": target})
+    return corrected(marked, apply=True).select("event_id", "event_type", "user_id")

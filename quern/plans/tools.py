@@ -8,7 +8,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from quern.sources.envelopes import audit
 
@@ -50,6 +50,68 @@ def fit_response(response: dict, limit: int = RESPONSE_BYTES) -> dict:
     return out
 
 
+@dataclass(frozen=True)
+class Limit:
+    """Bounds of a request field: length of a text, size of a number, or a choice."""
+
+    least: int = 1
+    most: int = 128
+    needed: bool = False
+    choices: tuple[str, ...] = ()
+
+
+#: Fields of requests and their bounds.
+QUESTION = Limit(3, 1000, needed=True)
+REQUESTS = {
+    "query": {"question": QUESTION, "patient_id": Limit()},
+    "patient_context_get": {"patient_id": Limit(needed=True), "include_claims": Limit(0, 1), "include_interactions": Limit(0, 1)},
+    "vector_evidence_search": {"question": QUESTION, "patient_id": Limit(), "top_k": Limit(1, 5)},
+    "graphrag_answer_generate": {"question": QUESTION, "patient_id": Limit(), "response_style": Limit(choices=("concise", "clinical", "audit"))},
+    "risk_summary_generate": {"patient_id": Limit(needed=True), "time_window_hours": Limit(1, 720)},
+    "timeline_explain": {"patient_id": Limit(needed=True), "time_window_hours": Limit(1, 720)},
+    "evidence_bundle_export": {"question": QUESTION, "patient_id": Limit(), "include_raw_payload": Limit(0, 1)},
+}
+
+
+def validated(name: str, arguments: dict) -> dict:
+    """``arguments`` if they are in bounds; unknown or missing fields and wrong sizes are ValueErrors."""
+    limits = REQUESTS[name]
+    if extra := sorted(set(arguments) - set(limits)):
+        raise ValueError(f"unknown fields {extra}")
+    for key, limit in limits.items():
+        value = arguments.get(key)
+        if value is None:
+            if limit.needed:
+                raise ValueError(f"{key} is missing")
+        elif limit.choices:
+            if value not in limit.choices:
+                raise ValueError(f"{key} must be one of {limit.choices}")
+        elif not limit.least <= (len(value) if isinstance(value, str) else int(value)) <= limit.most:
+            raise ValueError(f"{key} is out of bounds")
+    return arguments
+
+
+def built_response(result: dict, role: str, access: str, limit: int = RESPONSE_BYTES) -> dict:
+    """[Q18, K9] The parts of an answer that a caller sees, how much was withheld, and the loop's trace."""
+    kept = {k: result.get(k) for k in ("question", "request_type", "retrieval_plan", "patients", "vector_context", "graph_context", "answer", "trace")}
+    guard = {"evidence_text_redacted": access != "bounded", "evidence_access_level": access, "graph_access_level": "broader" if role == "export" else "standard", "max_response_bytes": limit}
+    return fit_response({**kept, "vector_context": kept["vector_context"] or [], "graph_context": kept["graph_context"] or [], "guardrails": guard}, limit)
+
+
+def setting(text: str | None, kind: str = "list"):
+    """[P39] A configuration text as a list (comma-separated, blanks left out) or a flag."""
+    if kind == "flag":
+        return (text or "").strip().lower() in ("1", "true", "yes", "on")
+    return [part.strip() for part in (text or "").split(",") if part.strip()]
+
+
+def graph_sql(spark: SparkSession, tables: dict[str, DataFrame], statement: str) -> DataFrame:
+    """[S16] A statement over node and edge tables as temporary views."""
+    for name, rows in tables.items():
+        rows.createOrReplaceTempView(name)
+    return spark.sql(statement)
+
+
 @dataclass
 class Tools:
     """[Q14, Q15, Q17, F19, S14] Registered tools behind authorisation, with an audit row for every call."""

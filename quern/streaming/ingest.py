@@ -78,6 +78,19 @@ def first_sightings(stream: DataFrame, key: str, ts: str, late: str = "10 minute
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
+def console(stream: DataFrame, rows: int = 20):
+    """[S07] Start a query that shows what arrives."""
+    return stream.writeStream.format("console").option("numRows", rows).trigger(availableNow=True).start()
+
+
+def corrected(events: DataFrame, apply: bool = False) -> DataFrame:
+    """[T07, K16] Events with their correction columns; ``apply`` is an extension that drops what was corrected."""
+    if not apply:
+        return events
+    replaced = events.where("is_correction").select(F.col("correction_of_event_id").alias("event_id")).where("event_id is not null")
+    return events.join(replaced.distinct(), "event_id", "left_anti")
+
+
 def replay_latest(spark: SparkSession, path: str, keys: list[str], order: str, values: list[str]) -> DataFrame:
     """[T03, T05] A Parquet source replayed as a stream into a keyed table; the table that results."""
     root = f"{_shared_folder(spark)}/replay-{uuid.uuid4().hex}"

@@ -304,3 +304,44 @@ def test_tools(spark, tmp_path):
     assert tools.skill_plan(layer, "g")["mcp_tools"] == ["t", "u", "v"]
     with pytest.raises(ValueError, match="unknown goal"):
         tools.skill_plan(layer, "h")
+
+
+def test_requests_and_responses(spark):
+    from quern.plans import tools
+
+    assert tools.validated("query", {"question": "why?", "patient_id": None})
+    for name, arguments in (("query", {"question": "x"}), ("query", {}), ("query", {"question": "why?", "extra": 1}), ("vector_evidence_search", {"question": "why?", "top_k": 6}), ("graphrag_answer_generate", {"question": "why?", "response_style": "rude"})):
+        with pytest.raises(ValueError):
+            tools.validated(name, arguments)
+    made = tools.built_response({"question": "q", "answer": "a", "secret": 1}, "export", "bounded")
+    assert "secret" not in made and made["guardrails"]["graph_access_level"] == "broader" and not made["guardrails"]["evidence_text_redacted"]
+    assert tools.setting(" a, b,, ") == ["a", "b"] and tools.setting("True", "flag") and not tools.setting(None, "flag")
+    edges = spark.createDataFrame([("a", "b")], "src string, dst string")
+    assert tools.graph_sql(spark, {"links": edges}, "select count(*) as n from links").first().n == 1
+
+
+def test_seeds_allergies_and_corrections(spark):
+    edges, nodes = ontology.seed_edges(spark), ontology.seed_nodes(spark)
+    assert edges.count() == 109 and upsert.repeated_keys(nodes.select(F.concat_ws(":", "label", "key").alias("k")), "k").count() == 0
+    notes = spark.createDataFrame([(1, "Penicillin"), (2, "Peanuts"), (3, "Morphine")], "note_id int, allergen string")
+    drugs = spark.createDataFrame([("Penicillin",), ("Peanuts",)], "medication string")
+    assert rows(rules.allergy_matches(notes, drugs)) == [(1, "Penicillin")]
+    log = spark.createDataFrame([("a", False, None), ("b", True, "a"), ("c", True, None)], "event_id string, is_correction boolean, correction_of_event_id string")
+    assert rows(ingest.corrected(log, apply=True), "event_id") == [("b",), ("c",)] and ingest.corrected(log).count() == 3
+    ingest.console(ingest.replayed(spark, "/root/testdata/sf0.001/region.parquet")).awaitTermination()
+
+
+def test_small_pattern_helpers(spark):
+    lists = spark.createDataFrame([(["b", None, "a"], ["a", "c"])], "x array<string>, y array<string>")
+    assert lists.select(patterns.involved(F.col("x"), F.col("y")).alias("v")).first().v == ["a", "b", "c"]
+    table = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    assert rows(patterns.restricted(table, "k", [2])) == [(2, "y")] == rows(patterns.restricted(table, "k", table.where("k = 2")))
+    assert patterns.without(table, "v").columns == ["k"]
+
+
+def test_more_text(spark):
+    from quern.functions import text as T
+
+    r = spark.range(1).select(T.moment(F.lit("2024-01-02T03:04:05+00:00")).alias("m"), T.moment(F.lit("never")).alias("n"), T.json_cut(F.struct(F.lit("x" * 50).alias("a")), 10).alias("j"), T.share(F.lit(1), F.lit(0)).alias("s"))
+    first = r.select(T.iso(F.col("m")).alias("i"), "n", "j", "s").first()
+    assert (first.i, first.n, first.j, first.s) == ("2024-01-02T03:04:05", None, '{"a":"xxxx', 0.0)
