@@ -22,7 +22,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``; only where that is unset (tests) one is made."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -118,7 +118,7 @@ def top_k(vectors: DataFrame, query_every: int = 20, k: int = 20, id_col: str =
     Scores beyond a long's range become the nearest long.
     """
     spark = vectors.sparkSession
-    rows = prepare(vectors, id_col, vector_col, scale).dropDuplicates(["q"])
+    rows = prepare(vectors, id_col, vector_col, scale).dropDuplicates(["vec_id", "vector"])
     bucket = F.when(F.col("length") > 0, F.floor(F.log(F.col("length")) / F.lit(float(np.log(BUCKET_RATIO))))).otherwise(-(1 << 30)).cast("int")
     rows = materialize(rows.withColumn("bucket", bucket))
     # One row for each ratio of lengths: some hundreds, bounded by the range of a double.
@@ -144,10 +144,10 @@ def top_k(vectors: DataFrame, query_every: int = 20, k: int = 20, id_col: str =
 
         return asked.groupBy(*keys).cogroup(held.groupBy("b", "n", "qb")).applyInArrow(compare, "q long, query_id long, vec_id long, score long")
 
-    ranked = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    ranked = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     best = lambda found: found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     probed = materialize(best(search(rows.where(probe), queries.withColumn("floor", F.lit(None).cast("long")), PROBE_SHARE)))
-    floors = probed.where(F.col("rank") == k).select("q", F.col("score").alias("floor"))
-    rest = search(rows.where(~probe), queries.join(floors, "q", "left"), 1)
+    floors = probed.where(F.col("rank") == k).select("q", F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
+    rest = search(rows.where(~probe), queries.join(floors, ["q", "vec_id"], "left"), 1)
     found = best(probed.drop("rank").unionByName(rest))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
