@@ -18,34 +18,45 @@ from quern.operators import upsert
 
 
 class KeyedTable:
-    """[S08, S09, U02, T05] A table of one row per key in versioned Parquet folders."""
+    """[S08, S09, U02, T05] A table of one row per key, in Parquet folders version=<batch>/bucket=<hash of key>.
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: str, values: list[str]):
-        self.spark, self.path, self.keys, self.order, self.values = spark, path.rstrip("/"), keys, order, values
+    A batch rewrites only the buckets of its own keys; a bucket's newest committed version is its state.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: str, values: list[str], buckets: int = 64):
+        self.spark, self.path, self.keys, self.order, self.values, self.buckets = spark, path.rstrip("/"), keys, order, values, buckets
 
-    def _versions(self) -> list[int]:
-        """Committed versions: those whose writer left its success mark."""
+    def _newest(self, before: int | None) -> dict[int, str]:
+        """Folder of each bucket's newest version (older than ``before``) whose writer left its success mark."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         root = hadoop.Path(self.path)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        found = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("version=")]
-        return sorted(int(p.getName().split("=")[1]) for p in found if fs.exists(hadoop.Path(p, "_SUCCESS")))
-
-    def read(self, before: int | None = None) -> DataFrame | None:
-        """The newest version (older than ``before``); None if there is none."""
-        versions = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/version={versions[-1]}") if versions else None
+        found: dict[int, tuple[int, str]] = {}
+        for version in fs.listStatus(root) if fs.exists(root) else []:
+            number = int(version.getPath().getName().split("=")[1])
+            if (before is None or number < before) and fs.exists(hadoop.Path(version.getPath(), "_SUCCESS")):
+                for bucket in fs.listStatus(version.getPath()):
+                    name = bucket.getPath().getName()
+                    if name.startswith("bucket="):
+                        found[int(name.split("=")[1])] = max(found.get(int(name.split("=")[1]), (-1, "")), (number, bucket.getPath().toString()))
+        return {b: path for b, (_, path) in found.items()}
+
+    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame | None:
+        """The newest state (of versions older than ``before``, of some buckets); None if there is none."""
+        paths = [p for b, p in self._newest(before).items() if only is None or b in only]
+        return self.spark.read.option("basePath", self.path).parquet(*paths) if paths else None
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """Fold ``batch`` into the version before it; the last write by ``order`` wins for each key."""
-        columns = [*self.keys, "__order", *self.values]
-        rows = batch.withColumn("__order", F.col(self.order)).select(*columns)
-        state = self.read(before=batch_id)
+        """Fold ``batch`` into the versions before it; the last write by ``order`` wins for each key."""
+        columns = ["bucket", *self.keys, "__order", *self.values]
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        rows = batch.withColumns({"__order": F.col(self.order), "bucket": bucket}).select(*columns)
+        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
+        state = self.read(before=batch_id, only=touched)
         both = rows if state is None else state.select(*columns).unionByName(rows)
-        folded = both.groupBy(*self.keys).agg(F.max(F.struct("__order", *self.values)).alias("last"))
-        folded.select(*self.keys, F.col("last.__order").alias("__order"), *[F.col(f"last.{v}").alias(v) for v in self.values]).write.mode("overwrite").parquet(f"{self.path}/version={batch_id}")
+        folded = both.groupBy("bucket", *self.keys).agg(F.max(F.struct("__order", *self.values)).alias("last"))
+        out = folded.select("bucket", *self.keys, F.col("last.__order").alias("__order"), *[F.col(f"last.{v}").alias(v) for v in self.values])
+        out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={batch_id}")
 
 
 def ingest(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, every: str | None = None):

@@ -221,6 +221,10 @@ def test_replaying_a_batch_changes_nothing(spark, tmp_path):
     sink.apply(b, 1)
     sink.apply(b, 1)
     assert rows(sink.read(), "k", "v") == [("a", "z"), ("b", "y")]
+    assert len(list((tmp_path / "t" / "version=1").glob("bucket=*"))) == 1  # the other key's bucket is not rewritten
+    late = spark.createDataFrame([("a", 1, "old")], "k string, seq int, v string")
+    sink.apply(late, 2)
+    assert rows(sink.read(), "k", "v") == [("a", "z"), ("b", "y")]
 
 
 def test_references_come_first(spark):
