@@ -15,7 +15,7 @@ from quern.sources.envelopes import audit
 #: Tools that each role may call.
 POLICY = {
     "read_only": ("patient_context_get", "vector_evidence_search", "skills_plan_get"),
-    "generation": ("query", "graphrag_answer_generate", "risk_summary_generate", "timeline_explain", "medication_risk_assess", "coding_gap_detect", "cohort_risk_summary"),
+    "generation": ("query", "graph_answer_generate", "risk_summary_generate", "timeline_explain", "medication_risk_assess", "coding_gap_detect", "cohort_risk_summary"),
     "export": ("evidence_bundle_export",),
 }
 #: Bytes of a response, and how much is cut from the answer at a time.
@@ -66,7 +66,7 @@ REQUESTS = {
     "query": {"question": QUESTION, "patient_id": Limit()},
     "patient_context_get": {"patient_id": Limit(needed=True), "include_claims": Limit(0, 1), "include_interactions": Limit(0, 1)},
     "vector_evidence_search": {"question": QUESTION, "patient_id": Limit(), "top_k": Limit(1, 5)},
-    "graphrag_answer_generate": {"question": QUESTION, "patient_id": Limit(), "response_style": Limit(choices=("concise", "clinical", "audit"))},
+    "graph_answer_generate": {"question": QUESTION, "patient_id": Limit(), "response_style": Limit(choices=("concise", "clinical", "audit"))},
     "risk_summary_generate": {"patient_id": Limit(needed=True), "time_window_hours": Limit(1, 720)},
     "timeline_explain": {"patient_id": Limit(needed=True), "time_window_hours": Limit(1, 720)},
     "evidence_bundle_export": {"question": QUESTION, "patient_id": Limit(), "include_raw_payload": Limit(0, 1)},

@@ -314,7 +314,7 @@ def test_requests_and_responses(spark):
     from quern.plans import tools
 
     assert tools.validated("query", {"question": "why?", "patient_id": None})
-    for name, arguments in (("query", {"question": "x"}), ("query", {}), ("query", {"question": "why?", "extra": 1}), ("vector_evidence_search", {"question": "why?", "top_k": 6}), ("graphrag_answer_generate", {"question": "why?", "response_style": "rude"})):
+    for name, arguments in (("query", {"question": "x"}), ("query", {}), ("query", {"question": "why?", "extra": 1}), ("vector_evidence_search", {"question": "why?", "top_k": 6}), ("graph_answer_generate", {"question": "why?", "response_style": "rude"})):
         with pytest.raises(ValueError):
             tools.validated(name, arguments)
     made = tools.built_response({"question": "q", "answer": "a", "secret": 1}, "export", "bounded")
