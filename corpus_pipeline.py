@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import byte_bpe, co_training, line_dedup, mixing, simhash
+from quern.llm import byte_bpe, co_training, line_dedup, mixing, near_copies
 from quern.llm.common import checkpoint_folder, long_texts, row_key
 
 
@@ -38,11 +38,11 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays.
+    """Of each group of near copies (five-word Jaccard 0.8 or more) the document with the smallest id stays.
 
     Rows without an id are never dropped; repeated rows of the id that stays are kept once.
     """
-    found = simhash.near_duplicates(docs).where("id = component")
+    found = near_copies.near_copies(docs).where("id = component")
     rows = found.groupBy("id", "text_hash").agg(F.count("*").alias("n"))
     kept = rows.groupBy("id").agg(F.min(F.struct("text_hash", "n")).alias("first"))
     kept = kept.select(F.struct("id", "first.text_hash").alias("key"), "first.n")
