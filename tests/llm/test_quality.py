@@ -86,3 +86,16 @@ def test_co_training_uses_both_views():
     right = lambda p: ((p > 0.5) == quality).mean()
     assert right(both) >= max(right(by_text), right(by_meta)) - 0.01 and right(both) > 0.97
     assert co_training.co_train(text[:20], meta[:20], np.ones(20)) is None
+
+
+def test_every_rule_statistic_can_reject():
+    """Documents whose only fault is duplicate lines, repeats or few distinct words: symbols, marks and word length are the same."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for i in range(400):
+        lines = [" ".join(f"w{rng.integers(1000, 9999)}" for _ in range(10)) for _ in range(20)]
+        texts.append("\n".join(lines[:14] + lines[:6] if i % 20 == 0 else lines))
+    data = np.array([quality_rules.statistics(t)[5:] for t in texts])
+    bad = np.arange(400) % 20 == 0
+    rejected = ~quality_rules.fit_groups(data, 1 - bad.astype(int), np.ones(400, dtype=bool)).judge(data)[1]
+    assert rejected[bad].mean() > 0.9 and rejected[~bad].mean() < 0.02
