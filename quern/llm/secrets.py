@@ -30,7 +30,8 @@ ALPHA = 0.05
 #: Share of the labelled credentials that may fall below the threshold, and what lies above all words.
 MISSED_SHARE = 0.02
 MARGIN = 0.25
-CANDIDATE_CHARS = 16
+#: The shortest labelled credential; every token of so many characters is scored.
+CANDIDATE_CHARS = 6
 
 #: The base rules; kinds in the order of the output.
 KINDS = ("assign", "access", "hex", "learned")
@@ -175,9 +176,10 @@ class Grammar:
 
 def learn(credentials: dict[str, list[str]], words: list[str]) -> Grammar:
     """Automata of the labelled credentials; thresholds that no ordinary word reaches."""
-    usable = [w for w in words if all(c in _CLASS_OF for c in w)]
+    # A word is ordinary in any case of its letters.
+    usable = sorted({v for w in words if all(c in _CLASS_OF for c in w) for v in (w, w.upper(), w.capitalize())})
     grammar = Grammar({k: infer([symbols_of(v) for v in vs]) for k, vs in credentials.items() if vs}, infer([symbols_of(w) for w in usable]), {})
-    of_words = [grammar.score(w) for w in usable if len(w) >= CANDIDATE_CHARS // 2]
+    of_words = [grammar.score(w) for w in usable if len(w) >= CANDIDATE_CHARS]
     for kind in grammar.formats:
         own = [grammar.score(v)[kind] for v in credentials[kind]]
         grammar.thresholds[kind] = max([float(np.quantile(own, MISSED_SHARE)), *(s[kind] + MARGIN for s in of_words)])
@@ -205,20 +207,26 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_CREDENTIAL
         rows = labelled.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
         credentials[kind] = sorted(r.value for r in rows)
     few = smallest(docs.select(text.alias("text")).where("text is not null"), F.xxhash64("text"), SAMPLE_WORD_DOCS)
-    words = few.distinct().select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).where(~F.col("word").rlike("[0-9:=]")).distinct()
+    words = few.distinct().select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).where(~F.col("word").rlike("[0-9:=]") | F.col("word").rlike("^[0-9]+$")).distinct()
     words = words.orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS).collect()
     return learn(credentials, sorted(r.word for r in words))
 
 
-def scan_text(text: str | None, grammar: Grammar) -> list[tuple[str, int, int]]:
-    """All spans of a whole text by start, then kind: the rules' and those of learned formats."""
+def scan_text(text: str | None, grammar: Grammar, known: dict[str, bool] | None = None) -> list[tuple[str, int, int]]:
+    """All spans of a whole text by start, then kind: the rules' and those of learned formats.
+
+    ``known`` keeps verdicts on tokens between calls.
+    """
     if not text:
         return []
     spans = base_spans(text)
     learned = []
+    known = {} if known is None else known
     for m in _CANDIDATE.finditer(text):
         token = m.group()
-        if any(map(str.isdigit, token)) and any(map(str.isalpha, token)) and not any(s < m.end() and m.start() < e for _, s, e in spans) and grammar.secret(token):
+        if (secret := known.get(token)) is None:
+            secret = known[token] = grammar.secret(token)
+        if secret and not any(s < m.end() and m.start() < e for _, s, e in spans):
             learned.append(("learned", m.start(), m.end()))
     return sorted(spans + learned, key=lambda s: (s[1], KINDS.index(s[0]))) if learned else spans
 
@@ -233,7 +241,10 @@ def find_secrets(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> D
 
     @pandas_udf("array<struct<kind:string,start:int,end:int>>")
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, bool] = {}
         for texts in batches:
-            yield pd.Series([[{"kind": k, "start": s, "end": e} for k, s, e in scan_text(t, shared.value)] for t in texts], dtype=object)
+            if len(known) > 500_000:
+                known.clear()
+            yield pd.Series([[{"kind": k, "start": s, "end": e} for k, s, e in scan_text(t, shared.value, known)] for t in texts], dtype=object)
 
     return replaced(docs, secrets=scan(F.col(f"`{text_col}`")))

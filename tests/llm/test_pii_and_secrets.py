@@ -144,3 +144,15 @@ def test_secret_query_base_columns(spark, sf_dir):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in want).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(w[0] == k for w in want) for k in ("assign", "access", "hex"))
         assert set(filter(None, r.spans.split(","))) >= {f"{k}:{s}:{e}" for k, s, e in want}
+
+
+def test_short_and_letters_only_tokens_are_scored():
+    import random
+
+    rng = random.Random(8)
+    word = "the quick brown fox jumps over many lazy dogs while others look on and wonder about international business".split()
+    short = ["".join(rng.choice("0123456789abcdef") for _ in range(10)) for _ in range(200)]
+    letters = ["".join(rng.choice("BCDFGHJKLMNPQRSTVWXZbcdfghjklmnpqrstvwxz") for _ in range(20)) for _ in range(200)]
+    grammar = secrets.learn({"assign": short[:-1], "hex": letters[:-1]}, word)
+    text = f"quick {short[-1]} INTERNATIONAL business {letters[-1]} Business wonder"
+    assert [text[s:e] for _, s, e in secrets.scan_text(text, grammar)] == [short[-1], letters[-1]]
