@@ -32,14 +32,27 @@ class Kind:
     base: bool = True
 
 
+#: Characters of an IBAN by country (ISO 13616).
+IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|CR|HR|LI|LV",
+    22: "BG|BH|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE",
+    31: "MT|SC", 32: "LC", 33: "RU",
+}
+#: First digits of card numbers of 13 to 15 digits, and how many follow.
+PAN_DIGITS = (("3[47]", 13), ("3(?:0[0-5]|[689][0-9])", 11), ("(?:2131|1800)", 11), ("4", 12))
+#: A match ends where the country or the issuer says, if a word or number ends there; else where it can.
+IBAN = "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_CHARS.items()) + r"|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"
+PAN = "|".join(rf"(?<![0-9]){f}(?:[\x20-]?[0-9]){{{n}}}(?![0-9])" for f, n in PAN_DIGITS) + r"|[0-9](?:[\x20-]?[0-9])++"
+
 #: The contract's patterns and further ones, in the order of the output.
 KINDS = (
     Kind("email", r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.9, "mail|contact|write"),
     Kind("ip", r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)", 0.7, "ip|host|server|address"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", 0.8, "card|visa|credit|payment"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.8, "phone|tel|call|mobile|fax"),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}", 0.7, "iban|bank|account|konto", base=False),
-    Kind("pan", r"[0-9](?:[\x20-]?[0-9])++", 0.4, "card|visa|amex|credit|payment", base=False),
+    Kind("iban", IBAN, 0.7, "iban|bank|account|konto", base=False),
+    Kind("pan", PAN, 0.4, "card|visa|amex|credit|payment", base=False),
     Kind("ssn", r"[0-9]++(?:-[0-9]++)++", 0.4, "ssn|social|security|tax", base=False),
 )
 

@@ -156,3 +156,16 @@ def test_short_and_letters_only_tokens_are_scored():
     grammar = secrets.learn({"assign": short[:-1], "hex": letters[:-1]}, word)
     text = f"quick {short[-1]} INTERNATIONAL business {letters[-1]} Business wonder"
     assert [text[s:e] for _, s, e in secrets.scan_text(text, grammar)] == [short[-1], letters[-1]]
+
+
+def test_what_follows_an_iban_or_card_is_not_swallowed(spark):
+    texts = {
+        "IBAN DE89 3704 0044 0532 0130 00 Commerzbank": "DE89 3704 0044 0532 0130 00",
+        "pay DE89370400440532013000 2024": "DE89370400440532013000",
+        "GB82WEST12345698765432 COBADEFF account": "GB82WEST12345698765432",
+        "amex card 378282246310005 12/27": "378282246310005",
+        "amex card 3782 822463 10005 1227": "3782 822463 10005",
+    }
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = {r.text: [r.text[s.start : s.end] for s in r.pii if s["kind"] in ("iban", "pan")] for r in pii.find_pii(docs).collect()}
+    assert found == {t: [want] for t, want in texts.items()}
