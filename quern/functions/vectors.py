@@ -10,8 +10,8 @@ DIMENSION = 384
 
 
 def tokens(text: Column) -> Column:
-    """[P11] Lower-cased words between white space."""
-    return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda t: t != "")
+    """[P11] Lower-cased words between white space, Unicode's and the separators U+001C to U+001F."""
+    return F.filter(F.split(F.lower(text), r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")
 
 
 def bucket(token: Column, dimension: int = DIMENSION) -> Column:

@@ -235,6 +235,23 @@ def md5_embedding_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("doc_id").agg(F.count("*").alias("buckets"), F.round(F.sqrt(squares), 6).alias("length"), F.max("n").alias("largest"))
 
 
+@query(None)
+def md5_bucket_hist_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P11, P12, A13] Of all languages; no SQL, as white space and lower case differ there."""
+    return similarity.bucket_counts(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("bucket").agg(F.sum("n").alias("n"))
+
+
+@query(None)
+def md5_embedding_norm_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P13, A14] Of all languages; texts without a token have the zero vector."""
+    docs = table(spark, sf_dir, "documents")
+    squares = F.sum(F.col("n") * F.col("n")).cast("double")
+    counts = similarity.bucket_counts(docs, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("buckets"), F.sqrt(squares).alias("length"), F.max("n").alias("largest"))
+    found = docs.select(F.col("doc_id").alias("id")).distinct().join(counts, F.col("id").eqNullSafe(F.col("doc_id")), "left")
+    zero = F.lit(0).cast("long")
+    return found.select(F.col("id").alias("doc_id"), F.coalesce("buckets", zero).alias("buckets"), F.round(F.coalesce("length", F.lit(0.0)), 6).alias("length"), F.coalesce("largest", zero).alias("largest"))
+
+
 @query("SELECT event_id, CAST(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 16) AS UBIGINT) AS DECIMAL(20, 0)) AS point_id FROM events")
 def point_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[P15]"""
@@ -963,6 +980,14 @@ def two_hop_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return patterns.two_hops(some, placed, holds, "c_custkey", "o_orderkey", "l_partkey")
 
 
+@query("SELECT c_custkey, o_orderkey, l_partkey FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey")
+def two_hop_items_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[J09] Of all customers."""
+    placed = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"))
+    holds = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return patterns.two_hops(table(spark, sf_dir, "customer").select("c_custkey"), placed, holds, "c_custkey", "o_orderkey", "l_partkey")
+
+
 @query("SELECT e.event_id AS note_id, e.event_type AS medication FROM events e WHERE e.event_type IN ('purchase', 'error') AND EXISTS (SELECT 1 FROM events m WHERE m.event_type = e.event_type AND m.value > 100)")
 def allergy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[J15, M10]"""
