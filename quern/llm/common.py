@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.shared import materialize, new_folder, shared_folder  # noqa: F401  for the operators
+
 #: The six ASCII white-space characters, and the words between them.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,23 +18,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; only where that is unset (tests) one is made."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-checkpoint-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage in the shared checkpoint folder.
-
-    Reliable checkpoints survive the loss of executors, unlike cached blocks.
-    """
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def long_texts(docs: DataFrame) -> DataFrame:
     """``docs``, once the session sends whole texts to Python in batches of bounded size.
 
@@ -69,3 +52,16 @@ def smallest(rows: DataFrame, order: Column, n: int) -> DataFrame:
     least = rows.select(order.alias("at")).where("at is not null").orderBy("at").limit(n)
     last = least.agg(F.max("at")).first()[0]
     return rows.where(order <= last) if last is not None else rows.limit(0)
+
+
+def matched(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``lookup`` (one row for each ``key``) on ``key``, hot keys apart.
+
+    Keys that hold over 1/(4 w) of the rows, w the shuffle partitions, are 4 w at most: their part of
+    ``lookup`` is broadcast, so their rows stay where they are; the other rows are joined as usual.
+    """
+    counts = rows.groupBy(key).agg(F.count("*").alias("__n"))
+    hot = counts.where(F.col("__n") > F.lit(max(1000, rows.count() // (4 * shuffle_width(rows.sparkSession))))).select(key)
+    apart = materialize(lookup.join(F.broadcast(hot), key, "left_semi"))
+    few = rows.join(F.broadcast(apart.select(key)), key, "left_anti").join(lookup, key)
+    return few.unionByName(rows.join(F.broadcast(apart), key))

@@ -1,12 +1,15 @@
 """Near copies: components of texts whose five-word shingle sets have a Jaccard similarity of 0.8 or more.
 
-An exact set-similarity join.  In one order of all shingles, two sets that are alike enough share a shingle
-within their first ``n - ceil(0.8 n) + 1`` ones (prefix filter); where their first shared one lies bounds
-what they can share at all (positional filter).  Any order gives all pairs: shingles that are frequent in
-a bounded sample come last, which only saves candidates.  Every candidate pair is verified on the whole sets.
-
-Pairs inside a component need not be looked at: each shingle first links its sets to one of them, drawn by
-hash, and only what then still lies in different components is compared pair by pair.
+SimHash fingerprints of the sets meet by anchor covering (``simhash``), and every link they give is verified
+on the whole sets.  Sets that are alike enough often lie many bits apart, so an exact set-similarity join finds
+the rest.  In one order of all shingles, two sets that are alike enough share a shingle within their first
+``n - ceil(0.8 n) + 1`` ones (prefix filter); where their first shared one lies bounds what they can share at
+all (positional filter).  Any order gives all pairs: shingles that are frequent in a bounded sample come last,
+which only saves candidates.  Every candidate pair is verified on the whole sets.
+
+Shingles that one set alone has in its prefix are left out by a Bloom filter of fixed size before anything is
+joined.  Pairs inside a component need not be looked at: each shingle first links its sets to one of them,
+drawn by hash, and only what then still lies in different components is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -15,22 +18,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quern.llm.common import UPPER, WORD, long_texts, materialize, smallest
-from quern.llm.simhash import _labels
+from quern.llm.common import UPPER, WORD, long_texts, matched, materialize, shuffle_width, smallest
+from quern.llm.simhash import _labels, _links, _packed
 
 #: Fixed values of a near copy: words of a shingle, and the similarity as a fraction.
 SHINGLE_WORDS = 5
 ALIKE = (4, 5)
+#: Fingerprints of sets are linked at so many differing bits or fewer.
+THRESHOLD = 3
 #: Texts whose shingles are counted for the order at most; it bears on cost, never on results.
 SAMPLE_TEXTS = 2_000
-#: So many candidates are few enough for their texts to be found by a broadcast of keys.
-BROADCAST_KEYS = 1_000_000
+#: Bits of the Bloom filter of repeated prefix shingles; a full one lets more through, and loses nothing.
+BLOOM_BITS = 1 << 27
+#: Prefix shingles in a task, and shingles of sets that are verified against one set in a task, about.
+BUCKET_SHINGLES = 1 << 20
 
 _LOWER = str.maketrans(UPPER, UPPER.lower())
 _WORDS = regex.compile(WORD)
@@ -59,6 +67,14 @@ def shingle_set(text: str | None, known: dict[str, int], words_of: int = SHINGLE
     return np.unique((mixed ^ (mixed >> np.uint64(32))).view(np.int64))
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(shingles), 65536):
+        ones += np.unpackbits(shingles[start : start + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8")[0])
+
+
 def prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first shingles of a set: those that every set alike enough must share one of."""
     n = len(shingles)
@@ -93,56 +109,138 @@ def _alike(shared: Column, n: Column, m: Column) -> Column:
     return (a + b) * shared >= a * (n + m)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
+def _bloom_places(shingles: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, first bit, second bit) of each shingle; bits are those of the bucket's segment."""
+    raw = shingles.view(np.uint64)
+    bucket = (raw >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    bits = np.uint64(BLOOM_BITS // buckets // 8 * 8)
+    mixed = raw * _PRIME
+    return bucket.astype(np.int64), ((mixed >> np.uint64(7)) % bits).astype(np.int64), (((raw ^ mixed) * _MIX >> np.uint64(9)) % bits).astype(np.int64)
+
+
+def _repeated(sets: DataFrame, buckets: int) -> np.ndarray:
+    """Bloom filter (bytes) of the shingles that are in the prefixes of two sets or more.
+
+    Each bucket of shingles has a segment of its own; a batch sends a shingle twice at most.
+    """
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, counts = np.unique(np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.int64), return_counts=True)
+            values = np.repeat(values, np.minimum(counts, 2))
+            rows = list(_packed(_bloom_places(values, buckets)[0], values))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "shingles"])
+
+    def segment(table: pa.Table) -> pa.Table:
+        values, counts = np.unique(np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.int64), return_counts=True)
+        bits = np.zeros(BLOOM_BITS // buckets // 8 * 8, np.uint8)
+        for places in _bloom_places(values[counts > 1], buckets)[1:]:
+            bits[places] = 1
+        return pa.table({"bucket": table.column("bucket").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    found = sets.select("prefix").mapInArrow(dealt, "bucket long, shingles binary").groupBy("bucket").applyInArrow(segment, "bucket long, bits binary")
+    size = BLOOM_BITS // buckets // 8
+    bloom = np.zeros(size * buckets, np.uint8)
+    for row in found.toLocalIterator():
+        bloom[row.bucket * size : (row.bucket + 1) * size] = np.frombuffer(row.bits, np.uint8)
+    return bloom
+
+
+def _shared_prefixes(sets: DataFrame, buckets: int) -> DataFrame:
+    """(s, fp, at, n): the prefix shingles that other sets have in their prefixes as well, and few others."""
+    bloom = sets.sparkSession.sparkContext.broadcast(_repeated(sets, buckets))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("prefix").to_pylist()
+            counts = np.array([len(b) // 8 for b in raw], np.int64)
+            s = np.frombuffer(b"".join(raw), np.int64)
+            at = np.arange(len(s)) - np.repeat(np.cumsum(counts) - counts, counts)
+            bucket, first, second = _bloom_places(s, buckets)
+            start = bucket * (BLOOM_BITS // buckets // 8 * 8)
+            there = np.ones(len(s), bool)
+            for place in (start + first, start + second):
+                there &= (bloom.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+            columns = [s, np.repeat(batch.column("fp").to_numpy(), counts), at.astype(np.int32), np.repeat(batch.column("n").to_numpy(), counts)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[there]) for c in columns], names=["s", "fp", "at", "n"])
+
+    return sets.select("fp", "n", "prefix").mapInArrow(kept, "s long, fp long, at int, n int")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """(fp, root) of the pairs (a, b) whose whole sets are alike.
 
-    ``first`` has a text (by hash) for each set; only the texts of candidates are looked up and hashed again.
+    The sets paired with one set ``b`` come to it in blocks of bounded size; only texts of candidates are
+    looked up, one for each set, and hashed again.
     """
-    keys = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    keys = materialize(first.join(keys, "fp", "left_semi").select("fp", "text_hash"))
-    few = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    those = texts.withColumn("text_hash", F.xxhash64("text")).join(few, "text_hash").groupBy("fp").agg(F.first("text").alias("text"))
-    those = materialize(those.select("fp", _shingles("text").alias("shingles")))
-    left, right = (those.select(F.col("fp").alias(k), F.col("shingles").alias(f"of_{k}")) for k in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(_alike(shared, F.size("of_a"), F.size("of_b"))).select(F.greatest("a", "b").alias("fp"), F.least("a", "b").alias("root"))
+    known = sets.select("fp", "n", "text_hash")
+    a, b = (known.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("text_hash").alias(f"text_{k}")) for k in ("a", "b"))
+    sized = materialize(pairs.join(a, "a"))
+    blocks = sized.groupBy("b").agg(F.ceil(F.sum("n_a") / BUCKET_SHINGLES + 1).cast("int").alias("blocks"))
+    sized = materialize(matched(sized, b.join(blocks, "b"), "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")))
+    places = sized.select(F.col("text_a").alias("text_hash"), F.col("a").alias("fp"), "b", "block").unionByName(sized.select(F.col("text_b").alias("text_hash"), F.col("b").alias("fp"), "b", "block").distinct())
+    once = texts.withColumn("text_hash", F.xxhash64("text")).join(places.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+
+    def verify(block: pa.Table) -> pa.Table:
+        hub = block.column("b")[0].as_py()
+        known: dict[str, int] = {}
+        fps, found = block.column("fp").to_numpy(), []
+        whole = shingle_set(block.column("text")[int(np.flatnonzero(fps == hub)[0])].as_py(), known)
+        for fp, text in zip(fps, block.column("text")):
+            if fp != hub:
+                other = shingle_set(text.as_py(), known)
+                shared = len(np.intersect1d(whole, other, assume_unique=True))
+                if sum(ALIKE) * shared >= ALIKE[0] * (len(whole) + len(other)):
+                    found.append(fp)
+        fps = np.array(found, np.int64)
+        return pa.table({"fp": np.maximum(fps, hub), "root": np.minimum(fps, hub)})
+
+    return once.join(places, "text_hash").select("b", "block", "fp", "text").groupBy("b", "block").applyInArrow(verify, "fp long, root long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, component): one row per input row.
+    """(id, text_hash, label, component): one row per input row.
 
-    ``component`` is the smallest id of the documents connected by near copies (null if none of them has
-    an id).  Texts without a word are copies of each other.
+    ``label`` names the component; ``component`` is the smallest id of its documents (null if none of them
+    has an id), which two components may share where ids repeat.  Texts without a word are copies of each other.
     """
+    spark = docs.sparkSession
     slim = long_texts(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")))
     sampled = smallest(slim.select("text").where("text is not null"), F.xxhash64("text"), SAMPLE_TEXTS).distinct().select(_shingles("text").alias("shingles"))
     often = sampled.select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 1").toPandas().sort_values("s")
-    shared = docs.sparkSession.sparkContext.broadcast((often["s"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
+    shared = spark.sparkContext.broadcast((often["s"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
 
-    @pandas_udf("fp long, n int, prefix array<long>")
+    @pandas_udf("fp long, n int, sim long, prefix binary")
     def placing(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for sets in _hashed(texts):
             fps = [np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)).view(np.int64) for s in sets]
-            yield pd.DataFrame({"fp": np.array(fps, np.int64), "n": list(map(len, sets)), "prefix": pd.Series([prefix(s, *shared.value) for s in sets], dtype=object)})
+            yield pd.DataFrame({"fp": np.array(fps, np.int64), "n": list(map(len, sets)), "sim": list(map(set_fingerprint, sets)), "prefix": [prefix(s, *shared.value).tobytes() for s in sets]})
 
     prints = materialize(slim.select("id", F.xxhash64("text").alias("text_hash"), placing("text").alias("set")).select("id", "text_hash", "set.*"))
-    first = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id"), F.min("text_hash").alias("text_hash")))
     # Copies of a set are one.
-    alone = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    placed = alone.select("fp", "n", F.posexplode("prefix").alias("at", "s"))
-    everywhere = Window.partitionBy("s")
-    placed = placed.withColumns({"sets": F.count("*").over(everywhere), "drawn": F.min(F.struct(F.xxhash64("s", "fp").alias("h"), "fp", "at", "n")).over(everywhere)})
-    placed = materialize(placed.where("sets > 1").select("s", "fp", "at", "n", F.struct("drawn.fp", "drawn.at", "drawn.n").alias("drawn")))
+    sets = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("prefix").alias("prefix"), F.min("text_hash").alias("text_hash"), F.min("id").alias("first_id"))
+    sets = materialize(sets)
+
+    # What the fingerprints link: sets of one fingerprint with one of them, and those with each other.
+    one = sets.groupBy("sim").agg(F.min("fp").alias("one"))
+    far = _links(one.select(F.col("sim").alias("fp")), THRESHOLD)
+    ends = far.join(one.withColumnsRenamed({"sim": "fp", "one": "a"}), "fp").join(one.withColumnsRenamed({"sim": "root", "one": "b"}), "root").select("a", "b")
+    near = sets.join(one, "sim").where("fp <> one").select(F.col("fp").alias("a"), F.col("one").alias("b"))
+
+    width = shuffle_width(spark)
+    total = sets.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
+    placed = materialize(_shared_prefixes(sets, max(width, int(total) // BUCKET_SHINGLES + 1)))
 
     def reachable(n: Column, i: Column, m: Column, j: Column) -> Column:
         """What sets can share at most whose first shared shingle lies there."""
         return _alike(F.least(n - i, m - j), n, m)
 
-    drawn = F.col("drawn")
-    stars = placed.where((F.col("fp") != drawn["fp"]) & reachable(F.col("n"), F.col("at"), drawn["n"], drawn["at"]))
-    stars = materialize(stars.select(F.least("fp", drawn["fp"]).alias("a"), F.greatest("fp", drawn["fp"]).alias("b")).distinct())
-    links = materialize(_verified(stars, slim, first))
+    drawn = placed.groupBy("s").agg(F.count("*").alias("sets"), F.min(F.struct(F.xxhash64("fp").alias("h"), "fp", "at", "n")).alias("drawn")).where("sets > 1").select("s", "drawn")
+    placed = materialize(matched(placed, drawn, "s"))
+    hub = F.col("drawn")
+    stars = placed.where((F.col("fp") != hub["fp"]) & reachable(F.col("n"), F.col("at"), hub["n"], hub["at"])).select(F.col("fp").alias("a"), hub["fp"].alias("b"))
+    tried = materialize(stars.union(ends).union(near).distinct())
+    links = materialize(_verified(tried, sets, slim))
     labels = _labels(links)
 
     grouped = placed.join(labels, "fp", "left").select("s", "fp", "at", "n", F.coalesce("label", "fp").alias("label"))
@@ -152,10 +250,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     meet = (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.fp") < F.col("y.fp"))
     meet = meet & reachable(*[F.col(c) for c in ("x.n", "x.at", "y.n", "y.at")])
     rest = x.join(y, meet).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-    rest = materialize(rest.join(stars, ["a", "b"], "left_anti"))
-    labels = _labels(links.union(_verified(rest, slim, first)))
+    seen = tried.union(tried.select("b", "a"))
+    rest = materialize(rest.join(seen, ["a", "b"], "left_anti"))
+    labels = _labels(links.union(_verified(rest, sets, slim)))
 
-    labelled = materialize(first.join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "first_id"))
+    labelled = materialize(sets.select("fp", "first_id").join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "first_id"))
     components = labelled.groupBy("label").agg(F.min("first_id").alias("component"))
-    component_of = labelled.join(components, "label").select("fp", "component")
-    return prints.select("id", "text_hash", "fp").join(component_of, "fp").select("id", "text_hash", "component")
+    component_of = labelled.join(components, "label").select("fp", "label", "component")
+    return matched(prints.select("id", "text_hash", "fp"), component_of, "fp").select("id", "text_hash", "label", "component")

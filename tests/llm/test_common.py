@@ -24,9 +24,17 @@ def test_smallest_keeps_ties_and_skips_nulls(spark):
 def test_materialized_rows_do_not_change(spark):
     rows = common.materialize(spark.range(100).withColumn("r", F.rand()))
     assert rows.collect() == rows.collect()
-    assert common.checkpoint_folder(spark)
+    assert common.shared_folder(spark)
 
 
 def test_row_keys_tell_texts_apart(spark):
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (None, "a")], "i long, t string")
     assert rows.select(common.row_key(F.col("i"), F.col("t")).alias("k")).distinct().count() == 3
+
+
+def test_matched_joins_hot_and_cold_keys(spark):
+    rows = spark.createDataFrame([(1 if i < 3000 else i, i) for i in range(4000)], "k long, v long")
+    lookup = spark.createDataFrame([(k, k * 10) for k in [1, *range(3000, 4000, 2)]], "k long, w long")
+    want = rows.join(lookup, "k")
+    got = common.matched(rows, lookup, "k")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -1,8 +1,7 @@
 import random
 import re
 
-import corpus_pipeline
-from quern.llm import near_copies
+from quern.llm import near_copies, pipeline
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -70,5 +69,5 @@ def test_stage_drops_edited_copies(spark, sf_dir):
         rows += [(2 * i, " ".join(words), "en", "a", 9), (2 * i + 1, " ".join(edited), "en", "a", 9)]
     prints = [simhash.fingerprint_text(r[1]) for r in rows]
     assert sum((a ^ b).bit_count() > 3 for a, b in zip(prints[::2], prints[1::2])) > 10
-    kept = corpus_pipeline.near_deduplication(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()
+    kept = pipeline.near_deduplication(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()
     assert sorted(r.doc_id for r in kept) == list(range(0, 80, 2))

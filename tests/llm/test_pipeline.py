@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import byte_bpe, mixing
+from quern.llm import byte_bpe, mixing, pipeline
 
 NAMES = ["quality_classifier", "line_dedup", "simhash_near_dedup", "source_mix", "byte_bpe"]
 
@@ -37,14 +37,22 @@ def test_near_dedup_keeps_one_of_each_group(spark, sf_dir):
     text = " ".join(f"word{i}" for i in range(300))
     rows = [(i, text, "en", "a", 9) for i in range(5, 50)] + [(3, text + " more", "en", "a", 9), (1, "something else entirely", "en", "a", 9), (None, text, "en", "a", 9), (1, "something else entirely", "en", "a", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    kept = [r.doc_id for r in corpus_pipeline.near_deduplication(spark, docs, sf_dir).collect()]
+    kept = [r.doc_id for r in pipeline.near_deduplication(spark, docs, sf_dir).collect()]
     assert sorted(kept, key=str) == [1, 3, None]
 
 
+def test_near_dedup_keeps_documents_of_one_id_in_different_groups(spark, sf_dir):
+    one, two = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(9, one, "en", "a", 9), (9, two, "en", "a", 9), (10, one + " more", "en", "a", 9), (11, two + " more", "en", "a", 9), (9, one, "en", "a", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.STAGES[2][1](spark, docs, sf_dir).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(9, one), (9, two)]
+
+
 def test_mix_stage_repeats_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = {(r.id): r.copies for r in mixing.mix(docs).collect() if r.copies}
-    got = {r.doc_id: r["count"] for r in corpus_pipeline.source_mix(spark, docs, sf_dir).groupBy("doc_id").count().collect()}
+    got = {r.doc_id: r["count"] for r in pipeline.source_mix(spark, docs, sf_dir).groupBy("doc_id").count().collect()}
     assert got == want
 
 
@@ -52,5 +60,5 @@ def test_encoded_ids_decode(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
     bpe = byte_bpe.encoder(byte_bpe.default_vocabulary())
     texts = {r.doc_id: r.text for r in docs.collect()}
-    for r in corpus_pipeline.byte_bpe_encoding(spark, docs.where(F.col("doc_id").isin(list(texts))), sf_dir).collect():
+    for r in pipeline.byte_bpe_encoding(spark, docs.where(F.col("doc_id").isin(list(texts))), sf_dir).collect():
         assert len(np.frombuffer(bytes(r.ids), "<u4")) == r.n_tokens and bpe.decode(bytes(r.ids)).decode() == (texts[r.doc_id] or "")

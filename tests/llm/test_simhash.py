@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 
 from quern.llm import simhash
@@ -53,24 +54,37 @@ def test_real_documents(sample):
     check(sample)
 
 
-def test_anchors_cover_every_pair_within_three_bits():
+def test_anchors_cover_every_pair_within_the_threshold():
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 2**63, 400, dtype=np.uint64)
-    for flips in range(4):
-        other = base.copy()
-        for row in range(len(base)):
-            for bit in rng.choice(64, flips, replace=False):
-                other[row] ^= np.uint64(1) << np.uint64(bit)
-        mine, ends = simhash.anchors_within(base, 3 + 3)
-        homes = [x[0] for x in np.split(mine, ends[:-1])]
-        theirs, ends = simhash.anchors_within(other, 3 + 3)
-        assert all(h in set(x.tolist()) for h, x in zip(homes, np.split(theirs, ends[:-1])))
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    for threshold in range(5):
+        for flips in range(threshold + 1):
+            other = base.copy()
+            for row in range(len(base)):
+                for bit in rng.choice(46, flips, replace=False):
+                    other[row] ^= np.uint64(1) << np.uint64(bit)
+            homes = simhash.anchors_within(base, threshold)[0]
+            _, anchors, owners = simhash.anchors_within(other, threshold)
+            assert all(h in set(anchors[owners == i].tolist()) for i, h in enumerate(homes.tolist()))
 
 
-def test_home_is_within_the_covering_radius():
-    words = np.arange(0, 1 << 23, 4099, dtype=np.uint64)
-    anchors, ends = simhash.anchors_within(words, 3)
-    assert (np.diff(np.concatenate([[0], ends])) == 1).all()
+def test_one_home_and_no_anchor_twice():
+    fps = np.arange(0, 1 << 46, (1 << 46) // 700 + 12345, dtype=np.uint64)
+    homes, anchors, owners = simhash.anchors_within(fps, 0)
+    assert (anchors == homes).all() and (owners == np.arange(len(fps))).all() and homes.max() < 1 << simhash.ANCHOR_BITS
+    _, anchors, owners = simhash.anchors_within(fps[:200], 3)
+    assert len(np.unique(owners * (1 << 24) + anchors)) == len(anchors)
+
+
+def test_threshold_is_checked(sample):
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(sample, threshold=5)
+
+
+def test_components_of_one_smallest_id_have_their_own_label(spark):
+    docs = spark.createDataFrame([(9, " ".join(f"a{i}" for i in range(50))), (9, " ".join(f"b{i}" for i in range(50)))], "doc_id long, text string")
+    rows = simhash.near_duplicates(docs).collect()
+    assert {r.component for r in rows} == {9} and len({r.label for r in rows}) == 2
 
 
 def test_chains_link_through_and_blocks_agree(spark, monkeypatch):
@@ -81,8 +95,8 @@ def test_chains_link_through_and_blocks_agree(spark, monkeypatch):
         for step in range(12):
             prints.append(s ^ ((1 << 2 * step) - 1))  # each two bits from the last
     rows = [(i, p - 2**64 if p >= 2**63 else p) for i, p in enumerate(prints)]
-    monkeypatch.setattr(simhash, "BLOCK_RESIDENTS", 3)
-    monkeypatch.setattr(simhash, "BLOCK_REPLICAS", 5)
+    monkeypatch.setattr(simhash, "BUSY_RESIDENTS", 2)
+    monkeypatch.setattr(simhash, "BATCH_PRINTS", 7)
     distinct = spark.createDataFrame(rows, "id long, fp long")
     labels = {r.fp: r.label for r in simhash._labels(simhash._links(distinct.select("fp").distinct(), 3)).collect()}
     want = components(prints, list(range(len(prints))))
