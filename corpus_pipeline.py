@@ -1,91 +1,3 @@
-"""A corpus pipeline: quality classifier, line dedup, near-dedup, source mix, byte-level BPE.
+"""The corpus pipeline: quality classifier, line dedup, near-dedup, source mix, byte-level BPE."""
 
-Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept, and returns
-a DataFrame; all but the last return the columns of documents.  A result is written as Parquet and read
-again as the next stage's ``docs``.
-"""
-
-from __future__ import annotations
-
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from quern.llm import byte_bpe, co_training, line_dedup, mixing, near_copies
-from quern.llm.common import checkpoint_folder, long_texts, row_key
-
-
-def whole(docs: DataFrame, *columns: str) -> DataFrame:
-    """``docs`` as one column ``row`` beside the ``columns`` an operator works on: no name can clash."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = co_training.classify(long_texts(whole(docs, "text", "lang", "source", "n_chars")), co_training.fit(docs, labels))
-    return scored.where("quality.kept").select("row.*")
-
-
-def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the long lines that many documents share; n_chars follows.  Null texts stay null."""
-    found = line_dedup.dedup_lines(whole(docs, "doc_id", "text"))
-    text = F.when(F.col("text").isNotNull(), F.col("line_report.kept"))
-    n_chars = F.when(F.col("line_report.n_dropped") > 0, F.char_length(text).cast("long")).otherwise(F.col("row.n_chars"))
-    changed = {"text": text, "n_chars": n_chars}
-    return found.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
-
-
-def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word Jaccard 0.8 or more) the document with the smallest id stays.
-
-    Rows without an id are never dropped; repeated rows of the id that stays are kept once.
-    """
-    found = near_copies.near_copies(docs).where("id = component")
-    rows = found.groupBy("id", "text_hash").agg(F.count("*").alias("n"))
-    kept = rows.groupBy("id").agg(F.min(F.struct("text_hash", "n")).alias("first"))
-    kept = kept.select(F.struct("id", "first.text_hash").alias("key"), "first.n")
-    keyed = whole(docs).withColumn("key", row_key(F.col("row.doc_id"), F.col("row.text"))).where("row.doc_id is not null")
-    once = keyed.join(kept.where("n = 1"), "key", "left_semi")
-    # Only rows that are there again are compared whole.
-    again = keyed.join(kept.where("n > 1"), "key", "left_semi").dropDuplicates(["key"])
-    return once.unionByName(again).select("row.*").unionByName(docs.where("doc_id is null"))
-
-
-def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, none to three times."""
-    mixed = mixing.mix(docs).where("copies > 0").select("id", "source", "text_hash", "copies")
-    keyed = whole(docs)
-    row = keyed["row"]
-    same = row["doc_id"].eqNullSafe(mixed["id"]) & row["source"].eqNullSafe(mixed["source"]) & F.xxhash64(row["text"]).eqNullSafe(mixed["text_hash"])
-    return keyed.join(mixed, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
-
-
-def byte_bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's token ids (packed little-endian 32-bit), their number, and whether they decode to its text."""
-    both = long_texts(docs).select("doc_id", "lang", "source", "text", byte_bpe.encode_decode(F.col("text")).alias("bpe"))
-    exact = F.col("bpe.decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return both.select("doc_id", "lang", "source", F.col("bpe.ids").alias("ids"), F.expr("octet_length(bpe.ids) div 4").cast("long").alias("n_tokens"), exact.alias("round_trip"))
-
-
-STAGES = [
-    ("quality_classifier", quality_classifier),
-    ("line_dedup", line_deduplication),
-    ("simhash_near_dedup", near_deduplication),
-    ("source_mix", source_mix),
-    ("byte_bpe", byte_bpe_encoding),
-]
-
-#: SQL cannot train the classifier; the stages are tested against brute force instead.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what lies between them goes to the shared checkpoint folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        path = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+from quern.llm.pipeline import ORACLE_SQL, STAGES, run  # noqa: F401
