@@ -2,11 +2,11 @@
 
 One logistic regression sees only the text (hashed byte trigrams and rates), the other only the
 metadata (language, source, length).  In each round either view labels the pool documents it is most
-sure of, for the other view to learn from.  Both are then calibrated, and their calibrated log odds
+sure of, for the other view to learn from, as far as such labels prove right on documents held back.  Both are then calibrated, and their calibrated log odds
 are combined to score all documents.
 
 The classifiers are fitted on a bounded sample of labelled documents: a part of it is the seed, a part
-the pool whose labels are withheld, and the rest calibrates.
+the pool whose labels are withheld, a part calibrates, and a part sets the threshold.
 """
 
 from __future__ import annotations
@@ -21,16 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quern.llm.common import replaced
+from quern.llm.common import one_text_each, replaced
 
 #: Labelled documents in the sample at most (the smallest hashes of ids).
 SAMPLE_DOCS = 4000
 BUCKETS = 1024
 META_BUCKETS = 64
 ROUNDS = 4
-#: Pool documents a view labels in a round, and how sure it must be.
-PER_ROUND = 200
+#: Documents whose labels the views start from; those of the others in the sample are withheld.
+SEED_DOCS = 1500
+#: Pool documents of a class that a view labels in a round; how sure it must be, and how often right when it is,
+#: on at least so many documents held back.
+PER_ROUND = 100
 SURE = 0.97
+PROVEN = 10
 #: How many times worse it is to reject a good document than to keep a bad one.
 GOOD_WEIGHT = 20
 
@@ -110,24 +114,38 @@ class Model:
         return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (a, b, self.weights[0] * a + self.weights[1] * b + self.bias))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, quality: np.ndarray) -> Model | None:
-    """Fit on the rows' views; None if good or bad rows are missing where they are needed."""
-    part = np.arange(len(quality)) % 4
-    seed, pool, held = np.flatnonzero(part < 2), np.flatnonzero(part == 2), np.flatnonzero(part == 3)
-    if any(len(np.unique(quality[x])) < 2 for x in (seed, held)):
+def co_train(text: np.ndarray, meta: np.ndarray, quality: np.ndarray, rounds: int = ROUNDS, seed_rows: int = SEED_DOCS) -> Model | None:
+    """Fit on the rows' views; None if good or bad rows are missing where they are needed.
+
+    Every fourth row is held back: of those, half calibrate the log odds and half set the threshold (all do
+    both, where a half has no good or no bad row).  Of the others ``seed_rows`` (two thirds of them at most) are the seed; the labels of the rest are withheld.
+    ``rounds`` = 0 gives the classifiers of the seed alone.
+    """
+    at = np.arange(len(quality))
+    held, limit, free = np.flatnonzero(at % 8 == 3), np.flatnonzero(at % 8 == 7), np.flatnonzero(at % 4 != 3)
+    seed, pool = np.split(free, [min(seed_rows, -(-2 * len(free) // 3))])
+    if any(len(np.unique(quality[x])) < 2 for x in (held, limit)):
+        held = limit = np.flatnonzero(at % 4 == 3)
+    if any(len(np.unique(quality[x])) < 2 for x in (seed, held, limit)):
         return None
     views, ridges = (text, meta), (0.01, 0.05)
     rows, marks, free = [seed, seed], [quality[seed].astype(float)] * 2, [pool, pool]
-    for _ in range(ROUNDS):
+    for _ in range(rounds):
         fitted = [fit_view(views[v][rows[v]], marks[v], ridges[v]) for v in (0, 1)]
         for v in (0, 1):
-            other = 1 - v
-            p = 1 / (1 + np.exp(-np.clip(fitted[v].log_odds(views[v][free[other]]), -30, 30)))
-            sure = np.argsort(-np.abs(p - 0.5), kind="stable")[:PER_ROUND]
-            sure = sure[np.abs(p[sure] - 0.5) >= SURE - 0.5]
-            rows[other] = np.concatenate([rows[other], free[other][sure]])
-            marks[other] = np.concatenate([marks[other], (p[sure] > 0.5).astype(float)])
-            free[other] = np.delete(free[other], sure)
+            other, odds = 1 - v, lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+            p, checked = odds(fitted[v].log_odds(views[v][free[other]])), odds(fitted[v].log_odds(views[v][held]))
+            chosen = []
+            for mark, sure, proof in ((1, p, checked), (0, 1 - p, 1 - checked)):
+                # A view is heard on a class only if it is right where it is sure.
+                told = quality[held][proof >= SURE]
+                if len(told) >= PROVEN and (told == mark).mean() >= SURE:
+                    best = np.argsort(-sure, kind="stable")[:PER_ROUND]
+                    chosen.append(best[sure[best] >= SURE])
+            taken = np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+            rows[other] = np.concatenate([rows[other], free[other][taken]])
+            marks[other] = np.concatenate([marks[other], (p[taken] > 0.5).astype(float)])
+            free[other] = np.delete(free[other], taken)
     fitted = [fit_view(views[v][rows[v]], marks[v], ridges[v]) for v in (0, 1)]
     for v, view in enumerate(fitted):
         odds = view.log_odds(views[v][held])
@@ -136,8 +154,8 @@ def co_train(text: np.ndarray, meta: np.ndarray, quality: np.ndarray) -> Model |
     both = np.stack([fitted[v].log_odds(views[v][held]) for v in (0, 1)], axis=1)
     w, b = _logistic(both, quality[held].astype(float), 1e-3)
     model = Model(fitted[0], fitted[1], w, b, 0.0)
-    p = model.scores(text[held], meta[held])[2]
-    good, bad = np.sort(p[quality[held] == 1]), np.sort(p[quality[held] == 0])
+    p = model.scores(text[limit], meta[limit])[2]
+    good, bad = np.sort(p[quality[limit] == 1]), np.sort(p[quality[limit] == 0])
     levels = np.unique(np.concatenate([[0.0], p]))
     balance = np.searchsorted(bad, levels) / len(bad) - GOOD_WEIGHT * np.searchsorted(good, levels) / len(good)
     # Halfway down to the next lower score: a good document may score a little less than these.
@@ -155,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on at most ``sample_docs`` labelled documents; None where good or bad ones are missing."""
     sampled = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{quality_col}`").alias("q")).where("id is not null and q is not null")
     sampled = sampled.groupBy("id").agg(F.min("q").alias("q")).orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *_meta_columns(docs)).join(F.broadcast(sampled), "id")
+    rows = one_text_each(docs, sampled, id_col, text_col, *_meta_columns(docs))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -163,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 text, meta = _views(batch["text"], batch["lang"], batch["source"], batch["n_chars"])
                 yield pd.DataFrame({"id": batch["id"], "q": batch["q"], "t": [r.tobytes() for r in text], "m": [r.tobytes() for r in meta]})
 
-    found = rows.repartition("id").mapInPandas(features, "id long, q int, t binary, m binary").collect()
+    found = rows.mapInPandas(features, "id long, q int, t binary, m binary").collect()
     found = sorted((xxhash.xxh64_intdigest(str(r.id)), r.id, bytes(r.t), bytes(r.m), r.q) for r in found)
     if not found:
         return None

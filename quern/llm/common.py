@@ -45,11 +45,11 @@ def replaced(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def smallest(rows: DataFrame, order: Column, n: int) -> DataFrame:
-    """The ``n`` rows of ``rows`` with the least ``order`` (a long), more if the last one ties.
+    """The rows of ``rows`` with the ``n`` least different values of ``order`` (a long).
 
     Only the numbers are sorted; the rows themselves, texts and all, are then filtered where they lie.
     """
-    least = rows.select(order.alias("at")).where("at is not null").orderBy("at").limit(n)
+    least = rows.select(order.alias("at")).where("at is not null").distinct().orderBy("at").limit(n)
     last = least.agg(F.max("at")).first()[0]
     return rows.where(order <= last) if last is not None else rows.limit(0)
 
@@ -65,3 +65,13 @@ def matched(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     apart = materialize(lookup.join(F.broadcast(hot), key, "left_semi"))
     few = rows.join(F.broadcast(apart.select(key)), key, "left_anti").join(lookup, key)
     return few.unionByName(rows.join(F.broadcast(apart), key))
+
+
+def one_text_each(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, *others: Column) -> DataFrame:
+    """(id, q, text, others): one row for each id of ``chosen`` (id, q), however often its document is repeated.
+
+    ``chosen`` is a bounded sample, so it is broadcast; of several texts the one with the smallest hash is taken.
+    """
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), F.struct(text.alias("text"), *others).alias("doc")).join(F.broadcast(chosen), "id")
+    return rows.groupBy("id", "q").agg(F.min_by("doc", "h").alias("doc")).select("id", "q", "doc.*")

@@ -14,14 +14,16 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quern.llm.common import replaced, smallest
+from quern.llm.common import replaced
 
-#: Documents that the model learns from at most (the smallest hashes of their ids).
-SAMPLE_DOCS = 2500
+#: Different texts that the model learns from at most, for each language (the smallest hashes of texts).
+SAMPLE_DOCS = 700
+#: Languages that it can tell apart at most; more of them are an error.
+MAX_LANGUAGES = 2000
 BUCKETS = 1 << 14
 WIDTH = 16
 NGRAMS = (2, 3, 4)
@@ -124,12 +126,18 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Learn from the ``sample_docs`` rows with a language whose ids have the smallest hashes.
+    """Learn from at most ``sample_docs`` different texts of each language, rare ones included.
 
-    Repeated ids tie and may add a few; None if no such row has a letter.
+    Repeated texts count once; None if no row with a language has a letter.
     """
-    chosen = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"), F.xxhash64(F.col(f"`{id_col}`")).alias("h")).where("lang is not null and text is not null")
-    chosen = smallest(chosen, F.col("h"), sample_docs)
+    rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    least = rows.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= sample_docs)
+    last = least.groupBy("lang").agg(F.max("h").alias("last")).limit(MAX_LANGUAGES + 1).collect()
+    if len(last) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    bound = F.broadcast(docs.sparkSession.createDataFrame(last, "lang string, last long"))
+    chosen = rows.join(bound, "lang").where("h <= last").groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -141,7 +149,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                     out.append((h, lang, at.astype("<u2").tobytes(), counts[at].astype("<u4").tobytes()))
             yield pd.DataFrame(out, columns=["h", "lang", "at", "n"])
 
-    rows = chosen.repartition(F.col("h")).mapInPandas(features, "h long, lang string, at binary, n binary").collect()
+    rows = chosen.mapInPandas(features, "h long, lang string, at binary, n binary").collect()
     rows = sorted((r.h, r.lang, bytes(r.at), bytes(r.n)) for r in rows)
     return train([(lang, np.frombuffer(at, "<u2"), np.frombuffer(n, "<u4").astype(np.float32)) for _, lang, at, n in rows]) if rows else None
 

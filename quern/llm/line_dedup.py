@@ -1,8 +1,8 @@
 """Line deduplication across documents [native].
 
 Long lines become 128-bit hashes; the hashes are range-partitioned and sorted by document and
-position, first occurrences stream past, and the result is one compressed bitmap of dropped lines
-per document.  Text crosses no shuffle until a bitmap is applied.
+position, first occurrences stream past, and the result is one compressed bitmap of kept lines for
+every document that loses any.  Text crosses no shuffle until a bitmap is applied.
 
 Hot lines: a hash is dealt out with a salt taken from its document, as many salts as the session has
 shuffle partitions, so a line in a third of all documents is spread over every range.  Each salted
@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import SPACES, ascii_lower, materialize, row_key, shuffle_width
 
-#: Lines whose drop flags share a word of the bitmap.
+#: Lines whose flags share a word of the bitmap.
 WORD_BITS = 63
-#: Bitmaps up to this size are broadcast.
-BROADCAST_BYTES = 16 << 20
+#: Bitmaps up to this size are broadcast; what a row of them and an entry take in a hashed relation.
+BROADCAST_BYTES = 4 << 20
+ROW_BYTES, ENTRY_BYTES = 160, 12
 
 
 def lines_of(text: Column) -> Column:
@@ -39,13 +40,14 @@ def _long_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     )
 
 
-def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """(key struct<id,text_hash>, words map<int,bigint>): lines to drop, for documents that lose any.
+def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """(key struct<id,text_hash>, words map<int,bigint>): lines to keep, for documents that lose any.
 
     A line of at least ``min_chars`` code points (stripped, A-Z lower-cased) held by at least
-    ``min_docs`` documents stays only in the largest ``id_col``.  Bit ``pos % 63`` of word
-    ``pos div 63`` marks line ``pos``; words without a mark are left out.  Rows with a null id take
-    no part and keep all lines; rows repeating an id count as one document; null texts have no line.
+    ``min_docs`` documents stays only in the largest ``id_col``.  Bit ``pos % 63`` of word ``pos div 63``
+    is 1 if line ``pos`` stays; words and documents that keep all their lines are left out.  Rows with a
+    null id take no part and keep all lines; rows repeating an id count as one document; null texts have
+    no line.
     """
     salts = shuffle_width(docs.sparkSession)
     lines = _long_lines(docs, id_col, text_col, min_chars).withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int"))
@@ -68,7 +70,8 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return (
         dropped.repartition("doc", "row")
         .groupBy("doc", "row", F.expr(f"pos div {WORD_BITS}").cast("int").alias("word"))
-        .agg(F.bit_or(F.expr(f"shiftleft(1L, pos % {WORD_BITS})")).alias("bits"))
+        .agg(F.bit_or(F.expr(f"shiftleft(1L, pos % {WORD_BITS})")).alias("gone"))
+        .select("doc", "row", "word", F.lit((1 << WORD_BITS) - 1).bitwiseXOR(F.col("gone")).alias("bits"))
         .groupBy("doc", "row")
         .agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
         .select(F.struct(F.col("doc").alias("id"), F.col("row").alias("text_hash")).alias("key"), "words")
@@ -76,20 +79,23 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``line_report`` struct<n_lines,n_dropped,kept>: ``kept`` joins the other lines by newlines.
+    """``docs`` with ``line_report`` struct<n_lines,n_dropped,kept>: ``kept`` joins the lines that stay by newlines.
 
-    A null or empty text has one empty line and keeps it; a text that loses every line is empty.
+    A null or empty text has one empty line and keeps it; a text that loses every line is empty.  Columns
+    of ``docs`` may have any names; one named ``line_report`` is replaced.
     """
-    marked = docs.withColumn("__key", row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
-    words = bitmaps.select(F.col("key.id").alias("__id"), F.col("key.text_hash").alias("__hash"), F.col("words").alias("__words"))
-    joined = marked.join(words, (F.col("__key.id") == F.col("__id")) & (F.col("__key.text_hash") == F.col("__hash")), "left")
-    lines = lines_of(F.col(f"`{text_col}`"))
-    word = lambda i: F.coalesce(F.try_element_at(F.col("__words"), F.floor(i / WORD_BITS).cast("int")), F.lit(0))
+    columns = [c for c in docs.columns if c.lower() != "line_report"]
+    key = row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), key.alias("key"))
+    words = bitmaps.select(F.col("key").alias("marked"), "words")
+    joined = rows.join(words, (F.col("key.id") == F.col("marked.id")) & (F.col("key.text_hash") == F.col("marked.text_hash")), "left")
+    lines = lines_of(F.col(f"row.`{text_col}`"))
+    word = lambda i: F.coalesce(F.try_element_at(F.col("words"), F.floor(i / WORD_BITS).cast("int")), F.lit((1 << WORD_BITS) - 1))
     bit = lambda i: F.call_function("shiftright", word(i), i % WORD_BITS).bitwiseAND(F.lit(1))
-    kept = F.when(F.col("__words").isNull(), lines).otherwise(F.filter(lines, lambda _, i: bit(i) == 0))
+    kept = F.when(F.col("words").isNull(), lines).otherwise(F.filter(lines, lambda _, i: bit(i) == 1))
     n = F.size(lines).cast("long")
     report = F.struct(n.alias("n_lines"), (n - F.size(kept)).alias("n_dropped"), F.array_join(kept, "\n").alias("kept"))
-    return joined.withColumn("line_report", report).drop("__key", "__id", "__hash", "__words")
+    return joined.select("row", report.alias("line_report")).select(*[F.col(f"row.`{c}`").alias(c) for c in columns], "line_report")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -98,7 +104,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The bitmaps are measured: up to BROADCAST_BYTES they go to the texts, beyond that both are joined
     by a shuffle.
     """
-    docs = docs.drop("line_report")
-    bitmaps = materialize(drop_bitmaps(docs, id_col, text_col, min_chars, min_docs))
-    size = bitmaps.agg(F.sum(F.size("words") * 12 + 48)).first()[0] or 0
+    bitmaps = materialize(keep_bitmaps(docs, id_col, text_col, min_chars, min_docs))
+    size = bitmaps.agg(F.sum(F.size("words") * ENTRY_BYTES + ROW_BYTES)).first()[0] or 0
     return apply_bitmaps(docs, F.broadcast(bitmaps) if size <= BROADCAST_BYTES else bitmaps, id_col, text_col)

@@ -25,8 +25,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from quern.llm import bloom
 from quern.llm.common import UPPER, WORD, long_texts, matched, materialize, shuffle_width, smallest
-from quern.llm.simhash import _labels, _links, _packed
+from quern.llm.simhash import _labels, _links
 
 #: Fixed values of a near copy: words of a shingle, and the similarity as a fraction.
 SHINGLE_WORDS = 5
@@ -35,8 +36,6 @@ ALIKE = (4, 5)
 THRESHOLD = 3
 #: Texts whose shingles are counted for the order at most; it bears on cost, never on results.
 SAMPLE_TEXTS = 2_000
-#: Bits of the Bloom filter of repeated prefix shingles; a full one lets more through, and loses nothing.
-BLOOM_BITS = 1 << 27
 #: Prefix shingles in a task, and shingles of sets that are verified against one set in a task, about.
 BUCKET_SHINGLES = 1 << 20
 
@@ -109,46 +108,9 @@ def _alike(shared: Column, n: Column, m: Column) -> Column:
     return (a + b) * shared >= a * (n + m)
 
 
-def _bloom_places(shingles: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, first bit, second bit) of each shingle; bits are those of the bucket's segment."""
-    raw = shingles.view(np.uint64)
-    bucket = (raw >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    bits = np.uint64(BLOOM_BITS // buckets // 8 * 8)
-    mixed = raw * _PRIME
-    return bucket.astype(np.int64), ((mixed >> np.uint64(7)) % bits).astype(np.int64), (((raw ^ mixed) * _MIX >> np.uint64(9)) % bits).astype(np.int64)
-
-
-def _repeated(sets: DataFrame, buckets: int) -> np.ndarray:
-    """Bloom filter (bytes) of the shingles that are in the prefixes of two sets or more.
-
-    Each bucket of shingles has a segment of its own; a batch sends a shingle twice at most.
-    """
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values, counts = np.unique(np.frombuffer(b"".join(batch.column("prefix").to_pylist()), np.int64), return_counts=True)
-            values = np.repeat(values, np.minimum(counts, 2))
-            rows = list(_packed(_bloom_places(values, buckets)[0], values))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "shingles"])
-
-    def segment(table: pa.Table) -> pa.Table:
-        values, counts = np.unique(np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.int64), return_counts=True)
-        bits = np.zeros(BLOOM_BITS // buckets // 8 * 8, np.uint8)
-        for places in _bloom_places(values[counts > 1], buckets)[1:]:
-            bits[places] = 1
-        return pa.table({"bucket": table.column("bucket").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    found = sets.select("prefix").mapInArrow(dealt, "bucket long, shingles binary").groupBy("bucket").applyInArrow(segment, "bucket long, bits binary")
-    size = BLOOM_BITS // buckets // 8
-    bloom = np.zeros(size * buckets, np.uint8)
-    for row in found.toLocalIterator():
-        bloom[row.bucket * size : (row.bucket + 1) * size] = np.frombuffer(row.bits, np.uint8)
-    return bloom
-
-
 def _shared_prefixes(sets: DataFrame, buckets: int) -> DataFrame:
     """(s, fp, at, n): the prefix shingles that other sets have in their prefixes as well, and few others."""
-    bloom = sets.sparkSession.sparkContext.broadcast(_repeated(sets, buckets))
+    repeated = bloom.filter_of(sets, "prefix", least=2, segments=buckets, raw=True)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,17 +118,28 @@ def _shared_prefixes(sets: DataFrame, buckets: int) -> DataFrame:
             counts = np.array([len(b) // 8 for b in raw], np.int64)
             s = np.frombuffer(b"".join(raw), np.int64)
             at = np.arange(len(s)) - np.repeat(np.cumsum(counts) - counts, counts)
-            bucket, first, second = _bloom_places(s, buckets)
-            start = bucket * (BLOOM_BITS // buckets // 8 * 8)
-            there = np.ones(len(s), bool)
-            for place in (start + first, start + second):
-                there &= (bloom.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
+            there = bloom.held(s, repeated.value)
             columns = [s, np.repeat(batch.column("fp").to_numpy(), counts), at.astype(np.int32), np.repeat(batch.column("n").to_numpy(), counts)]
             yield pa.RecordBatch.from_arrays([pa.array(c[there]) for c in columns], names=["s", "fp", "at", "n"])
 
     return sets.select("fp", "n", "prefix").mapInArrow(kept, "s long, fp long, at int, n int")
 
 
+def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text_hash, text) of the hashes in ``wanted``, once each; other texts are left out where they lie."""
+    known = bloom.filter_of(wanted, "text_hash")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column("text_hash").to_numpy()
+            first = np.zeros(len(hashes), bool)
+            first[np.unique(hashes, return_index=True)[1]] = True
+            yield batch.filter(pa.array(first & bloom.held(hashes, known.value)))
+
+    few = texts.select(F.xxhash64("text").alias("text_hash"), "text").mapInArrow(kept, "text_hash long, text string")
+    return few.groupBy("text_hash").agg(F.first("text").alias("text"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """(fp, root) of the pairs (a, b) whose whole sets are alike.
 
@@ -179,7 +152,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     blocks = sized.groupBy("b").agg(F.ceil(F.sum("n_a") / BUCKET_SHINGLES + 1).cast("int").alias("blocks"))
     sized = materialize(matched(sized, b.join(blocks, "b"), "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")))
     places = sized.select(F.col("text_a").alias("text_hash"), F.col("a").alias("fp"), "b", "block").unionByName(sized.select(F.col("text_b").alias("text_hash"), F.col("b").alias("fp"), "b", "block").distinct())
-    once = texts.withColumn("text_hash", F.xxhash64("text")).join(places.select("text_hash").distinct(), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    once = _texts_of(texts, places)
 
     def verify(block: pa.Table) -> pa.Table:
         hub = block.column("b")[0].as_py()

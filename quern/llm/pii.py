@@ -12,10 +12,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ascii_lower, replaced
+from quern.llm.common import ascii_lower
 
 #: Context is looked for in so many characters on either side.
 WINDOW = 40
+#: Matches, and what lies between them, that fill a window: each pair has three characters or more.
+NEARBY = 14
+#: Pieces of a text whose lengths are summed one by one.
+BLOCK = 256
 #: What a context word adds to a score, and the score from which an added kind is reported.
 CONTEXT_BONUS = 0.3
 REPORT_FROM = 0.6
@@ -94,35 +98,62 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _located(text: Column, matches: Column, pattern: str) -> Column:
-    """(start, match) of each match, from the lengths of what lies between them."""
-    between = F.split(text, pattern)
-    empty = F.array().cast("array<struct<start:int,match:string>>")
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["between"])
-        return F.struct(
-            (start + F.coalesce(F.char_length(x["match"]), F.lit(0))).alias("at"),
-            F.when(x["match"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], F.array(F.struct(start.alias("start"), x["match"].alias("match"))))).alias("found"),
-        )
 
-    pieces = F.zip_with(between, matches, lambda b, m: F.struct(b.alias("between"), m.alias("match")))
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
+def _starts(pieces: Column) -> Column:
+    """Where each piece's match starts: prefix sums in two levels, so that no long array grows one by one."""
+
+    def summed(blocks: Column, size, kept) -> Column:
+        """struct<at,all>: the sum of ``size``, and for each element what ``kept`` gives at the sum before it."""
+        none = F.array().cast("array<int>")
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("all")), lambda acc, x: F.struct((acc["at"] + size(x)).alias("at"), F.concat(acc["all"], F.array(kept(acc["at"], x))).alias("all")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int")), lambda k: F.slice(pieces, k * BLOCK + 1, BLOCK))
+    inside = F.transform(blocks, lambda block: summed(block, lambda x: x["gap"] + x["n"], lambda at, x: at + x["gap"]))
+
+    def placed(inside: Column) -> Column:
+        before = summed(inside, lambda x: x["at"], lambda at, _: at)["all"]
+        return F.flatten(F.zip_with(inside, before, lambda x, o: F.transform(x["all"], lambda v: v + o)))
+
+    return _bound(inside, placed)
 
 
 def _spans(kind: Kind, text: Column, matches: Column) -> Column:
-    def span(x: Column) -> Column:
-        end = x["start"] + F.char_length(x["match"])
-        first = F.greatest(F.lit(0), x["start"] - WINDOW)
-        around = F.concat(F.substring(text, first + 1, x["start"] - first), F.lit(" "), F.substring(text, end + 1, F.lit(WINDOW)))
-        score = F.round(F.lit(kind.prior) + F.when(ascii_lower(around).rlike(kind.context), CONTEXT_BONUS).otherwise(0.0), 2)
-        return F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), end.alias("end"), F.least(score, F.lit(1.0)).alias("score"))
-
-    spans = F.transform(F.filter(_located(text, matches, kind.pattern), lambda x: valid(kind.name, x["match"])), span)
+    """The kind's valid spans.  Only what is valid is located and given a score, in time linear in the text."""
+
+    def piece(between: Column, match: Column) -> Column:
+        ends = F.right(between, F.lit(WINDOW)).alias("tail"), F.left(between, F.lit(WINDOW)).alias("head")
+        return F.struct(F.char_length(between).alias("gap"), *ends, match.alias("match"), F.coalesce(F.char_length(match), F.lit(0)).alias("n"))
+
+    def around(pieces: Column, i: Column) -> Column:
+        """WINDOW characters on either side of a match, from the pieces nearby; of a long piece its end will do."""
+        back = F.least(i, F.lit(NEARBY))
+        before = F.transform(F.slice(pieces, i - back + 1, back), lambda x: F.concat(x["tail"], F.right(x["match"], F.lit(WINDOW))))
+        after = F.transform(F.slice(pieces, i + 2, NEARBY), lambda x: F.concat(x["head"], F.left(F.coalesce(x["match"], F.lit("")), F.lit(WINDOW))))
+        left = F.right(F.concat(F.array_join(before, ""), pieces[i]["tail"]), F.lit(WINDOW))
+        return F.concat(left, F.lit(" "), F.left(F.array_join(after, ""), F.lit(WINDOW)))
+
+    def span(pieces: Column, starts: Column):
+        def at(i: Column) -> Column:
+            near = ascii_lower(around(pieces, i)).rlike(kind.context)
+            score = F.round(F.lit(kind.prior) + F.when(near, CONTEXT_BONUS).otherwise(0.0), 2)
+            return F.struct(F.lit(kind.name).alias("kind"), starts[i].alias("start"), (starts[i] + pieces[i]["n"]).alias("end"), F.least(score, F.lit(1.0)).alias("score"))
+
+        return at
+
+    def found(pieces: Column) -> Column:
+        indices = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: pieces[i]["match"].isNotNull() & valid(kind.name, pieces[i]["match"]))
+        spans = lambda held: F.when(F.size(held) > 0, _bound(_starts(pieces), lambda starts: F.transform(held, span(pieces, starts)))).otherwise(F.array().cast(SPAN))
+        return _bound(indices, spans)
+
+    spans = _bound(F.zip_with(F.split(text, kind.pattern), matches, piece), found)
     if not kind.base:
         spans = F.filter(spans, lambda s: s["score"] >= REPORT_FROM)
-    # Most texts have no match: they skip the second look at the text.
-    return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast(SPAN))
+    # Most texts have no valid match: they skip the second look at the text.
+    return F.when(F.exists(matches, lambda m: valid(kind.name, m)), spans).otherwise(F.array().cast(SPAN))
 
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -132,13 +163,19 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     their score, the others (iban, pan, ssn) from REPORT_FROM.  A null text has no span; an input
     column named ``pii`` is replaced.
     """
-    names = [f"__{k.name}" for k in KINDS]
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    matched = docs.withColumns({n: F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)) for n, k in zip(names, KINDS)})
-    spans = F.concat(*[_spans(k, text, F.col(n)) for n, k in zip(names, KINDS)])
-    return replaced(matched, pii=spans).drop(*names)
+    text = F.coalesce(F.col(f"row.`{text_col}`"), F.lit(""))
+    columns = [c for c in docs.columns if c.lower() != "pii"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
+    matched = rows.withColumns({k.name: F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)) for k in KINDS})
+    spans = F.concat(*[_spans(k, text, F.col(k.name)) for k in KINDS])
+    return matched.select("row", spans.alias("pii")).select(*[F.col(f"row.`{c}`").alias(c) for c in columns], "pii")
 
 
 def spans_text(spans: Column) -> Column:
     """kind:start:end of the spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def scores_text(spans: Column) -> Column:
+    """Scores of the spans in hundredths, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.round(s["score"] * 100).cast("int").cast("string")), ",")

@@ -10,11 +10,13 @@ documents as one column ``row`` beside what it works on.  An empty table gives a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import byte_bpe, co_training, line_dedup, mixing, near_copies
-from quern.llm.common import long_texts, materialize, new_folder, row_key
+from quern.llm import bloom, byte_bpe, co_training, line_dedup, mixing, near_copies
+from quern.llm.common import long_texts, matched, materialize, new_folder, row_key
 
 
 def whole(docs: DataFrame, *columns: str) -> DataFrame:
@@ -45,23 +47,32 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     under one id in a group one stays (the smallest hash); repeated rows are kept once.  Rows without an
     id are never dropped.
     """
-    rows = near_copies.near_copies(docs).where("id is not null").groupBy("label", "id", "text_hash").agg(F.count("*").alias("n"))
-    kept = rows.groupBy("label").agg(F.min(F.struct("id", "text_hash", "n")).alias("first"))
-    kept = materialize(kept.select(F.struct("first.id", "first.text_hash").alias("key"), "first.n"))
-    keyed = whole(docs).withColumn("key", row_key(F.col("row.doc_id"), F.col("row.text"))).where("row.doc_id is not null")
-    found = keyed.join(kept, "key")
+    rows = materialize(near_copies.near_copies(docs).where("id is not null").groupBy("label", "id", "text_hash").agg(F.count("*").alias("n")))
+    first = rows.groupBy("label").agg(F.min(F.struct("id", "text_hash")).alias("first"))
+    judged = matched(rows, first, "label").select(F.struct("id", "text_hash").alias("key"), "n", ((F.col("first.id") == F.col("id")) & (F.col("first.text_hash") == F.col("text_hash"))).alias("stays"))
+    # Rows that go or are there again; all others stay without a join.
+    named = materialize(judged.where("n > 1 or not stays").withColumn("hash", F.xxhash64("key")))
+    touched = bloom.filter_of(named, "hash")
+    keyed = whole(docs).where("row.doc_id is not null").withColumn("key", row_key(F.col("row.doc_id"), F.col("row.text")))
+    keyed = keyed.withColumn("touched", bloom.maybe(F.xxhash64("key"), touched))
+    found = keyed.where("touched").join(named, "key", "left").where("stays is null or stays")
     # Only rows that are there again are compared whole.
     again = found.where("n > 1").dropDuplicates(["key"])
-    return found.where("n = 1").unionByName(again).select("row.*").unionByName(docs.where("doc_id is null"))
+    stay = (keyed.where("not touched"), found.where("n is null"), again)
+    kept = [rows.select("row.*") for rows in stay] + [docs.where("doc_id is null")]
+    return reduce(DataFrame.unionByName, kept)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, none to three times."""
-    mixed = mixing.mix(docs).where("copies > 0").select("id", "source", "text_hash", "copies")
+    """Documents as often as the mix takes them, none to three times; repeated rows together as often as all of them."""
+    mixed = mixing.mix(docs).groupBy("id", "source", "text_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("repeats")).where("copies > 0")
     keyed = whole(docs)
     row = keyed["row"]
     same = row["doc_id"].eqNullSafe(mixed["id"]) & row["source"].eqNullSafe(mixed["source"]) & F.xxhash64(row["text"]).eqNullSafe(mixed["text_hash"])
-    return keyed.join(mixed, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    found = keyed.join(mixed, same)
+    again = found.where("repeats > 1").dropDuplicates(["id", "source", "text_hash"])
+    taken = found.where("repeats = 1").unionByName(again)
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def byte_bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = [k.name for k in pii.KINDS if k.base]
     counts = [F.size(F.filter("pii", _kind_is(k))).cast("long").alias(f"n_{k}") for k in base]
     base_text = pii.spans_text(F.filter("pii", lambda s: s["kind"].isin(base)))
-    return found.select("doc_id", *counts, F.sha2(base_text, 256).alias("base_sha256"), pii.spans_text(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(base_text, 256).alias("base_sha256"), pii.spans_text(F.col("pii")).alias("spans"), pii.scores_text(F.col("pii")).alias("scores"))
 
 
 def _kind_is(kind: str):
@@ -64,8 +64,7 @@ def secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    row = mixed.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
-    return row.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,15 +123,15 @@ FROM marked GROUP BY doc_id
 
 EXACT_TOPK_SQL = """
 WITH whole AS (
-  SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  SELECT row_number() OVER () AS place, CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
   FROM embeddings
   WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+  SELECT q.place, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.place <> c.place WHERE q.vec_id % 20 = 0),
 ranked AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
   FROM scored)
 SELECT * FROM ranked WHERE rank <= 20
 """
@@ -209,13 +208,17 @@ def _pii_sql() -> str:
     )
     spans = ", ".join(f"['{k}:' || x.start || ':' || (x.start + length(x.match)) for x in {k}_x if {rules[k]}] AS {k}" for k in patterns)
     base = [k for k in patterns if k in ("email", "ip", "card", "phone")]
+    # (Score in hundredths without context and with it, context words.)
+    scored = {"email": (90, 100, "mail|contact|write"), "ip": (70, 100, "ip|host|server|address"), "card": (80, 100, "card|visa|credit|payment"), "phone": (80, 100, "phone|tel|call|mobile|fax"), "iban": (70, 100, "iban|bank|account|konto"), "pan": (70, 70, "card"), "ssn": (70, 70, "ssn")}
+    scores = ", ".join(f"[CASE WHEN {near(w)} THEN '{high}' ELSE '{low}' END for x in {k}_x if {rules[k]}] AS {k}_score" for k, (low, high, w) in scored.items())
     return f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 cut AS (SELECT doc_id, text, {cut} FROM texts),
 placed AS (SELECT doc_id, text, {placed} FROM cut),
-spans AS (SELECT doc_id, {spans} FROM placed)
+spans AS (SELECT doc_id, {spans}, {scores} FROM placed)
 SELECT doc_id, {", ".join(f"CAST(len({k}) AS BIGINT) AS n_{k}" for k in base)},
-       sha256(array_to_string({" || ".join(base)}, ',')) AS base_sha256, array_to_string({" || ".join(patterns)}, ',') AS spans
+       sha256(array_to_string({" || ".join(base)}, ',')) AS base_sha256, array_to_string({" || ".join(patterns)}, ',') AS spans,
+       array_to_string({" || ".join(k + "_score" for k in patterns)}, ',') AS scores
 FROM spans
 """
 

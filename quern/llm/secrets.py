@@ -2,12 +2,14 @@
 
 Rules with known keywords and prefixes label credentials.  Their strings form a prefix tree, whose
 states are merged wherever their statistics are compatible (Hoeffding bounds); the result is a
-probabilistic automaton for each format.  Every candidate token of every text is then scored by its
-likelihood under each format against ordinary words.
+probabilistic automaton for each format.  Its moves are by classes of characters, and each move also knows
+how often which character made it, so literal prefixes are learned.  Every candidate token of every text
+is then scored by its likelihood under each format against ordinary words.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import log, log2, sqrt
@@ -15,16 +17,20 @@ from math import log, log2, sqrt
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quern.llm.common import WORD, replaced, smallest
 
-#: Labelled credentials of a kind, and ordinary words, that the automata learn from at most.
+#: Labelled credentials of a kind, and ordinary words of so many texts, that the automata learn from at most.
 SAMPLE_CREDENTIALS = 600
 SAMPLE_WORDS = 3000
 SAMPLE_WORD_DOCS = 300
+#: Longer credentials are scored, but not learned from.
+LEARNED_CHARS = 256
+#: Counts that a move's characters are taken to have had before any was seen.
+BACKOFF = 4.0
 #: Confidence parameter of the merge test.
 ALPHA = 0.05
 #: Share of the labelled credentials that may fall below the threshold, and what lies above all words.
@@ -45,7 +51,7 @@ _ACCESS = regex.compile(ACCESS)
 _HEX = regex.compile(HEX)
 _CANDIDATE = regex.compile(rf"[A-Za-z0-9+/_.=-]{{{CANDIDATE_CHARS},}}")
 
-#: Characters of a class are equally likely within it.
+#: Classes of characters; a character that a move has not seen shares what is left with the others of its class.
 CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/_.=-")
 _CLASS_OF = {c: k for k, chars in enumerate(CLASSES) for c in chars}
 
@@ -63,35 +69,39 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 @dataclass
 class Automaton:
-    """Arrivals, endings and {symbol: (state, count)} of each state; state 0 starts."""
+    """Arrivals, endings and {symbol: (state, count, {character: count})} of each state; state 0 starts."""
 
     arrivals: list[int]
     endings: list[int]
-    moves: list[dict[int, tuple[int, int]]]
+    moves: list[dict[int, tuple[int, int, dict[str, int]]]]
 
-    def bits(self, symbols: list[int]) -> float:
-        """log2 of the probability of a string, unseen moves at a tenth of a count."""
+    def bits(self, token: str) -> float:
+        """log2 of the probability of a token, unseen moves at a tenth of a count."""
         state, total, kinds = 0, 0.0, len(CLASSES) + 1
-        for symbol in symbols:
+        for character in token:
+            symbol = _CLASS_OF[character]
             n = self.arrivals[state] if state is not None else 0
-            following, count = self.moves[state].get(symbol, (None, 0)) if state is not None else (None, 0)
-            total += log2((count + 0.1) / (n + 0.1 * kinds)) - log2(len(CLASSES[symbol]))
+            following, count, seen = self.moves[state].get(symbol, (None, 0, {})) if state is not None else (None, 0, {})
+            likely = (seen.get(character, 0) + BACKOFF / len(CLASSES[symbol])) / (count + BACKOFF)
+            total += log2((count + 0.1) / (n + 0.1 * kinds)) + log2(likely)
             state = following
         n, ended = (self.arrivals[state], self.endings[state]) if state is not None else (0, 0)
         return total + log2((ended + 0.1) / (n + 0.1 * kinds))
 
 
-def infer(strings: list[list[int]], alpha: float = ALPHA) -> Automaton:
+def infer(strings: list[str], alpha: float = ALPHA) -> Automaton:
     """Merge statistically compatible states of the strings' prefix tree, breadth first."""
     arrivals, endings, moves = [0], [0], [{}]
     for string in strings:
         state = 0
         arrivals[0] += 1
-        for symbol in string:
+        for character in string:
+            symbol = _CLASS_OF[character]
             if symbol not in moves[state]:
-                moves[state][symbol] = [len(arrivals), 0]
+                moves[state][symbol] = [len(arrivals), 0, Counter()]
                 arrivals.append(0), endings.append(0), moves.append({})
             moves[state][symbol][1] += 1
+            moves[state][symbol][2][character] += 1
             state = moves[state][symbol][0]
             arrivals[state] += 1
         endings[state] += 1
@@ -108,8 +118,8 @@ def infer(strings: list[list[int]], alpha: float = ALPHA) -> Automaton:
             if not alike(n, endings[a], m, endings[b]):
                 return False
             for symbol in moves[a].keys() | moves[b].keys():
-                to_a, count_a = moves[a].get(symbol, (None, 0))
-                to_b, count_b = moves[b].get(symbol, (None, 0))
+                to_a, count_a, _ = moves[a].get(symbol, (None, 0, None))
+                to_b, count_b, _ = moves[b].get(symbol, (None, 0, None))
                 if not alike(n, count_a, m, count_b):
                     return False
                 if to_a is not None and to_b is not None and to_a != to_b:
@@ -123,12 +133,13 @@ def infer(strings: list[list[int]], alpha: float = ALPHA) -> Automaton:
             a, b = stack.pop()
             arrivals[a] += arrivals[b]
             endings[a] += endings[b]
-            for symbol, (to, count) in moves[b].items():
+            for symbol, (to, count, seen) in moves[b].items():
                 if symbol in moves[a]:
                     moves[a][symbol][1] += count
+                    moves[a][symbol][2] += seen
                     stack.append((moves[a][symbol][0], to))
                 else:
-                    moves[a][symbol] = [to, count]
+                    moves[a][symbol] = [to, count, Counter(seen)]
 
     red, at = [0], 0
     frontier = [(0, s) for s in sorted(moves[0])]
@@ -150,14 +161,10 @@ def infer(strings: list[list[int]], alpha: float = ALPHA) -> Automaton:
             settled.add(blue)
             frontier += [(blue, s) for s in sorted(moves[blue])]
     number = {state: k for k, state in enumerate(red)}
-    kept = [{s: (number[to], n) for s, (to, n) in moves[r].items()} for r in red]
+    kept = [{s: (number[to], n, dict(seen)) for s, (to, n, seen) in moves[r].items()} for r in red]
     return Automaton([arrivals[r] for r in red], [endings[r] for r in red], kept)
 
 
-def symbols_of(token: str) -> list[int]:
-    return [_CLASS_OF[c] for c in token]
-
-
 @dataclass
 class Grammar:
     formats: dict[str, Automaton]
@@ -166,9 +173,8 @@ class Grammar:
 
     def score(self, token: str) -> dict[str, float]:
         """Bits per character that each format explains a token better than words do."""
-        symbols = symbols_of(token)
-        plain = self.words.bits(symbols)
-        return {k: (a.bits(symbols) - plain) / max(1, len(symbols)) for k, a in self.formats.items()}
+        plain = self.words.bits(token)
+        return {k: (a.bits(token) - plain) / max(1, len(token)) for k, a in self.formats.items()}
 
     def secret(self, token: str) -> bool:
         return any(s >= self.thresholds[k] for k, s in self.score(token).items())
@@ -178,7 +184,7 @@ def learn(credentials: dict[str, list[str]], words: list[str]) -> Grammar:
     """Automata of the labelled credentials; thresholds that no ordinary word reaches."""
     # A word is ordinary in any case of its letters.
     usable = sorted({v for w in words if all(c in _CLASS_OF for c in w) for v in (w, w.upper(), w.capitalize())})
-    grammar = Grammar({k: infer([symbols_of(v) for v in vs]) for k, vs in credentials.items() if vs}, infer([symbols_of(w) for w in usable]), {})
+    grammar = Grammar({k: infer(vs) for k, vs in credentials.items() if vs}, infer(usable), {})
     of_words = [grammar.score(w) for w in usable if len(w) >= CANDIDATE_CHARS]
     for kind in grammar.formats:
         own = [grammar.score(v)[kind] for v in credentials[kind]]
@@ -186,30 +192,25 @@ def learn(credentials: dict[str, list[str]], words: list[str]) -> Grammar:
     return grammar
 
 
-def _at_least(n: int):
-    return lambda value: F.char_length(value) >= n
-
-
-def _of_kind(kind: str):
-    return lambda value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
-
-
-def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_CREDENTIALS) -> Grammar:
-    """Learn from at most ``sample`` credentials of each kind that the rules label (smallest hashes)."""
+def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_CREDENTIALS, sample_words: int = SAMPLE_WORDS, sample_word_docs: int = SAMPLE_WORD_DOCS) -> Grammar:
+    """Learn from at most ``sample`` credentials of each kind that the rules label, and ``sample_words`` ordinary words
+    of ``sample_word_docs`` texts (smallest hashes; repeats count once)."""
     text = F.col(f"`{text_col}`")
-    found = {}
-    for kind, pattern, group, least in (("assign", ASSIGN, 2, ASSIGN_CHARS), ("access", ACCESS, 0, ACCESS_CHARS), ("hex", HEX, 0, HEX_CHARS)):
-        values = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), _at_least(least))
-        found[kind] = F.transform(values, _of_kind(kind))
-    labelled = docs.where(text.rlike("AKIA|[:=]|[0-9a-f]{24}")).select(F.explode(F.concat(*found.values())).alias("c")).select("c.kind", "c.value").distinct()
-    credentials = {k: [] for k in found}
-    for kind in credentials:
-        rows = labelled.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample).collect()
-        credentials[kind] = sorted(r.value for r in rows)
-    few = smallest(docs.select(text.alias("text")).where("text is not null"), F.xxhash64("text"), SAMPLE_WORD_DOCS)
+
+    def values(kind: str, pattern: str, group: int, least: int):
+        usable = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda v: F.char_length(v).between(least, LEARNED_CHARS))
+        return F.transform(usable, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    found = F.concat(values("assign", ASSIGN, 2, ASSIGN_CHARS), values("access", ACCESS, 0, ACCESS_CHARS), values("hex", HEX, 0, HEX_CHARS))
+    labelled = docs.where(text.rlike("AKIA|[:=]|[0-9a-f]{24}")).select(F.explode(found).alias("c")).select("c.*").distinct()
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
+    credentials: dict[str, list[str]] = {k: [] for k in KINDS[:3]}
+    for r in labelled.withColumn("place", place).where(F.col("place") <= sample).collect():
+        credentials[r.kind].append(r.value)
+    few = smallest(docs.select(text.alias("text")).where("text is not null"), F.xxhash64("text"), sample_word_docs)
     words = few.distinct().select(F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word")).where(~F.col("word").rlike("[0-9:=]") | F.col("word").rlike("^[0-9]+$")).distinct()
-    words = words.orderBy(F.xxhash64("word"), "word").limit(SAMPLE_WORDS).collect()
-    return learn(credentials, sorted(r.word for r in words))
+    words = words.orderBy(F.xxhash64("word"), "word").limit(sample_words).collect()
+    return learn({k: sorted(v) for k, v in credentials.items()}, sorted(r.word for r in words))
 
 
 def scan_text(text: str | None, grammar: Grammar, known: dict[str, bool] | None = None) -> list[tuple[str, int, int]]:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from quern.llm.bloom import packed
 from quern.llm.common import UPPER, WORD, long_texts, matched, materialize, replaced, shuffle_width
 
 #: Fixed values of the binary Golay code (23,12): length, covering radius, generator polynomial.
@@ -179,15 +180,6 @@ def compare(anchors: np.ndarray, fps: np.ndarray, resident: np.ndarray, threshol
     return forest(*(np.concatenate(x) for x in zip(*found))) if found else (fps[:0], fps[:0])
 
 
-def _packed(keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    """(key, columns as bytes) of the rows of each key."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else []
-    for a, b in zip(starts, np.r_[starts[1:], len(keys)] if len(keys) else []):
-        yield int(keys[a]), *[c[order[a:b]].tobytes() for c in columns]
-
-
 def _links(distinct: DataFrame, threshold: int) -> DataFrame:
     """(fp, root): edges that connect all of ``distinct``'s fingerprints within ``threshold``."""
     spark = distinct.sparkSession
@@ -232,7 +224,7 @@ def _links(distinct: DataFrame, threshold: int) -> DataFrame:
                 homes, anchors, owners = anchors_within(part, threshold)
                 kept = (bits[anchors >> 6] >> (anchors & 63) & 1).astype(bool)
                 sides = [(*blocked(homes.astype(np.int64), part, True), True), (*blocked(anchors[kept].astype(np.int64), part[owners[kept]], False), False)]
-                rows = [(*row, lives) for keys, at, who, lives in sides for row in _packed(keys, at, who)]
+                rows = [(*row, lives) for keys, at, who, lives in sides for row in packed(keys, at, who)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.bool_()))], names=["bucket", "anchors", "fps", "resident"])
 
     def meet(bucket: pa.Table) -> pa.Table:

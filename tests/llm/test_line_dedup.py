@@ -47,7 +47,7 @@ def test_other_columns_stay_and_empty_table(odd_docs, no_docs):
 
 
 def test_shuffled_and_broadcast_bitmaps_agree(odd_docs):
-    bitmaps = line_dedup.drop_bitmaps(odd_docs)
+    bitmaps = line_dedup.keep_bitmaps(odd_docs)
     docs = odd_docs.drop("line_report")
     a = line_dedup.apply_bitmaps(docs, bitmaps.hint("merge"))
     b = line_dedup.apply_bitmaps(docs, F.broadcast(bitmaps))
@@ -73,3 +73,16 @@ def test_query_against_sql(spark, sf_dir):
 def test_native_plan(sample):
     plan = line_dedup.dedup_lines(sample)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_columns_of_any_name_pass_through(spark, odd_docs):
+    clash = {n: F.lit(n) for n in ("__key", "__id", "__hash", "__words", "row", "key", "words", "marked")}
+    out = line_dedup.dedup_lines(odd_docs.withColumns(clash))
+    assert out.where("__key = '__key' and __id = '__id' and __hash = '__hash' and words = 'words' and row = 'row'").count() == odd_docs.count()
+
+
+def test_bitmaps_hold_the_lines_that_stay(spark):
+    shared = "a line of forty characters or a few more, shared"
+    docs = spark.createDataFrame([(i, f"first {i}\n{shared}\nlast" + "\nx" * 70) for i in range(6)], "doc_id long, text string")
+    bitmaps = {r.key.id: r.words for r in line_dedup.keep_bitmaps(docs).collect()}
+    assert bitmaps == {i: {0: (1 << 63) - 1 - 2} for i in range(5)}

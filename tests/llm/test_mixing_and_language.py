@@ -38,8 +38,8 @@ def test_targets(spark):
 
 def test_odd_documents(odd_docs, no_docs):
     rows = mixing.mix(odd_docs).collect()
-    assert sum(r.repeats for r in rows) == odd_docs.count()
-    assert all(0 <= r.copies <= 3 for r in rows) and sum(r.size * r.copies * r.repeats for r in rows) >= sum(r.size * r.repeats for r in rows)
+    assert len(rows) == odd_docs.count()
+    assert all(0 <= r.copies <= 3 for r in rows) and sum(r.size * r.copies for r in rows) >= sum(r.size for r in rows)
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(odd_docs).collect()))
     assert mixing.mix(no_docs).collect() == []
 
@@ -51,6 +51,25 @@ def test_taken_words_come_near_targets(spark):
         assert abs(r.taken - r.target) <= 7
 
 
+def test_repeated_rows_do_not_overshoot(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MANY_REPEATS", 7)
+    monkeypatch.setattr(mixing, "FEW_ENTRIES", 50)
+    rows = [(1, "w " * 5, "a")] * 900 + [(i, "w " * 5, "b") for i in range(900)] + [(None, f"w{i} " * 5, "c") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs)
+    assert mixed.count() == 2700
+    for r in mixed.groupBy("source").agg(F.sum(F.expr("size * copies")).alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r.taken - r.target) <= 5
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 60)
+    rows = [(i, "the quick brown fox and the lazy dog went over the hill " * 3 + str(i), "en") for i in range(400)]
+    rows += [(1000 + i, "der schnelle braune fuchs und der faule hund gingen zum berg " * 3 + str(i), "de") for i in range(6)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample_docs=60)
+    assert model.languages == ["de", "en"]
+
+
 def test_language_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")

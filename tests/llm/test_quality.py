@@ -99,3 +99,42 @@ def test_every_rule_statistic_can_reject():
     bad = np.arange(400) % 20 == 0
     rejected = ~quality_rules.fit_groups(data, 1 - bad.astype(int), np.ones(400, dtype=bool)).judge(data)[1]
     assert rejected[bad].mean() > 0.9 and rejected[~bad].mean() < 0.02
+
+
+def test_exchange_helps_where_both_views_know_something():
+    """Against the classifiers of the seed alone, on rows that no fit has seen."""
+    rng = np.random.default_rng(5)
+    gains = []
+    for _ in range(5):
+        quality = (rng.random(3000) < 0.6).astype(int)
+        signs = np.where(quality[:, None] == 1, 1.0, -1.0)
+        text = signs * np.linspace(1.2, 0.0, 40) * 0.5 + rng.normal(size=(3000, 40))
+        meta = signs * 1.1 + rng.normal(size=(3000, 6))
+        fit, new = slice(0, 1500), slice(1500, 3000)
+        right = [((m.scores(text[new], meta[new])[0] > 0.5) == quality[new]).mean() for m in (co_training.co_train(text[fit], meta[fit], quality[fit], rounds, 24) for rounds in (0, 4))]
+        gains.append(right[1] - right[0])
+    assert np.mean(gains) > 0.03 and min(gains) > 0
+
+
+def test_a_view_that_knows_nothing_is_not_heard():
+    rng = np.random.default_rng(6)
+    quality = (rng.random(2000) < 0.85).astype(int)
+    text = np.where(quality[:, None] == 1, 1.0, -1.0) * 0.7 + rng.normal(size=(2000, 8))
+    meta = rng.normal(size=(2000, 4))
+    fit, new = slice(0, 1000), slice(1000, 2000)
+    alone, both = (co_training.co_train(text[fit], meta[fit], quality[fit], rounds, 60).scores(text[new], meta[new])[0] for rounds in (0, 4))
+    assert ((both > 0.5) == quality[new]).mean() >= ((alone > 0.5) == quality[new]).mean() - 0.005
+
+
+def test_errors_of_both_classifiers_on_held_out_documents(spark):
+    """Fitted on one half of the labelled documents of sf0.01, judged on the other."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").dropDuplicates(["doc_id"]).where("quality is not null")
+    half, rest = labels.where("pmod(xxhash64(doc_id, 'half'), 2) = 0"), labels.where("pmod(xxhash64(doc_id, 'half'), 2) = 1")
+    unseen = docs.join(rest, "doc_id")
+    rules = quality_rules.judge(unseen, quality_rules.fit(docs, half)).where(~quality_rules.base_failed("verdict")).select("quality", F.col("verdict.normal").alias("kept"))
+    both = co_training.classify(unseen, co_training.fit(docs, half)).select(F.col("`quality`"), "doc_id").select("doc_id", F.col("quality.kept").alias("kept")).join(rest, "doc_id").select("quality", "kept")
+    for found in (rules, both):
+        share = {r.quality: r.kept for r in found.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+        assert share[1] > 0.97 and share.get(0, 0) < 0.35

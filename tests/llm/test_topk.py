@@ -7,11 +7,11 @@ from quern.llm import topk
 
 
 def brute(rows, every, k, scale=64):
-    usable = {(i, tuple(math.floor(scale * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    usable = [(i, tuple(math.floor(scale * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, a in usable:
+    for at, (q, a) in enumerate(usable):
         if q % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in usable if i != q)[:k]
+            scored = sorted((-sum(x * y for x, y in zip(a, b)), i) for n, (i, b) in enumerate(usable) if n != at)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
     return sorted(out)
 
@@ -40,6 +40,25 @@ def test_ties_and_many_copies(spark):
     assert found(spark, rows, 100, 5) == brute(rows, 100, 5)
 
 
+def test_repeated_rows_and_ids_are_candidates(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i % 90, rng.normal(size=6).tolist()) for i in range(300)]
+    rows += rows[:40] + [(0, [2.0] * 6)] * 30 + [(7, [1.0] * 6)] * 25
+    assert found(spark, rows, 10, 6) == brute(rows, 10, 6)
+
+
+def test_query_and_its_sql_agree(spark, sf_dir):
+    import duckdb
+
+    from quern.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf_dir}/embeddings.parquet'")
+    got = queries.QUERIES["op2_exact_topk"](spark, sf_dir)
+    want = con.sql(queries.SQL["op2_exact_topk"])
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_beyond_exact_doubles(spark):
     rows = [(0, [3e7, 3.0]), (1, [3e7, 1.0]), (2, [3e7, 2.0]), (3, [-3e7, 0.0])]
     assert found(spark, rows, 20, 5) == brute(rows, 20, 5)
