@@ -15,11 +15,16 @@ def tokens(text: Column) -> Column:
 
 
 def bucket(token: Column, dimension: int = DIMENSION) -> Column:
-    """[P12] The token's MD5 as a 128-bit number modulo ``dimension``, folded 32 bits at a time."""
-    digest = F.md5(token)
-    value = F.lit(0).cast("long")
-    for start in (1, 9, 17, 25):
-        value = (value * (2**32 % dimension) + F.conv(F.substring(digest, start, 8), 16, 10).cast("long")) % dimension
+    """[P12] The token's MD5 as a 128-bit number modulo ``dimension``."""
+    return folded_digest(F.md5(token), dimension)
+
+
+def folded_digest(digest: Column, dimension: int) -> Column:
+    """An MD5 in hex modulo ``dimension``, up to 48 bits at a time."""
+    value, start = F.lit(0).cast("long"), 1
+    for digits in (12, 10, 10):
+        value = (value * (16**digits % dimension) + F.conv(F.substring(digest, start, digits), 16, 10).cast("long")) % dimension
+        start += digits
     return value.cast("int")
 
 
@@ -39,15 +44,15 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def embedding(text: Column, dimension: int = DIMENSION) -> Column:
-    """[P13] Token counts by bucket over their length; the zero vector for an empty text.
+    """[P13] Token counts by bucket over their length; the zero vector for an empty or null text.
 
-    For long texts on many rows prefer ``operators.similarity.bucket_counts``, which counts with a
-    partial aggregation instead of in one expression.
+    Tokens are hashed once: their buckets are bound to a name before they are counted.
     """
-    buckets = F.transform(tokens(text), lambda t: bucket(t, dimension))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
-    length = norm(counts)
-    return F.when(length > 0, F.transform(counts, lambda c: c / length)).otherwise(counts)
+    digests = F.transform(F.coalesce(tokens(text), F.array().cast("array<string>")), F.md5)
+    hashed = F.array(F.transform(digests, lambda d: folded_digest(d, dimension)))
+    places = F.sequence(F.lit(0), F.lit(dimension - 1))
+    counts = F.transform(hashed, lambda b: F.transform(places, lambda p: (F.size(b) - F.size(F.array_remove(b, p))).cast("double")))
+    return F.transform(counts, lambda c: F.transform(F.array(norm(c)), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0)))[0])[0]
 
 
 def fitted(vector: Column, dimension: int) -> Column:

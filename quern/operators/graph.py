@@ -1,239 +1,335 @@
 """Property graph from events: what each event type writes, and the state that the writes leave.
 
-A write program is data: nodes and edges with their keys and properties as column expressions over the
-event and its payload.  ``writes`` turns events into rows, ``folded_nodes`` and ``folded_edges`` fold
-rows into the graph.  Both are plain projections and single aggregations, in batch and in ``foreachBatch``.
+A write program is data: nodes and edges with their keys and properties as SQL expressions over the event
+and its payload.  ``writes`` is one projection and one explode, however long the program; ``folded`` is
+one aggregation over the properties and one over the identities.  Both serve batch and ``foreachBatch``.
+
+Properties keep their type: they are VARIANT values, read by ``variant_get(props['age'], '$', 'int')``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: How a property is written: every time; only if not null; by the first write; from the second write on.
+#: How a property is written: every time (null removes it); only if not null; by the write that makes the
+#: node or edge; by every later write.
 SET, KEEP, ONCE, AGAIN = "set", "keep", "once", "again"
 
+#: What a node (empty kind, key in ``src``) or an edge is told apart by; ``tag`` is a property that an edge is merged on.
+IDENTITY = ("kind", "src_label", "src", "dst_label", "dst", "tag")
+_PROPS = "array<struct<name:string,value:variant,policy:string>>"
+_ROWS = f"array<struct<kind:string,src_label:string,src:string,dst_label:string,dst:string,tag:string,at:int,matched:boolean,writes:{_PROPS}>>"
+
 
 @dataclass(frozen=True)
 class Node:
-    """A node with its key and properties (name: SQL expression), written under one policy each."""
+    """A node with its key and properties (name: SQL expression) by policy.
+
+    ``each`` is an array: the node is written for every element, which is called ``it``.
+    """
 
     label: str
     key: str
     props: dict[str, str] = field(default_factory=dict)
-    policy: str = SET
-    other: dict[str, str] = field(default_factory=dict)
+    keep: dict[str, str] = field(default_factory=dict)
+    once: dict[str, str] = field(default_factory=dict)
+    again: dict[str, str] = field(default_factory=dict)
     when: str = "true"
+    each: str = ""
 
 
 @dataclass(frozen=True)
 class Edge:
-    """An edge between two nodes (label, key expression)."""
+    """An edge between two nodes (label, key expression), which it makes if they are not there.
+
+    ``matched``: the target is not made; the edge is only there if something else has made it before.
+    """
 
     kind: str
     src: tuple[str, str]
     dst: tuple[str, str]
     props: dict[str, str] = field(default_factory=dict)
-    policy: str = SET
+    keep: dict[str, str] = field(default_factory=dict)
+    once: dict[str, str] = field(default_factory=dict)
+    again: dict[str, str] = field(default_factory=dict)
     when: str = "true"
+    each: str = ""
+    tag: str = "''"
+    matched: bool = False
 
 
 def _p(*names: str) -> dict[str, str]:
     return {n: f"payload.{n}" for n in names}
 
 
+def _standard(at: str, prefix: str = "", fields: tuple[str, ...] = ("standard_system", "standard_code", "display")) -> dict[str, str]:
+    """Properties of a mapping to a standard terminology."""
+    return {f"{prefix}{f}": f"{at}.{f}" for f in fields}
+
+
 _PATIENT, _EVENT = ("Patient", "patient_id"), ("ClinicalEvent", "event_id")
-_ORDERED = "payload.medication"
+_TS = "try_cast(event_ts as timestamp)"
+_FROM = {"provenance_source_type": "source_type"}
+_NUMBER = "coalesce(cast(try_cast(payload.value as double) as variant), cast(payload.value as variant))"
 _ALLERGY = "payload.event_family = 'ALLERGY_INTOLERANCE' and payload.allergen <> ''"
+_ALLERGIC = ("AdverseEvent", "concat('ae-allergy-', event_id)")
+#: Substances whose allergies are tied to medications.
+ALLERGENS = ("Penicillin", "Aspirin", "ACE inhibitors", "Morphine", "Sulfa drugs", "Amoxicillin")
 
 #: What every clinical event writes [M01].
 CLINICAL_BASE = (
     Node("Patient", "patient_id"),
     Node("SourceSystem", "source_system", {"type": "source_type"}),
-    Node("ClinicalEvent", "event_id", {c: c for c in ("event_type", "event_ts", "schema_version")}),
-    Node("Encounter", "encounter_id"),
-    Node("Provider", "provider_id", when="patient_id is not null"),
+    Node("ClinicalEvent", "event_id", {"event_type": "event_type", "event_ts": _TS, "text": "text", "schema_version": "schema_version", "ontology_version": "ontology_version"} | _FROM),
     Edge("ABOUT_PATIENT", _EVENT, _PATIENT),
     Edge("FROM_SOURCE", _EVENT, ("SourceSystem", "source_system")),
     Edge("DURING_ENCOUNTER", _EVENT, ("Encounter", "encounter_id")),
-    Edge("SEEN_BY", _PATIENT, ("Provider", "provider_id")),
+    Edge("SEEN_BY", ("Encounter", "encounter_id"), ("Provider", "provider_id")),
+)
+
+_REF, _MEANS = "payload.reference_data", "payload.semantic.reference_context"
+
+
+def _reference(kind: str, label: str, key: str, props: tuple[str, ...], mapped: tuple[str, ...], relation: str, source: bool) -> tuple:
+    """The node of a kind of reference record, and the edge from the patient to it."""
+    there = f"{_REF}.{kind} is not null"
+    keep = {p: f"{_REF}.{kind}.{p}" for p in props} | (_FROM if source else {})
+    for m in mapped:
+        keep |= _standard(f"{_MEANS}.{kind}.{m}_mapping", f"{m}_")
+    node = Node(label, key, keep=keep, when=there)
+    return (node, Edge(relation, _PATIENT, (label, key), when=there)) if relation else (node,)
+
+
+#: What the reference data of an event writes [M02].
+CLINICAL_REFERENCE = (
+    *_reference("patient", "Patient", "patient_id", ("name", "sex", "age", "risk_tier"), ("sex", "risk_tier"), "", False),
+    *_reference("provider", "Provider", "provider_id", ("name", "specialty", "organization", "npi"), ("specialty",), "MANAGED_BY", True),
+    *_reference("device", "Device", "payload.device_id", ("model", "vendor", "device_type"), ("device_type",), "REGISTERED_DEVICE", True),
+    *_reference("medication", "Medication", "payload.medication", ("drug_class", "safety_tier"), ("drug_class", "safety_tier"), "KNOWN_MEDICATION", False),
+    *_reference("payer", "Payer", "payload.payer", ("plan_type", "region", "network_tier"), ("plan_type", "network_tier"), "COVERED_BY", True),
 )
-#: What each clinical event type writes besides [M03, M04, M06, M07, M08, M10].
+
+_CONDITION, _SYMPTOM, _DRUG = ("Condition", "payload.diagnosis"), ("Symptom", "payload.symptom"), ("Medication", "payload.medication")
+_CLAIM, _PROCEDURE = ("Claim", "payload.claim_id"), ("Procedure", "payload.procedure_code")
+#: What each clinical event type writes besides [M03-M08, M10].  ``signals`` and ``outcomes`` are the rules that fired.
 CLINICAL = {
     "CLINICAL_NOTE": (
-        Node("Condition", "payload.diagnosis", {"first_seen_ts": "event_ts"}, ONCE, {"last_seen_ts": "event_ts"}),
-        Node("Symptom", "payload.symptom"),
-        Node("ICD10Code", "payload.icd10_code", {"standard_system": "'ICD10'", "display": "payload.icd10_code"}),
-        Edge("HAS_CONDITION", _PATIENT, ("Condition", "payload.diagnosis"), {"onset_ts": "event_ts"}, ONCE),
-        Edge("HAS_SYMPTOM", _PATIENT, ("Symptom", "payload.symptom")),
-        Edge("DOCUMENTS", _EVENT, ("Condition", "payload.diagnosis")),
-        Edge("DOCUMENTS", _EVENT, ("Symptom", "payload.symptom")),
-        Edge("CODED_AS", ("Condition", "payload.diagnosis"), ("ICD10Code", "payload.icd10_code")),
-        Node("AdverseEvent", "concat('ae-allergy-', event_id)", {"symptom_name": "payload.symptom", "allergen": "payload.allergen", "severity": "coalesce(payload.reaction_severity, 'unknown')", "meddra_term": "payload.diagnosis", "detected_ts": "event_ts"}, ONCE, when=_ALLERGY),
-        Edge("REPORTED_ADVERSE_REACTION", _PATIENT, ("AdverseEvent", "concat('ae-allergy-', event_id)"), when=_ALLERGY),
-        Edge("TRIGGERED_BY_EVENT", ("AdverseEvent", "concat('ae-allergy-', event_id)"), _EVENT, when=_ALLERGY),
+        Node(*_CONDITION, keep=_standard("payload.semantic.condition.mapping") | _FROM, once={"first_seen_ts": _TS}, again={"last_seen_ts": _TS}),
+        Node(*_SYMPTOM, keep=_standard("payload.semantic.symptom.mapping") | _FROM),
+        Edge("HAS_CONDITION", _PATIENT, _CONDITION, once={"onset_ts": _TS}),
+        Edge("HAS_SYMPTOM", _PATIENT, _SYMPTOM),
+        Edge("DOCUMENTS", _EVENT, _CONDITION),
+        Edge("DOCUMENTS", _EVENT, _SYMPTOM),
+        Node("ICD10Code", "payload.icd10_code", {"standard_system": "'ICD10'"}, {"display": "payload.icd10_code"}),
+        Edge("CODED_AS", _CONDITION, ("ICD10Code", "payload.icd10_code")),
+        Node(*_ALLERGIC, once={"symptom_name": "payload.symptom", "detected_ts": _TS, "source_event_id": "event_id", "severity": "coalesce(payload.reaction_severity, 'unknown')", "meddra_term": "payload.diagnosis", "allergen": "payload.allergen", "event_family": "'ALLERGY_INTOLERANCE'"}, when=_ALLERGY),
+        Edge("REPORTED_ADVERSE_REACTION", _PATIENT, _ALLERGIC, when=_ALLERGY),
+        Edge("TRIGGERED_BY_EVENT", _ALLERGIC, _EVENT, when=_ALLERGY),
+        Edge("ASSOCIATED_WITH_MEDICATION", _ALLERGIC, ("Medication", "payload.allergen"), when=f"{_ALLERGY} and payload.allergen in {ALLERGENS}", matched=True),
     ),
     "LAB_RESULT": (
-        Node("Observation", "event_id", {"name": "payload.lab_name", "abnormal": "coalesce(payload.abnormal, false)", "event_ts": "event_ts"} | _p("value", "unit", "lab_panel", "specimen_type")),
+        Node("Observation", "event_id", {"name": "payload.lab_name", "value": _NUMBER, "abnormal": "coalesce(payload.abnormal, false)", "event_ts": _TS} | _p("unit", "lab_panel", "specimen_type"), _standard("payload.semantic.observation.mapping") | _FROM),
         Edge("HAS_OBSERVATION", _PATIENT, ("Observation", "event_id")),
         Edge("DOCUMENTS", _EVENT, ("Observation", "event_id")),
+        Edge("MAY_INDICATE", ("Observation", "event_id"), ("Condition", "it.condition"), {"rule_id": "it.rule_id", "reason": "it.reason"}, each="signals", tag="it.reason"),
     ),
     "VITAL_SIGN": (
-        Node("Device", "payload.device_id", _p("device_type"), KEEP),
-        Node("DeviceReading", "event_id", {"event_ts": "event_ts"} | _p("heart_rate", "spo2", "systolic_bp", "diastolic_bp", "temperature_c", "respiratory_rate", "glucose_mg_dl", "alert")),
+        Node("Device", "payload.device_id", keep=_p("device_type")),
+        Node("DeviceReading", "event_id", {"event_ts": _TS} | _p("heart_rate", "spo2", "systolic_bp", "diastolic_bp", "temperature_c", "respiratory_rate", "glucose_mg_dl", "alert")),
         Edge("HAS_DEVICE_READING", _PATIENT, ("DeviceReading", "event_id")),
         Edge("MEASURED_BY", ("DeviceReading", "event_id"), ("Device", "payload.device_id")),
         Edge("DOCUMENTS", _EVENT, ("DeviceReading", "event_id")),
     ),
     "MEDICATION_ORDER": (
-        Node("Medication", _ORDERED, _p("drug_class"), KEEP),
-        Node("MedicationOrder", "event_id", {"event_ts": "event_ts"} | _p("dose", "route", "frequency", "order_type", "days_supply")),
+        Node(*_DRUG, keep=_p("drug_class") | _standard("payload.semantic.medication.mapping") | _FROM),
+        Node("MedicationOrder", "event_id", {"event_ts": _TS} | _p("dose", "route", "frequency", "order_type", "days_supply")),
+        Edge("ORDERS_MEDICATION", ("MedicationOrder", "event_id"), _DRUG),
         Edge("HAS_MEDICATION_ORDER", _PATIENT, ("MedicationOrder", "event_id")),
-        Edge("ORDERS_MEDICATION", ("MedicationOrder", "event_id"), ("Medication", _ORDERED)),
         Edge("DOCUMENTS", _EVENT, ("MedicationOrder", "event_id")),
     ),
     "CLAIM_STATUS": (
-        Node("Claim", "payload.claim_id", {"event_ts": "event_ts"} | _p("status", "claim_type", "diagnosis_code", "billed_amount", "allowed_amount", "service_date")),
-        Node("Procedure", "payload.procedure_code", {"description": "payload.procedure_description"}, ONCE),
-        Node("Payer", "payload.payer"),
-        Edge("HAS_CLAIM", _PATIENT, ("Claim", "payload.claim_id")),
-        Edge("DOCUMENTS", _EVENT, ("Claim", "payload.claim_id")),
-        Edge("FOR_PROCEDURE", ("Claim", "payload.claim_id"), ("Procedure", "payload.procedure_code")),
-        Edge("SUBMITTED_TO", ("Claim", "payload.claim_id"), ("Payer", "payload.payer")),
+        Node(*_CLAIM, {"event_ts": _TS} | _p("status", "claim_type", "diagnosis_code", "billed_amount", "allowed_amount", "service_date"), _standard("payload.semantic.claim.diagnosis_mapping", "diagnosis_", ("standard_system",)) | _standard("payload.semantic.claim.procedure_mapping", "procedure_", ("standard_system",)) | _FROM),
+        Edge("HAS_CLAIM", _PATIENT, _CLAIM),
+        Edge("DOCUMENTS", _EVENT, _CLAIM),
+        Node(*_PROCEDURE, keep=_standard("payload.semantic.claim.procedure_mapping", "", ("standard_system", "display")) | _FROM, once={"description": "payload.procedure_description"}),
+        Edge("FOR_PROCEDURE", _CLAIM, _PROCEDURE),
+        Edge("SUBMITTED_TO", _CLAIM, ("Payer", "payload.payer")),
+        Edge("RESULTED_IN", _CLAIM, ("AdverseOutcome", "it.outcome"), {"rule_id": "it.rule_id"}, each="outcomes"),
     ),
 }
-#: What every supply-chain event writes [M11], and each type besides [M12-M16].
+_REACTION = ("AdverseEvent", "concat('ae-', note_id)")
+#: What a known reaction to an ordered drug writes [M09], over the rows of ``rules.adverse_matches``.
+ADVERSE = (
+    Node(*_REACTION, once={"symptom_name": "symptom", "detected_ts": _TS, "source_event_id": "note_id", "severity": "severity", "meddra_term": "meddra_term"}),
+    Edge("REPORTED_ADVERSE_REACTION", _PATIENT, _REACTION),
+    Edge("ASSOCIATED_WITH_MEDICATION", _REACTION, ("Medication", "medication")),
+    Edge("TRIGGERED_BY_EVENT", _REACTION, ("ClinicalEvent", "note_id")),
+)
+
+_SUPPLY_EVENT = ("SupplyChainEvent", "event_id")
+#: What every supply-chain event writes [M11].
 SUPPLY_BASE = (
     Node("SourceSystem", "source_system", {"type": "source_type"}),
-    Node("SupplyChainEvent", "event_id", {c: c for c in ("event_type", "event_ts", "schema_version")}),
-    Node("Part", "entity_id"),
-    Node("Facility", "facility_id"),
-    Node("Supplier", "supplier_id"),
-    Edge("FROM_SOURCE", ("SupplyChainEvent", "event_id"), ("SourceSystem", "source_system")),
-    Edge("ABOUT_PART", ("SupplyChainEvent", "event_id"), ("Part", "entity_id")),
-    Edge("AT_FACILITY", ("SupplyChainEvent", "event_id"), ("Facility", "facility_id")),
-    Edge("INVOLVES_SUPPLIER", ("SupplyChainEvent", "event_id"), ("Supplier", "supplier_id")),
+    Node("SupplyChainEvent", "event_id", {"event_type": "event_type", "event_ts": _TS, "text": "text", "schema_version": "schema_version"}),
+    Edge("FROM_SOURCE", _SUPPLY_EVENT, ("SourceSystem", "source_system")),
+    Edge("ABOUT_PART", _SUPPLY_EVENT, ("Part", "entity_id")),
+    Edge("AT_FACILITY", _SUPPLY_EVENT, ("Facility", "facility_id")),
+    Edge("INVOLVES_SUPPLIER", _SUPPLY_EVENT, ("Supplier", "supplier_id")),
 )
-_SUPPLIER, _PART = ("Supplier", "payload.supplier_id"), ("Part", "payload.part_id")
+_SUPPLIER, _PART, _FACILITY = ("Supplier", "payload.supplier_id"), ("Part", "payload.part_id"), ("Facility", "payload.facility_id")
+_DESTINATION = ("Facility", "payload.destination_facility")
+_ORDER, _SHIPMENT = ("PurchaseOrder", "payload.po_number"), ("Shipment", "payload.shipment_id")
+_INSPECTION, _DISRUPTION = ("QualityInspection", "payload.inspection_id"), ("DisruptionEvent", "payload.disruption_id")
+#: What each supply-chain event type writes besides [M12-M16].
 SUPPLY = {
     "PURCHASE_ORDER": (
-        Node("PurchaseOrder", "payload.po_number", {"expected_delivery": "payload.expected_delivery_date"} | _p("quantity", "unit_price", "total_value", "currency", "incoterm", "status")),
-        Edge("ORDERED_FROM", ("PurchaseOrder", "payload.po_number"), _SUPPLIER),
-        Edge("ORDERS_PART", ("PurchaseOrder", "payload.po_number"), _PART),
-        Edge("DELIVERS_TO", ("PurchaseOrder", "payload.po_number"), ("Facility", "payload.destination_facility")),
+        Node(*_SUPPLIER),
+        Node(*_PART, keep={"name": "payload.part_name", "commodity_category": "payload.commodity_category"}),
+        Node(*_DESTINATION),
+        Node(*_ORDER, {"expected_delivery": "payload.expected_delivery_date", "event_ts": _TS} | _p("quantity", "unit_price", "total_value", "currency", "incoterm", "status")),
+        Edge("ORDERED_FROM", _ORDER, _SUPPLIER),
+        Edge("ORDERS_PART", _ORDER, _PART),
+        Edge("DELIVERS_TO", _ORDER, _DESTINATION),
         Edge("SUPPLIES", _SUPPLIER, _PART),
     ),
     "SHIPMENT_UPDATE": (
-        Node("Shipment", "payload.shipment_id", _p("transport_mode", "carrier", "status", "expected_lead_days", "actual_lead_days", "quantity", "customs_cleared")),
-        Edge("SHIPPED_FROM", ("Shipment", "payload.shipment_id"), ("Facility", "payload.origin_facility")),
-        Edge("SHIPPED_TO", ("Shipment", "payload.shipment_id"), ("Facility", "payload.destination_facility")),
-        Edge("CONTAINS_PART", ("Shipment", "payload.shipment_id"), _PART),
-        Edge("FROM_SUPPLIER", ("Shipment", "payload.shipment_id"), _SUPPLIER),
+        Node(*_SHIPMENT, {"event_ts": _TS} | _p("transport_mode", "carrier", "container_id", "status", "expected_lead_days", "actual_lead_days", "quantity", "weight_kg", "customs_cleared")),
+        Edge("SHIPPED_FROM", _SHIPMENT, ("Facility", "payload.origin_facility")),
+        Edge("SHIPPED_TO", _SHIPMENT, _DESTINATION),
+        Edge("CONTAINS_PART", _SHIPMENT, _PART),
+        Edge("FROM_SUPPLIER", _SHIPMENT, _SUPPLIER),
     ),
     "QUALITY_RESULT": (
-        Node("QualityInspection", "payload.inspection_id", _p("inspection_type", "sample_size", "defects_found", "defect_rate", "result", "corrective_action_required")),
-        Edge("INSPECTED_PART", ("QualityInspection", "payload.inspection_id"), _PART),
-        Edge("INSPECTED_AT", ("QualityInspection", "payload.inspection_id"), ("Facility", "payload.facility_id")),
-        Edge("SUPPLIED_BY", ("QualityInspection", "payload.inspection_id"), _SUPPLIER),
+        Node(*_INSPECTION, {"event_ts": _TS} | _p("inspection_type", "sample_size", "defects_found", "defect_rate", "result", "corrective_action_required")),
+        Edge("INSPECTED_PART", _INSPECTION, _PART),
+        Edge("INSPECTED_AT", _INSPECTION, _FACILITY),
+        Edge("SUPPLIED_BY", _INSPECTION, _SUPPLIER),
     ),
     "DISRUPTION_ALERT": (
-        Node("DisruptionEvent", "payload.disruption_id", _p("disruption_type", "severity", "region", "country", "estimated_duration_days", "description", "mitigation_status")),
-        Edge("DISRUPTED_BY", ("Facility", "payload.facility_id"), ("DisruptionEvent", "payload.disruption_id")),
-        Edge("AFFECTS_PART", ("DisruptionEvent", "payload.disruption_id"), ("Part", "explode(payload.affected_parts)")),
+        Node(*_FACILITY, keep=_p("region", "country")),
+        Node(*_DISRUPTION, {"event_ts": _TS} | _p("disruption_type", "severity", "region", "country", "estimated_duration_days", "description", "mitigation_status")),
+        Edge("DISRUPTED_BY", _FACILITY, _DISRUPTION),
+        Edge("AFFECTS_PART", _DISRUPTION, ("Part", "it"), each="payload.affected_parts"),
     ),
     "INVENTORY_LEVEL": (
-        Edge("HOLDS_INVENTORY", ("Facility", "payload.facility_id"), _PART, {"updated_ts": "event_ts"} | _p("on_hand_qty", "allocated_qty", "in_transit_qty", "reorder_point", "below_reorder", "days_of_supply")),
+        Edge("HOLDS_INVENTORY", _FACILITY, _PART, {"updated_ts": _TS} | _p("on_hand_qty", "allocated_qty", "in_transit_qty", "reorder_point", "below_reorder", "days_of_supply")),
     ),
 }
-#: Reference records by kind [M02, M17]: key and properties; null values never replace known ones.
-REFERENCE = {
-    "Patient": ("patient_id", ("name", "sex", "age", "risk_tier")),
-    "Provider": ("provider_id", ("name", "specialty", "organization", "npi")),
-    "Device": ("device_id", ("model", "vendor", "device_type")),
-    "Medication": ("medication", ("drug_class", "safety_tier")),
-    "Payer": ("payer", ("plan_type", "region", "network_tier")),
-    "Supplier": ("supplier_id", ("name", "country", "tier", "risk_tier")),
-    "Part": ("part_id", ("name", "category", "commodity")),
-    "Facility": ("facility_id", ("name", "country", "facility_type")),
+#: What supply-chain reference records write, by kind [M17]; null values never replace known ones.
+SUPPLY_REFERENCE = {
+    "SUPPLIER": (Node(*_SUPPLIER, keep=_p("name", "country", "region", "tier", "risk_score", "iso_certified", "geopolitical_risk")),),
+    "PART": (Node(*_PART, keep={"name": "payload.part_name"} | _p("commodity_category", "criticality", "lead_time_days", "supplier_count", "single_source")),),
+    "FACILITY": (Node(*_FACILITY, keep=_p("name", "facility_type", "country", "region", "capacity_utilization", "operational_status")),),
 }
 
+#: What programs may refer to; columns that the events lack are null.
+_OPTIONAL = {
+    "text": "string",
+    "ontology_version": "string",
+    "signals": "array<struct<condition:string,reason:string,rule_id:string>>",
+    "outcomes": "array<struct<outcome:string,rule_id:string>>",
+}
 
-def _entries(props: dict[str, str], policy: str):
-    """Property writes as an array of (name, value, policy); KEEP leaves nulls out."""
-    made = [F.struct(F.lit(n).alias("name"), F.expr(e).cast("string").alias("value"), F.lit(policy).alias("policy")) for n, e in props.items()]
-    empty = F.array().cast("array<struct<name:string,value:string,policy:string>>")
-    out = F.array(*made) if made else empty
-    return F.filter(out, lambda w: w["value"].isNotNull()) if policy in (KEEP, ONCE, AGAIN) else out
 
+def program_of(base: tuple, by_type: dict[str, tuple], kind: str = "event_type") -> tuple:
+    """``base``, then each type's items for the events of that type."""
+    typed = [replace(item, when=f"{kind} = '{name}' and ({item.when})") for name, items in by_type.items() for item in items]
+    return (*base, *typed)
 
-def writes(events: DataFrame, program: tuple, order: str = "arrival_seq") -> tuple[DataFrame, DataFrame]:
-    """Node writes (label, key, seq, writes) and edge writes (kind, src_label, src, dst_label, dst, seq, writes).
 
-    A node or edge with a null key is left out, the rest of the event is written all the same.  An edge
-    also writes its two end nodes.
-    """
-    nodes, edges = [], []
-    seq = F.col(order).alias("seq")
-    none = _entries({}, SET).alias("writes")
-    for item in program:
-        rows = events.where(item.when)
-        if isinstance(item, Node):
-            made = F.concat(_entries(item.props, item.policy), _entries(item.other, AGAIN)).alias("writes")
-            nodes.append(rows.select(F.lit(item.label).alias("label"), F.expr(item.key).cast("string").alias("key"), seq, made))
-        else:
-            ends = rows.select(F.lit(item.kind).alias("kind"), F.lit(item.src[0]).alias("src_label"), F.expr(item.src[1]).alias("src"), F.lit(item.dst[0]).alias("dst_label"), F.expr(item.dst[1]).alias("dst"), seq, _entries(item.props, item.policy).alias("writes"))
-            ends = ends.withColumns({c: F.col(c).cast("string") for c in ("src", "dst")})
-            edges.append(ends)
-            nodes += [ends.select(F.col(f"{e}_label").alias("label"), F.col(e).alias("key"), "seq", none) for e in ("src", "dst")]
-    joined = lambda parts: reduce(DataFrame.unionByName, parts) if parts else None
-    found, links = joined(nodes), joined(edges)
-    return found.where("key is not null"), (links.where("src is not null and dst is not null") if links is not None else None)
-
-
-def reference_writes(rows: DataFrame, label: str, order: str = "arrival_seq") -> DataFrame:
-    """[M02, M17] Node writes of reference records of one kind; properties that the rows lack are skipped."""
-    key, props = REFERENCE[label]
-    known = {p: p for p in props if p in rows.columns}
-    return rows.where(F.col(key).isNotNull()).select(F.lit(label).alias("label"), F.col(key).cast("string").alias("key"), F.col(order).alias("seq"), _entries(known, KEEP).alias("writes"))
-
-
-def _folded(written: DataFrame, identity: list[str]) -> DataFrame:
-    """One row per identity with ``props``, each property by its policy; a last null removes it.
-
-    ``again`` properties count from the identity's second write; a hot identity is combined map-side.
-    """
-    firsts = written.groupBy(*identity).agg(F.min("seq").alias("born"))
-    single = written.select(*identity, "seq", F.explode("writes").alias("w")).select(*identity, "seq", "w.*")
-    latest = single.where(F.col("policy").isin(SET, KEEP)).groupBy(*identity, "name").agg(F.max(F.struct("seq", "value"))["value"].alias("value"))
-    first = single.where(F.col("policy") == ONCE).groupBy(*identity, "name").agg(F.min(F.struct("seq", "value"))["value"].alias("value"))
-    later = single.where(F.col("policy") == AGAIN).join(firsts, identity).where("seq > born").groupBy(*identity, "name").agg(F.max(F.struct("seq", "value"))["value"].alias("value"))
-    known = latest.unionByName(first).unionByName(later).where("value is not null")
-    props = known.groupBy(*identity).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "value")))).alias("props"))
-    out = firsts.drop("born").join(props, identity, "left")
-    return out.withColumn("props", F.coalesce("props", F.create_map().cast("map<string,string>")))
+def _row(kind: str, src: tuple[str, str], dst: tuple[str, str], tag: str, at: int, matched: bool, props: str) -> str:
+    fields = {"kind": f"'{kind}'", "src_label": f"'{src[0]}'", "src": f"cast({src[1]} as string)", "dst_label": f"'{dst[0]}'", "dst": f"cast({dst[1]} as string)", "tag": f"cast({tag} as string)", "at": str(at), "matched": str(matched).lower(), "writes": props}
+    return "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ")"
 
 
-def folded_nodes(written: DataFrame) -> DataFrame:
-    """(label, key, props)"""
-    return _folded(written, ["label", "key"])
+def _rows(item: Node | Edge, at: int) -> str:
+    """SQL of the array of rows that an item of a program writes."""
+    policies = ((SET, item.props), (KEEP, item.keep), (ONCE, item.once), (AGAIN, item.again))
+    entries = [f"named_struct('name', '{n}', 'value', cast({e} as variant), 'policy', '{policy}')" for policy, props in policies for n, e in props.items()]
+    none = f"cast(array() as {_PROPS})"
+    props = f"array({', '.join(entries)})" if entries else none
+    nothing = ("", "''")
+    if isinstance(item, Node):
+        there = f"({item.key}) is not null"
+        made = [_row("", (item.label, item.key), nothing, "''", at, False, props)]
+    else:
+        there = f"({item.src[1]}) is not null and ({item.dst[1]}) is not null"
+        ends = (item.src,) if item.matched else (item.src, item.dst)
+        made = [_row("", end, nothing, "''", at, False, none) for end in ends]
+        made.append(_row(item.kind, item.src, item.dst, item.tag, at, item.matched, props))
+    rows = f"if(coalesce(({item.when}) and {there}, false), cast(array({', '.join(made)}) as {_ROWS}), cast(array() as {_ROWS}))"
+    return f"coalesce(flatten(transform({item.each}, it -> {rows})), cast(array() as {_ROWS}))" if item.each else rows
 
 
-def folded_edges(written: DataFrame) -> DataFrame:
-    """(kind, src_label, src, dst_label, dst, props)"""
-    return _folded(written, ["kind", "src_label", "src", "dst_label", "dst"])
+def writes(events: DataFrame, program: tuple, order: str = "arrival_seq") -> DataFrame:
+    """(kind, src_label, src, dst_label, dst, tag, at, matched, writes, seq): what each event writes.
 
+    A node with a null key is left out, and so is an edge with a null end; the rest of the event is
+    written all the same.  An edge also writes its end nodes.
+    """
+    missing = {c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in events.columns}
+    made = F.expr(f"concat({', '.join(_rows(item, at) for at, item in enumerate(program))})")
+    return events.withColumns(missing).select(F.col(order).cast("long").alias("seq"), F.explode(made).alias("w")).select("seq", "w.*")
+
+
+def folded(written: DataFrame) -> DataFrame:
+    """One row per identity: (identity, matched, born, last_seq, props map<string,variant>).
 
-def build(events: DataFrame, base: tuple, by_type: dict[str, tuple], typed, order: str = "arrival_seq") -> tuple[DataFrame, DataFrame]:
-    """[S10] The graph that ``events`` leave; ``typed(events, type)`` gives a type's events with ``payload``."""
-    parts = [writes(events, base, order)] + [writes(typed(events, kind), program, order) for kind, program in by_type.items()]
-    nodes = reduce(DataFrame.unionByName, [n for n, _ in parts])
-    edges = reduce(DataFrame.unionByName, [e for _, e in parts if e is not None])
-    return folded_nodes(nodes), folded_edges(edges)
+    ``born`` (seq, at) is the identity's first write; later events win, then later items of a program.  A
+    hot identity is combined map-side; what is collected for one is bounded by its program's properties.
+    """
+    single = written.select(*IDENTITY, "seq", "at", "matched", F.explode_outer("writes").alias("w")).select(*IDENTITY, "seq", "at", "matched", "w.*")
+    single = single.where("policy is null or policy <> 'keep' or value is not null")
+    place = F.struct("seq", "at")
+    # Of writes in one place (a redelivered event) the larger value wins, so reruns agree.
+    ranked = F.struct("seq", "at", F.col("value").cast("string").alias("shown"))
+    of = lambda *policies: F.when(F.col("policy").isin(*policies), ranked)
+    by_name = single.groupBy(*IDENTITY, "name").agg(
+        F.min(place).alias("born"),
+        F.max("seq").alias("last_seq"),
+        F.min("matched").alias("matched"),
+        F.max_by("value", of(SET, KEEP)).alias("last"),
+        F.min_by("value", of(ONCE)).alias("once"),
+        F.min(F.when(F.col("policy") == ONCE, place)).alias("once_at"),
+        F.max_by("value", of(AGAIN)).alias("again"),
+        F.max(F.when(F.col("policy") == AGAIN, place)).alias("again_at"),
+    )
+    entry = F.struct("name", "last", "once", "once_at", "again", "again_at")
+    whole = by_name.groupBy(*IDENTITY).agg(F.min("born").alias("born"), F.max("last_seq").alias("last_seq"), F.min("matched").alias("matched"), F.collect_list(F.when(F.col("name").isNotNull(), entry)).alias("entries"))
+    value = lambda e: F.coalesce(e["last"], F.when(e["again_at"] > F.col("born"), e["again"]), F.when(e["once_at"] == F.col("born"), e["once"]))
+    known = F.filter(F.transform("entries", lambda e: F.struct(e["name"].alias("name"), value(e).alias("value"))), lambda e: e["value"].isNotNull())
+    return whole.select(*IDENTITY, "matched", "born", "last_seq", F.map_from_entries(known).alias("props"))
+
+
+def nodes_of(graph: DataFrame) -> DataFrame:
+    """(label, key, props, born) of a folded graph."""
+    return graph.where("kind = ''").select(F.col("src_label").alias("label"), F.col("src").alias("key"), "props", F.col("born.seq").alias("born"))
+
+
+def edges_of(graph: DataFrame) -> DataFrame:
+    """(kind, src_label, src, dst_label, dst, tag, props): edges whose matched targets are there."""
+    edges = graph.where("kind <> ''")
+    target = nodes_of(graph).select(F.col("label").alias("dst_label"), F.col("key").alias("dst"), F.col("born").alias("there_from"))
+    met = edges.where("matched").join(target, ["dst_label", "dst"]).where("there_from <= last_seq")
+    columns = [*IDENTITY, "props"]
+    return edges.where("not matched").select(*columns).unionByName(met.select(*columns))
+
+
+def build(events: DataFrame, program: tuple, order: str = "arrival_seq") -> tuple[DataFrame, DataFrame]:
+    """[S10] Nodes and edges that ``events`` leave."""
+    graph = folded(writes(events, program, order))
+    return nodes_of(graph), edges_of(graph)
 
 
 def edge_table(edges: DataFrame, kind: str) -> DataFrame:
     """(src, dst, props) of one kind, for ``patterns``."""
     return edges.where(F.col("kind") == kind).select("src", "dst", "props")
+
+
+def shown(props: str = "props"):
+    """Properties as text, ``name=value`` by name, joined by semicolons."""
+    pairs = F.array_sort(F.map_entries(F.transform_values(props, lambda _, v: v.cast("string"))))
+    return F.array_join(F.transform(pairs, lambda p: F.concat_ws("=", p["key"], p["value"])), ";")

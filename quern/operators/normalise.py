@@ -126,11 +126,76 @@ def reference_summary(kinds: list[str]) -> Column:
     return T.sentences(*said)
 
 
-def vector_record(text: str = "text") -> list[Column]:
-    """[P15, P16, S08] Point id, embedding and flat payload of an enriched event, for a keyed vector table."""
-    kept = ("event_id", "event_ts", "event_type", "patient_id", "source_system", "source_type", "reference_hit_count", "trust_level", "phi_class", "retention_class")
-    return [
-        T.point_id(F.col("event_id")).alias("point_id"),
-        V.embedding(F.col(text)).alias("embedding"),
-        F.struct(*kept, (F.coalesce("reference_hit_count", F.lit(0)) > 0).alias("enriched"), F.lit("vector_event_text").alias("evidence_class"), text).alias("payload"),
-    ]
+#: Payload fields of a point that are taken from the event.
+POINT_FIELDS = ("event_id", "event_ts", "event_type", "event_family", "source_system", "source_type", "ontology_version", "trust_level", "phi_class", "retention_class")
+
+
+def vector_record(events: DataFrame, text: str = "text", payload: str = "payload", ids: dict[str, str] | None = None) -> DataFrame:
+    """[P15, P16, S08] (point_id, arrival_seq, embedding, payload) of enriched events, for a keyed vector table.
+
+    The payload has POINT_FIELDS (null where the events lack one), ``enriched`` and ``reference_hit_count``
+    (by default false and 0), the evidence class, the text, the event's own payload, and a field for each of
+    ``ids`` (name: event column).
+    """
+    of = lambda c: F.col(c) if c in events.columns else F.lit(None).cast("string")
+    family = F.col(f"{payload}.event_family") if "event_family" not in events.columns and payload in events.columns and "event_family" in events.schema[payload].dataType.fieldNames() else of("event_family")
+    fields = [(family if c == "event_family" else of(c)).alias(c) for c in POINT_FIELDS]
+    hits = F.coalesce(F.col("reference_hit_count"), F.lit(0)) if "reference_hit_count" in events.columns else F.lit(0)
+    enriched = F.coalesce(F.col("enriched"), F.lit(False)) if "enriched" in events.columns else hits > 0
+    own = [F.col(payload).alias("payload")] if payload in events.columns else []
+    named = [F.col(column).alias(name) for name, column in (ids or {"patient_id": "patient_id"}).items()]
+    record = F.struct(*fields, enriched.alias("enriched"), hits.alias("reference_hit_count"), F.lit("vector_event_text").alias("evidence_class"), F.col(text).alias("text"), *own, *named)
+    order = F.col("arrival_seq") if "arrival_seq" in events.columns else F.lit(0).cast("long")
+    return events.select(T.point_id(F.col("event_id")).alias("point_id"), order.alias("arrival_seq"), V.embedding(F.col(text)).alias("embedding"), record.alias("payload"))
+
+
+#: Where the mapping of a payload field to a standard terminology goes, and in which vocabulary it is looked up.
+SEMANTICS = {
+    "LAB_RESULT": {"observation": ("lab_name", "labs")},
+    "MEDICATION_ORDER": {"medication": ("medication", "medications")},
+    "CLINICAL_NOTE": {"symptom": ("symptom", "adverse_reactions"), "condition": ("diagnosis", "conditions")},
+}
+#: Vocabularies of reference fields: (kind of record, field): family.
+REFERENCE_SEMANTICS = {
+    ("patient", "sex"): "patient_sex",
+    ("patient", "risk_tier"): "patient_risk_tiers",
+    ("provider", "specialty"): "provider_specialties",
+    ("device", "device_type"): "device_types",
+    ("medication", "drug_class"): "medication_drug_classes",
+    ("medication", "safety_tier"): "medication_safety_tiers",
+    ("payer", "plan_type"): "payer_plan_types",
+    ("payer", "network_tier"): "payer_network_tiers",
+}
+
+
+def mapped(events: DataFrame, vocabulary: DataFrame, code: Column, family: str, name: str) -> DataFrame:
+    """[J03, P06] ``events`` with ``name``: local code, system, code and display of a term; null on a miss.
+
+    The join is the optimizer's choice: terminologies may be large.
+    """
+    found = F.struct("local_code", "standard_system", "standard_code", "display") if "standard_code" in vocabulary.columns else F.struct("local_code", "standard_system", F.col("local_code").alias("standard_code"), "display")
+    terms = vocabulary.where(F.col("family") == family).select(F.col("lookup").alias("__lookup"), found.alias(name))
+    return events.join(terms, T.folded(code) == F.col("__lookup"), "left").drop("__lookup")
+
+
+def semantics(events: DataFrame, vocabulary: DataFrame, event_type: str) -> DataFrame:
+    """[P05, P07] Events of one type with a column ``<entity>_mapping`` for what the type maps; claims map to themselves."""
+    out = normalised(events, event_type)
+    for entity, (field, family) in SEMANTICS.get(event_type, {}).items():
+        out = mapped(out, vocabulary, F.col(f"payload.{field}"), family, f"{entity}_mapping")
+    if event_type == "CLAIM_STATUS":
+        out = out.withColumns({
+            "diagnosis_mapping": code_mapping("ICD10", F.col("payload.diagnosis_code"), F.col("payload.diagnosis_code")),
+            "procedure_mapping": code_mapping("CPT", F.col("payload.procedure_code"), F.col("payload.procedure_description")),
+        })
+    return out
+
+
+def reference_semantics(events: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """[P06] Events with ``payload.reference_data`` in standard spelling and a column ``<kind>_<field>_mapping`` for each of the eight."""
+    kinds = list(REFERENCE_FIELDS)
+    raw = events.select("*", *[F.col(f"payload.reference_data.{k}").alias(k) for k in kinds])
+    out = normalised_reference(raw, kinds)
+    for (kind, field), family in REFERENCE_SEMANTICS.items():
+        out = mapped(out, vocabulary, F.col(f"{kind}.{field}"), family, f"{kind}_{field}_mapping")
+    return out

@@ -1,14 +1,18 @@
 """Graph patterns over edge DataFrames (src, dst, properties).
 
-Every pattern is a chain of equi-joins; EXISTS is a left semi join, OPTIONAL a left join, and lists are
-collected per entity before they meet, so two lists never multiply.
+Every pattern is a chain of equi-joins; EXISTS is a left semi join, OPTIONAL a left join.  Lists are cut
+by rank before they are collected, so no entity, however many rows it has, fills a task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.shared import materialize
+
 #: Order states that do not count as active.
 INACTIVE = ("discontinued", "hold")
 
@@ -35,18 +39,37 @@ def lacking(rows: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(evidence.select(*keys), keys, "left_anti")
 
 
-def listed(columns: list[Column] | Column, limit: int) -> Column:
-    """[A01, A02] The first ``limit`` of the distinct values in sorted order; all-null values are skipped."""
-    value = F.struct(*columns) if isinstance(columns, list) else columns
-    return F.slice(F.array_sort(F.collect_set(value)), 1, limit)
+def collected(rows: DataFrame, owner: str, limits: dict[str, int]) -> DataFrame:
+    """[A01, A02, A20] (owner, lists): for each column named, the first so many distinct values, sorted.
+
+    A row has a value in one of the columns at most (``unionByName(allowMissingColumns=True)`` makes such
+    rows); nulls are skipped.  Repeats are folded and ranks cut map-side before anything is collected.
+    """
+    names = list(limits)
+    once = rows.select(owner, *names).distinct()
+    which = F.coalesce(*[F.when(F.col(n).isNotNull(), F.lit(i)) for i, n in enumerate(names)])
+    place = F.row_number().over(Window.partitionBy(owner, "__which").orderBy(*names))
+    ranked = once.withColumn("__which", which).where("__which is not null").withColumn("__place", place).where(F.col("__place") <= max(limits.values()))
+    kept = ranked.where(F.col("__place") <= F.element_at(F.array(*map(F.lit, limits.values())), F.col("__which") + 1))
+    return kept.groupBy(owner).agg(*[F.array_sort(F.collect_list(n)).alias(n) for n in names])
+
 
+def listed(rows: DataFrame, owner: str, value: Column | list[Column], limit: int, name: str = "v") -> DataFrame:
+    """[A01, A02] (owner, list) of one kind of value; several columns make a struct."""
+    packed = F.struct(*value) if isinstance(value, list) else value
+    return collected(rows.select(owner, packed.alias(name)), owner, {name: limit})
 
-def with_lists(entities: DataFrame, key: str, lists: dict[str, DataFrame]) -> DataFrame:
-    """[C01-C11, A20] ``entities`` with a list from each table (key, list); an empty list where it has none."""
-    out = entities
-    for name, table in lists.items():
-        out = out.join(table.withColumnsRenamed({table.columns[0]: "__key", table.columns[1]: name}), F.col(key) == F.col("__key"), "left").drop("__key")
-    return out.withColumns({n: F.coalesce(F.col(n), F.array().cast(dict(out.dtypes)[n])) for n in lists})
+
+def with_lists(entities: DataFrame, key: str, rows: DataFrame, owner: str, limits: dict[str, int]) -> DataFrame:
+    """[C01-C11, A20] ``entities`` with all lists of ``collected``; an empty list where there is none."""
+    lists = collected(rows, owner, limits).withColumnRenamed(owner, "__key")
+    out = entities.join(lists, F.col(key) == F.col("__key"), "left").drop("__key")
+    return out.withColumns({n: F.coalesce(F.col(n), F.array().cast(dict(out.dtypes)[n])) for n in limits})
+
+
+def together(*frames: DataFrame) -> DataFrame:
+    """Rows of several frames; columns that one lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def diamond(orders: DataFrame, links: DataFrame) -> DataFrame:
@@ -103,10 +126,13 @@ def without(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.drop(*columns)
 
 
-def listed_in_order(value: Column, order: Column, limit: int) -> Column:
-    """[A03, O05] All values, repeats included, by ``order``; the first ``limit``."""
-    pairs = F.array_sort(F.collect_list(F.struct(order.alias("order"), value.alias("value"))))
-    return F.transform(F.slice(pairs, 1, limit), lambda p: p["value"])
+def listed_in_order(rows: DataFrame, owner: str, value: Column, order: Column, limit: int, name: str = "v") -> DataFrame:
+    """[A03, O05] (owner, list): the first ``limit`` values by ``order``, repeats included."""
+    placed = rows.select(owner, order.alias("__order"), value.alias("__value"))
+    place = F.row_number().over(Window.partitionBy(owner).orderBy("__order", "__value"))
+    first = placed.withColumn("__place", place).where(F.col("__place") <= limit)
+    pairs = F.array_sort(F.collect_list(F.struct("__place", "__value")))
+    return first.groupBy(owner).agg(F.transform(pairs, lambda p: p["__value"]).alias(name))
 
 
 def involved(*ids: Column) -> Column:
@@ -114,12 +140,34 @@ def involved(*ids: Column) -> Column:
     return F.array_sort(F.array_compact(F.array_distinct(F.concat(*ids))))
 
 
-def lifecycle(events: DataFrame, owner: str, order: str) -> DataFrame:
-    """[W05] ``step``, the event's place in its owner's history, and ``previous`` type (null at first).
+def history(rows: DataFrame, owner: str, order: list[str], previous: str | None = None, size: Column | None = None) -> DataFrame:
+    """[W01, W05] ``rows`` with ``step`` (place in the owner's history), ``previous`` (that column's value one
+    step before) and ``used`` (sum of ``size`` so far), as far as they are asked for.
 
-    A window over the owner: an owner's history is one task's work.
+    Two levels, so that an owner with most of the rows is not one task's work: rows are dealt to ranges of
+    (owner, order), each range is numbered alone, and what lies before it is added.  A range begins
+    inside one owner at most, so what is added is at most a row for each range, and is broadcast.
     """
-    from pyspark.sql import Window
-
-    history = Window.partitionBy(owner).orderBy(order)
-    return events.withColumns({"step": F.row_number().over(history), "previous": F.lag("event_type").over(history)})
+    sized = rows.withColumns({"__size": size if size is not None else F.lit(0)})
+    ranged = materialize(sized.repartitionByRange(owner, *order).withColumn("__range", F.spark_partition_id()))
+    inside = Window.partitionBy(owner, "__range").orderBy(*order)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.max_by(F.struct(F.col(previous or owner).alias("v")), F.struct(*order))
+    parts = ranged.groupBy(owner, "__range").agg(F.count("*").alias("n"), F.sum("__size").alias("s"), last.alias("last"))
+    before = Window.partitionBy(owner).orderBy("__range")
+    earlier = before.rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(F.col(owner).alias("__owner"), F.col("__range").alias("__at"), F.sum("n").over(earlier).alias("__n"), F.sum("s").over(earlier).alias("__s"), F.lag("last").over(before).alias("__last"))
+    starts = starts.where("__n is not null")
+    met = ranged.withColumns({"__step": F.row_number().over(inside), "__used": F.sum("__size").over(so_far), "__lag": F.lag(F.struct(F.col(previous or owner).alias("v"))).over(inside)})
+    met = met.join(F.broadcast(starts), F.col(owner).eqNullSafe(F.col("__owner")) & (F.col("__range") == F.col("__at")), "left")
+    wanted = {"step": (F.col("__step") + F.coalesce("__n", F.lit(0))).cast("int")}
+    if previous:
+        wanted["previous"] = F.coalesce("__lag", "__last")["v"]
+    if size is not None:
+        wanted["used"] = F.coalesce("__used", F.lit(0)) + F.coalesce("__s", F.lit(0))
+    return met.select(*rows.columns, *[c.alias(n) for n, c in wanted.items()])
+
+
+def lifecycle(events: DataFrame, owner: str, order: str, kind: str = "event_type") -> DataFrame:
+    """[W05] ``step``, the event's place in its owner's history, and ``previous`` type (null at first)."""
+    return history(events, owner, [order], previous=kind)

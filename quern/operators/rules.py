@@ -1,7 +1,7 @@
 """Declarative rules as joins, and lookups of reference data.
 
-Rule tables are small and of fixed size (a rule pack), so they are broadcast; the facts are never
-shuffled.  Lookups leave the choice of join to the optimizer, which knows the dimension's size.
+A rule pack is broadcast once its size is checked (``packed``), so the facts are not shuffled.  Lookups
+(vocabularies, reactions, reference data) leave the choice of join to the optimizer.
 """
 
 from __future__ import annotations
@@ -9,6 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.graph import ALLERGENS
+
+
+#: Rules that a pack may have to be broadcast; larger ones are joined as the optimizer sees fit.
+MAX_RULES = 10_000
+
+
+def packed(rules: DataFrame) -> DataFrame:
+    """``rules``, to be broadcast if there are few; counting stops right after MAX_RULES."""
+    return F.broadcast(rules) if rules.limit(MAX_RULES + 1).count() <= MAX_RULES else rules
+
 
 def compared(value: Column, operator: Column, bound: Column) -> Column:
     """``value`` against ``bound`` by operator name; a missing operator is ``eq``, a wrong one an error."""
@@ -23,15 +34,16 @@ def compared(value: Column, operator: Column, bound: Column) -> Column:
     )
 
 
-def threshold_signals(facts: DataFrame, rules: DataFrame, name: str, value: str, exact: bool = False) -> DataFrame:
+def threshold_signals(facts: DataFrame, rules: DataFrame, name: str, value: str, exact: bool = False, keep: bool = False) -> DataFrame:
     """[J05, F07] ``facts`` joined with every rule that fires: equal names, and the value compared.
 
     Names are compared without case; ``exact=True`` keeps the case.  Non-numeric values fire nothing.
+    ``keep`` also returns facts that fire nothing, with nulls.
     """
     same = F.col(f"f.{name}") == F.col("r.observation") if exact else F.lower(F.col(f"f.{name}")) == F.lower(F.col("r.observation"))
     measured = F.col(f"f.{value}").try_cast("double")
     fires = same & compared(measured, F.col("r.operator"), F.col("r.bound"))
-    return facts.alias("f").join(F.broadcast(rules).alias("r"), fires).select("f.*", *[F.col(f"r.{c}").alias(c) for c in ("rule_id", "condition", "reason", "severity")])
+    return facts.alias("f").join(packed(rules).alias("r"), fires, "left" if keep else "inner").select("f.*", *[F.col(f"r.{c}").alias(c) for c in ("rule_id", "condition", "reason", "severity")])
 
 
 def wildcard_signals(facts: DataFrame, rules: DataFrame, kind: str, code: str) -> DataFrame:
@@ -42,7 +54,7 @@ def wildcard_signals(facts: DataFrame, rules: DataFrame, kind: str, code: str) -
     of_kind = F.col("r.claim_type").isNull() | (F.col("r.claim_type") == F.col(f"f.{kind}"))
     of_code = F.col("r.codes").isNull() | F.array_contains(F.col("r.codes"), F.col(f"f.{code}").cast("string"))
     fires = F.coalesce(of_kind & of_code, F.lit(False))
-    return facts.alias("f").join(F.broadcast(rules).alias("r"), fires).select("f.*", *[F.col(f"r.{c}").alias(c) for c in ("rule_id", "outcome", "severity")])
+    return facts.alias("f").join(packed(rules).alias("r"), fires).select("f.*", *[F.col(f"r.{c}").alias(c) for c in ("rule_id", "outcome", "severity")])
 
 
 def enriched(facts: DataFrame, dimensions: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
@@ -61,7 +73,7 @@ def enriched(facts: DataFrame, dimensions: dict[str, tuple[DataFrame, str, str]]
 def standardised(facts: DataFrame, vocabulary: DataFrame, code: Column, family: str) -> DataFrame:
     """[J03] ``facts`` with ``standard`` struct<standard_system,display>, by folded code; null on a miss."""
     terms = vocabulary.where(F.col("family") == family).select(F.col("lookup").alias("__lookup"), F.struct("standard_system", "display").alias("standard"))
-    return facts.withColumn("__code", F.lower(F.trim(code))).join(F.broadcast(terms), F.col("__code") == F.col("__lookup"), "left").drop("__code", "__lookup")
+    return facts.join(terms, F.lower(F.trim(code)) == F.col("__lookup"), "left").drop(terms["__lookup"])
 
 
 def adverse_matches(notes: DataFrame, orders: DataFrame, reactions: DataFrame) -> DataFrame:
@@ -71,7 +83,7 @@ def adverse_matches(notes: DataFrame, orders: DataFrame, reactions: DataFrame) -
     drug; ``severity`` and ``meddra_term`` are those of the first drug by name.
     """
     ordered = orders.groupBy("patient_id", "medication").agg(F.min("seq").alias("first_seq"))
-    known = F.broadcast(reactions).alias("k")
+    known = reactions.alias("k")
     told = notes.alias("n").join(known, F.lower("n.symptom") == F.lower("k.symptom"))
     met = told.join(ordered.alias("o"), (F.col("n.patient_id") == F.col("o.patient_id")) & (F.col("k.medication") == F.col("o.medication")) & (F.col("o.first_seq") < F.col("n.seq")))
     rows = met.select("n.note_id", "n.patient_id", "n.symptom", F.col("k.medication").alias("medication"), F.col("k.severity").alias("severity"), F.col("k.meddra_term").alias("meddra_term"))
@@ -79,10 +91,6 @@ def adverse_matches(notes: DataFrame, orders: DataFrame, reactions: DataFrame) -
     return rows.drop("severity", "meddra_term").join(first, "note_id").select("note_id", "patient_id", "symptom", "medication", "first.severity", "first.meddra_term")
 
 
-#: Substances whose allergies are tied to medications.
-ALLERGENS = ("Penicillin", "Aspirin", "ACE inhibitors", "Morphine", "Sulfa drugs", "Amoxicillin")
-
-
 def allergy_matches(notes: DataFrame, medications: DataFrame, allergens: tuple[str, ...] = ALLERGENS) -> DataFrame:
     """[J15, M10] (note_id, medication): allergy notes (note_id, allergen) tied to the medication of that name.
 

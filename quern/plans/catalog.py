@@ -170,7 +170,7 @@ def provenance_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[J04, P04]"""
     classes = spark.createDataFrame([("PURCHASE", "high", "revenue_cycle"), ("SIGNUP", "curated", "master_data"), ("ERROR", "medium", "standard")], "source_type string, trust_level string, retention_class string")
     events = table(spark, sf_dir, "events").select("event_id", F.upper("event_type").alias("source_type"))
-    return events.join(F.broadcast(classes), "source_type", "left").select("event_id", "trust_level", "retention_class")
+    return events.join(classes, "source_type", "left").select("event_id", "trust_level", "retention_class")
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing FROM events")
@@ -216,34 +216,37 @@ def render_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FOLD = "0"
 for _start in (1, 9, 17, 25):
     _FOLD = f"(({_FOLD}) * 256 + CAST('0x' || substr(md5(t), {_start}, 8) AS BIGINT)) % 384"
-_TOKENS_SQL = r"SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\s]+')) AS t FROM documents WHERE lang = 'en'"
+#: White space as the engine's tokens know it, spelled out for DuckDB.
+_SPACE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_TOKENS_SQL = f"SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^{_SPACE}]+')) AS t FROM documents"
+_HIST_SQL = f"SELECT CAST({_FOLD} AS INTEGER) AS bucket, CAST(count(*) AS BIGINT) AS n FROM ({_TOKENS_SQL}) GROUP BY 1"
+_NORM_SQL = f"""SELECT doc_id, count(*) AS buckets, round(sqrt(CAST(sum(n * n) AS DOUBLE)), 6) AS length, max(n) AS largest FROM
+(SELECT doc_id, {_FOLD} AS bucket, count(*) AS n FROM ({_TOKENS_SQL}) GROUP BY 1, 2) GROUP BY doc_id"""
 
 
-@query(f"SELECT CAST({_FOLD} AS INTEGER) AS bucket, count(*) AS n FROM ({_TOKENS_SQL}) GROUP BY 1")
+@query(_HIST_SQL)
 def md5_bucket_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[P11, P12, A13]"""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return similarity.bucket_counts(docs, "doc_id", "text").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return similarity.bucket_counts(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-@query(f"""SELECT doc_id, count(*) AS buckets, round(sqrt(CAST(sum(n * n) AS DOUBLE)), 6) AS length, max(n) AS largest FROM
-(SELECT doc_id, {_FOLD} AS bucket, count(*) AS n FROM ({_TOKENS_SQL}) GROUP BY 1, 2) GROUP BY doc_id""")
+@query(_NORM_SQL)
 def md5_embedding_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[P13, A14] The sparse form of the embedding; its components are n / length."""
-    counts = similarity.bucket_counts(table(spark, sf_dir, "documents").where("lang = 'en'"), "doc_id", "text")
+    counts = similarity.bucket_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
     squares = F.sum(F.col("n") * F.col("n")).cast("double")
     return counts.groupBy("doc_id").agg(F.count("*").alias("buckets"), F.round(F.sqrt(squares), 6).alias("length"), F.max("n").alias("largest"))
 
 
-@query(None)
+@query(_HIST_SQL)
 def md5_bucket_hist_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[P11, P12, A13] Of all languages; no SQL, as white space and lower case differ there."""
-    return similarity.bucket_counts(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("bucket").agg(F.sum("n").alias("n"))
+    """[P11, P12, A13] Over the distinct tokens of all documents: a token is hashed once."""
+    return similarity.token_buckets(table(spark, sf_dir, "documents"), "text").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-@query(None)
+@query(f"SELECT d.doc_id, coalesce(buckets, 0) AS buckets, coalesce(length, 0) AS length, coalesce(largest, 0) AS largest FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN ({_NORM_SQL}) n ON n.doc_id = d.doc_id")
 def md5_embedding_norm_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[P13, A14] Of all languages; texts without a token have the zero vector."""
+    """[P13, A14] Of all documents; texts without a token have the zero vector."""
     docs = table(spark, sf_dir, "documents")
     squares = F.sum(F.col("n") * F.col("n")).cast("double")
     counts = similarity.bucket_counts(docs, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("buckets"), F.sqrt(squares).alias("length"), F.max("n").alias("largest"))
@@ -252,6 +255,16 @@ def md5_embedding_norm_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.coalesce("buckets", zero).alias("buckets"), F.round(F.coalesce("length", F.lit(0.0)), 6).alias("length"), F.coalesce("largest", zero).alias("largest"))
 
 
+@query(f"""WITH counts AS (SELECT doc_id, {_FOLD} AS bucket, count(*) AS n FROM ({_TOKENS_SQL}) GROUP BY 1, 2)
+SELECT d.doc_id, CAST(384 AS INTEGER) AS dimension, coalesce(round(sum((bucket + 1) * n) / sqrt(CAST(sum(n * n) AS DOUBLE)), 4), 0) AS weighted
+FROM documents d LEFT JOIN counts c ON c.doc_id = d.doc_id GROUP BY d.doc_id""")
+def md5_embedding_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P13] The dense embedding of every text, one expression; shown by its component sum weighted by place."""
+    vector = V.embedding(F.col("text"))
+    weighted = F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return table(spark, sf_dir, "documents").select("doc_id", vector.alias("v")).select("doc_id", F.size("v").alias("dimension"), F.round(weighted, 4).alias("weighted"))
+
+
 @query("SELECT event_id, CAST(CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 16) AS UBIGINT) AS DECIMAL(20, 0)) AS point_id FROM events")
 def point_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[P15]"""
@@ -306,9 +319,8 @@ def evidence_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORDER BY conditions + observations DESC, conditions DESC, user_id LIMIT 20""")
 def graph_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[O02]"""
-    per_user = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("c"), F.collect_list(F.when(F.col("value") > 50, F.col("event_id"))).alias("o"))
-    ranked = evidence.ranked_entities(per_user, "user_id", "c", "o").limit(20)
-    return ranked.select("user_id", F.size("c").cast("long").alias("conditions"), F.size("o").cast("long").alias("observations"))
+    per_user = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_distinct("event_type").alias("conditions"), F.count_if(F.col("value") > 50).alias("observations"))
+    return evidence.ranked_entities(per_user, "user_id", "conditions", "observations").limit(20)
 
 
 @query("""SELECT doc_id, length(text) > 240 AS text_redacted_long, CASE WHEN length(text) <= 240 THEN text ELSE left(text, 237) || '...' END AS bounded FROM documents""")
@@ -476,36 +488,72 @@ _CONTEXT_SQL = f"WITH {_ITEMS_SQL}, {_LINKS_SQL}, {_CONTRA_SQL}\nSELECT c_custke
 ) + " FROM customer\n" + "\n".join(f"LEFT JOIN (SELECT owner, list_sort(list(DISTINCT v))[1:{k}] AS v FROM ({sql}) GROUP BY owner) t_{n} ON t_{n}.owner = c_custkey" for n, (sql, k) in _CONTEXT_LISTS.items())
 
 
+#: The lists of a customer: type of a value, and how many are shown.
+_LISTS = {
+    "priorities": "struct<priority:string,status:string>",
+    "brands": "string",
+    "observations": "struct<name:string,value:double>",
+    "items": "struct<item:bigint,state:string>",
+    "interactions": "struct<item_a:bigint,item_b:bigint,risk:string,severity:string>",
+    "large": "struct<value:double,k:string>",
+    "claims": "struct<order:bigint,line:bigint,flag:string>",
+    "signals": "struct<event:bigint,condition:string>",
+    "suppliers": "string",
+    "contraindications": "struct<item:bigint,segment:string,severity:string>",
+}
+_LIMITS = {n: _CONTEXT_LISTS[n][1] for n in _LISTS}
+
+
+def linked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item, brand, type, size, links): every part with its interactions, at most one for each shift."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), "p_brand", "p_type", "p_size")
+    shifted = parts.withColumn("item_b", F.explode(F.array(F.col("item") + 7, F.col("item") + 13)))
+    there = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_b"), F.lit(True).alias("there"))
+    severity = F.when(F.col("p_size") % 3 == 0, "high").when(F.col("p_size") % 3 == 1, "moderate").otherwise("low")
+    link = F.struct(F.col("item").alias("item_a"), "item_b", F.concat(F.lower("p_type"), F.lit("_risk")).alias("risk"), severity.alias("severity"))
+    return shifted.join(there, "item_b", "left").groupBy("item", "p_brand", "p_type", "p_size").agg(F.collect_list(F.when(F.col("there"), link)).alias("links"))
+
+
+def _one_of(**found) -> "F.Column":
+    """A row of the lists with values in one column."""
+    return F.struct(*[found.get(n, F.lit(None)).cast(t).alias(n) for n, t in _LISTS.items()])
+
+
 @query(_CONTEXT_SQL)
 def customer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[C01-C11, Q05, A01, A20] Eleven lists per customer, each collected before they meet.
+    """[C01-C11, Q05, A01, A20] Eleven lists per customer.
 
-    Lists are shown as JSON; numbers in them are as SQL writes them.
+    Orders, lines and what is known of their parts and suppliers meet once; each row then names the lists
+    it adds to, and all lists are cut by rank and collected in one aggregation.  Lists are shown as JSON;
+    numbers in them are as SQL writes them.
     """
     c = F.col
-    orders, events = table(spark, sf_dir, "orders"), table(spark, sf_dir, "events")
-    lines, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    items, links, wrong = order_items(spark, sf_dir), part_links(spark, sf_dir), contra(spark, sf_dir)
-    owned = lines.join(orders.select("o_orderkey", c("o_custkey").alias("owner")), c("l_orderkey") == c("o_orderkey"))
-    live = items.where(patterns.active(c("state"), ("F",)))
-    fired = rules.threshold_signals(events, event_rules(spark), "event_type", "value")
-    home = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey")).join(table(spark, sf_dir, "region"), c("n_regionkey") == c("r_regionkey"))
-    listed = lambda rows, owner, value, n=20: rows.groupBy(c(owner).alias("owner")).agg(patterns.listed(value, n).alias("v"))
-    lists = {
-        "priorities": listed(orders, "o_custkey", [c("o_orderpriority").alias("priority"), c("o_orderstatus").alias("status")]),
-        "brands": listed(owned.join(part, c("p_partkey") == c("l_partkey")), "owner", c("p_brand")),
-        "observations": listed(events, "user_id", [c("event_type").alias("name"), c("value")]),
-        "items": listed(items, "owner", [c("item"), c("state")]),
-        "interactions": listed(live.join(links, c("item") == c("item_a")), "owner", [c("item_a"), c("item_b"), c("risk"), c("severity")]),
-        "large": listed(events.where("value > 60"), "user_id", [c("value"), F.get_json_object("props", "$.k").alias("k")]),
-        "claims": listed(owned.where("l_returnflag = 'R'"), "owner", [c("l_orderkey").alias("order"), c("l_linenumber").alias("line"), c("l_returnflag").alias("flag")]),
-        "signals": listed(fired, "user_id", [c("event_id").alias("event"), c("condition")]),
-        "nations": listed(home, "c_custkey", [c("n_name").alias("nation"), c("r_name").alias("region")]),
-        "suppliers": listed(owned.join(table(spark, sf_dir, "supplier").where("s_acctbal < 1000"), c("s_suppkey") == c("l_suppkey")), "owner", c("s_name")),
-        "contraindications": listed(live.join(segments(spark, sf_dir), "owner").join(wrong, ["item", "segment"]), "owner", [c("item"), c("segment"), c("severity")], 10),
-    }
-    found = patterns.with_lists(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", lists)
-    return found.select("c_custkey", *[F.to_json(n).alias(n) for n in lists])
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", c("o_custkey").alias("owner"), c("o_orderstatus").alias("state"), "o_orderpriority")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey", c("l_partkey").alias("item"))
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    owned = orders.join(lines, c("l_orderkey") == c("o_orderkey"), "left").join(linked_parts(spark, sf_dir), "item", "left").join(supplier, c("s_suppkey") == c("l_suppkey"), "left").join(segments(spark, sf_dir), "owner", "left")
+    live, ordered = patterns.active(c("state"), ("F",)), c("item").isNotNull()
+    unsuited = F.when(c("p_type") == "PROMO", "BUILDING").when(c("p_type") == "LARGE", "MACHINERY").when(c("p_type") == "ECONOMY", "AUTOMOBILE")
+    rows = F.array(
+        _one_of(priorities=F.struct("o_orderpriority", "state")),
+        _one_of(brands=c("p_brand")),
+        _one_of(items=F.when(ordered, F.struct("item", "state"))),
+        _one_of(claims=F.when(c("l_returnflag") == "R", F.struct("l_orderkey", "l_linenumber", "l_returnflag"))),
+        _one_of(suppliers=F.when(c("s_acctbal") < 1000, c("s_name"))),
+        _one_of(contraindications=F.when(live & (unsuited == c("segment")), F.struct("item", "segment", F.when(c("p_size") > 25, "high").otherwise("low")))),
+    )
+    linked = F.transform(F.when(live & ordered, c("links")).otherwise(F.array().cast("array<struct<item_a:bigint,item_b:bigint,risk:string,severity:string>>")), lambda link: _one_of(interactions=link))
+    fired = rules.threshold_signals(table(spark, sf_dir, "events"), event_rules(spark), "event_type", "value", keep=True)
+    seen = F.array(
+        _one_of(observations=F.struct("event_type", "value")),
+        _one_of(large=F.when(c("value") > 60, F.struct("value", F.get_json_object("props", "$.k")))),
+        _one_of(signals=F.when(c("rule_id").isNotNull(), F.struct("event_id", "condition"))),
+    )
+    found = patterns.together(owned.select("owner", F.explode(F.concat(rows, linked)).alias("f")), fired.select(c("user_id").alias("owner"), F.explode(seen).alias("f"))).select("owner", "f.*")
+    home = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(table(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey"), "left").join(table(spark, sf_dir, "region"), c("n_regionkey") == c("r_regionkey"), "left")
+    nations = F.array_compact(F.array(F.when(c("n_name").isNotNull() & c("r_name").isNotNull(), F.struct(c("n_name").alias("nation"), c("r_name").alias("region")))))
+    context = patterns.with_lists(home.select("c_custkey", nations.alias("nations")), "c_custkey", found, "owner", _LIMITS)
+    return context.select("c_custkey", *[F.to_json(n).alias(n) for n in _CONTEXT_LISTS])
 
 
 @query("""SELECT s_suppkey AS id, 'Supplier' AS type, coalesce(t.parts, '') AS parts, coalesce(t.n, 0) AS n_lines, coalesce(r.returns, 0) AS returns FROM supplier
@@ -514,7 +562,8 @@ LEFT JOIN (SELECT l_suppkey, count(*) AS returns FROM lineitem WHERE l_returnfla
 def entity_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[Q06, Q07, P21]"""
     lines = table(spark, sf_dir, "lineitem")
-    facts = lines.groupBy("l_suppkey").agg(patterns.listed(F.col("l_partkey"), 10).alias("parts"), F.count("*").alias("n_lines"), F.count_if(F.col("l_returnflag") == "R").alias("returns"))
+    facts = lines.groupBy("l_suppkey").agg(F.count("*").alias("n_lines"), F.count_if(F.col("l_returnflag") == "R").alias("returns"))
+    facts = facts.join(patterns.listed(lines, "l_suppkey", F.col("l_partkey"), 10, "parts"), "l_suppkey")
     joined = table(spark, sf_dir, "supplier").join(facts, F.col("s_suppkey") == F.col("l_suppkey"), "left")
     zero = lambda n: F.coalesce(n, F.lit(0)).alias(n)
     return joined.select(F.col("s_suppkey").alias("id"), F.lit("Supplier").alias("type"), F.coalesce(F.array_join(F.transform("parts", lambda p: p.cast("string")), ","), F.lit("")).alias("parts"), zero("n_lines"), zero("returns"))
@@ -525,9 +574,11 @@ FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'N' GROUP
 def ae_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[C12, C35, A19]"""
     found = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'N'").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    joined = lambda n, k: F.array_join(patterns.listed(F.col(n), k), ",")
-    counted = found.groupBy(F.col("p_brand").alias("medication")).agg(F.count("*").alias("signal_count"), joined("l_returnflag", 3).alias("severities"), joined("p_type", 5).alias("terms"))
-    return counted.orderBy(F.desc("signal_count"), "medication").limit(10)
+    counted = found.groupBy(F.col("p_brand").alias("medication"), "l_returnflag", "p_type").agg(F.count("*").alias("n"))
+    top = counted.groupBy("medication").agg(F.sum("n").alias("signal_count")).orderBy(F.desc("signal_count"), "medication").limit(10)
+    values = patterns.together(counted.select("medication", F.col("l_returnflag").alias("severities")), counted.select("medication", F.col("p_type").alias("terms")))
+    lists = patterns.collected(values, "medication", {"severities": 3, "terms": 5})
+    return top.join(lists, "medication").select("medication", "signal_count", F.array_join("severities", ",").alias("severities"), F.array_join("terms", ",").alias("terms")).orderBy(F.desc("signal_count"), "medication")
 
 
 @query(f"""WITH {_ITEMS_SQL}, {_CONTRA_SQL} SELECT c_custkey AS owner, c.item, c.segment, c.severity FROM customer JOIN contra c ON c.segment = c_mktsegment
@@ -584,7 +635,8 @@ def contra_confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[C19]"""
     live = order_items(spark, sf_dir).where(patterns.active(F.col("state"), ("F",))).select("owner", "item").distinct()
     found = live.join(segments(spark, sf_dir), "owner").join(contra(spark, sf_dir), ["item", "segment"]).select("owner", "item", "segment")
-    signs = table(spark, sf_dir, "events").where("value > 60").groupBy(F.col("user_id").alias("owner")).agg(F.array_join(F.transform(patterns.listed(F.col("event_id"), 3), lambda e: e.cast("string")), ",").alias("confirming"))
+    signs = patterns.listed(table(spark, sf_dir, "events").where("value > 60").withColumnRenamed("user_id", "owner"), "owner", F.col("event_id"), 3)
+    signs = signs.select("owner", F.array_join(F.transform("v", lambda e: e.cast("string")), ",").alias("confirming"))
     return found.join(signs, "owner", "left").withColumn("confirming", F.coalesce("confirming", F.lit(""))).orderBy("owner", "item").limit(15)
 
 
@@ -650,7 +702,7 @@ def denied_and_contra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[C24]"""
     denied = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("owner")).agg(F.count("*").alias("denied"))
     wrong = order_items(spark, sf_dir).select("owner", "item").distinct().join(segments(spark, sf_dir), "owner").join(contra(spark, sf_dir), ["item", "segment"])
-    items = wrong.groupBy("owner").agg(F.array_join(F.transform(patterns.listed(F.col("item"), 3), lambda i: i.cast("string")), ",").alias("items"))
+    items = patterns.listed(wrong, "owner", F.col("item"), 3).select("owner", F.array_join(F.transform("v", lambda i: i.cast("string")), ",").alias("items"))
     return denied.join(items, "owner").orderBy(F.desc("denied"), "owner").limit(20)
 
 
@@ -806,12 +858,14 @@ def react_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- Projections, windows, specialists, graph programs ------------------------------------------------
 
 
-@query("""SELECT user_id, array_to_string([x.t || ':' || x.e FOR x IN list_sort(list(DISTINCT {'t': event_type, 'e': event_id})) IF regexp_matches(x.t, '(?i)PURCH|err')], ',') AS matching, count(*) AS n FROM events GROUP BY user_id""")
+@query("""SELECT user_id, array_to_string([x.t || ':' || x.e FOR x IN list_sort(list(DISTINCT {'t': event_type, 'e': event_id}) FILTER (regexp_matches(event_type, '(?i)PURCH|err')))[1:20]], ',') AS matching, count(*) AS n FROM events GROUP BY user_id""")
 def regex_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[F11, C43-C54] Lists filtered by a pattern, without regard to case."""
-    lists = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.struct("event_type", "event_id"))).alias("l"), F.count("*").alias("n"))
-    hits = F.filter("l", lambda x: x["event_type"].rlike("(?i)PURCH|err"))
-    return lists.select("user_id", F.array_join(F.transform(hits, lambda x: F.concat_ws(":", x["event_type"], x["event_id"].cast("string"))), ",").alias("matching"), "n")
+    """The first twenty that match a pattern, without regard to case."""
+    events = table(spark, sf_dir, "events")
+    matching = events.where(F.col("event_type").rlike("(?i)PURCH|err"))
+    lists = patterns.listed(matching, "user_id", [F.col("event_type").alias("t"), F.col("event_id").alias("e")], 20)
+    counts = events.groupBy("user_id").agg(F.count("*").alias("n")).join(lists, "user_id", "left")
+    return counts.select("user_id", F.when(F.col("v").isNotNull(), F.array_join(F.transform("v", lambda x: F.concat_ws(":", x["t"], x["e"].cast("string"))), ",")).otherwise("").alias("matching"), "n")
 
 
 @query("SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -865,10 +919,10 @@ def medication_specialist(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = order_items(spark, sf_dir)
     linked = items.join(part_links(spark, sf_dir).where("severity = 'high'"), F.col("item") == F.col("item_a"))
     wrong = items.join(segments(spark, sf_dir), "owner").join(contra(spark, sf_dir), ["item", "segment"])
-    listed = lambda rows, columns, n: rows.groupBy("owner").agg(patterns.listed([F.col(c) for c in columns], n).alias("v"))
     errors = table(spark, sf_dir, "events").where("event_type = 'error'").withColumnRenamed("user_id", "owner")
-    lists = {"interactions": listed(linked, ["item_a", "item_b"], 20), "adverse_events": listed(errors, ["event_id"], 20), "contraindications": listed(wrong, ["item", "segment"], 10)}
-    context = patterns.with_lists(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", lists)
+    parts = {"interactions": (linked, ["item_a", "item_b"], 20), "adverse_events": (errors, ["event_id"], 20), "contraindications": (wrong, ["item", "segment"], 10)}
+    found = patterns.together(*[rows.select("owner", F.struct(*columns).alias(n)) for n, (rows, columns, _) in parts.items()])
+    context = patterns.with_lists(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", found, "owner", {n: k for n, (_, _, k) in parts.items()})
     return specialists.medication_safety(context, "c_custkey").select("c_custkey", "interaction_count", "adverse_event_count", "contraindication_count")
 
 
@@ -898,37 +952,6 @@ def abnormal_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", flag.otherwise(False).alias("abnormal"))
 
 
-def _clinical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.upper("event_type")
-    return table(spark, sf_dir, "events").select(
-        F.col("event_id").cast("string").alias("event_id"), F.col("event_id").alias("arrival_seq"), F.col("ts").cast("string").alias("event_ts"), F.lit("web").alias("source_system"), kind.alias("source_type"), kind.alias("event_type"),
-        F.col("user_id").cast("string").alias("patient_id"), F.when(F.col("value") > 50, F.concat(F.lit("enc-"), (F.col("event_id") % 97).cast("string"))).alias("encounter_id"), F.when(F.col("value") > 90, F.lit("prov")).alias("provider_id"), F.lit("1.0.0").alias("schema_version"),
-    )
-
-
-@query("""SELECT 'Patient' AS label, CAST(user_id AS VARCHAR) AS key, CAST(NULL AS VARCHAR) AS type FROM events GROUP BY user_id
-UNION ALL SELECT 'SourceSystem', 'web', arg_max(upper(event_type), event_id) FROM events
-UNION ALL SELECT 'ClinicalEvent', CAST(event_id AS VARCHAR), upper(event_type) FROM events
-UNION ALL SELECT DISTINCT 'Encounter', 'enc-' || (event_id % 97), NULL FROM events WHERE value > 50
-UNION ALL SELECT DISTINCT 'Provider', 'prov', NULL FROM events WHERE value > 90""")
-def base_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[M01, M18, F05, J19] Nodes that all events leave; one row per label and key."""
-    from quern.operators import graph
-
-    nodes, _ = graph.writes(_clinical(spark, sf_dir), graph.CLINICAL_BASE)
-    return graph.folded_nodes(nodes).select("label", "key", F.coalesce(F.try_element_at("props", F.lit("type")), F.try_element_at("props", F.lit("event_type"))).alias("type"))
-
-
-@query("""SELECT 'ABOUT_PATIENT' AS kind, CAST(event_id AS VARCHAR) AS src, CAST(user_id AS VARCHAR) AS dst FROM events UNION ALL SELECT 'FROM_SOURCE', CAST(event_id AS VARCHAR), 'web' FROM events
-UNION ALL SELECT 'DURING_ENCOUNTER', CAST(event_id AS VARCHAR), 'enc-' || (event_id % 97) FROM events WHERE value > 50 UNION ALL SELECT DISTINCT 'SEEN_BY', CAST(user_id AS VARCHAR), 'prov' FROM events WHERE value > 90""")
-def base_graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[M01, S10] Edges that all events leave; one row per identity."""
-    from quern.operators import graph
-
-    _, edges = graph.writes(_clinical(spark, sf_dir), graph.CLINICAL_BASE)
-    return graph.folded_edges(edges).select("kind", "src", "dst")
-
-
 @query(
     "SELECT l_orderkey AS claim, r.outcome, array_to_string(list_sort(list(DISTINCT r.rule_id)), ',') AS rule_ids FROM lineitem JOIN (VALUES "
     + ", ".join(f"('{i}', {repr(f) if f else 'NULL'}, {c if c else 'NULL'}, '{o}')" for i, f, c, o in FLAG_RULES)
@@ -953,7 +976,7 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sanitised_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[P24, P25, Q19] Lists and strings of a role's view, cut by the schema."""
     long = F.concat_ws("-", "event_type", F.col("event_id").cast("string"), F.lit("long"))
-    lists = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(long)).alias("shaped"))
+    lists = patterns.listed(table(spark, sf_dir, "events"), "user_id", long, 5, "shaped")
     return evidence.shaped(lists, "read_only", chars=10, items=5).select("user_id", F.array_join("shaped", ",").alias("shaped"))
 
 
@@ -1012,14 +1035,11 @@ def coded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT user_id, array_to_string(list(event_type ORDER BY event_id)[1:5], ',') AS first_five, array_to_string(list_sort(list_distinct(list(event_id % 10))), ',') AS digits, round(count(*) FILTER (event_type = 'error') / count(*), 4) AS error_share FROM events GROUP BY 1""")
 def ordered_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[A03, A04, O05, O07, U05, P38, A09]"""
-    lists = table(spark, sf_dir, "events").groupBy("user_id").agg(
-        patterns.listed_in_order(F.col("event_type"), F.col("event_id"), 5).alias("five"),
-        F.collect_list(F.col("event_id") % 10).alias("digits"),
-        F.count_if(F.col("event_type") == "error").alias("errors"),
-        F.count("*").alias("n"),
-    )
+    events = table(spark, sf_dir, "events")
+    five = patterns.listed_in_order(events, "user_id", F.col("event_type"), F.col("event_id"), 5, "five")
+    counts = events.groupBy("user_id").agg(F.collect_set(F.col("event_id") % 10).alias("digits"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count("*").alias("n"))
     digits = F.transform(patterns.involved(F.col("digits")), lambda d: d.cast("string"))
-    return lists.select("user_id", F.array_join("five", ",").alias("first_five"), F.array_join(digits, ",").alias("digits"), T.share(F.col("errors"), F.col("n")).alias("error_share"))
+    return counts.join(five, "user_id").select("user_id", F.array_join("five", ",").alias("first_five"), F.array_join(digits, ",").alias("digits"), T.share(F.col("errors"), F.col("n")).alias("error_share"))
 
 
 @query("SELECT event_id, event_type, user_id FROM events WHERE event_id % 50 <> 0 OR NOT EXISTS (SELECT 1 FROM events c WHERE c.event_id = events.event_id + 1 AND c.event_type = 'error')")
@@ -1030,3 +1050,6 @@ def corrected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = F.col("event_id") - 1
     marked = table(spark, sf_dir, "events").withColumns({"is_correction": (F.col("event_type") == "error") & (target % 50 == 0), "correction_of_event_id": target})
     return corrected(marked, apply=True).select("event_id", "event_type", "user_id")
+
+
+from quern.plans import domain  # noqa: E402,F401  registers its queries

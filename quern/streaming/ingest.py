@@ -1,62 +1,70 @@
-"""Streaming ingest: micro-batches folded into keyed tables.
+"""Streaming ingest: micro-batches appended to a log of writes, folded when it is read.
 
-Sinks are idempotent by key and batch: a batch writes a new version of the table under its own batch
-id, and the version with the highest committed id is the table.  A replayed batch writes the same
-version again, so delivery is effectively once without a table format.
+A sink is idempotent by batch: a batch writes the folder of its own id, and a replayed batch writes the same
+folder again, so delivery is effectively once.  Nothing that is there is rewritten; a log that has grown long
+is folded into a new one by ``compacted``.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.vectors import DIMENSION
 from quern.operators import upsert
+from quern.sources.shared import new_folder
 
 
-class KeyedTable:
-    """[S08, S09, U02, T05] A table of one row per key, in Parquet folders version=<batch>/bucket=<hash of key>.
+class WriteLog:
+    """[S08, U02, T05] Writes by key as Parquet folders batch=<id>; the last write by ``order`` is a key's state.
 
-    A batch rewrites only the buckets of its own keys; a bucket's newest committed version is its state.
+    A batch is folded by itself first (map-side for the most part), so a hot key adds a row to each batch.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: str, values: list[str], buckets: int = 64):
-        self.spark, self.path, self.keys, self.order, self.values, self.buckets = spark, path.rstrip("/"), keys, order, values, buckets
-
-    def _newest(self, before: int | None) -> dict[int, str]:
-        """Folder of each bucket's newest version (older than ``before``) whose writer left its success mark."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        root = hadoop.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        found: dict[int, tuple[int, str]] = {}
-        for version in fs.listStatus(root) if fs.exists(root) else []:
-            number = int(version.getPath().getName().split("=")[1])
-            if (before is None or number < before) and fs.exists(hadoop.Path(version.getPath(), "_SUCCESS")):
-                for bucket in fs.listStatus(version.getPath()):
-                    name = bucket.getPath().getName()
-                    if name.startswith("bucket="):
-                        found[int(name.split("=")[1])] = max(found.get(int(name.split("=")[1]), (-1, "")), (number, bucket.getPath().toString()))
-        return {b: path for b, (_, path) in found.items()}
-
-    def read(self, before: int | None = None, only: list[int] | None = None) -> DataFrame | None:
-        """The newest state (of versions older than ``before``, of some buckets); None if there is none."""
-        paths = [p for b, p in self._newest(before).items() if only is None or b in only]
-        return self.spark.read.option("basePath", self.path).parquet(*paths) if paths else None
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: str, values: list[str]):
+        self.spark, self.path, self.keys, self.order, self.values = spark, path.rstrip("/"), keys, order, values
+
+    def _folded(self, rows: DataFrame, order: str) -> DataFrame:
+        last = rows.groupBy(*self.keys).agg(F.max(F.struct(F.col(order).alias("__order"), *self.values)).alias("last"))
+        return last.select(*self.keys, F.col("last.__order").alias("__order"), *[F.col(f"last.{v}").alias(v) for v in self.values])
+
+    def apply(self, batch: DataFrame, batch_id: int) -> None:
+        self._folded(batch, self.order).write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def read(self) -> DataFrame:
+        """(keys, __order, values): the state that all batches leave."""
+        return self._folded(self.spark.read.parquet(self.path).drop("batch"), "__order")
+
+    def compacted(self, path: str, batch_id: int) -> WriteLog:
+        """The state as the batch ``batch_id`` of a log of its own; later batches go there."""
+        self.read().write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+        return WriteLog(self.spark, path, self.keys, self.order, self.values)
+
+
+class Collection(WriteLog):
+    """[S08, S09] Points of a vector table by ``point_id``; made if it is not there, else it must be alike.
+
+    Its dimension and metric lie beside it; points of another dimension are an error.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, dimension: int = DIMENSION, metric: str = "cosine"):
+        super().__init__(spark, f"{path.rstrip('/')}/points", ["point_id"], "arrival_seq", ["embedding", "payload"])
+        about, wanted = f"{path.rstrip('/')}/about", (dimension, metric)
+        at = spark._jvm.org.apache.hadoop.fs.Path(about)
+        if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            found = tuple(spark.read.schema("dimension int, metric string").json(about).first())
+            if found != wanted:
+                raise ValueError(f"the collection has {found}, not {wanted}")
+        else:
+            spark.createDataFrame([wanted], "dimension int, metric string").coalesce(1).write.json(about)
+        self.dimension = dimension
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """Fold ``batch`` into the versions before it; the last write by ``order`` wins for each key."""
-        columns = ["bucket", *self.keys, "__order", *self.values]
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        rows = batch.withColumns({"__order": F.col(self.order), "bucket": bucket}).select(*columns)
-        touched = [r.bucket for r in rows.select("bucket").distinct().collect()]
-        state = self.read(before=batch_id, only=touched)
-        both = rows if state is None else state.select(*columns).unionByName(rows)
-        folded = both.groupBy("bucket", *self.keys).agg(F.max(F.struct("__order", *self.values)).alias("last"))
-        out = folded.select("bucket", *self.keys, F.col("last.__order").alias("__order"), *[F.col(f"last.{v}").alias(v) for v in self.values])
-        out.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={batch_id}")
+        """Add points (point_id, arrival_seq, embedding, payload)."""
+        fits = F.when(F.size("embedding") == self.dimension, F.col("embedding")).otherwise(F.raise_error(F.lit(f"a point has not {self.dimension} components")))
+        super().apply(batch.withColumn("embedding", fits), batch_id)
 
 
 def ingest(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, every: str | None = None):
@@ -103,11 +111,10 @@ def corrected(events: DataFrame, apply: bool = False) -> DataFrame:
 
 
 def replay_latest(spark: SparkSession, path: str, keys: list[str], order: str, values: list[str]) -> DataFrame:
-    """[T03, T05] A Parquet source replayed as a stream into a keyed table; the table that results."""
-    root = f"{_shared_folder(spark)}/replay-{uuid.uuid4().hex}"
-    sink = KeyedTable(spark, f"{root}/table", keys, order, values)
-    stream = replayed(spark, path)
-    ingest(stream, [sink.apply], f"{root}/checkpoint").awaitTermination()
+    """[T03, T05] A Parquet source replayed as a stream into a log of writes; the state that results."""
+    root = new_folder(spark, "replay")
+    sink = WriteLog(spark, f"{root}/log", keys, order, values)
+    ingest(replayed(spark, path), [sink.apply], f"{root}/checkpoint").awaitTermination()
     return upsert.latest(sink.read(), keys, "__order", values)
 
 
@@ -118,8 +125,3 @@ def replayed(spark: SparkSession, path: str) -> DataFrame:
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
         return reader.parquet(path)
     return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
-
-
-def _shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests) a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-stream-")

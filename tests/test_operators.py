@@ -81,8 +81,25 @@ def test_paths_diamond_and_lists(spark):
     links = spark.createDataFrame([("A", "B", "high")], "item_a string, item_b string, severity string")
     assert patterns.diamond(orders, links).count() == 2
     owners = spark.createDataFrame([("p",), ("z",)], "owner string")
-    lists = {"items": orders.groupBy("owner").agg(patterns.listed(F.col("item"), 1).alias("v"))}
-    assert rows(patterns.with_lists(owners, "owner", lists)) == [("p", ["A"]), ("z", [])]
+    assert rows(patterns.with_lists(owners, "owner", orders.select(F.col("owner").alias("o"), F.col("item").alias("items")), "o", {"items": 1})) == [("p", ["A"]), ("z", [])]
+    values = patterns.together(orders.select("owner", "item"), orders.select("owner", "state"))
+    assert rows(patterns.collected(values, "owner", {"item": 5, "state": 1})) == [("p", ["A", "B"], ["hold"]), ("q", ["A"], ["new"])]
+    assert rows(patterns.listed_in_order(orders, "owner", F.col("item"), F.col("item"), 3)) == [("p", ["A", "A", "B"]), ("q", ["A"])]
+
+
+def test_hot_owners_are_cut_before_they_are_collected(spark):
+    hot = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, 7).otherwise(F.col("id")).alias("owner"), (F.col("id") % 5000).alias("v"))
+    listed = patterns.listed(hot, "owner", F.col("v"), 20)
+    assert listed.where("owner = 7").first().v == list(range(20)) or listed.where("owner = 7").first().v == sorted(r.v for r in hot.where("owner = 7").select("v").distinct().orderBy("v").limit(20).collect())
+    assert "WindowGroupLimit" in listed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_history_in_two_levels(spark):
+    log = spark.range(3000).select(F.when(F.col("id") % 10 < 8, 1).when(F.col("id") % 10 == 8, None).otherwise(F.col("id") % 7).alias("owner"), (F.col("id") * 7919 % 3001).alias("at"), (F.col("id") % 13).alias("size"), F.concat(F.lit("k"), F.col("id") % 5).alias("kind"))
+    got = patterns.history(log, "owner", ["at"], previous="kind", size=F.col("size"))
+    window = patterns.Window.partitionBy("owner").orderBy("at")
+    want = log.select("*", F.row_number().over(window).alias("step"), F.lag("kind").over(window).alias("previous"), F.sum("size").over(window).alias("used"))
+    assert got.columns == want.columns and rows(got) == rows(want)
 
 
 def test_nearest(spark):
@@ -95,7 +112,7 @@ def test_evidence_ranks(spark):
     hits = spark.createDataFrame([("evt-b", "LAB_RESULT", 0.9), ("evt-c", "clinical_note", 0.99), ("evt-a", "lab_result", 0.9), ("evt-z", "vital_sign", 0.91), ("evt-n", None, None)], "event_id string, event_type string, score double")
     assert [r.event_id for r in evidence.ranked_hits(hits, "lab_interpretation").collect()] == ["evt-a", "evt-b", "evt-z", "evt-c", "evt-n"]
     assert [r.event_id for r in evidence.ranked_hits(hits, "lab_interpretation", exact=True).collect()][0] == "evt-a"
-    cohort = spark.createDataFrame([("c", ["x"], []), ("b", ["x"], ["y", "z"]), ("a", ["x", "y"], ["z"])], "id string, c array<string>, o array<string>")
+    cohort = spark.createDataFrame([("c", 1, 0), ("b", 1, 2), ("a", 2, 1)], "id string, c int, o int")
     assert [r.id for r in evidence.ranked_entities(cohort, "id", "c", "o").collect()] == ["a", "b", "c"]
 
 
@@ -148,7 +165,10 @@ def test_control_loop():
 def test_evaluation(spark):
     cases = spark.createDataFrame([("a", "a", ["x"], ["x", "y"], 10), ("a", "b", ["x", "z"], ["x"], 45), ("a", None, [], [], 99)], "e string, g string, w array<string>, f array<string>, s int")
     scored = cases.select(evaluation.routing_score(F.col("e"), F.col("g")).alias("routing"), evaluation.coverage_score(F.col("w"), F.col("f")).alias("coverage"), evaluation.linear_score(F.col("s"), 30, 60).alias("latency"))
-    assert evaluation.means(scored, ["routing", "coverage", "latency"]).first() == (0.3333, 0.8333, 0.5, 3)
+    assert evaluation.means(scored, ["routing", "coverage", "latency"]).first() == (0.3333, 0.5, 0.5, 3)
+    answers = ["", "LLM error: down", "short", "x" * 51 + " Consult a doctor", "y" * 5000, None]
+    graded = spark.createDataFrame([(i, a) for i, a in enumerate(answers)], "i int, a string").select("i", evaluation.quality_score(F.col("a")).alias("q"), evaluation.caveat_score(F.col("a")).alias("c"), evaluation.completeness_score(F.col("i") > 1, F.col("i") > 3).alias("e"))
+    assert [(r.q, r.c, r.e) for r in graded.orderBy("i").collect()] == [(0, 0, 0), (0, 0, 0), (0.5, 0, 0.5), (1, 1, 0.5), (0.5, 0, 1), (0, 0, 1)]
     assert evaluation.means(scored.limit(0), ["routing"]).first() == (0.0, 0)
 
 
@@ -174,36 +194,76 @@ def clinical(spark):
     return spark.createDataFrame(made, "arrival_seq long, event_id string, event_ts string, source_system string, source_type string, event_type string, patient_id string, encounter_id string, provider_id string, schema_version string, payload_json string")
 
 
+def shown(rows, *key):
+    """The properties of nodes or edges as a dictionary of texts."""
+    table = rows.withColumn("props", graph.shown())
+    return {tuple(r[k] for k in key): dict(p.split("=", 1) for p in r.props.split(";") if p) for r in table.collect()}
+
+
 def test_graph_from_events(spark):
-    nodes, edges = graph.build(clinical(spark), graph.CLINICAL_BASE, graph.CLINICAL, envelopes.payload_of)
-    found = {(r.label, r.key): r.props for r in nodes.collect()}
-    assert found["Condition", "Hyperkalemia"] == {"first_seen_ts": "2024-01-01T00:00:00Z", "last_seen_ts": "2024-01-02T00:00:00Z"}
-    assert found["Claim", "c1"]["status"] == "denied" and found["Procedure", "99291"] == {"description": "first"}
+    events = envelopes.with_payload(clinical(spark), envelopes.clinical_payload())
+    nodes, edges = graph.build(events, graph.program_of(graph.CLINICAL_BASE, graph.CLINICAL))
+    found = shown(nodes, "label", "key")
+    condition = found["Condition", "Hyperkalemia"]
+    assert condition["first_seen_ts"].startswith("2024-01-01") and condition["last_seen_ts"].startswith("2024-01-02")
+    assert found["Claim", "c1"]["status"] == "denied" and found["Procedure", "99291"]["description"] == "first"
     assert found["Device", "d1"] == {"device_type": "monitor"}
     assert found["AdverseEvent", "ae-allergy-e2"]["allergen"] == "Penicillin" and ("AdverseEvent", "ae-allergy-e1") not in found
     assert ("Symptom", "cough") in found and not any(k is None for _, k in found)
-    kinds = {(r.kind, r.src, r.dst): r.props for r in edges.collect()}
-    assert kinds["HAS_CONDITION", "p1", "Hyperkalemia"] == {"onset_ts": "2024-01-01T00:00:00Z"}
+    kinds = shown(edges, "kind", "src", "dst")
+    assert kinds["HAS_CONDITION", "p1", "Hyperkalemia"]["onset_ts"].startswith("2024-01-01")
     assert ("ORDERS_MEDICATION", "e7", "Warfarin") in kinds and ("ABOUT_PATIENT", "e7", None) not in kinds
     assert upsert.repeated_keys(nodes.select(F.concat_ws(":", "label", "key").alias("k")), "k").count() == 0
 
 
+def test_a_provider_sees_an_encounter(spark):
+    events = clinical(spark).limit(1).withColumn("provider_id", F.lit("pr1"))
+    _, edges = graph.build(events.unionByName(events.withColumns({"encounter_id": F.lit(None).cast("string"), "provider_id": F.lit("pr2")})), graph.CLINICAL_BASE)
+    seen = edges.where("kind = 'SEEN_BY'").collect()
+    assert [(r.src_label, r.src, r.dst) for r in seen] == [("Encounter", "enc-p1", "pr1")]
+
+
+def test_properties_keep_their_type(spark):
+    events = envelopes.with_payload(clinical(spark).where("event_id = 'e5'"), envelopes.clinical_payload())
+    nodes, _ = graph.build(events, graph.program_of((), graph.CLINICAL))
+    rate = nodes.where("label = 'DeviceReading'").selectExpr("schema_of_variant(props['heart_rate']) as kind", "variant_get(props['heart_rate'], '$', 'int') > 9 as fast").first()
+    assert rate.kind == "BIGINT" and rate.fast
+
+
+def test_who_makes_a_node_decides_what_is_set_on_creation(spark):
+    program = (graph.Node("C", "k", once={"first": "seq"}, again={"last": "seq"}), graph.Edge("E", ("D", "d"), ("C", "other"), matched=True))
+    rows = spark.createDataFrame([(1, "a", None, None), (2, "a", "d1", "b"), (3, "b", None, None), (4, "b", "d1", "b"), (3, "x", "d2", "nowhere"), (2, None, "d3", "b")], "seq int, k string, d string, other string")
+    nodes, edges = graph.build(rows, program, "seq")
+    found = shown(nodes, "label", "key")
+    assert found["C", "a"] == {"first": "1", "last": "2"} and found["C", "b"] == {"first": "3", "last": "4"} and ("C", "nowhere") not in found
+    assert set(shown(edges, "src", "dst")) == {("d1", "b")}  # the write of d3 came before the node
+
+
+def test_one_scan_for_a_whole_program(spark, sf_dir):
+    from quern.plans import catalog
+
+    plan = catalog.QUERIES["base_graph_nodes"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count("FileScan") <= 2
+
+
 def test_supply_graph(spark):
     made = [
-        (1, "s1", "DISRUPTION_ALERT", '{"disruption_id": "x1", "facility_id": "f1", "affected_parts": ["a", "b", null], "severity": "high"}'),
+        (1, "s1", "DISRUPTION_ALERT", '{"disruption_id": "x1", "facility_id": "f1", "affected_parts": ["a", "b", null], "severity": "high", "region": "north"}'),
         (2, "s2", "INVENTORY_LEVEL", '{"facility_id": "f1", "part_id": "a", "on_hand_qty": 5, "below_reorder": true}'),
         (3, "s3", "INVENTORY_LEVEL", '{"facility_id": "f1", "part_id": "a", "on_hand_qty": 9}'),
     ]
-    events = spark.createDataFrame([(s, i, "2024", "ERP", "ERP", k, None, "f1", None, "1", j) for s, i, k, j in made], "arrival_seq long, event_id string, event_ts string, source_system string, source_type string, event_type string, entity_id string, facility_id string, supplier_id string, schema_version string, payload_json string")
-    _, edges = graph.build(events, graph.SUPPLY_BASE, graph.SUPPLY, envelopes.payload_of)
-    found = {(r.kind, r.src, r.dst): r.props for r in edges.collect()}
+    events = spark.createDataFrame([(s, i, "2024-01-01", "ERP", "ERP", k, None, "f1", None, "1", j) for s, i, k, j in made], "arrival_seq long, event_id string, event_ts string, source_system string, source_type string, event_type string, entity_id string, facility_id string, supplier_id string, schema_version string, payload_json string")
+    nodes, edges = graph.build(envelopes.with_payload(events, envelopes.supply_payload()), graph.program_of(graph.SUPPLY_BASE, graph.SUPPLY))
+    found = shown(edges, "kind", "src", "dst")
     assert {d for k, s, d in found if k == "AFFECTS_PART"} == {"a", "b"}
-    assert found["HOLDS_INVENTORY", "f1", "a"] == {"on_hand_qty": "9", "updated_ts": "2024"}
+    assert found["HOLDS_INVENTORY", "f1", "a"]["on_hand_qty"] == "9" and "below_reorder" not in found["HOLDS_INVENTORY", "f1", "a"]
+    assert shown(nodes, "label", "key")["Facility", "f1"] == {"region": "north"}
 
 
-def test_reference_writes_keep_known_values(spark):
-    log = spark.createDataFrame([("p1", "Ann", "F", 1), ("p1", None, "X", 2)], "patient_id string, name string, sex string, arrival_seq int")
-    assert graph.folded_nodes(graph.reference_writes(log, "Patient")).first().props == {"name": "Ann", "sex": "X"}
+def test_payload_fields_of_two_types_are_an_error():
+    assert envelopes.payload_schema("a int, b string", "b string, c long") == "a int, b string, c long"
+    with pytest.raises(ValueError, match="b is string and long"):
+        envelopes.payload_schema("b string", "b long")
 
 
 def test_synthetic_events_are_skewed_and_repeatable(spark):
@@ -214,17 +274,34 @@ def test_synthetic_events_are_skewed_and_repeatable(spark):
 
 
 def test_replaying_a_batch_changes_nothing(spark, tmp_path):
-    sink = ingest.KeyedTable(spark, str(tmp_path / "t"), ["k"], "seq", ["v"])
+    sink = ingest.WriteLog(spark, str(tmp_path / "t"), ["k"], "seq", ["v"])
     a = spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, seq int, v string")
-    b = spark.createDataFrame([("a", 2, "z")], "k string, seq int, v string")
+    b = spark.createDataFrame([("a", 2, "z"), ("a", 1, "q")], "k string, seq int, v string")
     sink.apply(a, 0)
     sink.apply(b, 1)
     sink.apply(b, 1)
     assert rows(sink.read(), "k", "v") == [("a", "z"), ("b", "y")]
-    assert len(list((tmp_path / "t" / "version=1").glob("bucket=*"))) == 1  # the other key's bucket is not rewritten
     late = spark.createDataFrame([("a", 1, "old")], "k string, seq int, v string")
     sink.apply(late, 2)
     assert rows(sink.read(), "k", "v") == [("a", "z"), ("b", "y")]
+    short = sink.compacted(str(tmp_path / "u"), 2)
+    assert rows(short.read(), "k", "v") == [("a", "z"), ("b", "y")]
+    short.apply(spark.createDataFrame([("b", 9, "w")], "k string, seq int, v string"), 3)
+    assert rows(short.read(), "k", "v") == [("a", "z"), ("b", "w")]
+
+
+def test_collections_check_their_shape(spark, tmp_path):
+    from quern.operators import normalise
+
+    points = ingest.Collection(spark, str(tmp_path / "c"))
+    events = envelopes.with_payload(clinical(spark), envelopes.clinical_payload()).withColumn("text", F.lit("some words"))
+    points.apply(normalise.vector_record(events), 0)
+    points.apply(normalise.vector_record(events), 1)
+    assert ingest.Collection(spark, str(tmp_path / "c")).read().count() == 7
+    with pytest.raises(ValueError, match="cosine"):
+        ingest.Collection(spark, str(tmp_path / "c"), dimension=10)
+    with pytest.raises(Exception, match="384 components"):
+        points.apply(normalise.vector_record(events).withColumn("embedding", F.array(F.lit(1.0))), 2)
 
 
 def test_references_come_first(spark):
@@ -263,9 +340,11 @@ def test_normalised_events_and_vector_records(spark):
     people = spark.createDataFrame([((" f ", "HIGH", "41"),), (None,)], "patient struct<sex:string,risk_tier:string,age:string>")
     out = normalise.normalised_reference(people, ["patient"]).withColumn("said", normalise.reference_summary(["patient"])).collect()
     assert out[0].patient.sex == "F" and out[0].said == "Patient profile age 41, sex F, risk high." and out[1].said == ""
-    flat = clinical(spark).selectExpr("*", "1 as reference_hit_count", "'high' as trust_level", "'x' as phi_class", "'y' as retention_class", "'some text' as text")
-    point = flat.select(*normalise.vector_record()).first()
+    flat = envelopes.with_payload(clinical(spark), envelopes.clinical_payload()).selectExpr("*", "1 as reference_hit_count", "'high' as trust_level", "'x' as phi_class", "'some text' as text")
+    point = normalise.vector_record(flat).where("payload.event_id = 'e2'").first()
     assert point.payload.enriched and len(point.embedding) == 384 and point.point_id > 0
+    assert point.payload.event_family == "ALLERGY_INTOLERANCE" and point.payload.retention_class is None and point.payload.patient_id == "p1" and point.payload.payload.allergen == "Penicillin"
+    assert not normalise.vector_record(flat.drop("reference_hit_count")).first().payload.enriched
     mapping = spark.range(1).select(normalise.code_mapping("CPT", F.lit("99291"), F.lit("care")).alias("a"), normalise.code_mapping("CPT", F.lit(None).cast("string"), F.lit("care")).alias("b")).first()
     assert mapping.a.standard_code == "99291" and mapping.b is None
 
@@ -349,3 +428,45 @@ def test_more_text(spark):
     r = spark.range(1).select(T.moment(F.lit("2024-01-02T03:04:05+00:00")).alias("m"), T.moment(F.lit("never")).alias("n"), T.json_cut(F.struct(F.lit("x" * 50).alias("a")), 10).alias("j"), T.share(F.lit(1), F.lit(0)).alias("s"))
     first = r.select(T.iso(F.col("m")).alias("i"), "n", "j", "s").first()
     assert (first.i, first.n, first.j, first.s) == ("2024-01-02T03:04:05", None, '{"a":"xxxx', 0.0)
+
+
+def test_embedding_counts_every_token_once(spark):
+    import hashlib
+    import math
+
+    from quern.functions import vectors
+
+    texts = ["Fox fox dog", "", None, " ".join(f"word{i % 700}" for i in range(3000))]
+    for text, found in zip(texts, [r.v for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(vectors.embedding(F.col("t")).alias("v")).collect()]):
+        counts = [0] * 384
+        for token in (text or "").lower().split():
+            counts[int(hashlib.md5(token.encode()).hexdigest(), 16) % 384] += 1
+        length = math.sqrt(sum(c * c for c in counts))
+        assert found == pytest.approx([c / length if length else 0.0 for c in counts])
+
+
+def test_large_packs_are_not_broadcast(spark, monkeypatch):
+    pack = ontology.lab_rules(spark)
+    assert "broadcast" in rules.packed(pack)._jdf.queryExecution().logical().toString().lower()
+    monkeypatch.setattr(rules, "MAX_RULES", 3)
+    assert rules.packed(pack) is pack
+
+
+def test_a_shared_folder_is_asked_for_off_local_masters(spark, monkeypatch):
+    from quern.sources import shared
+
+    class Context:
+        master = "spark://somewhere"
+        _jsc = type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: type("O", (), {"isEmpty": lambda self: True})()})()})()
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Session())
+
+
+def test_appended_rounds_keep_repeats(spark):
+    one = spark.createDataFrame([("a",), ("b",)], "k string")
+    assert rows(upsert.appended(one, one.limit(1))) == [("a", 1), ("a", 2), ("b", 1)]
