@@ -6,7 +6,7 @@ keys; what it lets through is joined as usual, so results do not depend on it: a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,43 +32,54 @@ def packed(keys: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield int(keys[a]), *[c[order[a:b]].tobytes() for c in columns]
 
 
-def _places(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, first bit, second bit) of each key (long)."""
+def _places(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, 32 further bits) of each key (long)."""
     raw = keys.view(np.uint64)
     mixed = (raw ^ (raw >> np.uint64(29))) * _PRIME
-    bits = np.uint64(BITS // segments // 8 * 8)
     segment = (mixed >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32)
-    again = (mixed ^ (mixed >> np.uint64(31))) * _MIX
-    return segment.astype(np.int64), ((again >> np.uint64(7)) % bits).astype(np.int64), ((again * _PRIME >> np.uint64(9)) % bits).astype(np.int64)
+    return segment.astype(np.int64), (((mixed ^ (mixed >> np.uint64(31))) * _MIX) >> np.uint64(32)).astype(np.uint32)
+
+
+def _bits(low: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a segment that 32 bits of a key stand for."""
+    bits = np.uint64(BITS // segments // 8 * 8)
+    wide = low.astype(np.uint64)
+    return ((wide * _PRIME >> np.uint64(20)) % bits).astype(np.int64), (((wide ^ np.uint64(0x5BD1E995)) * _MIX >> np.uint64(20)) % bits).astype(np.int64)
+
+
+def column_keys(batch: pa.RecordBatch) -> np.ndarray:
+    """The keys that the first column holds, nulls left out."""
+    return batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def filter_of(rows: DataFrame, column: str, least: int = 1, segments: int = SEGMENTS, raw: bool = False) -> Broadcast:
-    """Broadcast (bytes, segments) of the keys that ``column`` holds ``least`` (1 or 2) times or more.
+def filter_of(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]] | str, least: int = 1, segments: int = SEGMENTS) -> Broadcast:
+    """Broadcast (bytes, segments) of the keys that ``rows`` hold ``least`` (1 or 2) times or more.
 
-    ``raw``: the column holds packed arrays of keys instead of one key.  Nulls are no keys.  A batch sends a key
-    ``least`` times at most, so a key that most rows hold is no burden to its segment.
+    ``keys``: a column of longs, or what makes arrays of keys of the batches.  A batch sends a key ``least``
+    times at most, so a key that most rows hold is no burden to its segment; 32 bits of it are sent, which
+    with ``segments`` in proportion to the keys tell nearly all of them apart.
     """
+    made = keys if callable(keys) else lambda batches: map(column_keys, batches)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = batch.column(0).drop_null()
-            keys = np.frombuffer(b"".join(held.to_pylist()), np.int64) if raw else held.to_numpy(zero_copy_only=False).astype(np.int64)
-            values, counts = np.unique(keys, return_counts=True)
-            values = np.repeat(values, np.minimum(counts, least))
-            made = list(packed(_places(values, segments)[0], values))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in made], pa.int64()), pa.array([r[1] for r in made], pa.binary())], names=["segment", "keys"])
+        for held in made(batches):
+            values, counts = np.unique(held, return_counts=True)
+            segment, low = _places(np.repeat(values, np.minimum(counts, least)), segments)
+            parts = list(packed(segment, low))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in parts], pa.int64()), pa.array([r[1] for r in parts], pa.binary())], names=["segment", "keys"])
 
     def filled(table: pa.Table) -> pa.Table:
-        values, counts = np.unique(np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64), return_counts=True)
+        values, counts = np.unique(np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32), return_counts=True)
         bits = np.zeros(BITS // segments // 8 * 8, np.uint8)
-        for places in _places(values[counts >= least], segments)[1:]:
+        for places in _bits(values[counts >= least], segments):
             bits[places] = 1
         return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    found = rows.select(column).mapInArrow(dealt, "segment long, keys binary").groupBy("segment").applyInArrow(filled, "segment long, bits binary")
+    source = rows if callable(keys) else rows.select(keys)
+    found = source.mapInArrow(dealt, "segment long, keys binary").groupBy("segment").applyInArrow(filled, "segment long, bits binary")
     size = BITS // segments // 8
     bloom = np.zeros(size * segments, np.uint8)
-    for row in found.toLocalIterator():
+    for row in found.collect():  # 16 MB in all
         bloom[row.segment * size : (row.segment + 1) * size] = np.frombuffer(row.bits, np.uint8)
     return rows.sparkSession.sparkContext.broadcast((bloom, segments))
 
@@ -76,10 +87,11 @@ def filter_of(rows: DataFrame, column: str, least: int = 1, segments: int = SEGM
 def held(keys: np.ndarray, bloom: tuple[np.ndarray, int]) -> np.ndarray:
     """Which of ``keys`` may be in the filter."""
     bits, segments = bloom
-    segment, first, second = _places(keys, segments)
+    segment, low = _places(keys, segments)
     start = segment * (BITS // segments // 8 * 8)
     found = np.ones(len(keys), bool)
-    for place in (start + first, start + second):
+    for bit in _bits(low, segments):
+        place = start + bit
         found &= (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
     return found
 

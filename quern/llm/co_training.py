@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quern.llm.common import one_text_each, replaced
+from quern.llm.common import long_texts, one_text_each, replaced
 
 #: Labelled documents in the sample at most (the smallest hashes of ids).
 SAMPLE_DOCS = 4000
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on at most ``sample_docs`` labelled documents; None where good or bad ones are missing."""
     sampled = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{quality_col}`").alias("q")).where("id is not null and q is not null")
     sampled = sampled.groupBy("id").agg(F.min("q").alias("q")).orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    rows = one_text_each(docs, sampled, id_col, text_col, *_meta_columns(docs))
+    rows = one_text_each(long_texts(docs), sampled, id_col, text_col, *_meta_columns(docs))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -212,4 +212,4 @@ def classify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
                 out.iloc[start : start + 256] = np.stack(scores, axis=1)
             yield out.assign(kept=out["score"] >= (model.keep_from if model else 0.0))
 
-    return replaced(docs, quality=quality(F.col(f"`{text_col}`"), *_meta_columns(docs)))
+    return replaced(long_texts(docs), quality=quality(F.col(f"`{text_col}`"), *_meta_columns(docs)))

@@ -11,6 +11,8 @@ from quern.sources.shared import materialize, new_folder, shared_folder  # noqa:
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bytes of a batch that goes to Python at most.
+BATCH_BYTES = 8 << 20
 
 
 def ascii_lower(text: Column) -> Column:
@@ -21,9 +23,13 @@ def ascii_lower(text: Column) -> Column:
 def long_texts(docs: DataFrame) -> DataFrame:
     """``docs``, once the session sends whole texts to Python in batches of bounded size.
 
-    An Arrow batch of 64 MB of text takes several times as much in a Python worker.
+    An Arrow batch of 64 MB of text takes several times as much in a Python worker.  The session's bound is
+    lowered if it is higher, and stays so: it is read when a plan runs, after the operator has returned.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    bound = conf.get(key).rstrip("b")
+    if not bound.isdigit() or int(bound) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
     return docs
 
 

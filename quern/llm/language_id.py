@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quern.llm.common import replaced
+from quern.llm.common import long_texts, replaced
 
 #: Different texts that the model learns from at most, for each language (the smallest hashes of texts).
 SAMPLE_DOCS = 700
@@ -130,7 +130,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Repeated texts count once; None if no row with a language has a letter.
     """
-    rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    rows = long_texts(docs).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
     least = rows.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= sample_docs)
     last = least.groupBy("lang").agg(F.max("h").alias("last")).limit(MAX_LANGUAGES + 1).collect()
@@ -176,4 +176,4 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                         lang[i], score[i], rejected[i] = model.languages[best], min(1.0, float(row[best])), row[best] < model.reject_below
             yield pd.DataFrame({"lang": lang, "score": score, "rejected": rejected})
 
-    return replaced(docs, language=identify(F.col(f"`{text_col}`")))
+    return replaced(long_texts(docs), language=identify(F.col(f"`{text_col}`")))

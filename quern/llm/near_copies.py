@@ -4,12 +4,13 @@ SimHash fingerprints of the sets meet by anchor covering (``simhash``), and ever
 on the whole sets.  Sets that are alike enough often lie many bits apart, so an exact set-similarity join finds
 the rest.  In one order of all shingles, two sets that are alike enough share a shingle within their first
 ``n - ceil(0.8 n) + 1`` ones (prefix filter); where their first shared one lies bounds what they can share at
-all (positional filter).  Any order gives all pairs: shingles that are frequent in a bounded sample come last,
-which only saves candidates.  Every candidate pair is verified on the whole sets.
+all (positional filter).  Any order gives all pairs.  Shingles that one set alone has come first: a set with
+so many of its own has no copy and sends nothing.  Whether a shingle is a set's own is read off a Bloom filter
+of fixed size over all shingles of all sets; those that are frequent in a bounded sample come last.  Every
+candidate pair is verified on the whole sets.
 
-Shingles that one set alone has in its prefix are left out by a Bloom filter of fixed size before anything is
-joined.  Pairs inside a component need not be looked at: each shingle first links its sets to one of them,
-drawn by hash, and only what then still lies in different components is compared pair by pair.
+Pairs inside a component need not be looked at: each set is first tried with one that it shares many prefix
+shingles with, and only what then still lies in different components is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -36,7 +38,7 @@ ALIKE = (4, 5)
 THRESHOLD = 3
 #: Texts whose shingles are counted for the order at most; it bears on cost, never on results.
 SAMPLE_TEXTS = 2_000
-#: Prefix shingles in a task, and shingles of sets that are verified against one set in a task, about.
+#: Shingles in a task, and shingles of sets that are verified against one set in a task, about.
 BUCKET_SHINGLES = 1 << 20
 
 _LOWER = str.maketrans(UPPER, UPPER.lower())
@@ -66,6 +68,11 @@ def shingle_set(text: str | None, known: dict[str, int], words_of: int = SHINGLE
     return np.unique((mixed ^ (mixed >> np.uint64(32))).view(np.int64))
 
 
+def set_hash(shingles: np.ndarray) -> int:
+    """64-bit hash of a whole set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), 42)).view(np.int64))
+
+
 def set_fingerprint(shingles: np.ndarray) -> int:
     """SimHash of a set of shingle hashes: a bit is 1 if set in over half of them."""
     ones = np.zeros(64, np.int64)
@@ -74,14 +81,17 @@ def set_fingerprint(shingles: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8")[0])
 
 
-def prefix(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a set: those that every set alike enough must share one of."""
+def prefix(shingles: np.ndarray, repeated: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, places): those of a set's prefix that other sets may have (``repeated``), where they stand in the order."""
     n = len(shingles)
     length = n - -(-ALIKE[0] * n // ALIKE[1]) + 1 if n else 0
+    rank = repeated.astype(np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, shingles), len(frequent) - 1)
-        shingles = shingles[np.argsort(np.where(frequent[at] == shingles, counts[at], 0), kind="stable")]
-    return shingles[:length]
+        rank += np.where(frequent[at] == shingles, counts[at], 0)
+    order = np.argsort(rank, kind="stable")[:length]
+    kept = repeated[order]
+    return shingles[order[kept]], np.flatnonzero(kept)
 
 
 def _hashed(texts: Iterator[pd.Series]) -> Iterator[list[np.ndarray]]:
@@ -108,21 +118,31 @@ def _alike(shared: Column, n: Column, m: Column) -> Column:
     return (a + b) * shared >= a * (n + m)
 
 
-def _shared_prefixes(sets: DataFrame, buckets: int) -> DataFrame:
-    """(s, fp, at, n): the prefix shingles that other sets have in their prefixes as well, and few others."""
-    repeated = bloom.filter_of(sets, "prefix", least=2, segments=buckets, raw=True)
+def _first_texts(batches: Iterator[pa.RecordBatch], firsts: tuple[np.ndarray, int]) -> Iterator[list[np.ndarray]]:
+    """The sets of each batch of (key, text), copies that are not the first of their set left out (most of them)."""
+    for sets in _hashed(batch.column("text").filter(pa.array(bloom.held(batch.column("key").to_numpy(), firsts))).to_pylist() for batch in batches):
+        yield sets
+
+
+def _shared_prefixes(keyed: DataFrame, firsts: Broadcast, often: Broadcast, segments: int) -> DataFrame:
+    """(s, fp, at, n): the prefix shingles that several sets have, and few others."""
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for sets in _first_texts(batches, firsts.value):
+            yield np.concatenate(sets) if sets else np.zeros(0, np.int64)
+
+    repeated = bloom.filter_of(keyed, every, least=2, segments=segments)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = batch.column("prefix").to_pylist()
-            counts = np.array([len(b) // 8 for b in raw], np.int64)
-            s = np.frombuffer(b"".join(raw), np.int64)
-            at = np.arange(len(s)) - np.repeat(np.cumsum(counts) - counts, counts)
-            there = bloom.held(s, repeated.value)
-            columns = [s, np.repeat(batch.column("fp").to_numpy(), counts), at.astype(np.int32), np.repeat(batch.column("n").to_numpy(), counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(c[there]) for c in columns], names=["s", "fp", "at", "n"])
+        for sets in _first_texts(batches, firsts.value):
+            rows = []
+            for shingles in sets:
+                s, at = prefix(shingles, bloom.held(shingles, repeated.value), *often.value)
+                rows.append((s, np.full(len(s), set_hash(shingles), np.int64), at.astype(np.int32), np.full(len(s), len(shingles), np.int32)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["s", "fp", "at", "n"])
 
-    return sets.select("fp", "n", "prefix").mapInArrow(kept, "s long, fp long, at int, n int")
+    return keyed.mapInArrow(kept, "s long, fp long, at int, n int").distinct()
 
 
 def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -180,19 +200,21 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     slim = long_texts(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")))
     sampled = smallest(slim.select("text").where("text is not null"), F.xxhash64("text"), SAMPLE_TEXTS).distinct().select(_shingles("text").alias("shingles"))
-    often = sampled.select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 1").toPandas().sort_values("s")
-    shared = spark.sparkContext.broadcast((often["s"].to_numpy(np.int64), often["count"].to_numpy(np.int64)))
+    counted = sampled.select(F.explode("shingles").alias("s")).groupBy("s").count().where("count > 1").toPandas().sort_values("s")
+    often = spark.sparkContext.broadcast((counted["s"].to_numpy(np.int64), counted["count"].to_numpy(np.int64)))
 
-    @pandas_udf("fp long, n int, sim long, prefix binary")
-    def placing(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @pandas_udf("fp long, n int, sim long")
+    def hashed(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for sets in _hashed(texts):
-            fps = [np.uint64(xxhash.xxh64_intdigest(s.tobytes(), 42)).view(np.int64) for s in sets]
-            yield pd.DataFrame({"fp": np.array(fps, np.int64), "n": list(map(len, sets)), "sim": list(map(set_fingerprint, sets)), "prefix": [prefix(s, *shared.value).tobytes() for s in sets]})
+            yield pd.DataFrame({"fp": list(map(set_hash, sets)), "n": list(map(len, sets)), "sim": list(map(set_fingerprint, sets))}).astype("int64").astype({"n": "int32"})
 
-    prints = materialize(slim.select("id", F.xxhash64("text").alias("text_hash"), placing("text").alias("set")).select("id", "text_hash", "set.*"))
+    prints = materialize(slim.select("id", F.xxhash64("text").alias("text_hash"), hashed("text").alias("set")).select("id", "text_hash", "set.*"))
     # Copies of a set are one.
-    sets = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("prefix").alias("prefix"), F.min("text_hash").alias("text_hash"), F.min("id").alias("first_id"))
-    sets = materialize(sets)
+    first = F.min(F.struct("text_hash", "id"))
+    sets = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("sim").alias("sim"), first.alias("first"), F.min("id").alias("first_id"))
+    sets = materialize(sets.select("fp", "n", "sim", "first_id", "first.text_hash", F.xxhash64("first.id", "first.text_hash").alias("key")))
+    firsts = bloom.filter_of(sets, "key")
+    keyed = slim.select(F.xxhash64("id", F.xxhash64("text")).alias("key"), "text")
 
     # What the fingerprints link: sets of one fingerprint with one of them, and those with each other.
     one = sets.groupBy("sim").agg(F.min("fp").alias("one"))
@@ -200,9 +222,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ends = far.join(one.withColumnsRenamed({"sim": "fp", "one": "a"}), "fp").join(one.withColumnsRenamed({"sim": "root", "one": "b"}), "root").select("a", "b")
     near = sets.join(one, "sim").where("fp <> one").select(F.col("fp").alias("a"), F.col("one").alias("b"))
 
-    width = shuffle_width(spark)
-    total = sets.agg(F.sum(F.octet_length("prefix") / 8)).first()[0] or 0
-    placed = materialize(_shared_prefixes(sets, max(width, int(total) // BUCKET_SHINGLES + 1)))
+    total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    placed = materialize(_shared_prefixes(keyed, firsts, often, max(shuffle_width(spark), int(total) // BUCKET_SHINGLES + 1)))
 
     def reachable(n: Column, i: Column, m: Column, j: Column) -> Column:
         """What sets can share at most whose first shared shingle lies there."""
@@ -212,6 +233,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     placed = materialize(matched(placed, drawn, "s"))
     hub = F.col("drawn")
     stars = placed.where((F.col("fp") != hub["fp"]) & reachable(F.col("n"), F.col("at"), hub["n"], hub["at"])).select(F.col("fp").alias("a"), hub["fp"].alias("b"))
+    # Each set is tried with the one it shares most of these shingles with; what that leaves apart is the rest's.
+    stars = stars.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "b"))["b"].alias("b"))
     tried = materialize(stars.union(ends).union(near).distinct())
     links = materialize(_verified(tried, sets, slim))
     labels = _labels(links)

@@ -27,17 +27,19 @@ def whole(docs: DataFrame, *columns: str) -> DataFrame:
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = co_training.classify(long_texts(whole(docs, "text", "lang", "source", "n_chars")), co_training.fit(docs, labels))
+    scored = co_training.classify(whole(docs, "text", "lang", "source", "n_chars"), co_training.fit(docs, labels))
     return scored.where("quality.kept").select("row.*")
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the long lines that many documents share; n_chars follows.  Null texts stay null."""
-    found = line_dedup.dedup_lines(whole(docs, "doc_id", "text"))
-    text = F.when(F.col("text").isNotNull(), F.col("line_report.kept"))
-    n_chars = F.when(F.col("line_report.n_dropped") > 0, F.char_length(text).cast("long")).otherwise(F.col("row.n_chars"))
+    # Numbered columns cannot clash, and the text is there once.
+    number = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    found = line_dedup.dedup_lines(docs.toDF(*number.values()), number["doc_id"], number["text"])
+    text = F.when(F.col(number["text"]).isNotNull(), F.col("line_report.kept"))
+    n_chars = F.when(F.col("line_report.n_dropped") > 0, F.char_length(text).cast("long")).otherwise(F.col(number["n_chars"]))
     changed = {"text": text, "n_chars": n_chars}
-    return found.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return found.select(*[changed.get(c, F.col(n)).alias(n) for c, n in number.items()]).toDF(*docs.columns)
 
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,17 +18,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[op1] Lines before dropping, lines dropped, hash of what is kept; null and empty texts are one empty line."""
     found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     report = F.col("line_report")
     return found.select("doc_id", report["n_lines"].alias("n_lines"), report["n_dropped"].cast("long").alias("n_dropped"), F.sha2(report["kept"], 256).alias("kept_sha256"))
 
 
 def exact_topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[op2] The twenty best of every twentieth vector; unusable vectors take no part, an empty table gives no row."""
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
 def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = long_texts(_table(spark, sf_dir, "documents")).select("doc_id", "text")
+    """[op3] Rule counts, the plain rules' verdict, and the forests'; a null text has no word and fails."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality_rules.judge(docs, quality_rules.fit(docs, _table(spark, sf_dir, "labels")))
     failed = quality_rules.base_failed("verdict")
     counts = [F.col(f"verdict.{c}").alias(c) for c in quality_rules.COUNTS]
@@ -36,12 +39,14 @@ def quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[op4] Token ids and what they decode to, as hashes; a null text is empty."""
     both = long_texts(_table(spark, sf_dir, "documents")).select("doc_id", byte_bpe.encode_decode(F.col("text")).alias("bpe"))
     ids, decoded = F.col("bpe.ids"), F.col("bpe.decoded")
     return both.select("doc_id", F.expr("octet_length(bpe.ids) div 4").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
 def pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[op5] Personal data by kind; a null text has none."""
     found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = [k.name for k in pii.KINDS if k.base]
     counts = [F.size(F.filter("pii", _kind_is(k))).cast("long").alias(f"n_{k}") for k in base]
@@ -54,7 +59,8 @@ def _kind_is(kind: str):
 
 
 def secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = long_texts(_table(spark, sf_dir, "documents")).select("doc_id", "text")
+    """[op6] Secrets by kind; a null text has none."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs, secrets.fit(docs))
     base = ("assign", "access", "hex")
     counts = [F.size(F.filter("secrets", _kind_is(k))).cast("long").alias(f"n_{k}") for k in base]
@@ -63,23 +69,27 @@ def secret_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_mix_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[op7] What the mix takes of each row; repeated rows are rows of their own, a null text has size 0."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
 def simhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[op8] Fingerprint and component; texts without a word have fingerprint zero, repeated rows are in one component."""
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def quality_classifier_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = long_texts(_table(spark, sf_dir, "documents"))
+    """[op9] Both views' and the combined probability, and the verdict; null texts are scored like any other."""
+    docs = _table(spark, sf_dir, "documents")
     scored = co_training.classify(docs, co_training.fit(docs, _table(spark, sf_dir, "labels")))
     return scored.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in ("by_text", "by_meta", "score", "kept")])
 
 
 def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = long_texts(_table(spark, sf_dir, "documents")).select("doc_id", "text", "lang")
+    """[op10] The language of every text by a model of the other two thirds; `und` without a letter."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = language_id.fit(docs.where(~held_out))
     found = language_id.predict(docs.select("doc_id", "text"), model)

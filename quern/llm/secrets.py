@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from quern.llm.common import WORD, replaced, smallest
+from quern.llm.common import WORD, long_texts, replaced, smallest
 
 #: Labelled credentials of a kind, and ordinary words of so many texts, that the automata learn from at most.
 SAMPLE_CREDENTIALS = 600
@@ -248,4 +248,4 @@ def find_secrets(docs: DataFrame, grammar: Grammar, text_col: str = "text") -> D
                 known.clear()
             yield pd.Series([[{"kind": k, "start": s, "end": e} for k, s, e in scan_text(t, shared.value, known)] for t in texts], dtype=object)
 
-    return replaced(docs, secrets=scan(F.col(f"`{text_col}`")))
+    return replaced(long_texts(docs), secrets=scan(F.col(f"`{text_col}`")))

@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprin
         for texts in batches:
             yield pd.Series(np.array([fingerprint_text(t, shingle_words) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return replaced(docs, **{out: simhash(F.col(f"`{text_col}`"))})
+    return replaced(long_texts(docs), **{out: simhash(F.col(f"`{text_col}`"))})
 
 
 @lru_cache(maxsize=4)
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not 0 <= threshold <= 4:
         raise ValueError("threshold is 0 to 4 bits")
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    prints = fingerprints(long_texts(slim), "text", "fingerprint", shingle_words)
+    prints = fingerprints(slim, "text", "fingerprint", shingle_words)
     prints = materialize(prints.select("id", F.xxhash64("text").alias("text_hash"), F.col("fingerprint").alias("fp")))
     distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("first_id")))
     labels = _labels(_links(distinct.select("fp"), threshold))

@@ -14,8 +14,12 @@ def test_no_key_is_lost(spark):
 
 
 def test_keys_that_are_there_twice(spark):
-    packed = [np.array(k, np.int64).tobytes() for k in ([1, 2, 3], [3, 4], [5, 5], [])]
-    rows = spark.createDataFrame([(bytearray(p),) for p in packed], "p binary").repartition(3)
-    held = bloom.filter_of(rows, "p", least=2, segments=5, raw=True)
+    rows = spark.createDataFrame([([1, 2, 3],), ([3, 4],), ([5, 5],), ([],)], "p array<long>").repartition(3)
+
+    def keys(batches):
+        for batch in batches:
+            yield np.array([k for row in batch.column("p").to_pylist() for k in row], np.int64)
+
+    held = bloom.filter_of(rows, keys, least=2, segments=5)
     assert bloom.held(np.arange(1, 7), held.value).tolist() == [False, False, True, False, True, False]
-    assert not bloom.held(np.arange(9), bloom.filter_of(rows.limit(0), "p", raw=True).value).any()
+    assert not bloom.held(np.arange(9), bloom.filter_of(rows.limit(0), keys).value).any()
