@@ -120,3 +120,8 @@ def json_cut(record: Column, limit: int = 4000) -> Column:
 def share(part: Column, whole: Column, digits: int = 4) -> Column:
     """[P38] ``part`` of ``whole``, rounded; 0 of nothing."""
     return F.round(F.when(whole != 0, part / whole).otherwise(0.0), digits)
+
+
+def fingerprint(record: Column, fields: list[str]) -> Column:
+    """[P28] SHA-256 of a record as canonical JSON: fields in sorted order, no spaces; null fields are left out."""
+    return F.sha2(F.to_json(F.struct(*[record[f].alias(f) for f in sorted(fields)])), 256)

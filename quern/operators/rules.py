@@ -104,3 +104,11 @@ def signal_edges(fired: DataFrame, key: str) -> DataFrame:
     """[M05] One edge (src, dst, reason) per fact, condition and reason, with the last rule by id; none from none."""
     named = fired.where(F.col(key).isNotNull())
     return named.groupBy(F.col(key).cast("string").alias("src"), F.col("condition").alias("dst"), "reason").agg(F.max("rule_id").alias("rule_id"))
+
+
+def abnormal(facts: DataFrame, limits: DataFrame, name: str, value: str) -> DataFrame:
+    """[P36] ``facts`` with ``abnormal``: whether a value is outside its test's limits (name, low, high, closed); unknown tests are normal."""
+    known = packed(limits.withColumnRenamed("name", "__name"))
+    # A missing limit gives null, which is no reason by itself.
+    reasons = F.coalesce(F.col(value) < F.col("low"), F.lit(False)) | F.coalesce(F.col(value) > F.col("high"), F.lit(False)) | F.coalesce(F.col("closed") & (F.col(value) == F.col("high")), F.lit(False))
+    return facts.join(known, F.col(name) == F.col("__name"), "left").withColumn("abnormal", reasons).drop("__name", "low", "high", "closed")

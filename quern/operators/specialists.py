@@ -50,9 +50,11 @@ def quality_review(context: DataFrame, key: str = "supplier_id") -> DataFrame:
 
 #: Supply risk rules (id, condition over a fact row, severity); an extension that evaluates them.
 SUPPLY_RULES = {
+    "single_source_critical_part": ("n_suppliers = 1 AND criticality = 'critical'", "high"),
     "lead_time_exceeded": ("actual_lead_days > expected_lead_days * 1.5", "moderate"),
     "quality_rejection_rate": ("defect_rate > 0.05", "high"),
-    "single_source_critical_part": ("n_suppliers = 1 AND criticality = 'critical'", "high"),
+    "geopolitical_risk_region": ("array_contains(high_risk_regions, country)", "moderate"),
+    "disruption_cascade": ("disrupted AND n_suppliers = 1", "high"),
 }
 
 
@@ -60,7 +62,7 @@ def supply_signals(facts: DataFrame, rules: dict[str, tuple[str, str]] = SUPPLY_
     """[R10] ``facts`` with ``signals``: (rule_id, severity) of the rules whose columns are there and that hold."""
     import re
 
-    usable = {k: v for k, v in rules.items() if set(re.findall(r"[a-z_]{3,}", re.sub(r"'[^']*'", "", v[0]))) <= set(facts.columns)}
+    usable = {k: v for k, v in rules.items() if set(re.findall(r"[a-z_]{3,}\b(?!\()", re.sub(r"'[^']*'", "", v[0]))) <= set(facts.columns)}
     held = [F.when(F.expr(e), F.struct(F.lit(k).alias("rule_id"), F.lit(s).alias("severity"))) for k, (e, s) in usable.items()]
     none = F.array().cast("array<struct<rule_id:string,severity:string>>")
     return facts.withColumn("signals", F.array_compact(F.array(*held)) if held else none)

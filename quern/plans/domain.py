@@ -496,3 +496,329 @@ def graph_supply_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = table(spark, sf_dir, name).select(F.expr(seq).alias("arrival_seq"), F.to_json(F.struct(*[F.expr(e).alias(n) for n, e in fields.items()])).alias("payload_json"))
         written.append(graph.writes(envelopes.with_payload(rows, envelopes.REFERENCE_PAYLOADS[kind]), graph.SUPPLY_REFERENCE[kind]))
     return _shown(patterns.together(*written))
+
+
+# -- Rule packs, seeds and lookups --------------------------------------------------------------------
+
+
+@query(f"WITH {_EV}, {_FIRED} SELECT rule_id, condition, severity, count(*) AS n, count(DISTINCT patient_id) AS patients FROM fired GROUP BY ALL")
+def lab_rule_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[R01, F06, F07] How often each laboratory rule of the clinical pack fires."""
+    return lab_signals(spark, sf_dir).groupBy("rule_id", "condition", "severity").agg(F.count("*").alias("n"), F.count_distinct("patient_id").alias("patients"))
+
+
+_OUTCOMES = values_sql(ontology.OUTCOMES, "code description", "o")
+
+
+@query(f"WITH {_EV}, {_RESULTED} SELECT rule_id, outcome, description, count(*) AS n FROM resulted LEFT JOIN {_OUTCOMES} ON o.code = outcome GROUP BY ALL")
+def claim_rule_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[R02, R06] How often each claim rule fires, with the description of its outcome."""
+    counted = claim_outcomes(spark, sf_dir).groupBy("rule_id", "outcome").agg(F.count("*").alias("n"))
+    return counted.join(ontology.outcomes(spark), F.col("code") == F.col("outcome"), "left").select("rule_id", "outcome", "description", "n")
+
+
+_INTERACTIONS = values_sql(ontology.INTERACTIONS, "drug_a drug_b risk severity mechanism", "i")
+_ACTIVE = f"active AS (SELECT patient_id, medication FROM ev WHERE {_MED} AND order_type NOT IN ('discontinued', 'hold'))"
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(owner, item, state) of medication orders."""
+    return clinical_events(spark, sf_dir, "MEDICATION_ORDER").select(F.col("patient_id").alias("owner"), F.col("payload.medication").alias("item"), F.col("payload.order_type").alias("state"))
+
+
+@query(f"WITH {_EV}, {_ACTIVE} SELECT i.drug_a, i.drug_b, i.risk, i.severity, count(DISTINCT a.patient_id) AS patients FROM {_INTERACTIONS} JOIN active a ON a.medication = i.drug_a JOIN active b ON b.patient_id = a.patient_id AND b.medication = i.drug_b GROUP BY ALL")
+def interaction_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[R03, F04, J12] Patients with active orders of both drugs of an interaction."""
+    links = ontology.interactions(spark).withColumnsRenamed({"drug_a": "item_a", "drug_b": "item_b"})
+    once = _orders(spark, sf_dir).where(patterns.active(F.col("state"))).distinct()
+    pairs = patterns.diamond(once.select("owner", "item").distinct().withColumn("state", F.lit("active")), links)
+    return pairs.groupBy(F.col("item_a").alias("drug_a"), F.col("item_b").alias("drug_b"), "risk", "severity").agg(F.count_distinct("owner").alias("patients"))
+
+
+_CONTRA_RULES = values_sql(ontology.CONTRAINDICATIONS, "medication condition reason severity", "c")
+_VIOLATED = f"violated AS (SELECT DISTINCT n.patient_id, c.medication, c.condition, c.reason, c.severity FROM ev n JOIN {_CONTRA_RULES} ON {_NOTE.replace('type', 'n.type')} AND n.diagnosis = c.condition WHERE EXISTS (SELECT 1 FROM ev m WHERE m.type = 'MEDICATION_ORDER' AND m.patient_id = n.patient_id AND m.medication = c.medication))"
+
+
+def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(patient_id, medication, condition, reason, severity): contraindicated drugs that were ordered all the same."""
+    conditions = clinical_events(spark, sf_dir, "CLINICAL_NOTE").select("patient_id", F.col("payload.diagnosis").alias("condition")).where("condition is not null").distinct()
+    told = conditions.join(ontology.contraindications(spark), "condition")
+    ordered = _orders(spark, sf_dir).select(F.col("owner").alias("patient_id"), F.col("item").alias("medication"))
+    return patterns.having(told, ordered, ["patient_id", "medication"]).select("patient_id", "medication", "condition", "reason", "severity")
+
+
+@query(f"WITH {_EV}, {_VIOLATED} SELECT * FROM violated")
+def contraindication_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C34, R05, J11] All of them, without a limit."""
+    return violations(spark, sf_dir)
+
+
+@query(f"WITH {_EV}, {_ADVERSE} SELECT patient_id, id AS event_id, symptom, drug AS medication, severity_first AS severity, term_first AS meddra_term, CAST(row_number() OVER (PARTITION BY patient_id ORDER BY seq DESC, drug) AS INTEGER) AS place FROM adverse")
+def adverse_events_by_patient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C33] Every patient's adverse events, newest first."""
+    found = adverse_events(spark, sf_dir).withColumn("newest", -F.col("arrival_seq"))
+    placed = patterns.history(found, "patient_id", ["newest", "medication"]).withColumnRenamed("step", "place")
+    return placed.select("patient_id", F.col("note_id").alias("event_id"), "symptom", "medication", "severity", "meddra_term", "place")
+
+
+@query(f"WITH {_EV} SELECT patient_id, id AS event_id, CAST(measured AS DOUBLE) AS value, unit, coalesce(abnormal, false) AS abnormal FROM ev WHERE {_LAB} AND lab_name = 'Potassium' AND CAST(measured AS DOUBLE) >= 5.5")
+def hyperkalemia_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C38] Potassium of 5.5 or more."""
+    labs = clinical_events(spark, sf_dir, "LAB_RESULT").where("payload.lab_name = 'Potassium'")
+    value = F.col("payload.value").try_cast("double")
+    return labs.where(value >= 5.5).select("patient_id", "event_id", value.alias("value"), "payload.unit", F.coalesce("payload.abnormal", F.lit(False)).alias("abnormal"))
+
+
+@query(f"""WITH {_EV}, managed AS (SELECT DISTINCT patient_id, provider_id FROM ev WHERE referred AND provider_id IS NOT NULL), covered AS (SELECT DISTINCT patient_id, payer FROM ev WHERE referred AND {_CLAIM} AND payer IS NOT NULL)
+SELECT m.patient_id, m.provider_id, c.payer FROM managed m LEFT JOIN covered c ON c.patient_id = m.patient_id ORDER BY m.patient_id, m.provider_id, c.payer NULLS LAST LIMIT 50""")
+def coverage_and_providers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C40, J08, F17] Who manages a patient, and who covers them if anyone does; the first fifty."""
+    _, edges = graph.build(clinical_events(spark, sf_dir), graph.CLINICAL_REFERENCE)
+    managed = patterns.without(graph.edge_table(edges, "MANAGED_BY"), "props").withColumnsRenamed({"src": "patient_id", "dst": "provider_id"})
+    covered = patterns.without(graph.edge_table(edges, "COVERED_BY"), "props")
+    both = patterns.hop(managed, covered, "patient_id", "payer", optional=True)
+    return both.orderBy("patient_id", "provider_id", F.col("payer").asc_nulls_last()).limit(50)
+
+
+_SEEDS = f"""SELECT 'Condition' AS label, x AS key, '' AS props FROM (SELECT unnest({ontology.CONDITION_SEEDS}) AS x UNION SELECT condition FROM {_CONTRA_RULES})
+UNION ALL SELECT 'Symptom', x, '' FROM (SELECT unnest({ontology.SYMPTOM_SEEDS}) AS x UNION SELECT symptom FROM {_REACTIONS})
+UNION ALL SELECT 'AdverseOutcome', code, 'description=' || description FROM {_OUTCOMES}
+UNION ALL SELECT 'Medication', x, CASE WHEN s.name IS NULL THEN '' ELSE 'activeIngredient=' || s.ingredient || ';isValidatedTradeNameUsed=' || s.trade END
+FROM (SELECT drug_a AS x FROM {_INTERACTIONS} UNION SELECT drug_b FROM {_INTERACTIONS} UNION SELECT medication FROM {_CONTRA_RULES} UNION SELECT medication FROM {_REACTIONS})
+LEFT JOIN {values_sql(ontology.MEDICATION_SEEDS, "name ingredient trade", "s")} ON s.name = x"""
+
+
+@query(_SEEDS)
+def seed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[R07, S13, K11] Nodes that are there before any event; metadata goes to medications that a safety table names."""
+    return ontology.seed_nodes(spark).withColumn("props", graph.shown())
+
+
+@query("SELECT kind, src, dst, count(*) OVER (PARTITION BY kind, src) AS links FROM (" + f"SELECT 'INTERACTS_WITH' AS kind, drug_a AS src, drug_b AS dst FROM {_INTERACTIONS} UNION ALL SELECT 'CONTRAINDICATED_FOR', medication, condition FROM {_CONTRA_RULES} UNION ALL SELECT 'HAS_KNOWN_REACTION', medication, symptom FROM {_REACTIONS})")
+def seed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[R03, R04, R05, S13]"""
+    edges = ontology.seed_edges(spark)
+    return edges.join(edges.groupBy("kind", "src").agg(F.count("*").alias("links")), ["kind", "src"]).select("kind", "src", "dst", "links")
+
+
+_SOURCES = ("EHR", "LAB", "DEVICE", "PHARMACY", "CLAIMS", "OTHER")
+
+
+@query(f"SELECT trust_level, phi_class, retention_class, count(*) AS n FROM (SELECT {_cases('event_id % 6', _SOURCES)} AS s FROM events) LEFT JOIN {values_sql(ontology.PROVENANCE, 'source_type trust_level phi_class retention_class', 'p')} ON p.source_type = s GROUP BY ALL")
+def provenance_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[R08, J04] Events by the provenance class of their source."""
+    events = table(spark, sf_dir, "events").select(F.expr(_cases("event_id % 6", _SOURCES)).alias("source_type"))
+    return events.join(ontology.provenance(spark), "source_type", "left").groupBy("trust_level", "phi_class", "retention_class").agg(F.count("*").alias("n"))
+
+
+_VOCABULARY = values_sql(ontology.VOCABULARY, "family local_code standard_system display", "v")
+
+
+@query(f"WITH {_EV} SELECT lab_name, standard_system, display, count(*) AS n FROM (SELECT '  ' || lab_name || ' ' AS lab_name FROM ev WHERE {_LAB}) LEFT JOIN {_VOCABULARY} ON v.family = 'labs' AND lower(v.local_code) = lower(trim(lab_name)) GROUP BY ALL")
+def vocabulary_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[R09, J03, P03] Laboratory names with their standard terms, without regard to case and white space."""
+    labs = clinical_events(spark, sf_dir, "LAB_RESULT").select(F.concat(F.lit("  "), "payload.lab_name", F.lit(" ")).alias("lab_name"))
+    found = normalise.mapped(labs, ontology.vocabulary(spark), F.col("lab_name"), "labs", "term")
+    return found.groupBy("lab_name", "term.standard_system", "term.display").agg(F.count("*").alias("n"))
+
+
+_TIERS = values_sql(ontology.REFERENCE_VOCABULARY, "family local_code standard_system standard_code display", "v")
+
+
+@query(f"WITH {_EV} SELECT e.patient_id, e.id AS event_id, upper(e.patient_sex) AS sex, s.display AS sex_display, t.standard_code AS tier_code, y.standard_system AS specialty_system FROM ev e LEFT JOIN {_TIERS.replace(') AS v(', ') AS s(')} ON s.family = 'patient_sex' AND lower(s.local_code) = lower(e.patient_sex) LEFT JOIN {_TIERS.replace(') AS v(', ') AS t(')} ON t.family = 'patient_risk_tiers' AND lower(t.local_code) = lower(e.patient_risk_tier) LEFT JOIN {_TIERS.replace(') AS v(', ') AS y(')} ON y.family = 'provider_specialties' AND lower(y.local_code) = lower(e.provider_specialty) WHERE referred")
+def reference_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P06] Reference data in standard spelling, with three of its eight mappings shown."""
+    events = clinical_events(spark, sf_dir).where("payload.reference_data is not null")
+    found = normalise.reference_semantics(events, ontology.reference_vocabulary(spark))
+    return found.select("patient_id", "event_id", "patient.sex", F.col("patient_sex_mapping.display").alias("sex_display"), F.col("patient_risk_tier_mapping.standard_code").alias("tier_code"), F.col("provider_specialty_mapping.standard_system").alias("specialty_system"))
+
+
+@query(f"""WITH {_EV} SELECT id AS event_id, upper(procedure_code) AS procedure_code, CASE WHEN procedure_code IS NOT NULL THEN 'CPT' END AS procedure_system, CASE WHEN procedure_code IS NOT NULL THEN procedure_description END AS procedure_display,
+CASE WHEN diagnosis_code IS NOT NULL THEN 'ICD10' END AS diagnosis_system, lower(claim_type) AS claim_type FROM ev WHERE {_CLAIM}""")
+def claim_mappings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P05, P07] Claims with the mappings of their own codes."""
+    found = normalise.semantics(clinical_events(spark, sf_dir, "CLAIM_STATUS"), ontology.vocabulary(spark), "CLAIM_STATUS")
+    return found.select("event_id", "payload.procedure_code", F.col("procedure_mapping.standard_system").alias("procedure_system"), F.col("procedure_mapping.display").alias("procedure_display"), F.col("diagnosis_mapping.standard_system").alias("diagnosis_system"), "payload.claim_type")
+
+
+_LIMITS = ", ".join(f"('{n}', {low if low is not None else 'NULL'}, {high if high is not None else 'NULL'}, {str(closed).lower()})" for n, low, high, closed in ontology.LAB_LIMITS)
+_ALL_LABS = tuple(row[0] for row in ontology.LAB_LIMITS)
+_MEASURED = f"(SELECT event_id, {_cases(f'event_id % {len(_ALL_LABS) + 1}', (*_ALL_LABS, 'Unknown'))} AS lab, floor(value) AS value FROM events)"
+
+
+@query(f"SELECT event_id, lab, coalesce(value < l.low OR value > l.high OR (l.closed AND value = l.high), false) AS abnormal FROM {_MEASURED} LEFT JOIN (VALUES {_LIMITS}) AS l(name, low, high, closed) ON l.name = lab")
+def lab_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P36] Results outside the limits of their test, for all 36 tests."""
+    raw = table(spark, sf_dir, "events").select("event_id", F.expr(_cases(f"event_id % {len(_ALL_LABS) + 1}", (*_ALL_LABS, "Unknown"))).alias("lab"), F.floor("value").alias("value"))
+    return rules.abnormal(raw, ontology.lab_limits(spark), "lab", "value").select("event_id", "lab", "abnormal")
+
+
+_RISKS = "['single_source_critical_part' ,'lead_time_exceeded', 'quality_rejection_rate', 'geopolitical_risk_region', 'disruption_cascade']"
+
+
+@query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, n_name AS country, count(DISTINCT l_suppkey) OVER (PARTITION BY l_partkey) AS suppliers, l_quantity, l_discount, l_tax
+FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, array_to_string(list_filter([CASE WHEN suppliers = 1 THEN 'single_source_critical_part' END, CASE WHEN l_quantity > l_linenumber * 10 * 1.5 THEN 'lead_time_exceeded' END, CASE WHEN l_discount > 0.05 THEN 'quality_rejection_rate' END,
+CASE WHEN country IN ('CHINA', 'RUSSIA') THEN 'geopolitical_risk_region' END, CASE WHEN suppliers = 1 AND l_tax > 0.04 THEN 'disruption_cascade' END], lambda x: x IS NOT NULL), ',') AS signals FROM f""")
+def supply_risk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[R10] All five supply risk rules."""
+    from quern.operators import specialists
+
+    lines = table(spark, sf_dir, "lineitem")
+    sources = lines.groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("n_suppliers"))
+    home = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("country"))
+    facts = lines.join(sources, "l_partkey").join(home, "l_suppkey").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "n_suppliers", "country", F.lit("critical").alias("criticality"), F.col("l_quantity").alias("actual_lead_days"), (F.col("l_linenumber") * 10).alias("expected_lead_days"),
+        F.col("l_discount").alias("defect_rate"), F.array(F.lit("CHINA"), F.lit("RUSSIA")).alias("high_risk_regions"), (F.col("l_tax") > 0.04).alias("disrupted"),
+    )
+    found = specialists.supply_signals(facts)
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(F.transform("signals", lambda s: s["rule_id"]), ",").alias("signals"))
+
+
+# -- Records, scores and renderings -------------------------------------------------------------------
+
+
+@query(f"""WITH {_EV} SELECT CAST(CAST('0x' || substr(md5(id), 1, 16) AS UBIGINT) AS DECIMAL(20, 0)) AS point_id, id AS event_id, type AS event_type, CASE WHEN type = 'CLINICAL_NOTE' THEN event_family END AS event_family, 'web' AS source_system, source_type, '0.1.0' AS ontology_version, k % 3 AS reference_hit_count, k % 3 > 0 AS enriched,
+'vector_event_text' AS evidence_class, CASE WHEN k % 2 = 0 THEN 'high' END AS trust_level, words AS text, patient_id, CAST(384 AS INTEGER) AS dimension FROM ev""")
+def vector_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P15, P16, S08] Points of the vector table, payload fields side by side."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    counts = table(spark, sf_dir, "events").select(F.concat(F.lit("ev-"), F.col("event_id").cast("string")).alias("event_id"), (k % 3).alias("reference_hit_count"), F.when(k % 2 == 0, "high").alias("trust_level"))
+    points = normalise.vector_record(clinical_events(spark, sf_dir).join(counts, "event_id"))
+    shown = [F.col(f"payload.{c}").alias(c) for c in ("event_id", "event_type", "event_family", "source_system", "source_type", "ontology_version", "reference_hit_count", "enriched", "evidence_class", "trust_level", "text", "patient_id")]
+    return points.select("point_id", *shown, F.size("embedding").alias("dimension"))
+
+
+@query(r"""SELECT conv_id, turn, CAST(CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' OR starts_with(text, 'LLM error:') THEN 0.0 WHEN length(text) > 50 AND length(text) < 5000 THEN 1.0 ELSE 0.5 END AS DOUBLE) AS quality,
+CAST(CASE WHEN regexp_matches(lower(text), 'not medical advice|consult|clinical judgment|demo data|synthetic|safety caveat|not a substitute|healthcare professional') THEN 1.0 ELSE 0.0 END AS DOUBLE) AS caveat,
+((turn > 0)::INT + (conv_id % 3 > 0)::INT) / 2 AS completeness, CAST(CASE WHEN turn % 4 = 0 THEN 0 ELSE len(list_filter([1, 2], lambda x: x <= turn % 4)) / 2 END AS DOUBLE) AS coverage FROM conversations""")
+def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P33, P31, Q13] Quality, caveat, completeness and coverage of answers."""
+    from quern.plans import evaluation
+
+    asked = table(spark, sf_dir, "conversations")
+    expected = F.when(F.col("turn") % 4 == 0, F.array().cast("array<int>")).otherwise(F.array(F.lit(1), F.lit(2)))
+    found = F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("turn") % 4).cast("int")))
+    scores = {"quality": evaluation.quality_score(F.col("text")), "caveat": evaluation.caveat_score(F.col("text")), "completeness": evaluation.completeness_score(F.col("turn") > 0, F.col("conv_id") % 3 > 0), "coverage": evaluation.coverage_score(expected, found)}
+    return asked.select("conv_id", "turn", *[c.alias(n) for n, c in scores.items()])
+
+
+@query(f"""WITH {_EV} SELECT id AS event_id, CAST(100 + k AS VARCHAR) || '/' || CAST(60 + k % 30 AS VARCHAR) AS pressure, left('{{"heart_rate":' || heart_rate || ',"device_id":"' || device_id || '"}}', 25) AS cut FROM ev WHERE {_VITAL} AND k % 4 > 0""")
+def vital_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P19, P40] Blood pressure as text, and a record as JSON cut to a length."""
+    vitals = clinical_events(spark, sf_dir, "VITAL_SIGN").where("payload.systolic_bp is not null")
+    return vitals.select("event_id", T.pressure(F.col("payload.systolic_bp"), F.col("payload.diastolic_bp")).alias("pressure"), T.json_cut(F.struct("payload.heart_rate", "payload.device_id"), 25).alias("cut"))
+
+
+@query("SELECT vec_id, len(embedding[1:10]) + greatest(0, 10 - len(embedding)) AS short, CAST(100 AS BIGINT) AS long, round(list_sum([CAST(x AS DOUBLE) FOR x IN embedding[1:10]]), 4) AS total FROM embeddings")
+def fitted_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P14] Vectors cut and padded."""
+    from quern.functions import vectors as V
+
+    points = table(spark, sf_dir, "embeddings").select("vec_id", V.fitted(F.col("embedding").cast("array<double>"), 10).alias("ten"), V.fitted(F.col("embedding").cast("array<double>"), 100).alias("hundred"))
+    return points.select("vec_id", F.size("ten").cast("long").alias("short"), F.size("hundred").cast("long").alias("long"), F.round(F.aggregate("ten", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("""SELECT sha256('{"event_type":"' || event_type || '","user_id":' || user_id || '}') AS fingerprint, count(*) AS n FROM events GROUP BY 1""")
+def request_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[P28] SHA-256 of canonical JSON: sorted keys, no spaces."""
+    return table(spark, sf_dir, "events").select(T.fingerprint(F.struct("user_id", "event_type"), ["user_id", "event_type"]).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n"))
+
+
+@query("SELECT k, arg_min(round, round) AS first_round, count(*) AS times FROM (SELECT event_type AS k, 1 AS round FROM events WHERE event_id < 50 UNION ALL SELECT event_type, 2 FROM events WHERE event_id < 20) GROUP BY k")
+def appended_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[U03, U07] Evidence of two rounds, appended; repeats count."""
+    from quern.operators import upsert
+
+    events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("k"))
+    both = upsert.appended(events.where("event_id < 50"), events.where("event_id < 20"))
+    return both.groupBy("k").agg(F.min("round").alias("first_round"), F.count("*").alias("times"))
+
+
+# -- Context of patients and its projections ----------------------------------------------------------
+
+#: Lists of a patient's context: fields, and the SQL of (owner, fields).
+_CONTEXT = {
+    "conditions": (("name",), f"SELECT patient_id AS owner, {{'name': diagnosis}} AS v FROM ev WHERE {_NOTE} AND diagnosis IS NOT NULL"),
+    "codes": (("code", "condition"), f"SELECT patient_id AS owner, {{'code': icd10_code, 'condition': diagnosis}} AS v FROM ev WHERE {_NOTE} AND icd10_code IS NOT NULL AND diagnosis IS NOT NULL"),
+    "signals": (("observation", "indicated"), "SELECT patient_id AS owner, {'observation': lab_name, 'indicated': condition} AS v FROM fired"),
+    "medications": (("medication", "dose", "order_type"), f"SELECT patient_id AS owner, {{'medication': medication, 'dose': dose, 'order_type': order_type}} AS v FROM ev WHERE {_MED}"),
+    "interactions": (("drug", "other", "risk", "severity"), f"SELECT patient_id AS owner, {{'drug': i.drug_a, 'other': i.drug_b, 'risk': i.risk, 'severity': i.severity}} AS v FROM active JOIN {_INTERACTIONS} ON i.drug_a = medication"),
+    "contraindications": (("medication", "condition", "reason"), "SELECT patient_id AS owner, {'medication': medication, 'condition': condition, 'reason': reason} AS v FROM violated"),
+    "adverse": (("symptom", "medication", "severity"), "SELECT patient_id AS owner, {'symptom': symptom, 'medication': drug, 'severity': severity_first} AS v FROM adverse"),
+    "claims": (("claim", "status"), f"SELECT patient_id AS owner, {{'claim': claim_id, 'status': coalesce(status, '')}} AS v FROM ev WHERE {_CLAIM}"),
+    "hits": (("kind", "event", "score"), "SELECT patient_id AS owner, {'kind': type, 'event': id, 'score': CAST(floor(CAST(k AS DOUBLE)) AS BIGINT)} AS v FROM ev WHERE k > 60"),
+}
+_CTES = {"signals": _FIRED, "interactions": _ACTIVE, "contraindications": _VIOLATED, "adverse": _ADVERSE}
+
+
+def _context_rows(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """(owner, list value) of one list."""
+    of = lambda events, **fields: events.select(F.col("patient_id").alias("owner"), F.struct(*[F.col(c).alias(n) for n, c in fields.items()]).alias(name))
+    notes = lambda: clinical_events(spark, sf_dir, "CLINICAL_NOTE").where("payload.diagnosis is not null")
+    if name == "conditions":
+        return of(notes(), name="payload.diagnosis")
+    if name == "codes":
+        return of(notes().where("payload.icd10_code is not null"), code="payload.icd10_code", condition="payload.diagnosis")
+    if name == "signals":
+        return of(lab_signals(spark, sf_dir), observation="lab_name", indicated="condition")
+    if name == "medications":
+        return of(clinical_events(spark, sf_dir, "MEDICATION_ORDER"), medication="payload.medication", dose="payload.dose", order_type="payload.order_type")
+    if name == "interactions":
+        live = _orders(spark, sf_dir).where(patterns.active(F.col("state"))).withColumnRenamed("owner", "patient_id")
+        return of(live.join(ontology.interactions(spark), F.col("item") == F.col("drug_a")), drug="drug_a", other="drug_b", risk="risk", severity="severity")
+    if name == "contraindications":
+        return of(violations(spark, sf_dir), medication="medication", condition="condition", reason="reason")
+    if name == "adverse":
+        return of(adverse_events(spark, sf_dir), symptom="symptom", medication="medication", severity="severity")
+    if name == "claims":
+        return of(clinical_events(spark, sf_dir, "CLAIM_STATUS").withColumn("status", F.coalesce("payload.status", F.lit(""))), claim="payload.claim_id", status="status")
+    scored = clinical_events(spark, sf_dir).join(table(spark, sf_dir, "events").select(F.col("event_id").alias("arrival_seq"), F.get_json_object("props", "$.k").cast("long").alias("score")), "arrival_seq")
+    return of(scored.where("score > 60"), kind="event_type", event="event_id", score="score")
+
+
+#: Projections of context and hits [C43-C54]: output, list, and which of it (SQL over ``x``; both engines read it).
+PROJECTIONS = {
+    "lab_and_interactions": {"infarctions": ("signals", "x.indicated = 'Acute Myocardial Infarction'"), "severe": ("interactions", "x.severity = 'high'"), "found": ("hits", "true")},
+    "reactions": {"notes": ("hits", "x.kind = 'CLINICAL_NOTE'"), "events": ("adverse", "true"), "against": ("contraindications", "true")},
+    "pharmacy_and_severity": {"orders": ("hits", "x.kind = 'MEDICATION_ORDER'"), "severe": ("interactions", "x.severity = 'high'")},
+    "steroids_and_glucose": {"glucose": ("signals", "regexp_like(x.indicated, '(?i)hyperglycemia|diabetes')"), "risks": ("interactions", "regexp_like(x.risk, '(?i)hyperglycemia|glucose|hyperkal')"), "reasons": ("contraindications", "regexp_like(x.reason, '(?i)glucose|diabetes|toxicity')")},
+    "claims_and_outcomes": {"told": ("hits", "x.kind = 'CLAIM_STATUS'"), "known": ("claims", "x.status <> ''")},
+    "cohort_reactions": {"events": ("adverse", "true"), "against": ("contraindications", "true")},
+    "coding_gap": {"notes": ("hits", "x.kind = 'CLINICAL_NOTE'"), "coded": ("codes", "true"), "every": ("conditions", "true")},
+    "safety_review": {"orders": ("hits", "x.kind = 'MEDICATION_ORDER'"), "labs": ("hits", "x.kind = 'LAB_RESULT'"), "links": ("interactions", "true"), "against": ("contraindications", "true"), "signs": ("signals", "true"), "events": ("adverse", "true"), "drugs": ("medications", "true")},
+    "depression_chain": {"orders": ("hits", "x.kind = 'MEDICATION_ORDER'"), "severe": ("interactions", "x.severity = 'high'"), "events": ("adverse", "true"), "every": ("conditions", "true")},
+    "transfers_and_orders": {"notes": ("hits", "x.kind = 'CLINICAL_NOTE'"), "orders": ("hits", "x.kind = 'MEDICATION_ORDER'"), "drugs": ("medications", "true"), "every": ("conditions", "true")},
+    "denials_and_codes": {"told": ("hits", "x.kind = 'CLAIM_STATUS'"), "notes": ("hits", "x.kind = 'CLINICAL_NOTE'"), "billed": ("claims", "true"), "coded": ("codes", "true")},
+    "late_corrections": {"labs": ("hits", "x.kind = 'LAB_RESULT'"), "signs": ("signals", "true"), "drugs": ("medications", "true")},
+}
+
+
+def _projection_sql(outputs: dict[str, tuple[str, str]]) -> str:
+    used = list(dict.fromkeys(n for n, _ in outputs.values()))
+    ctes = ", ".join(dict.fromkeys([_EV, *[_CTES[n] for n in used if n in _CTES]]))
+    lists = "\n".join(f"LEFT JOIN (SELECT owner, list_sort(list(DISTINCT v))[1:20] AS v FROM ({_CONTEXT[n][1]}) GROUP BY owner) {n} ON {n}.owner = patient_id" for n in used)
+    shown = lambda n, keep: f"coalesce(array_to_string([concat_ws('|', {', '.join('x.' + f for f in _CONTEXT[n][0])}) FOR x IN {n}.v IF {keep.replace('regexp_like', 'regexp_matches')}], ','), '')"
+    return f"WITH {ctes}\nSELECT patient_id, " + ", ".join(f"{shown(n, keep)} AS {out}" for out, (n, keep) in outputs.items()) + f" FROM (SELECT DISTINCT patient_id FROM ev)\n{lists}"
+
+
+def projected(spark: SparkSession, sf_dir: str, outputs: dict[str, tuple[str, str]]) -> DataFrame:
+    """Every patient's context, only the lists that are asked for, filtered and shown as text."""
+    used = list(dict.fromkeys(n for n, _ in outputs.values()))
+    patients = table(spark, sf_dir, "events").select(F.expr(ENVELOPE["patient_id"]).alias("patient_id")).distinct()
+    context = patterns.with_lists(patients, "patient_id", patterns.together(*[_context_rows(spark, sf_dir, n) for n in used]), "owner", dict.fromkeys(used, 20))
+    text = lambda n, keep: F.expr(f"array_join(transform(filter({n}, x -> {keep}), x -> concat_ws('|', {', '.join(f'cast(x.{f} as string)' for f in _CONTEXT[n][0])})), ',')")
+    return context.select("patient_id", *[text(n, keep).alias(out) for out, (n, keep) in outputs.items()])
+
+
+def _register(name: str, place: int, outputs: dict[str, tuple[str, str]]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return projected(spark, sf_dir, outputs)
+
+    run.__name__ = f"dual_path_{name}"
+    run.__doc__ = f"[C{43 + place}]"
+    query(_projection_sql(outputs))(run)
+
+
+for _place, (_name, _outputs) in enumerate(PROJECTIONS.items()):
+    _register(_name, _place, _outputs)

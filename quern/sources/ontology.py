@@ -5,6 +5,8 @@ Rule packs are lists of dictionaries, so others can be given in the same form (`
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,6 +197,101 @@ adverse_reactions | shortness of breath | MedDRA | Dyspnoea
 """
 
 
+#: Terms of reference data with a standard binding (family, local code, system, code, display).
+REFERENCE_VOCABULARY = """
+device_types | monitor | LOCAL_DEVICE_TYPE | monitor | Monitor
+device_types | wearable | LOCAL_DEVICE_TYPE | wearable | Wearable
+device_types | bedside | LOCAL_DEVICE_TYPE | bedside | Bedside
+device_types | implant | LOCAL_DEVICE_TYPE | implant | Implant
+device_types | patch | LOCAL_DEVICE_TYPE | patch | Patch
+device_types | infusion_pump | LOCAL_DEVICE_TYPE | infusion_pump | Infusion Pump
+medication_drug_classes | Anticoagulant | LOCAL_DRUG_CLASS | anticoagulant | Anticoagulant
+medication_drug_classes | Antihypertensive | LOCAL_DRUG_CLASS | antihypertensive | Antihypertensive
+medication_drug_classes | Antidiabetic | LOCAL_DRUG_CLASS | antidiabetic | Antidiabetic
+medication_drug_classes | Antibiotic | LOCAL_DRUG_CLASS | antibiotic | Antibiotic
+medication_drug_classes | Bronchodilator | LOCAL_DRUG_CLASS | bronchodilator | Bronchodilator
+medication_drug_classes | Statin | LOCAL_DRUG_CLASS | statin | Statin
+medication_drug_classes | PPI | LOCAL_DRUG_CLASS | ppi | PPI
+medication_drug_classes | Beta-Blocker | LOCAL_DRUG_CLASS | beta_blocker | Beta-Blocker
+medication_drug_classes | Thyroid Hormone | LOCAL_DRUG_CLASS | thyroid_hormone | Thyroid Hormone
+medication_drug_classes | Anticonvulsant | LOCAL_DRUG_CLASS | anticonvulsant | Anticonvulsant
+medication_drug_classes | Antidepressant | LOCAL_DRUG_CLASS | antidepressant | Antidepressant
+medication_drug_classes | Diuretic | LOCAL_DRUG_CLASS | diuretic | Diuretic
+medication_drug_classes | Corticosteroid | LOCAL_DRUG_CLASS | corticosteroid | Corticosteroid
+medication_drug_classes | Opioid Analgesic | LOCAL_DRUG_CLASS | opioid_analgesic | Opioid Analgesic
+medication_drug_classes | Antiplatelet | LOCAL_DRUG_CLASS | antiplatelet | Antiplatelet
+medication_safety_tiers | routine | LOCAL_MEDICATION_SAFETY_TIER | routine | Routine
+medication_safety_tiers | monitor | LOCAL_MEDICATION_SAFETY_TIER | monitor | Monitor
+medication_safety_tiers | high-alert | LOCAL_MEDICATION_SAFETY_TIER | high_alert | High-Alert
+patient_risk_tiers | low | LOCAL_RISK_TIER | low | Low
+patient_risk_tiers | medium | LOCAL_RISK_TIER | medium | Medium
+patient_risk_tiers | high | LOCAL_RISK_TIER | high | High
+patient_sex | F | HL7_ADMINISTRATIVE_SEX | F | Female
+patient_sex | M | HL7_ADMINISTRATIVE_SEX | M | Male
+payer_plan_types | HMO | LOCAL_PAYER_PLAN_TYPE | HMO | HMO
+payer_plan_types | PPO | LOCAL_PAYER_PLAN_TYPE | PPO | PPO
+payer_plan_types | EPO | LOCAL_PAYER_PLAN_TYPE | EPO | EPO
+payer_plan_types | POS | LOCAL_PAYER_PLAN_TYPE | POS | POS
+payer_plan_types | HDHP | LOCAL_PAYER_PLAN_TYPE | HDHP | HDHP
+payer_plan_types | Government | LOCAL_PAYER_PLAN_TYPE | GOVERNMENT | Government
+payer_plan_types | Medicaid Managed Care | LOCAL_PAYER_PLAN_TYPE | MEDICAID_MANAGED_CARE | Medicaid Managed Care
+payer_network_tiers | in-network | LOCAL_NETWORK_TIER | in-network | In-Network
+payer_network_tiers | out-of-network | LOCAL_NETWORK_TIER | out-of-network | Out-Of-Network
+payer_network_tiers | preferred | LOCAL_NETWORK_TIER | preferred | Preferred
+provider_specialties | cardiology | NUCC_TAXONOMY_GROUPING | TBD | Cardiology
+provider_specialties | internal medicine | NUCC_TAXONOMY_GROUPING | TBD | Internal Medicine
+provider_specialties | family medicine | NUCC_TAXONOMY_GROUPING | TBD | Family Medicine
+provider_specialties | pulmonology | NUCC_TAXONOMY_GROUPING | TBD | Pulmonology
+"""
+
+#: Conditions and symptoms that the graph starts with.
+CONDITION_SEEDS = [
+    "Hyperkalemia", "Hyperglycemia", "Diabetes Mellitus", "Chronic Kidney Disease", "Acute Myocardial Infarction", "Anemia", "Hyperlipidemia", "Hypothyroidism", "Hyperthyroidism", "Hyponatremia",
+    "Hypernatremia", "Infection", "Anticoagulation Concern", "Hypertension", "Heart Failure", "Asthma", "Atrial Fibrillation", "Hypoglycemia", "COPD", "Pancreatitis",
+]
+SYMPTOM_SEEDS = ["palpitations", "confusion", "cough", "dizziness", "fatigue", "leg cramps", "swelling", "shortness of breath", "nausea", "vomiting", "chest pain", "weight loss", "headache", "blurred vision", "night sweats"]
+
+#: Medications (name, active ingredient, whether the name is a validated trade name).
+MEDICATION_SEEDS = """
+Warfarin | Warfarin sodium | false
+Metformin | Metformin hydrochloride | false
+Atorvastatin | Atorvastatin calcium | false
+Levothyroxine | Levothyroxine sodium | false
+Sertraline | Sertraline hydrochloride | false
+Metoprolol | Metoprolol tartrate | false
+Lisinopril | Lisinopril | false
+Amlodipine | Amlodipine besylate | false
+Omeprazole | Omeprazole | false
+Clopidogrel | Clopidogrel bisulfate | false
+Furosemide | Furosemide | false
+Gabapentin | Gabapentin | false
+Losartan | Losartan potassium | false
+Hydrochlorothiazide | Hydrochlorothiazide | false
+Spironolactone | Spironolactone | false
+Azithromycin | Azithromycin | false
+Albuterol | Albuterol sulfate | false
+Prednisone | Prednisone | false
+Morphine | Morphine sulfate | false
+Heparin | Heparin sodium | false
+Insulin Glargine | Insulin glargine | true
+Vancomycin | Vancomycin hydrochloride | false
+Dexamethasone | Dexamethasone | false
+Amoxicillin | Amoxicillin trihydrate | false
+Aspirin | Acetylsalicylic acid | false
+Fluconazole | Fluconazole | false
+"""
+
+#: Limits of laboratory tests (name, least, most, whether the most is abnormal itself).
+LAB_LIMITS = [
+    ("Potassium", None, 5.5, True), ("Sodium", 135, 145, False), ("Glucose", 70, 180, False), ("Creatinine", None, 1.2, False), ("BUN", None, 25, False), ("HbA1c", None, 6.5, True),
+    ("WBC", 4.0, 11.0, False), ("Hemoglobin", 12.0, None, False), ("Platelets", 150, 400, False), ("TSH", 0.5, 4.5, False), ("eGFR", 60, None, False), ("LDL", None, 130, False),
+    ("HDL", 40, None, False), ("ALT", None, 56, False), ("AST", None, 40, False), ("Troponin I", None, 0.04, False), ("INR", None, 3.0, False), ("Procalcitonin", None, 0.5, False),
+    ("Calcium", 8.5, 10.5, False), ("Magnesium", 1.6, 2.6, False), ("Phosphate", 2.5, 4.5, False), ("C-Reactive Protein", None, 10.0, False), ("ESR", None, 20, False), ("Lactate", None, 2.0, False),
+    ("BNP", None, 100, False), ("Total Bilirubin", None, 1.2, False), ("Albumin", 3.5, None, False), ("Alkaline Phosphatase", None, 147, False), ("D-Dimer", None, 0.5, False), ("Ferritin", 30, 400, False),
+    ("Uric Acid", None, 7.0, False), ("Creatine Kinase", None, 200, False), ("Arterial pH", 7.35, 7.45, False), ("PaCO2", 35, 45, False), ("PaO2", 80, None, False), ("Serum Osmolality", 275, 295, False),
+]
+
+
 def rows_of(table: str) -> list[list[str]]:
     return [[cell.strip() for cell in line.split("|")] for line in table.strip().splitlines()]
 
@@ -248,6 +345,49 @@ def vocabulary(spark: SparkSession) -> DataFrame:
     return words.withColumn("lookup", F.lower("local_code"))
 
 
+def reference_vocabulary(spark: SparkSession) -> DataFrame:
+    """[R09, P06] (family, local_code, standard_system, standard_code, display) of reference data, and the lookup key."""
+    words = table(spark, REFERENCE_VOCABULARY, "family local_code standard_system standard_code display")
+    return words.withColumn("lookup", F.lower("local_code"))
+
+
+def lab_limits(spark: SparkSession) -> DataFrame:
+    """[P36] (name, low, high, closed)."""
+    made = [(n, None if low is None else float(low), None if high is None else float(high), closed) for n, low, high, closed in LAB_LIMITS]
+    return spark.createDataFrame(made, "name string, low double, high double, closed boolean")
+
+
+#: What the head of an ontology file must say, and what its status may be.
+HEADER = ("version", "status", "owner", "purpose")
+STATUSES = ("draft", "accepted", "deprecated")
+
+
+def rule_packs(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
+    """[S11, S12, R11] Packs (id, rule as JSON) of a directory by file name: JSON files, each an object with a header and a list ``rules``.
+
+    A file that is no object, lacks a header field, has another status, or repeats or lacks a rule's id is an
+    error.  A later file of the same name in a subdirectory replaces an earlier one.
+    """
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(directory)
+    named = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("name"), F.col("_metadata.file_path").alias("path"), "value")
+    packs = {}
+    for row in named.orderBy("path").collect():
+        try:
+            content = json.loads(row.value)
+        except ValueError as error:
+            raise ValueError(f"{row.path} is not JSON: {error}") from error
+        if not isinstance(content, dict):
+            raise ValueError(f"{row.path} is not an object")
+        if missing := [f for f in HEADER if not content.get(f)]:
+            raise ValueError(f"{row.path} lacks {missing}")
+        if content["status"] not in STATUSES:
+            raise ValueError(f"{row.path} has status {content['status']}")
+        rules = [json.dumps(r, sort_keys=True) for r in content.get("rules", [])]
+        made = spark.createDataFrame([(r,) for r in rules], "rule string").select("rule", F.get_json_object("rule", "$.id").alias("id"))
+        packs[row.name] = checked_ids(made, "id")
+    return packs
+
+
 def rules_from_json(spark: SparkSession, path: str) -> DataFrame:
     """[S11, S12] Lab rules from JSON lines in the same columns; a repeated or missing id is an error."""
     rules = spark.read.schema("rule_id string, observation string, operator string, bound double, unit string, condition string, reason string, severity string").json(path)
@@ -276,7 +416,16 @@ def seed_edges(spark: SparkSession) -> DataFrame:
 
 
 def seed_nodes(spark: SparkSession) -> DataFrame:
-    """[R07, K11] (label, key, props): every end of a seed edge once; metadata is merged after the nodes are there."""
+    """[R07, K11] (label, key, props): seeds, outcomes and every end of a seed edge, once each.
+
+    Metadata goes to medications that a seed edge names; others are not there to be matched.
+    """
     edges = seed_edges(spark)
     ends = edges.select(F.col("src_label").alias("label"), F.col("src").alias("key")).union(edges.select("dst_label", "dst"))
-    return ends.distinct().withColumn("props", F.create_map().cast("map<string,string>"))
+    seeds = [("Condition", c) for c in CONDITION_SEEDS] + [("Symptom", s) for s in SYMPTOM_SEEDS]
+    keys = ends.union(spark.createDataFrame(seeds, "label string, key string")).distinct()
+    facts = table(spark, MEDICATION_SEEDS, "key ingredient trade").select(F.lit("Medication").alias("label"), "key", F.create_map(F.lit("activeIngredient"), F.col("ingredient").cast("variant"), F.lit("isValidatedTradeNameUsed"), F.col("trade").cast("boolean").cast("variant")).alias("facts"))
+    none = F.create_map().cast("map<string,variant>")
+    known = keys.join(facts, ["label", "key"], "left").select("label", "key", F.coalesce("facts", none).alias("props"))
+    told = outcomes(spark).select(F.lit("AdverseOutcome").alias("label"), F.col("code").alias("key"), F.create_map(F.lit("description"), F.col("description").cast("variant")).alias("props"))
+    return known.unionByName(told)

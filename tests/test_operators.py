@@ -470,3 +470,64 @@ def test_a_shared_folder_is_asked_for_off_local_masters(spark, monkeypatch):
 def test_appended_rounds_keep_repeats(spark):
     one = spark.createDataFrame([("a",), ("b",)], "k string")
     assert rows(upsert.appended(one, one.limit(1))) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_rule_pack_directories(spark, tmp_path):
+    good = {"version": "1", "status": "draft", "owner": "o", "purpose": "p", "rules": [{"id": "a", "value": 1}, {"id": "b"}]}
+    (tmp_path / "rules").mkdir()
+    (tmp_path / "rules" / "labs.json").write_text(json.dumps(good))
+    (tmp_path / "rules" / "none.json").write_text(json.dumps(good | {"rules": []}))
+    packs = ontology.rule_packs(spark, str(tmp_path))
+    assert set(packs) == {"labs", "none"} and rows(packs["labs"], "id") == [("a",), ("b",)] and packs["none"].count() == 0
+    for bad in ("[1]", "{", json.dumps(good | {"owner": ""}), json.dumps(good | {"status": "odd"}), json.dumps(good | {"rules": [{"id": "a"}, {"id": "a"}]}), json.dumps(good | {"rules": [{"x": 1}]})):
+        (tmp_path / "rules" / "bad.json").write_text(bad)
+        with pytest.raises(ValueError):
+            ontology.rule_packs(spark, str(tmp_path))
+
+
+def test_seed_nodes(spark):
+    found = shown(ontology.seed_nodes(spark), "label", "key")
+    count = lambda label: sum(k[0] == label for k in found)
+    assert count("Condition") == 20 and count("Symptom") == 15 and count("AdverseOutcome") == 6
+    assert found["Medication", "Insulin Glargine"] == {"activeIngredient": "Insulin glargine", "isValidatedTradeNameUsed": "true"}
+    assert found["AdverseOutcome", "DE"] == {"description": "Death"}
+
+
+def test_the_ten_tools(spark):
+    from quern.functions import vectors
+    from quern.plans import desk, tools
+
+    context = spark.createDataFrame(
+        [("p1", [("Hyperkalemia",)], [("Potassium", 6.1, "mmol/L", True)], [("Warfarin", "Aspirin", "bleeding_risk", "high")], [], [("Digoxin", "Hyperkalemia", "r")], [], [("c1", "denied")], [("E87", "Anemia")])],
+        "patient_id string, conditions array<struct<name:string>>, observations array<struct<name:string,value:double,unit:string,abnormal:boolean>>, interactions array<struct<from:string,to:string,risk:string,severity:string>>, adverse_events array<struct<symptom:string>>, contraindications array<struct<medication:string,condition:string,reason:string>>, lab_signals array<struct<observation:string>>, claims array<struct<claim:string,status:string>>, icd10_codes array<struct<code:string,condition:string>>",
+    )
+    texts = [("e1", "p1", "MEDICATION_ORDER", "warfarin and aspirin ordered"), ("e2", "p1", "LAB_RESULT", "potassium high"), ("e3", "p2", "LAB_RESULT", "sodium low")]
+    points = spark.createDataFrame(texts, "event_id string, patient_id string, event_type string, text string").withColumn("embedding", vectors.embedding(F.col("text")))
+    timeline = points.select("patient_id", "event_id", "event_type", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, 0, cast(substr(event_id, 2) as int) * 30)").alias("event_ts"))
+    heard = []
+    answer = lambda prompt: heard.append(prompt) or "Consult a doctor."
+    skills = {"business_goals": {"g": {"skills": ["s"]}}, "skills": {"s": {"mcp_tools": ["t"]}}}
+    office = desk.register(tools.Tools(spark), context, points, timeline, answer, skills)
+    assert set(office.tools) == {t for names in tools.POLICY.values() for t in names}
+    assert set(office.call("read_only", "patient_context_get", patient_id="p1", include_claims=False)["patient"]) == set(context.columns) - {"claims"}
+    assert office.call("read_only", "patient_context_get", patient_id="nobody")["patient"] is None
+    hits = office.call("read_only", "vector_evidence_search", question="potassium high", top_k=2)["hits"]
+    assert hits[0]["event_id"] == "e2" and hits[0]["text_redacted"] and "text" not in hits[0]
+    made = office.call("generation", "query", question="Is there a warfarin interaction?", patient_id="p1")
+    assert made["request_type"] == "medication_safety" and [h["event_id"] for h in made["vector_context"]][0] == "e1" and made["trace"][-1]["findings"] == 1
+    assert "drug_interactions=Warfarin+Aspirin (bleeding_risk/high)" in heard[0] and "symptoms=none" in heard[0] and "observations=Potassium=6.1mmol/L" in heard[0]
+    assert office.call("generation", "medication_risk_assess", patient_id="p1")["findings"][0]["interaction_count"] == 1
+    assert office.call("generation", "coding_gap_detect", patient_id="p1")["findings"][0]["uncoded_conditions"] == ["Hyperkalemia"]
+    assert [e["event_id"] for e in office.call("generation", "timeline_explain", patient_id="p1", time_window_hours=10)["timeline"]] == ["e2"]
+    assert office.call("generation", "risk_summary_generate", patient_id="p1", time_window_hours=100)["events"] == [{"event_type": "LAB_RESULT", "n": 1}, {"event_type": "MEDICATION_ORDER", "n": 1}]
+    assert office.call("generation", "cohort_risk_summary")["cohort"][0]["patient_id"] == "p1"
+    assert office.call("export", "evidence_bundle_export", question="Any potassium?")["guardrails"]["graph_access_level"] == "broader"
+    assert office.call("generation", "graph_answer_generate", question="Any potassium?")["response_style"] == "concise"
+    assert office.call("read_only", "skills_plan_get", goal="g")["mcp_tools"] == ["t"]
+    assert len(office.log) >= 11
+
+
+def test_waits_double(spark):
+    waits, answers = [], iter(["LLM error: a", "LLM error: b", "fine"])
+    assert control.retried(lambda: next(answers), wait=1.5, sleep=waits.append) == "fine" and waits == [1.5, 3.0]
+    assert "supplier=s1" in control.supplier_prompt("q", [], [{"supplier_id": "s1", "parts": ["a"]}])
