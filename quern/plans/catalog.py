@@ -399,20 +399,26 @@ def planner_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("conv_id", "turn", plan["top_k"].alias("top_k"), F.char_length("text").cast("long").alias("n"))
 
 
-@query(r"""SELECT doc_id, array_to_string(list_filter([
-CASE WHEN regexp_matches(text, '(?i)ignore\s+(all\s+)?previous\s+instructions|system\s*:\s*you\s+are|<\s*/?\s*system\s*>|\bDAN\b.*\bjailbreak\b|pretend\s+you\s+are\s+(not\s+)?a') THEN 'prompt_injection_detected' END,
-CASE WHEN regexp_matches(text, '\b\d{3}-\d{2}-\d{4}\b|\b\d{16}\b') THEN 'sensitive_data_in_input' END,
-CASE WHEN length(text) > 5000 THEN 'input_exceeds_safe_length' END], lambda x: x IS NOT NULL), ',') AS reasons FROM documents""")
+def _reasons_sql(table: str, keys: str, flags: dict[str, str]) -> str:
+    cases = ", ".join(f"CASE WHEN {hit} THEN '{name}' END" for name, hit in flags.items())
+    return f"SELECT {keys}, array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',') AS reasons FROM {table}"
+
+
+_ANSWER_FLAGS = {
+    "sensitive_data_in_output": f"regexp_matches(text, '{T.OUTPUT_GUARD}')",
+    "empty_answer": "trim(text) = ''",
+    "missing_safety_caveat": f"trim(text) <> '' AND NOT regexp_matches(text, '(?i){'|'.join(T.CAVEATS)}')",
+    "no_evidence_available": "trim(text) <> '' AND turn = 0",
+}
+
+
+@query(_reasons_sql("documents", "doc_id", {n: f"regexp_matches(text, '{p}')" for n, p in T.INPUT_GUARDS.items()} | {"input_exceeds_safe_length": f"length(text) > {T.INPUT_LIMIT}"}))
 def guard_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[F13]"""
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.input_reasons(F.col("text")), ",").alias("reasons"))
 
 
-@query(r"""SELECT conv_id, turn, array_to_string(list_filter([
-CASE WHEN regexp_matches(text, '(?i)\b(social\s+security\s+number|ssn)\b|\bcredit\s+card\s+number\b|\bpassword\b.*\b(is|:)\s*\S+') THEN 'sensitive_data_in_output' END,
-CASE WHEN trim(text) = '' THEN 'empty_answer' END,
-CASE WHEN trim(text) <> '' AND NOT regexp_matches(text, '(?i)not medical advice|consult|clinical judgment|demo data|synthetic|safety caveat|not a substitute|healthcare professional') THEN 'missing_safety_caveat' END,
-CASE WHEN trim(text) <> '' AND turn = 0 THEN 'no_evidence_available' END], lambda x: x IS NOT NULL), ',') AS reasons FROM conversations""")
+@query(_reasons_sql("conversations", "conv_id, turn", _ANSWER_FLAGS))
 def output_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[F14]"""
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(T.output_reasons(F.col("text"), F.col("turn") != 0), ",").alias("reasons"))
@@ -839,7 +845,7 @@ def coverage_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage(used, known, "term")
 
 
-@query(None)
+@query("SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2")
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[T03-T06, S02, U02] Events replayed as a stream into a keyed table; compare ``latest_upsert``."""
     from quern.streaming.ingest import replay_latest

@@ -14,6 +14,8 @@ from quern.functions import text as T
 from quern.operators import graph, normalise, patterns, rules
 from quern.plans.catalog import query, table
 from quern.sources import envelopes, ontology
+from quern.sources.shared import new_folder
+from quern.streaming import ingest
 
 # -- Events -------------------------------------------------------------------------------------------
 
@@ -675,6 +677,96 @@ def supply_risk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join(F.transform("signals", lambda s: s["rule_id"]), ",").alias("signals"))
 
 
+# -- Streams and sinks --------------------------------------------------------------------------------
+
+
+@query(f"WITH {_EV}, {_FIRED} SELECT lab_name, CAST(measured AS DOUBLE) AS value, unit, condition, reason, count(DISTINCT patient_id) AS patients FROM fired GROUP BY ALL ORDER BY patients DESC, lab_name, value, condition, reason LIMIT 15")
+def lab_signal_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[C15] Patients by test, value, unit, condition and reason."""
+    labs = clinical_events(spark, sf_dir, "LAB_RESULT").select("patient_id", "payload.lab_name", F.col("payload.value").cast("double").alias("value"))
+    units = ontology.lab_rules(spark).select("rule_id", "unit")
+    fired = rules.threshold_signals(labs, ontology.lab_rules(spark), "lab_name", "value").join(F.broadcast(units), "rule_id")
+    counted = fired.groupBy("lab_name", "value", "unit", "condition", "reason").agg(F.count_distinct("patient_id").alias("patients"))
+    return counted.orderBy(F.desc("patients"), "lab_name", "value", "condition", "reason").limit(15)
+
+
+_RAW = ("not json", '{"event_id": "1"}', '{"event_id": "2", "event_type": "X", "payload_json": "[1]"}', '{"event_id": "3", "event_type": "X"}', '{"event_id": "4", "event_type": "X", "payload_json": "{}"}', "{broken")
+_PROBLEMS = ("not a JSON object", "no id or type", "payload is not an object", None, None, "no id or type")
+
+
+@query(f"SELECT {_cases('event_id % 6', _PROBLEMS)} AS problem, count(*) AS n FROM events GROUP BY 1")
+def envelope_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[S03, S04, T10] Envelopes, some of them broken, with why they belong in quarantine."""
+    texts = F.element_at(F.array(*map(F.lit, _RAW)), (F.col("event_id") % 6 + 1).cast("int"))
+    return envelopes.deserialised(table(spark, sf_dir, "events").select(texts.alias("raw"))).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[T01, T02] Events replayed as a stream and counted by window, late ones up to the watermark."""
+    root = new_folder(spark, "windows")
+    events = ingest.replayed(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    counted = ingest.windowed_counts(events, "ts", "event_type", "6 hours", "400 days")
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/counts")
+    counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{root}/counts").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_first_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[T11, S02] Each user and event type once within a watermark that spans the events."""
+    root = new_folder(spark, "sightings")
+    events = ingest.replayed(spark, f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", F.concat_ws("|", "user_id", "event_type").alias("key"))
+    first = ingest.first_sightings(events, "key", "ts", "4000 days").select("user_id", "event_type")
+    ingest.ingest(first, [lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/found/batch={n}")], f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/found").select("user_id", "event_type")
+
+
+@query("SELECT e.event_id, c.c_name AS name FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id WHERE e.event_type = 'purchase'")
+def stream_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[T03, T04] A micro-batch's reference rows are visible before its events are enriched."""
+    root = new_folder(spark, "enrichment")
+    names = ingest.WriteLog(spark, f"{root}/names", ["user_id"], "seq", ["name"])
+    people = table(spark, sf_dir, "customer").select(F.lit("reference").alias("route"), F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.lit(None).cast("long").alias("event_id"))
+    events = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.lit("event").alias("route"), "user_id", F.lit(None).cast("string").alias("name"), "event_id")
+    found: list[DataFrame] = []
+    remember = lambda rows: names.apply(rows.withColumn("seq", F.lit(0)), 0)
+    enrich = lambda rows: found.append(rows.drop("name").join(names.read().select("user_id", "name"), "user_id", "left"))
+    ingest.references_first(people.unionByName(events), remember, enrich)
+    return found[0].select("event_id", "name")
+
+
+@query("SELECT CAST(o_custkey AS VARCHAR) AS src, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def graph_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[S16] A statement over edge tables as views."""
+    from quern.plans import tools
+
+    text = lambda of, src, dst: table(spark, sf_dir, of).select(F.col(src).cast("string").alias("src"), F.col(dst).cast("string").alias("dst"))
+    views = {"placed": text("orders", "o_custkey", "o_orderkey"), "holds": text("lineitem", "l_orderkey", "l_partkey")}
+    return tools.graph_sql(spark, views, "select p.src, count(*) as n from placed p join holds h on h.src = p.dst group by p.src")
+
+
+@query("SELECT event_type AS tool, count(*) AS n FROM events WHERE event_id < 500 GROUP BY 1")
+def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[S14] Audit rows appended in two writes and read again."""
+    path = new_folder(spark, "audit")
+    rows = table(spark, sf_dir, "events").where("event_id < 500").select(F.col("event_type").alias("tool"), "event_id")
+    envelopes.audit(rows.where("event_id % 2 = 0"), path)
+    envelopes.audit(rows.where("event_id % 2 = 1"), path)
+    return spark.read.json(path).groupBy("tool").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, event_type, arg_max(event_id, event_id) AS event_id FROM events GROUP BY 1, 2")
+def point_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[S08, S09] Points of a collection, written in two batches; the last write of a point stays."""
+    points = ingest.Collection(spark, new_folder(spark, "points"), dimension=2)
+    key = F.concat_ws("|", "user_id", "event_type")
+    rows = table(spark, sf_dir, "events").select(T.point_id(key).alias("point_id"), F.col("event_id").alias("arrival_seq"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"), F.struct("user_id", "event_type", "event_id").alias("payload"))
+    points.apply(rows.where("arrival_seq % 2 = 0"), 0)
+    points.apply(rows.where("arrival_seq % 2 = 1"), 1)
+    return points.read().select("payload.user_id", "payload.event_type", "payload.event_id")
+
+
 # -- Records, scores and renderings -------------------------------------------------------------------
 
 
