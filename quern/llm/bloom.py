@@ -1,7 +1,8 @@
-"""Bloom filters of fixed size, to leave out rows before a shuffle.
+"""Bloom filters of bounded size, to leave out rows before a shuffle.
 
-A filter has BITS bits whatever the input, so it may be broadcast.  A row that it leaves out is in none of the
-keys; what it lets through is joined as usual, so results do not depend on it: a full filter only saves nothing.
+A filter has as many bits as the expected keys ask for, MOST_BITS at most, so it may be broadcast.  A row that it
+leaves out is in none of the keys; what it lets through is joined as usual, so results do not depend on it: a
+full filter only saves nothing.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.functions import pandas_udf
 
-#: Bits of a filter; segments of it are filled by a task each.
-BITS = 1 << 27
+#: Bits of a filter at least and at most, and for each expected key; segments of it are filled by a task each.
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+KEY_BITS = 12
 SEGMENTS = 64
 
 _PRIME = np.uint64(0x9E3779B185EBCA87)
@@ -40,9 +42,9 @@ def _places(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return segment.astype(np.int64), (((mixed ^ (mixed >> np.uint64(31))) * _MIX) >> np.uint64(32)).astype(np.uint32)
 
 
-def _bits(low: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of a segment that 32 bits of a key stand for."""
-    bits = np.uint64(BITS // segments // 8 * 8)
+def _bits(low: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a segment of ``size`` bytes that 32 bits of a key stand for."""
+    bits = np.uint64(8 * size)
     wide = low.astype(np.uint64)
     return ((wide * _PRIME >> np.uint64(20)) % bits).astype(np.int64), (((wide ^ np.uint64(0x5BD1E995)) * _MIX >> np.uint64(20)) % bits).astype(np.int64)
 
@@ -52,13 +54,15 @@ def column_keys(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def filter_of(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]] | str, least: int = 1, segments: int = SEGMENTS) -> Broadcast:
+def filter_of(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]] | str, expected: int, least: int = 1, segments: int = SEGMENTS) -> Broadcast:
     """Broadcast (bytes, segments) of the keys that ``rows`` hold ``least`` (1 or 2) times or more.
 
     ``keys``: a column of longs, or what makes arrays of keys of the batches.  A batch sends a key ``least``
-    times at most, so a key that most rows hold is no burden to its segment; 32 bits of it are sent, which
+    times at most, so a key that most rows hold is no burden to its segment.  ``expected`` keys decide its size;
+    more of them only let more through.  32 bits of a key are sent, which
     with ``segments`` in proportion to the keys tell nearly all of them apart.
     """
+    size = max(1, min(MOST_BITS, max(LEAST_BITS, KEY_BITS * expected)) // segments // 8)
     made = keys if callable(keys) else lambda batches: map(column_keys, batches)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,16 +74,15 @@ def filter_of(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterat
 
     def filled(table: pa.Table) -> pa.Table:
         values, counts = np.unique(np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32), return_counts=True)
-        bits = np.zeros(BITS // segments // 8 * 8, np.uint8)
-        for places in _bits(values[counts >= least], segments):
+        bits = np.zeros(8 * size, np.uint8)
+        for places in _bits(values[counts >= least], size):
             bits[places] = 1
         return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     source = rows if callable(keys) else rows.select(keys)
     found = source.mapInArrow(dealt, "segment long, keys binary").groupBy("segment").applyInArrow(filled, "segment long, bits binary")
-    size = BITS // segments // 8
     bloom = np.zeros(size * segments, np.uint8)
-    for row in found.collect():  # 16 MB in all
+    for row in found.collect():  # MOST_BITS in all
         bloom[row.segment * size : (row.segment + 1) * size] = np.frombuffer(row.bits, np.uint8)
     return rows.sparkSession.sparkContext.broadcast((bloom, segments))
 
@@ -88,9 +91,10 @@ def held(keys: np.ndarray, bloom: tuple[np.ndarray, int]) -> np.ndarray:
     """Which of ``keys`` may be in the filter."""
     bits, segments = bloom
     segment, low = _places(keys, segments)
-    start = segment * (BITS // segments // 8 * 8)
+    size = len(bits) // segments
+    start = segment * (8 * size)
     found = np.ones(len(keys), bool)
-    for bit in _bits(low, segments):
+    for bit in _bits(low, size):
         place = start + bit
         found &= (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
     return found

@@ -124,14 +124,19 @@ def _first_texts(batches: Iterator[pa.RecordBatch], firsts: tuple[np.ndarray, in
         yield sets
 
 
-def _shared_prefixes(keyed: DataFrame, firsts: Broadcast, often: Broadcast, segments: int) -> DataFrame:
+def _shared_prefixes(keyed: DataFrame, sets: DataFrame, often: Broadcast) -> DataFrame:
     """(s, fp, at, n): the prefix shingles that several sets have, and few others."""
+    there = sets.agg(F.count("*"), F.sum(F.col("n").cast("long"))).first()
+    total = int(there[1] or 0)
+    segments = max(shuffle_width(sets.sparkSession), total // BUCKET_SHINGLES + 1)
+    firsts = bloom.filter_of(sets, "key", there[0])
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for sets in _first_texts(batches, firsts.value):
             yield np.concatenate(sets) if sets else np.zeros(0, np.int64)
 
-    repeated = bloom.filter_of(keyed, every, least=2, segments=segments)
+    # One shingle in ten is taken to be in several sets.
+    repeated = bloom.filter_of(keyed, every, total // 10, least=2, segments=segments)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _first_texts(batches, firsts.value):
@@ -142,12 +147,15 @@ def _shared_prefixes(keyed: DataFrame, firsts: Broadcast, often: Broadcast, segm
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["s", "fp", "at", "n"])
 
-    return keyed.mapInArrow(kept, "s long, fp long, at int, n int").distinct()
+    placed = materialize(keyed.mapInArrow(kept, "s long, fp long, at int, n int").distinct())
+    for used in (firsts, repeated):
+        used.unpersist()
+    return placed
 
 
 def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(text_hash, text) of the hashes in ``wanted``, once each; other texts are left out where they lie."""
-    known = bloom.filter_of(wanted, "text_hash")
+    known = bloom.filter_of(wanted, "text_hash", wanted.count())
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +221,6 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = F.min(F.struct("text_hash", "id"))
     sets = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("sim").alias("sim"), first.alias("first"), F.min("id").alias("first_id"))
     sets = materialize(sets.select("fp", "n", "sim", "first_id", "first.text_hash", F.xxhash64("first.id", "first.text_hash").alias("key")))
-    firsts = bloom.filter_of(sets, "key")
     keyed = slim.select(F.xxhash64("id", F.xxhash64("text")).alias("key"), "text")
 
     # What the fingerprints link: sets of one fingerprint with one of them, and those with each other.
@@ -222,8 +229,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ends = far.join(one.withColumnsRenamed({"sim": "fp", "one": "a"}), "fp").join(one.withColumnsRenamed({"sim": "root", "one": "b"}), "root").select("a", "b")
     near = sets.join(one, "sim").where("fp <> one").select(F.col("fp").alias("a"), F.col("one").alias("b"))
 
-    total = sets.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    placed = materialize(_shared_prefixes(keyed, firsts, often, max(shuffle_width(spark), int(total) // BUCKET_SHINGLES + 1)))
+    placed = _shared_prefixes(keyed, sets, often)
 
     def reachable(n: Column, i: Column, m: Column, j: Column) -> Column:
         """What sets can share at most whose first shared shingle lies there."""

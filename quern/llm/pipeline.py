@@ -54,7 +54,7 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     judged = matched(rows, first, "label").select(F.struct("id", "text_hash").alias("key"), "n", ((F.col("first.id") == F.col("id")) & (F.col("first.text_hash") == F.col("text_hash"))).alias("stays"))
     # Rows that go or are there again; all others stay without a join.
     named = materialize(judged.where("n > 1 or not stays").withColumn("hash", F.xxhash64("key")))
-    touched = bloom.filter_of(named, "hash")
+    touched = bloom.filter_of(named, "hash", named.count())
     keyed = whole(docs).where("row.doc_id is not null").withColumn("key", row_key(F.col("row.doc_id"), F.col("row.text")))
     keyed = keyed.withColumn("touched", bloom.maybe(F.xxhash64("key"), touched))
     found = keyed.where("touched").join(named, "key", "left").where("stays is null or stays")
