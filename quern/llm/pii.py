@@ -46,7 +46,12 @@ IBAN_CHARS = {
 #: First digits of card numbers of 13 to 15 digits, and how many follow.
 PAN_DIGITS = (("3[47]", 13), ("3(?:0[0-5]|[689][0-9])", 11), ("(?:2131|1800)", 11), ("4", 12))
 #: A match ends where the country or the issuer says, if a word or number ends there; else where it can.
-IBAN = "|".join(rf"(?:{c})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])" for n, c in IBAN_CHARS.items()) + r"|[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"
+#: Country and check digits are looked at first, so that most of a text fails at its first letter.
+IBAN = (
+    r"[A-Z]{2}[0-9]{2}(?:"
+    + "".join(rf"(?<=(?:{c})[0-9][0-9])(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])|" for n, c in IBAN_CHARS.items())
+    + r"(?:\x20?[A-Z0-9]){11,30})"
+)
 PAN = "|".join(rf"(?<![0-9]){f}(?:[\x20-]?[0-9]){{{n}}}(?![0-9])" for f, n in PAN_DIGITS) + r"|[0-9](?:[\x20-]?[0-9])++"
 
 #: The contract's patterns and further ones, in the order of the output.
@@ -138,7 +143,7 @@ def _spans(kind: Kind, text: Column, matches: Column) -> Column:
 
     def span(pieces: Column, starts: Column):
         def at(i: Column) -> Column:
-            near = ascii_lower(around(pieces, i)).rlike(kind.context)
+            near = _bound(around(pieces, i), lambda text: ascii_lower(text).rlike(kind.context))
             score = F.round(F.lit(kind.prior) + F.when(near, CONTEXT_BONUS).otherwise(0.0), 2)
             return F.struct(F.lit(kind.name).alias("kind"), starts[i].alias("start"), (starts[i] + pieces[i]["n"]).alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
