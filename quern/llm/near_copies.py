@@ -125,7 +125,7 @@ def _first_texts(batches: Iterator[pa.RecordBatch], firsts: tuple[np.ndarray, in
 
 
 def _shared_prefixes(keyed: DataFrame, sets: DataFrame, often: Broadcast) -> DataFrame:
-    """(s, fp, at, n): the prefix shingles that several sets have, and few others."""
+    """(s, fp, at, n, own): the prefix shingles that several sets have, and few others; ``own`` are the set's own before them."""
     there = sets.agg(F.count("*"), F.sum(F.col("n").cast("long"))).first()
     total = int(there[1] or 0)
     segments = max(shuffle_width(sets.sparkSession), total // BUCKET_SHINGLES + 1)
@@ -143,11 +143,11 @@ def _shared_prefixes(keyed: DataFrame, sets: DataFrame, often: Broadcast) -> Dat
             rows = []
             for shingles in sets:
                 s, at = prefix(shingles, bloom.held(shingles, repeated.value), *often.value)
-                rows.append((s, np.full(len(s), set_hash(shingles), np.int64), at.astype(np.int32), np.full(len(s), len(shingles), np.int32)))
+                rows.append((s, np.full(len(s), set_hash(shingles), np.int64), *(np.full(len(s), x, np.int32) for x in (at, len(shingles), at.min(initial=len(shingles))))))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["s", "fp", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["s", "fp", "at", "n", "own"])
 
-    placed = materialize(keyed.mapInArrow(kept, "s long, fp long, at int, n int").distinct())
+    placed = materialize(keyed.mapInArrow(kept, "s long, fp long, at int, n int, own int").distinct())
     for used in (firsts, repeated):
         used.unpersist()
     return placed
@@ -235,7 +235,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         """What sets can share at most whose first shared shingle lies there."""
         return _alike(F.least(n - i, m - j), n, m)
 
-    drawn = placed.groupBy("s").agg(F.count("*").alias("sets"), F.min(F.struct(F.xxhash64("fp").alias("h"), "fp", "at", "n")).alias("drawn")).where("sets > 1").select("s", "drawn")
+    # The set with the fewest shingles of its own is drawn: of a text and its edited copies, the text.
+    drawn = placed.groupBy("s").agg(F.count("*").alias("sets"), F.min(F.struct("own", F.xxhash64("fp").alias("h"), "fp", "at", "n")).alias("drawn")).where("sets > 1").select("s", "drawn")
     placed = materialize(matched(placed, drawn, "s"))
     hub = F.col("drawn")
     stars = placed.where((F.col("fp") != hub["fp"]) & reachable(F.col("n"), F.col("at"), hub["n"], hub["at"])).select(F.col("fp").alias("a"), hub["fp"].alias("b"))

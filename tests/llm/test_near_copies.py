@@ -71,3 +71,16 @@ def test_stage_drops_edited_copies(spark, sf_dir):
     assert sum((a ^ b).bit_count() > 3 for a, b in zip(prints[::2], prints[1::2])) > 10
     kept = pipeline.near_deduplication(spark, spark.createDataFrame(rows, SCHEMA), sf_dir).collect()
     assert sorted(r.doc_id for r in kept) == list(range(0, 80, 2))
+
+
+def test_edited_copies_meet_at_their_original(spark, monkeypatch):
+    """Copies of a short text with a word changed each are alike to the text, but not to each other."""
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(0, " ".join(words))] + [(i, " ".join([*words[: 5 + i % 50], f"x{i}", *words[6 + i % 50 :]])) for i in range(1, 120)]
+    tried = []
+    verified = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest: tried.append(pairs.count()) or verified(pairs, *rest))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component for r in near_copies.near_copies(docs).collect()} == {0}
+    assert sum(tried) < 5 * len(rows)
