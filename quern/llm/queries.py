@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import byte_bpe, co_training, language_id, line_dedup, mixing, pii, quality_rules, secrets, simhash, topk
+from quern.llm import alignment, byte_bpe, co_training, language_id, line_dedup, mixing, pii, quality_rules, secrets, simhash, topk
 from quern.llm.common import long_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,13 @@ def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected"))
 
 
+def token_alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[op13] Groups and links of two tokenizers' tokens; a text without tokens has zeros and an empty hash."""
+    found, _ = alignment.align(_table(spark, sf_dir, "documents"))
+    columns = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+    return found.select(F.col("id").alias("doc_id"), *columns)
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_dedup": line_dedup_query,
     "op2_exact_topk": exact_topk_query,
@@ -107,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": simhash_query,
     "op9_quality_classifier": quality_classifier_query,
     "op10_language_id": language_id_query,
+    "op13_token_alignment": token_alignment_query,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
