@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import alignment, byte_bpe, co_training, language_id, line_dedup, mixing, pii, quality_rules, secrets, simhash, topk
+from quern.llm import alignment, byte_bpe, co_training, divergence, language_id, line_dedup, mixing, pii, quality_rules, secrets, simhash, topk
 from quern.llm.common import long_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,11 @@ def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected"))
 
 
+def source_divergence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[op12] Distances between the sources of each language, and the terms that each uses more; nulls read as ''."""
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def token_alignment_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[op13] Groups and links of two tokenizers' tokens; a text without tokens has zeros and an empty hash."""
     found, _ = alignment.align(_table(spark, sf_dir, "documents"))
@@ -114,6 +119,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": simhash_query,
     "op9_quality_classifier": quality_classifier_query,
     "op10_language_id": language_id_query,
+    "op12_source_divergence": source_divergence_query,
     "op13_token_alignment": token_alignment_query,
 }
 
@@ -241,9 +247,52 @@ FROM spans
 """
 
 
+SOURCE_DIVERGENCE_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS place, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text
+  FROM documents),
+terms AS (
+  SELECT place, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term FROM terms GROUP BY lang, term HAVING count(DISTINCT place) >= 30),
+counted AS (
+  SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (
+  SELECT g.lang, g.source, coalesce(t.total, 0) AS total, coalesce(k.v, 0) AS v
+  FROM (SELECT DISTINCT lang, source FROM docs) g
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counted GROUP BY lang, source) t USING (lang, source)
+  LEFT JOIN (SELECT lang, count(*) AS v FROM kept GROUP BY lang) k USING (lang)),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + CAST(1000000000 * (coalesce(c.n, 0) + 5)::HUGEINT // (g.total + 5 * g.v) AS BIGINT) AS p
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+whole AS (
+  SELECT lang, term, 1 + CAST(1000000000 * (sum(n) + 5)::HUGEINT // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS BIGINT) AS q
+  FROM shares GROUP BY lang, term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+  ON s.lang = a.lang AND s.source = a.source AND s.other = b.source),
+over AS (
+  SELECT s.lang, s.source, s.term AS item, s.p - w.q AS value
+  FROM shares s JOIN whole w USING (lang, term) WHERE s.n > 0 AND s.p > w.q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value,
+         CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value,
+         CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INTEGER) FROM over)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 SQL: dict[str, str] = {
     "op1_line_dedup": LINE_DEDUP_SQL,
     "op2_exact_topk": EXACT_TOPK_SQL,
     "op5_pii": _pii_sql(),
     "op7_source_mix": SOURCE_MIX_SQL,
+    "op12_source_divergence": SOURCE_DIVERGENCE_SQL,
 }
