@@ -153,7 +153,7 @@ def _shared_prefixes(keyed: DataFrame, sets: DataFrame, often: Broadcast) -> Dat
     return placed
 
 
-def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+def texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(text_hash, text) of the hashes in ``wanted``, once each; other texts are left out where they lie."""
     known = bloom.filter_of(wanted, "text_hash", wanted.count())
 
@@ -180,7 +180,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     blocks = sized.groupBy("b").agg(F.ceil(F.sum("n_a") / BUCKET_SHINGLES + 1).cast("int").alias("blocks"))
     sized = materialize(matched(sized, b.join(blocks, "b"), "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")))
     places = sized.select(F.col("text_a").alias("text_hash"), F.col("a").alias("fp"), "b", "block").unionByName(sized.select(F.col("text_b").alias("text_hash"), F.col("b").alias("fp"), "b", "block").distinct())
-    once = _texts_of(texts, places)
+    once = texts_of(texts, places)
 
     def verify(block: pa.Table) -> pa.Table:
         hub = block.column("b")[0].as_py()

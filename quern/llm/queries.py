@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import alignment, byte_bpe, co_training, divergence, language_id, line_dedup, mixing, pii, quality_rules, secrets, simhash, topk
+from quern.llm import alignment, byte_bpe, co_training, divergence, language_id, line_dedup, mixing, pii, quality_rules, secrets, simhash, suffix_dedup, topk
 from quern.llm.common import long_texts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,12 @@ def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"), F.col("language.rejected").alias("rejected"))
 
 
+def suffix_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[op11] Bytes of repeated strings of 400 bytes, removed runs, and the hash of what stays; a null text is empty."""
+    found = suffix_dedup.dedup_strings(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "string_report.n_bytes", "string_report.n_removed", "string_report.n_spans", F.sha2("string_report.kept", 256).alias("kept_sha256"))
+
+
 def source_divergence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[op12] Distances between the sources of each language, and the terms that each uses more; nulls read as ''."""
     return divergence.audit(_table(spark, sf_dir, "documents"))
@@ -119,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": simhash_query,
     "op9_quality_classifier": quality_classifier_query,
     "op10_language_id": language_id_query,
+    "op11_suffix_dedup": suffix_dedup_query,
     "op12_source_divergence": source_divergence_query,
     "op13_token_alignment": token_alignment_query,
 }
