@@ -33,6 +33,16 @@ def long_texts(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def unestimated(df: DataFrame) -> DataFrame:
+    """A materialized ``df`` without the size that the optimizer estimated for it.
+
+    A join's estimate is the product of its sides', which a checkpoint keeps: in a loop its digits double with
+    every round, until planning takes longer than the work.
+    """
+    spark, rows = df.sparkSession, df._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(rows.toJavaRDD(), rows.schema()), spark)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: the unit in which hot groups are split."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -105,3 +105,11 @@ def test_chains_link_through_and_blocks_agree(spark, monkeypatch):
         groups.setdefault(w, set()).add(fp)
         mine.setdefault(labels.get(fp, fp), set()).add(fp)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, mine.values()))
+
+
+def test_long_chains_of_links_end(spark):
+    """Many rounds of labels: the optimizer's estimates must not grow with them."""
+    chain = [((i * 7919) % 1009, ((i + 1) * 7919) % 1009) for i in range(300)]
+    rows = [(max(a, b), min(a, b)) for a, b in chain]
+    labels = simhash._labels(spark.createDataFrame(rows, "fp long, root long")).collect()
+    assert {r.label for r in labels} == {min(min(r) for r in rows)} and len(labels) == 301
