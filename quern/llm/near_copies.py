@@ -10,7 +10,9 @@ of fixed size over all shingles of all sets; those that are frequent in a bounde
 candidate pair is verified on the whole sets.
 
 Pairs inside a component need not be looked at: each set is first tried with one that it shares many prefix
-shingles with, and only what then still lies in different components is compared pair by pair.
+shingles with, and only what then still lies in different components is compared.  Where that is a crowd, sets
+that differ only in shingles of their own are one: what they share with each other, and with any other set, is
+known from one of them.  The pairs of a shingle are dealt out in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -40,6 +42,8 @@ THRESHOLD = 3
 SAMPLE_TEXTS = 2_000
 #: Shingles in a task, and shingles of sets that are verified against one set in a task, about.
 BUCKET_SHINGLES = 1 << 20
+#: Sets of a shingle beyond which those that differ in their own shingles only count as one; rows that meet in a task.
+CROWD, BLOCK_SETS = 64, 1 << 10
 
 _LOWER = str.maketrans(UPPER, UPPER.lower())
 _WORDS = regex.compile(WORD)
@@ -118,6 +122,11 @@ def _alike(shared: Column, n: Column, m: Column) -> Column:
     return (a + b) * shared >= a * (n + m)
 
 
+def _reachable(n: Column, i: Column, m: Column, j: Column) -> Column:
+    """Whether sets whose first shared shingle lies at ``i`` and ``j`` can still share enough."""
+    return _alike(F.least(n - i, m - j), n, m)
+
+
 def _first_texts(batches: Iterator[pa.RecordBatch], firsts: tuple[np.ndarray, int]) -> Iterator[list[np.ndarray]]:
     """The sets of each batch of (key, text), copies that are not the first of their set left out (most of them)."""
     for sets in _hashed(batch.column("text").filter(pa.array(bloom.held(batch.column("key").to_numpy(), firsts))).to_pylist() for batch in batches):
@@ -199,6 +208,92 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     return once.join(places, "text_hash").select("b", "block", "fp", "text").groupBy("b", "block").applyInArrow(verify, "fp long, root long")
 
 
+def _classes(crowd: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(fp, rep, core, n): the sets ``crowd`` in classes, each named by one of them.
+
+    Sets of one class have the same size and the same shingles besides those that no other of them has, ``core``
+    of them.  They share just these, so all of a class are alike to each other or none are, and a set is alike
+    to all of a class or to none.
+    """
+    known = materialize(crowd.join(sets.select("fp", "n", "text_hash"), "fp"))
+    both = texts_of(texts, known).join(known.select("text_hash", "fp"), "text_hash").select("fp", "text")
+    both = materialize(both)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            known: dict[str, int] = {}
+            yield np.concatenate([np.zeros(0, np.int64), *[shingle_set(t, known) for t in batch.column("text").to_pylist()]])
+
+    shared = bloom.filter_of(both, every, int(known.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0), least=2)
+
+    def cored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words: dict[str, int] = {}
+            found = []
+            for text in batch.column("text").to_pylist():
+                whole = shingle_set(text, words)
+                core = whole[bloom.held(whole, shared.value)]
+                found.append((set_hash(core), len(core), len(whole)))
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), *[pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.int32(), pa.int32()))]], names=["fp", "hash", "core", "n"])
+
+    found = materialize(both.mapInArrow(cored, "fp long, hash long, core int, n int"))
+    shared.unpersist()
+    reps = found.groupBy("hash", "n").agg(F.min("fp").alias("rep"))
+    # A class that most of the sets are in is a hot key here.
+    found = found.withColumn("class", F.xxhash64("hash", "n"))
+    reps = reps.select(F.xxhash64("hash", "n").alias("class"), "rep")
+    return materialize(matched(found, reps.groupBy("class").agg(F.min("rep").alias("rep")), "class").select("fp", "rep", "core", "n"))
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """(a, b) of ``rows`` (s, fp, at, n, label) that share a shingle and can be alike; a null label differs from all.
+
+    The rows of a shingle meet in blocks: a task gets BLOCK_SETS rows of either side at most for one key.
+    """
+    sizes = rows.groupBy("s").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.col("label").isNull()).alias("open"))
+    sizes = sizes.where("k > 1 and (open or low < high)").select("s", F.ceil(F.col("k") / BLOCK_SETS).cast("int").alias("blocks"))
+    dealt = materialize(matched(rows, sizes, "s").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")))
+    columns = ("s", "fp", "at", "n", "label")
+    x = dealt.select(*columns, F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j")).alias("x")
+    y = dealt.select(*columns, F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j")).alias("y")
+    same = (F.col("x.s") == F.col("y.s")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    meet = same & ((F.col("x.i") < F.col("x.j")) | (F.col("x.fp") < F.col("y.fp"))) & ~F.coalesce(F.col("x.label") == F.col("y.label"), F.lit(False))
+    meet = meet & _reachable(*[F.col(c) for c in ("x.n", "x.at", "y.n", "y.at")])
+    return x.join(y, meet).select(F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b")).distinct()
+
+
+def _left_apart(placed: DataFrame, tried: DataFrame, sets: DataFrame, texts: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """(links, links): those that the first ones lack, between sets of different labels that share a prefix shingle.
+
+    ``placed``: (s, fp, at, n, label).  Where many sets of a shingle are apart, those of a class count as one: of
+    many copies with a word changed, all that lack the same shingles.
+    """
+    apart = placed.groupBy("s").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("s", "k")
+    grouped = materialize(matched(placed, apart, "s"))
+    crowd = materialize(grouped.where(F.col("k") > CROWD).select("fp").distinct())
+    rows, more, classes = grouped.select("s", "fp", "at", "n", "label"), None, None
+    if crowd.take(1):
+        classes = _classes(crowd, sets, texts)
+        alike = _alike(F.col("core"), F.col("n"), F.col("n"))
+        more = materialize(classes.where(alike & (F.col("fp") != F.col("rep"))).select(F.greatest("fp", "rep").alias("fp"), F.least("fp", "rep").alias("root")))
+        # A class of which none is alike to another has no label, unless it is of one set.
+        lone = classes.groupBy("rep").agg((F.first(alike) | (F.count("*") == 1)).alias("one"))
+        reps = rows.select("fp", "label").distinct().join(classes.select("fp", "rep"), "fp", "left").select("fp", "label", F.coalesce("rep", "fp").alias("rep"))
+        reps = reps.join(lone, "rep", "left").where("fp = rep").select("fp", F.when(F.coalesce("one", F.lit(True)), F.col("label")).alias("label"))
+        rows = placed.select("s", "fp", "at", "n").join(reps, "fp").select("s", "fp", "at", "n", "label")
+    pairs = materialize(_met(rows))
+    pairs = materialize(pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")) if classes is None else pairs
+    if not pairs.take(1):
+        return None, more
+    links = materialize(_verified(pairs, sets, texts))
+    if classes is not None:
+        # What one of a class is linked with, all are.
+        ends = links.select(F.col("fp").alias("rep"), F.col("root").alias("to")).union(links.select("root", "fp")).groupBy("rep").agg(F.min("to").alias("to"))
+        rest = matched(classes.where("fp <> rep"), ends, "rep").select(F.greatest("fp", "to").alias("fp"), F.least("fp", "to").alias("root"))
+        links = materialize(links.union(rest))
+    return links, more
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, label, component): one row per input row.
 
@@ -231,31 +326,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     placed = _shared_prefixes(keyed, sets, often)
 
-    def reachable(n: Column, i: Column, m: Column, j: Column) -> Column:
-        """What sets can share at most whose first shared shingle lies there."""
-        return _alike(F.least(n - i, m - j), n, m)
-
     # The set with the fewest shingles of its own is drawn: of a text and its edited copies, the text.
     drawn = placed.groupBy("s").agg(F.count("*").alias("sets"), F.min(F.struct("own", F.xxhash64("fp").alias("h"), "fp", "at", "n")).alias("drawn")).where("sets > 1").select("s", "drawn")
     placed = materialize(matched(placed, drawn, "s"))
     hub = F.col("drawn")
-    stars = placed.where((F.col("fp") != hub["fp"]) & reachable(F.col("n"), F.col("at"), hub["n"], hub["at"])).select(F.col("fp").alias("a"), hub["fp"].alias("b"))
+    stars = placed.where((F.col("fp") != hub["fp"]) & _reachable(F.col("n"), F.col("at"), hub["n"], hub["at"])).select(F.col("fp").alias("a"), hub["fp"].alias("b"))
     # Each set is tried with the one it shares most of these shingles with; what that leaves apart is the rest's.
     stars = stars.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "b"))["b"].alias("b"))
     tried = materialize(stars.union(ends).union(near).distinct())
     links = materialize(_verified(tried, sets, slim))
     labels = _labels(links)
 
-    grouped = placed.join(labels, "fp", "left").select("s", "fp", "at", "n", F.coalesce("label", "fp").alias("label"))
-    apart = Window.partitionBy("s")
-    grouped = grouped.withColumns({"low": F.min("label").over(apart), "high": F.max("label").over(apart)}).where("low < high").select("s", "fp", "at", "n", "label")
-    x, y = grouped.alias("x"), grouped.alias("y")
-    meet = (F.col("x.s") == F.col("y.s")) & (F.col("x.label") != F.col("y.label")) & (F.col("x.fp") < F.col("y.fp"))
-    meet = meet & reachable(*[F.col(c) for c in ("x.n", "x.at", "y.n", "y.at")])
-    rest = x.join(y, meet).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b")).distinct()
-    seen = tried.union(tried.select("b", "a"))
-    rest = materialize(rest.join(seen, ["a", "b"], "left_anti"))
-    labels = _labels(links.union(_verified(rest, sets, slim)))
+    placed = materialize(placed.join(labels, "fp", "left").select("s", "fp", "at", "n", F.coalesce("label", "fp").alias("label")))
+    rest, more = _left_apart(placed, tried, sets, slim)
+    if more is not None:
+        links = links.union(more)
+    if rest is not None:
+        links = links.union(rest)
+    if more is not None or rest is not None:
+        labels = _labels(links)
 
     labelled = materialize(sets.select("fp", "first_id").join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "first_id"))
     components = labelled.groupBy("label").agg(F.min("first_id").alias("component"))

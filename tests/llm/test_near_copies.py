@@ -84,3 +84,59 @@ def test_edited_copies_meet_at_their_original(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.component for r in near_copies.near_copies(docs).collect()} == {0}
     assert sum(tried) < 5 * len(rows)
+
+
+def counted(monkeypatch):
+    """The numbers of pairs that are verified from now on."""
+    tried = []
+    verified = near_copies._verified
+    monkeypatch.setattr(near_copies, "_verified", lambda pairs, *rest: tried.append(pairs.count()) or verified(pairs, *rest))
+    return tried
+
+
+def test_many_edits_without_their_original(spark, monkeypatch):
+    """2,000 copies of a text with one word changed each: alike only where the words changed are neighbours."""
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    places = [5 + i % 50 for i in range(2000)]
+    rows = [(i, " ".join([*words[:p], f"x{i}", *words[p + 1 :]])) for i, p in enumerate(places)]
+    tried = counted(monkeypatch)
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.component for r in found.collect()} == {0}
+    assert sum(tried) < 5 * len(rows)
+
+
+def test_edits_at_a_few_places_stay_apart(spark, monkeypatch):
+    """As before, but words are changed at six places far from each other: six groups."""
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(i, " ".join([*words[: 6 + 8 * (i % 6)], f"x{i}", *words[7 + 8 * (i % 6) :]])) for i in range(600)]
+    tried = counted(monkeypatch)
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.id % 6, r.component) for r in found.collect()} == {(k, k) for k in range(6)}
+    assert sum(tried) < 3 * len(rows)
+
+
+def test_crowds_and_blocks_lose_no_link(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(6):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([12, 30, 60]))]
+        for copy in range(25):
+            edited = list(words)
+            for at in rng.sample(range(len(words)), rng.choice([1, 1, 2])):
+                edited[at] = rng.choice(["y", "z", f"x{rng.randrange(10**6)}"])
+            rows.append((len(rows), " ".join(edited[: len(edited) - rng.choice([0, 0, 1])])))
+    monkeypatch.setattr(near_copies, "CROWD", 2)
+    monkeypatch.setattr(near_copies, "BLOCK_SETS", 4)
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_classes_of_sets_that_are_not_alike(spark, monkeypatch):
+    """Short texts with one word of their own: none is alike to another of its class, but some are to other sets."""
+    rng = random.Random(10)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(24)]
+    rows = [(i, " ".join([*words[: 9 + i % 3], f"x{i}", *words[10 + i % 3 :]])) for i in range(30)]
+    rows += [(100 + i, " ".join([*words[: 9 + i], f"x{i}", *words[10 + i :], "tail"])) for i in range(6)] + [(50, " ".join(words)), (51, " ".join(words[:23]))]
+    monkeypatch.setattr(near_copies, "CROWD", 2)
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
