@@ -264,22 +264,28 @@ def _rows(item: Node | Edge, at: int) -> str:
     return f"coalesce(flatten(transform({item.each}, it -> {rows})), cast(array() as {_ROWS}))" if item.each else rows
 
 
-def writes(events: DataFrame, program: tuple, order: str = "arrival_seq") -> DataFrame:
+def writes(events: DataFrame, program: tuple, order: str = "arrival_seq", first: int = 0) -> DataFrame:
     """(kind, src_label, src, dst_label, dst, tag, at, matched, writes, seq): what each event writes.
 
+    ``first`` numbers the program's first item: of programs that are written one after the other, the later ones
+    begin beyond the earlier.
+
     A node with a null key is left out, and so is an edge with a null end; the rest of the event is
     written all the same.  An edge also writes its end nodes.
     """
     missing = {c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in events.columns}
-    made = F.expr(f"concat({', '.join(_rows(item, at) for at, item in enumerate(program))})")
+    made = F.expr(f"concat({', '.join(_rows(item, at) for at, item in enumerate(program, first))})")
     return events.withColumns(missing).select(F.col(order).cast("long").alias("seq"), F.explode(made).alias("w")).select("seq", "w.*")
 
 
-def folded(written: DataFrame) -> DataFrame:
-    """One row per identity: (identity, matched, born, last_seq, props map<string,variant>).
+_NAMED = [*IDENTITY, "name"]
 
-    ``born`` (seq, at) is the identity's first write; later events win, then later items of a program.  A
-    hot identity is combined map-side; what is collected for one is bounded by its program's properties.
+
+def partials(written: DataFrame) -> DataFrame:
+    """What some writes add to each identity and property: rows that ``merged`` can fold again with others.
+
+    (identity, name, born (seq, at), last_seq, matched) and, for each of ``last``, ``once`` and ``again``, the
+    place of the write that counts (``_at``) and its value.  A row with a null name is a write without properties.
     """
     single = written.select(*IDENTITY, "seq", "at", "matched", F.explode_outer("writes").alias("w")).select(*IDENTITY, "seq", "at", "matched", "w.*")
     single = single.where("policy is null or policy <> 'keep' or value is not null")
@@ -287,23 +293,53 @@ def folded(written: DataFrame) -> DataFrame:
     # Of writes in one place (a redelivered event) the larger value wins, so reruns agree.
     ranked = F.struct("seq", "at", F.col("value").cast("string").alias("shown"))
     of = lambda *policies: F.when(F.col("policy").isin(*policies), ranked)
-    by_name = single.groupBy(*IDENTITY, "name").agg(
+    return single.groupBy(*_NAMED).agg(
         F.min(place).alias("born"),
         F.max("seq").alias("last_seq"),
         F.min("matched").alias("matched"),
+        F.max(of(SET, KEEP)).alias("last_at"),
         F.max_by("value", of(SET, KEEP)).alias("last"),
+        F.min(of(ONCE)).alias("once_at"),
         F.min_by("value", of(ONCE)).alias("once"),
-        F.min(F.when(F.col("policy") == ONCE, place)).alias("once_at"),
+        F.max(of(AGAIN)).alias("again_at"),
         F.max_by("value", of(AGAIN)).alias("again"),
-        F.max(F.when(F.col("policy") == AGAIN, place)).alias("again_at"),
     )
-    entry = F.struct("name", "last", "once", "once_at", "again", "again_at")
-    whole = by_name.groupBy(*IDENTITY).agg(F.min("born").alias("born"), F.max("last_seq").alias("last_seq"), F.min("matched").alias("matched"), F.collect_list(F.when(F.col("name").isNotNull(), entry)).alias("entries"))
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """Partials of several batches as those of all of them; a batch that is there twice changes nothing."""
+    return parts.groupBy(*_NAMED).agg(
+        F.min("born").alias("born"),
+        F.max("last_seq").alias("last_seq"),
+        F.min("matched").alias("matched"),
+        F.max("last_at").alias("last_at"),
+        F.max_by("last", "last_at").alias("last"),
+        F.min("once_at").alias("once_at"),
+        F.min_by("once", "once_at").alias("once"),
+        F.max("again_at").alias("again_at"),
+        F.max_by("again", "again_at").alias("again"),
+    )
+
+
+def finished(parts: DataFrame) -> DataFrame:
+    """The rows of ``folded`` from partials with one row for each identity and property."""
+    place = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.seq").alias("seq"), F.col(f"{c}.at").alias("at"))).alias(c)
+    entry = F.struct("name", "last", "once", place("once_at"), "again", place("again_at"))
+    whole = parts.groupBy(*IDENTITY).agg(F.min("born").alias("born"), F.max("last_seq").alias("last_seq"), F.min("matched").alias("matched"), F.collect_list(F.when(F.col("name").isNotNull(), entry)).alias("entries"))
     value = lambda e: F.coalesce(e["last"], F.when(e["again_at"] > F.col("born"), e["again"]), F.when(e["once_at"] == F.col("born"), e["once"]))
     known = F.filter(F.transform("entries", lambda e: F.struct(e["name"].alias("name"), value(e).alias("value"))), lambda e: e["value"].isNotNull())
     return whole.select(*IDENTITY, "matched", "born", "last_seq", F.map_from_entries(known).alias("props"))
 
 
+def folded(written: DataFrame) -> DataFrame:
+    """One row per identity: (identity, matched, born, last_seq, props map<string,variant>).
+
+    ``born`` (seq, at) is the identity's first write; later events win, then later items of a program.  A
+    hot identity is combined map-side; what is collected for one is bounded by its program's properties.
+    """
+    return finished(partials(written))
+
+
 def nodes_of(graph: DataFrame) -> DataFrame:
     """(label, key, props, born) of a folded graph."""
     return graph.where("kind = ''").select(F.col("src_label").alias("label"), F.col("src").alias("key"), "props", F.col("born.seq").alias("born"))

@@ -91,7 +91,12 @@ _EV = _EV.replace("CAST(floor(value) AS STRING) AS value", "CAST(CAST(floor(valu
 
 def clinical_events(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
     """Enriched clinical events with ``payload_json``, and ``payload`` parsed from it; of some types or all."""
-    raw = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return clinical(table(spark, sf_dir, "events"), *types)
+
+
+def clinical(raw: DataFrame, *types: str) -> DataFrame:
+    """The same of some rows of ``events``."""
+    raw = raw.withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     kind = F.expr(ENVELOPE["type"])
     if types:
         raw = raw.where(kind.isin(*types))
@@ -174,7 +179,11 @@ GRAPH_COLUMNS = ("kind", "src_label", "src", "dst_label", "dst", "tag", "props")
 
 def _shown(written: DataFrame) -> DataFrame:
     """The graph that writes leave: nodes (empty kind) and edges, with their properties as text."""
-    folded = graph.folded(written)
+    return shown_graph(graph.folded(written))
+
+
+def shown_graph(folded: DataFrame) -> DataFrame:
+    """The same of a folded graph."""
     nodes = graph.nodes_of(folded).select(F.lit("").alias("kind"), F.col("label").alias("src_label"), F.col("key").alias("src"), F.lit("").alias("dst_label"), F.lit("").alias("dst"), F.lit("").alias("tag"), "props")
     return nodes.unionByName(graph.edges_of(folded)).withColumn("props", graph.shown())
 
@@ -722,18 +731,23 @@ def stream_first_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/found").select("user_id", "event_type")
 
 
-@query("SELECT e.event_id, c.c_name AS name FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id WHERE e.event_type = 'purchase'")
+@query("SELECT e.event_id, c.c_name AS name FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id")
 def stream_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[T03, T04] A micro-batch's reference rows are visible before its events are enriched."""
+    """[T04, J01] Reference rows and events come in one stream; a batch's reference rows are visible to its events."""
     root = new_folder(spark, "enrichment")
     names = ingest.WriteLog(spark, f"{root}/names", ["user_id"], "seq", ["name"])
     people = table(spark, sf_dir, "customer").select(F.lit("reference").alias("route"), F.col("c_custkey").alias("user_id"), F.col("c_name").alias("name"), F.lit(None).cast("long").alias("event_id"))
-    events = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.lit("event").alias("route"), "user_id", F.lit(None).cast("string").alias("name"), "event_id")
-    found: list[DataFrame] = []
-    remember = lambda rows: names.apply(rows.withColumn("seq", F.lit(0)), 0)
-    enrich = lambda rows: found.append(rows.drop("name").join(names.read().select("user_id", "name"), "user_id", "left"))
-    ingest.references_first(people.unionByName(events), remember, enrich)
-    return found[0].select("event_id", "name")
+    events = table(spark, sf_dir, "events").select(F.lit("event").alias("route"), "user_id", F.lit(None).cast("string").alias("name"), "event_id")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        remember = lambda rows: names.apply(rows.withColumn("seq", F.lit(batch_id)), batch_id)
+        enrich = lambda rows: rows.drop("name").join(names.read().select("user_id", "name"), "user_id", "left").write.mode("overwrite").parquet(f"{root}/found/batch={batch_id}")
+        ingest.references_first(batch, remember, enrich)
+
+    # People come with the first go, before or beside their events.
+    rows = people.withColumn("at", F.lit(-1.0)).unionByName(events.withColumn("at", F.col("event_id").cast("double")))
+    ingest.fed(spark, rows, "at", 3, lambda stream: ingest.ingest(stream, [sink], f"{root}/checkpoint"))
+    return spark.read.parquet(f"{root}/found").select("event_id", "name")
 
 
 @query("SELECT CAST(o_custkey AS VARCHAR) AS src, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
@@ -746,11 +760,11 @@ def graph_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.graph_sql(spark, views, "select p.src, count(*) as n from placed p join holds h on h.src = p.dst group by p.src")
 
 
-@query("SELECT event_type AS tool, count(*) AS n FROM events WHERE event_id < 500 GROUP BY 1")
+@query("SELECT event_type AS tool, count(*) AS n FROM events GROUP BY 1")
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[S14] Audit rows appended in two writes and read again."""
     path = new_folder(spark, "audit")
-    rows = table(spark, sf_dir, "events").where("event_id < 500").select(F.col("event_type").alias("tool"), "event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("tool"), "event_id")
     envelopes.audit(rows.where("event_id % 2 = 0"), path)
     envelopes.audit(rows.where("event_id % 2 = 1"), path)
     return spark.read.json(path).groupBy("tool").agg(F.count("*").alias("n"))
@@ -817,13 +831,13 @@ def request_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(T.fingerprint(F.struct("user_id", "event_type"), ["user_id", "event_type"]).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n"))
 
 
-@query("SELECT k, arg_min(round, round) AS first_round, count(*) AS times FROM (SELECT event_type AS k, 1 AS round FROM events WHERE event_id < 50 UNION ALL SELECT event_type, 2 FROM events WHERE event_id < 20) GROUP BY k")
+@query("SELECT k, min(round) AS first_round, count(*) AS times FROM (SELECT user_id || '|' || event_type AS k, CASE WHEN value > 50 THEN 1 ELSE 2 END AS round FROM events) GROUP BY k")
 def appended_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[U03, U07] Evidence of two rounds, appended; repeats count."""
     from quern.operators import upsert
 
-    events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("k"))
-    both = upsert.appended(events.where("event_id < 50"), events.where("event_id < 20"))
+    events = table(spark, sf_dir, "events").select("value", F.concat_ws("|", "user_id", "event_type").alias("k"))
+    both = upsert.appended(events.where("value > 50"), events.where("value <= 50 or value is null"))
     return both.groupBy("k").agg(F.min("round").alias("first_round"), F.count("*").alias("times"))
 
 

@@ -7,10 +7,13 @@ is folded into a new one by ``compacted``.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from quern.functions.vectors import DIMENSION
 from quern.operators import upsert
@@ -97,6 +100,20 @@ def first_sightings(stream: DataFrame, key: str, ts: str, late: str = "10 minute
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
+def interval_joined(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str, within: str, late: str = "10 minutes") -> DataFrame:
+    """[T08, J14, T11] Rows of ``right`` with those of ``left`` that came up to ``within`` before them, by equal keys.
+
+    Of two streams both sides are kept as state only as long as the watermarks (``late``) and the interval allow
+    a partner; of two tables the same rows come out.  Other columns must have different names; the keys are
+    ``right``'s.
+    """
+    earlier = left.withColumnsRenamed({k: f"__{k}" for k in keys}).withWatermark(left_ts, late)
+    later = right.withWatermark(right_ts, late)
+    same = [F.col(f"__{k}") == F.col(k) for k in keys]
+    near = (F.col(left_ts) < F.col(right_ts)) & (F.col(right_ts) <= F.col(left_ts) + F.expr(f"interval {within}"))
+    return later.join(earlier, reduce(lambda a, b: a & b, same, near)).drop(*[f"__{k}" for k in keys])
+
+
 def console(stream: DataFrame, rows: int = 20):
     """[S07] Start a query that shows what arrives."""
     return stream.writeStream.format("console").option("numRows", rows).trigger(availableNow=True).start()
@@ -118,10 +135,30 @@ def replay_latest(spark: SparkSession, path: str, keys: list[str], order: str, v
     return upsert.latest(sink.read(), keys, "__order", values)
 
 
-def replayed(spark: SparkSession, path: str) -> DataFrame:
-    """[S01] A Parquet table (a folder, or a single file of one) as a stream of its files."""
+def replayed(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """[S01] A Parquet table (a folder, or a single file of one) as a stream of its files; ``files`` at most a batch."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
         return reader.parquet(path)
     return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+
+
+def fed(spark: SparkSession, rows: DataFrame, order: str, batches: int, start: Callable[[DataFrame], StreamingQuery]) -> list[dict]:
+    """[S01, S02, T05] ``rows`` come to a stream in so many goes, dealt out by ranges of the number ``order``, lowest first.
+
+    ``start`` starts the query, which takes what is there and stops; it goes on from its checkpoint in the next
+    go.  Returns the progress of each query's micro-batches.
+    """
+    folder = new_folder(spark, "fed")
+    bounds = rows.approxQuantile(order, [i / batches for i in range(1, batches)], 0.001)
+    place, progress = F.col(order), []
+    for n, (low, high) in enumerate(zip([None, *bounds], [*bounds, None])):
+        inside = (F.lit(True) if low is None else place > low) & (F.lit(True) if high is None else place <= high)
+        rows.where(inside).write.parquet(f"{folder}/go={n}")
+        run = start(spark.readStream.schema(rows.schema).parquet(folder))
+        run.awaitTermination()
+        progress += [json.loads(p.json) for p in run.recentProgress]
+    return progress
