@@ -13,65 +13,64 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm import bloom
-from quern.llm.common import UPPER, long_texts, materialize, shuffle_width
+from quern.llm.common import long_texts, materialize, shuffle_width
 
-#: What a term is, documents it needs, what is added to a count, the scale of a share, terms reported.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Documents that a term needs, what is added to a count, the scale of a share, terms reported.
 MIN_DOCS, ADDED, SCALE, TOP_TERMS = 30, 5, 1_000_000_000, 50
 #: Terms that a task tallies before it hands them on.
-HELD_TERMS = 500_000
+HELD_TERMS = 1_000_000
 #: Sources whose counts are held against each other in a task, and terms of a task, about.
 BLOCK_SOURCES, BUCKET_TERMS = 32, 8_000
 
-_LOWER = str.maketrans(UPPER, UPPER.lower())
-_TERMS = regex.compile(TERM)
+#: Bytes of a text to those of its terms: a space between them, A-Z lower-cased, all beyond ASCII as it is.
+_BYTES = bytes(b if b >= 0x80 else b | 0x20 if chr(b).isalpha() else 0x20 for b in range(256))
 
 
-def terms_of(text: str) -> list[str]:
-    return _TERMS.findall(text.lower() if text.isascii() else text.translate(_LOWER))
+def terms_of(text: bytes) -> list[bytes]:
+    """The terms of a text, all in UTF-8."""
+    return text.translate(_BYTES).split(b" ")
 
 
-def _hashes(lang: str, terms: list[str]) -> np.ndarray:
+def _hashes(lang: str, terms: list[bytes]) -> np.ndarray:
     """64-bit hashes of a language's terms."""
     prefix = lang.encode() + b"\0"
-    return np.array([xxhash.xxh64_intdigest(prefix + t.encode()) for t in terms], np.uint64).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(prefix + t) for t in terms], np.uint64).view(np.int64)
 
 
-def _tables(kinds: dict[str, pa.DataType], rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-    held = []
-    for row in rows:
-        held.append(row)
-        if len(held) == 50_000:
-            yield _batch(kinds, held)
-            held = []
-    if held:
-        yield _batch(kinds, held)
+def _rows(key: dict[str, str], tally: Counter, of: str, kept: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """The terms of ``tally`` and their numbers, beside the columns of ``key``."""
+    terms, numbers = pa.array(list(tally), pa.binary()), pa.array(list(tally.values()), pa.int64())
+    there = pc.greater(pc.binary_length(terms), 0)  # between two separators lies nothing
+    there = there if kept is None else pc.and_(there, pa.array(kept))
+    terms, numbers = terms.filter(there).cast(pa.string()), numbers.filter(there)
+    for start in range(0, len(terms), 100_000):
+        part = terms.slice(start, 100_000)
+        yield pa.RecordBatch.from_arrays([*[pa.repeat(pa.scalar(v), len(part)) for v in key.values()], part, numbers.slice(start, 100_000)], names=[*key, "term", of])
 
 
-def _batch(kinds: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds.values())], names=list(kinds))
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return batch.column("text").cast(pa.binary()).to_pylist()
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(lang, term) of the terms that ``min_docs`` rows of a language or more hold; ``docs`` has lang, source, text, no nulls."""
-    kinds = {"lang": pa.string(), "term": pa.string(), "docs": pa.int64()}
 
     def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
-        rows = lambda: ((lang, term, n) for lang, tally in held.items() for term, n in tally.items())
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            for lang, text in zip(batch.column("lang").to_pylist(), _texts(batch)):
                 held.setdefault(lang, Counter()).update(set(terms_of(text)))
             if sum(map(len, held.values())) > HELD_TERMS:
-                yield from _tables(kinds, rows())
-                held.clear()
-        yield from _tables(kinds, rows())
+                for lang in list(held):
+                    yield from _rows({"lang": lang}, held.pop(lang), "docs")
+        for lang, tally in held.items():
+            yield from _rows({"lang": lang}, tally, "docs")
 
     found = docs.select("lang", "text").mapInArrow(tallied, "lang string, term string, docs long")
     return found.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).select("lang", "term")
@@ -79,12 +78,11 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def term_counts(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, term, n): occurrences of the terms in ``kept`` by group; absent ones have no row."""
-    kinds = {"lang": pa.string(), "source": pa.string(), "term": pa.string(), "n": pa.int64()}
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            by_lang: dict[str, list[str]] = {}
-            for lang, term in zip(batch.column("lang").to_pylist(), batch.column("term").to_pylist()):
+            by_lang: dict[str, list[bytes]] = {}
+            for lang, term in zip(batch.column("lang").to_pylist(), batch.column("term").cast(pa.binary()).to_pylist()):
                 by_lang.setdefault(lang, []).append(term)
             yield np.concatenate([np.zeros(0, np.int64), *[_hashes(lang, terms) for lang, terms in by_lang.items()]])
 
@@ -93,24 +91,18 @@ def term_counts(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
     def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], Counter] = {}
-        known: dict[str, dict[str, bool]] = {}
-        rows = lambda: ((lang, source, term, n) for (lang, source), tally in held.items() for term, n in tally.items())
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for lang, source in list(held):
+                tally = held.pop((lang, source))
+                yield from _rows({"lang": lang, "source": source}, tally, "n", bloom.held(_hashes(lang, list(tally)), wanted.value))
+
         for batch in batches:
-            if sum(map(len, known.values())) > HELD_TERMS:
-                known.clear()
-            for lang, source, text in zip(*[batch.column(c).to_pylist() for c in ("lang", "source", "text")]):
-                counted = Counter(terms_of(text))
-                flags = known.setdefault(lang, {})
-                if new := [t for t in counted if t not in flags]:
-                    flags.update(zip(new, bloom.held(_hashes(lang, new), wanted.value).tolist()))
-                tally = held.setdefault((lang, source), Counter())
-                for term, n in counted.items():
-                    if flags[term]:
-                        tally[term] += n
+            for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), _texts(batch)):
+                held.setdefault((lang, source), Counter()).update(terms_of(text))
             if sum(map(len, held.values())) > HELD_TERMS:
-                yield from _tables(kinds, rows())
-                held.clear()
-        yield from _tables(kinds, rows())
+                yield from handed_on()
+        yield from handed_on()
 
     found = docs.select("lang", "source", "text").mapInArrow(tallied, "lang string, source string, term string, n long")
     return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept, ["lang", "term"], "left_semi").select("lang", "source", "term", "n")
