@@ -18,9 +18,6 @@ from quern.llm.common import SPACES, ascii_lower, materialize, row_key, shuffle_
 
 #: Lines whose flags share a word of the bitmap.
 WORD_BITS = 63
-#: Bitmaps up to this size are broadcast; what a row of them and an entry take in a hashed relation.
-BROADCAST_BYTES = 4 << 20
-ROW_BYTES, ENTRY_BYTES = 160, 12
 
 
 def lines_of(text: Column) -> Column:
@@ -101,9 +98,6 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with ``line_report``; an input column of that name is replaced.
 
-    The bitmaps are measured: up to BROADCAST_BYTES they go to the texts, beyond that both are joined
-    by a shuffle.
+    Texts and bitmaps meet by a shuffle at every size: bitmaps grow with the input, so they are not broadcast.
     """
-    bitmaps = materialize(keep_bitmaps(docs, id_col, text_col, min_chars, min_docs))
-    size = bitmaps.agg(F.sum(F.size("words") * ENTRY_BYTES + ROW_BYTES)).first()[0] or 0
-    return apply_bitmaps(docs, F.broadcast(bitmaps) if size <= BROADCAST_BYTES else bitmaps, id_col, text_col)
+    return apply_bitmaps(docs, materialize(keep_bitmaps(docs, id_col, text_col, min_chars, min_docs)), id_col, text_col)
