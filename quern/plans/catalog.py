@@ -7,8 +7,6 @@ payers, events for the event stream.  Edges between parts come from plain rules
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,30 +14,11 @@ from quern.functions import text as T
 from quern.functions import vectors as V
 from quern.operators import evidence, patterns, rules, similarity, upsert
 from quern.plans import planner
+from quern.plans.registry import QUERIES, SQL, query, table  # noqa: F401  the registry's tables
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "customer_context"
 
 
-def query(sql: str | None):
-    """Register a function under its name, with the SQL of its result."""
-
-    def register(make: Query) -> Query:
-        QUERIES[make.__name__] = make
-        if sql:
-            SQL[make.__name__] = sql
-        return make
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # -- Stand-ins shared by several queries --------------------------------------------------------------
 
 #: Event rules (id, type, operator, bound, signal); 14 of them, like a laboratory pack.

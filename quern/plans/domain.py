@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import graph, normalise, patterns, rules
-from quern.plans.catalog import query, table
+from quern.plans.registry import query, table
 from quern.sources import envelopes, ontology
 from quern.sources.shared import new_folder
 from quern.streaming import ingest
