@@ -43,16 +43,34 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(lengths > 0, dot(a, b) / lengths).otherwise(0.0)
 
 
+def _bound(value: Column, of) -> Column:
+    """``of(value)``, the value computed once for a row."""
+    return F.transform(F.array(value), of)[0]
+
+
 def embedding(text: Column, dimension: int = DIMENSION) -> Column:
     """[P13] Token counts by bucket over their length; the zero vector for an empty or null text.
 
-    Tokens are hashed once: their buckets are bound to a name before they are counted.
+    The sorted buckets of the tokens fall into runs: what lies between two runs is zeros, a run's length its count.
     """
     digests = F.transform(F.coalesce(tokens(text), F.array().cast("array<string>")), F.md5)
-    hashed = F.array(F.transform(digests, lambda d: folded_digest(d, dimension)))
-    places = F.sequence(F.lit(0), F.lit(dimension - 1))
-    counts = F.transform(hashed, lambda b: F.transform(places, lambda p: (F.size(b) - F.size(F.array_remove(b, p))).cast("double")))
-    return F.transform(counts, lambda c: F.transform(F.array(norm(c)), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0)))[0])[0]
+    hashed = F.array_sort(F.transform(digests, lambda d: folded_digest(d, dimension)))
+    none = F.lit(0.0)
+
+    def dense(s: Column, starts: Column, counts: Column, length: Column) -> Column:
+        before = lambda k: F.when(k > 0, s[starts[F.greatest(k - 1, F.lit(0))]]).otherwise(-1)
+        runs = F.transform(starts, lambda i, k: F.concat(F.array_repeat(none, s[i] - before(k) - 1), F.array(counts[k] / length)))
+        return F.concat(F.flatten(runs), F.array_repeat(none, dimension - 1 - F.element_at(s, -1)))
+
+    def of_runs(s: Column, starts: Column) -> Column:
+        counts = F.transform(starts, lambda i, k: F.coalesce(F.get(starts, k + 1), F.size(s)) - i)
+        return _bound(counts, lambda c: _bound(norm(c), lambda length: dense(s, starts, c, length)))
+
+    def of_sorted(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0))), lambda i: (i == 0) | (s[i] != s[F.greatest(i - 1, F.lit(0))]))
+        return F.when(F.size(s) > 0, _bound(starts, lambda st: of_runs(s, st))).otherwise(F.array_repeat(none, dimension))
+
+    return _bound(hashed, of_sorted)
 
 
 def fitted(vector: Column, dimension: int) -> Column:

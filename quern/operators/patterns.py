@@ -54,6 +54,37 @@ def collected(rows: DataFrame, owner: str, limits: dict[str, int]) -> DataFrame:
     return kept.groupBy(owner).agg(*[F.array_sort(F.collect_list(n)).alias(n) for n in names])
 
 
+#: Columns that values of many lists share, in the order in which they are compared.
+SLOTS = {"s0": "string", "d0": "double", "l0": "bigint", "l1": "bigint", "s1": "string", "s2": "string"}
+
+
+def slotted(which: int, when: Column | None = None, **values: Column) -> Column:
+    """A value of the list numbered ``which`` as one narrow struct; null where ``when`` is not true or all are null."""
+    made = F.struct(F.lit(which).alias("which"), *[values.get(n, F.lit(None)).cast(t).alias(n) for n, t in SLOTS.items()])
+    only = next(iter(values.values())).isNotNull() if len(values) == 1 else F.lit(True)
+    return F.when(only if when is None else when & only, made)
+
+
+def collected_slots(rows: DataFrame, owner: str, lists: dict[str, tuple[int, dict[str, str]]]) -> DataFrame:
+    """[A01, A02, A20] ``collected`` for values in SLOTS: (owner, which, slots) rows, ``which`` numbering ``lists``.
+
+    ``lists``: name to (limit, field to slot); a list of one field has its values, others structs.  One sort key,
+    however many lists there are.
+    """
+    slots = list(SLOTS)
+    once = rows.select(owner, "which", *slots).distinct()
+    place = F.row_number().over(Window.partitionBy(owner, "which").orderBy(*slots))
+    limit = F.element_at(F.array(*[F.lit(n) for n, _ in lists.values()]), F.col("which") + 1)
+    most = max(n for n, _ in lists.values())
+    kept = once.withColumn("__place", place).where(F.col("__place") <= most).where(F.col("__place") <= limit)
+
+    def value(fields: dict[str, str]) -> Column:
+        parts = [F.col(slot).alias(field) for field, slot in fields.items()]
+        return parts[0] if len(parts) == 1 else F.struct(*parts)
+
+    return kept.groupBy(owner).agg(*[F.array_sort(F.collect_list(F.when(F.col("which") == i, value(fields)))).alias(name) for i, (name, (_, fields)) in enumerate(lists.items())])
+
+
 def listed(rows: DataFrame, owner: str, value: Column | list[Column], limit: int, name: str = "v") -> DataFrame:
     """[A01, A02] (owner, list) of one kind of value; several columns make a struct."""
     packed = F.struct(*value) if isinstance(value, list) else value

@@ -473,20 +473,20 @@ _CONTEXT_SQL = f"WITH {_ITEMS_SQL}, {_LINKS_SQL}, {_CONTRA_SQL}\nSELECT c_custke
 ) + " FROM customer\n" + "\n".join(f"LEFT JOIN (SELECT owner, list_sort(list(DISTINCT v))[1:{k}] AS v FROM ({sql}) GROUP BY owner) t_{n} ON t_{n}.owner = c_custkey" for n, (sql, k) in _CONTEXT_LISTS.items())
 
 
-#: The lists of a customer: type of a value, and how many are shown.
+#: The lists of a customer: where their fields lie in the shared columns.
 _LISTS = {
-    "priorities": "struct<priority:string,status:string>",
-    "brands": "string",
-    "observations": "struct<name:string,value:double>",
-    "items": "struct<item:bigint,state:string>",
-    "interactions": "struct<item_a:bigint,item_b:bigint,risk:string,severity:string>",
-    "large": "struct<value:double,k:string>",
-    "claims": "struct<order:bigint,line:bigint,flag:string>",
-    "signals": "struct<event:bigint,condition:string>",
-    "suppliers": "string",
-    "contraindications": "struct<item:bigint,segment:string,severity:string>",
+    "priorities": {"priority": "s0", "status": "s1"},
+    "brands": {"brand": "s0"},
+    "observations": {"name": "s0", "value": "d0"},
+    "items": {"item": "l0", "state": "s1"},
+    "interactions": {"item_a": "l0", "item_b": "l1", "risk": "s1", "severity": "s2"},
+    "large": {"value": "d0", "k": "s1"},
+    "claims": {"order": "l0", "line": "l1", "flag": "s1"},
+    "signals": {"event": "l0", "condition": "s1"},
+    "suppliers": {"name": "s0"},
+    "contraindications": {"item": "l0", "segment": "s1", "severity": "s2"},
 }
-_LIMITS = {n: _CONTEXT_LISTS[n][1] for n in _LISTS}
+_PLACES = {n: i for i, n in enumerate(_LISTS)}
 
 
 def linked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -499,46 +499,56 @@ def linked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shifted.join(there, "item_b", "left").groupBy("item", "p_brand", "p_type", "p_size").agg(F.collect_list(F.when(F.col("there"), link)).alias("links"))
 
 
-def _one_of(**found) -> "F.Column":
-    """A row of the lists with values in one column."""
-    return F.struct(*[found.get(n, F.lit(None)).cast(t).alias(n) for n, t in _LISTS.items()])
+def _value(name: str, *values: "F.Column", when: "F.Column | None" = None) -> "F.Column":
+    """A value of a list in the shared columns."""
+    return patterns.slotted(_PLACES[name], when, **dict(zip(_LISTS[name].values(), values)))
+
+
+def _each(rows: DataFrame, *values: "F.Column") -> DataFrame:
+    """(owner, which, slots): the values of each row that are there."""
+    return rows.select("owner", F.explode(F.array_compact(F.array(*values))).alias("f")).select("owner", "f.*")
 
 
 @query(_CONTEXT_SQL)
 def customer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """[C01-C11, Q05, A01, A20] Eleven lists per customer.
 
-    Orders, lines and what is known of their parts and suppliers meet once; each row then names the lists
-    it adds to, and all lists are cut by rank and collected in one aggregation.  Lists are shown as JSON;
-    numbers in them are as SQL writes them.
+    Orders, lines and what is known of their parts and suppliers meet once; each line then gives the values
+    that it adds to lists, in narrow rows that all lists share.  What belongs to an order is taken from orders.
+    All lists are cut by rank and collected in one aggregation.  Lists are shown as JSON; numbers in them are as
+    SQL writes them.
     """
     c = F.col
     orders = table(spark, sf_dir, "orders").select("o_orderkey", c("o_custkey").alias("owner"), c("o_orderstatus").alias("state"), "o_orderpriority")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_suppkey", c("l_partkey").alias("item"))
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    owned = orders.join(lines, c("l_orderkey") == c("o_orderkey"), "left").join(linked_parts(spark, sf_dir), "item", "left").join(supplier, c("s_suppkey") == c("l_suppkey"), "left").join(segments(spark, sf_dir), "owner", "left")
-    live, ordered = patterns.active(c("state"), ("F",)), c("item").isNotNull()
+    supplier = table(spark, sf_dir, "supplier").where("s_acctbal < 1000").select("s_suppkey", "s_name")
+    owned = lines.join(orders, c("l_orderkey") == c("o_orderkey")).join(segments(spark, sf_dir), "owner", "left").join(linked_parts(spark, sf_dir), "item", "left").join(supplier, c("s_suppkey") == c("l_suppkey"), "left")
+    live = patterns.active(c("state"), ("F",))
     unsuited = F.when(c("p_type") == "PROMO", "BUILDING").when(c("p_type") == "LARGE", "MACHINERY").when(c("p_type") == "ECONOMY", "AUTOMOBILE")
-    rows = F.array(
-        _one_of(priorities=F.struct("o_orderpriority", "state")),
-        _one_of(brands=c("p_brand")),
-        _one_of(items=F.when(ordered, F.struct("item", "state"))),
-        _one_of(claims=F.when(c("l_returnflag") == "R", F.struct("l_orderkey", "l_linenumber", "l_returnflag"))),
-        _one_of(suppliers=F.when(c("s_acctbal") < 1000, c("s_name"))),
-        _one_of(contraindications=F.when(live & (unsuited == c("segment")), F.struct("item", "segment", F.when(c("p_size") > 25, "high").otherwise("low")))),
+    link = lambda i: c("links")[i]
+    interacts = [_value("interactions", *[link(i)[f] for f in _LISTS["interactions"]], when=live & (F.size("links") > i)) for i in range(2)]
+    held = _each(
+        owned.withColumn("links", F.coalesce("links", F.array().cast("array<struct<item_a:bigint,item_b:bigint,risk:string,severity:string>>"))),
+        _value("brands", c("p_brand")),
+        _value("items", c("item"), c("state"), when=c("item").isNotNull()),
+        _value("claims", c("l_orderkey"), c("l_linenumber"), c("l_returnflag"), when=c("l_returnflag") == "R"),
+        _value("suppliers", c("s_name")),
+        _value("contraindications", c("item"), c("segment"), F.when(c("p_size") > 25, "high").otherwise("low"), when=live & (unsuited == c("segment"))),
+        *interacts,
     )
-    linked = F.transform(F.when(live & ordered, c("links")).otherwise(F.array().cast("array<struct<item_a:bigint,item_b:bigint,risk:string,severity:string>>")), lambda link: _one_of(interactions=link))
-    fired = rules.threshold_signals(table(spark, sf_dir, "events"), event_rules(spark), "event_type", "value", keep=True)
-    seen = F.array(
-        _one_of(observations=F.struct("event_type", "value")),
-        _one_of(large=F.when(c("value") > 60, F.struct("value", F.get_json_object("props", "$.k")))),
-        _one_of(signals=F.when(c("rule_id").isNotNull(), F.struct("event_id", "condition"))),
+    ordered = _each(orders, _value("priorities", c("o_orderpriority"), c("state")))
+    fired = rules.threshold_signals(table(spark, sf_dir, "events"), event_rules(spark), "event_type", "value", keep=True).withColumnRenamed("user_id", "owner")
+    seen = _each(
+        fired,
+        _value("observations", c("event_type"), c("value")),
+        _value("large", c("value"), F.get_json_object("props", "$.k"), when=c("value") > 60),
+        _value("signals", c("event_id"), c("condition"), when=c("rule_id").isNotNull()),
     )
-    found = patterns.together(owned.select("owner", F.explode(F.concat(rows, linked)).alias("f")), fired.select(c("user_id").alias("owner"), F.explode(seen).alias("f"))).select("owner", "f.*")
+    lists = patterns.collected_slots(held.unionByName(ordered).unionByName(seen), "owner", {n: (_CONTEXT_LISTS[n][1], fields) for n, fields in _LISTS.items()})
     home = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(table(spark, sf_dir, "nation"), c("c_nationkey") == c("n_nationkey"), "left").join(table(spark, sf_dir, "region"), c("n_regionkey") == c("r_regionkey"), "left")
     nations = F.array_compact(F.array(F.when(c("n_name").isNotNull() & c("r_name").isNotNull(), F.struct(c("n_name").alias("nation"), c("r_name").alias("region")))))
-    context = patterns.with_lists(home.select("c_custkey", nations.alias("nations")), "c_custkey", found, "owner", _LIMITS)
-    return context.select("c_custkey", *[F.to_json(n).alias(n) for n in _CONTEXT_LISTS])
+    context = home.select("c_custkey", nations.alias("nations")).join(lists.withColumnRenamed("owner", "__key"), c("c_custkey") == c("__key"), "left")
+    return context.select("c_custkey", *[F.coalesce(F.to_json(n), F.lit("[]")).alias(n) for n in _CONTEXT_LISTS])
 
 
 @query("""SELECT s_suppkey AS id, 'Supplier' AS type, coalesce(t.parts, '') AS parts, coalesce(t.n, 0) AS n_lines, coalesce(r.returns, 0) AS returns FROM supplier

@@ -7,13 +7,15 @@ graph, the rules and the lookups make of it is computed by the operators here an
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
 from quern.operators import graph, normalise, patterns, rules
 from quern.plans.registry import query, table
-from quern.sources import envelopes, ontology
+from quern.sources import envelopes, ontology, packs
 from quern.sources.shared import new_folder
 from quern.streaming import ingest
 
@@ -599,17 +601,32 @@ FROM (SELECT drug_a AS x FROM {_INTERACTIONS} UNION SELECT drug_b FROM {_INTERAC
 LEFT JOIN {values_sql(ontology.MEDICATION_SEEDS, "name ingredient trade", "s")} ON s.name = x"""
 
 
-@query(_SEEDS)
+_MENTIONS = f"""mentions AS (SELECT label, key, count(*) AS n FROM (SELECT 'Condition' AS label, diagnosis AS key FROM ev WHERE {_NOTE} UNION ALL SELECT 'Symptom', symptom FROM ev WHERE {_NOTE} UNION ALL SELECT 'Medication', medication FROM ev WHERE {_MED}) GROUP BY ALL)"""
+
+
+def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(label, key, mentions): conditions, symptoms and medications that events name, and how many do."""
+    named = lambda label, field: F.struct(F.lit(label).alias("label"), F.col(f"payload.{field}").alias("key"))
+    events = clinical_events(spark, sf_dir, "CLINICAL_NOTE", "MEDICATION_ORDER")
+    told = events.select(F.explode(F.array(named("Condition", "diagnosis"), named("Symptom", "symptom"), named("Medication", "medication"))).alias("m")).select("m.*")
+    return told.where("key is not null").groupBy("label", "key").agg(F.count("*").alias("mentions"))
+
+
+@query(f"WITH {_EV}, {_MENTIONS} SELECT s.label, s.key, s.props, coalesce(m.n, 0) AS mentions FROM ({_SEEDS}) s LEFT JOIN mentions m ON m.label = s.label AND m.key = s.key")
 def seed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[R07, S13, K11] Nodes that are there before any event; metadata goes to medications that a safety table names."""
-    return ontology.seed_nodes(spark).withColumn("props", graph.shown())
+    """[R07, S13, K11] Nodes that are there before any event, and how many events name them; metadata goes to medications that a safety table names."""
+    seeds = ontology.seed_nodes(spark).withColumn("props", graph.shown())
+    found = seeds.join(mentions(spark, sf_dir), ["label", "key"], "left")
+    return found.select("label", "key", "props", F.coalesce("mentions", F.lit(0).cast("long")).alias("mentions"))
 
 
-@query("SELECT kind, src, dst, count(*) OVER (PARTITION BY kind, src) AS links FROM (" + f"SELECT 'INTERACTS_WITH' AS kind, drug_a AS src, drug_b AS dst FROM {_INTERACTIONS} UNION ALL SELECT 'CONTRAINDICATED_FOR', medication, condition FROM {_CONTRA_RULES} UNION ALL SELECT 'HAS_KNOWN_REACTION', medication, symptom FROM {_REACTIONS})")
+@query(f"WITH {_EV}, {_MENTIONS} SELECT s.*, coalesce(m.n, 0) AS mentions FROM (SELECT kind, src, dst, count(*) OVER (PARTITION BY kind, src) AS links FROM (" + f"SELECT 'INTERACTS_WITH' AS kind, drug_a AS src, drug_b AS dst FROM {_INTERACTIONS} UNION ALL SELECT 'CONTRAINDICATED_FOR', medication, condition FROM {_CONTRA_RULES} UNION ALL SELECT 'HAS_KNOWN_REACTION', medication, symptom FROM {_REACTIONS})) s LEFT JOIN mentions m ON m.label = 'Medication' AND m.key = s.src")
 def seed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[R03, R04, R05, S13]"""
+    """[R03, R04, R05, S13] Edges that are there before any event, and how many orders name their drug."""
     edges = ontology.seed_edges(spark)
-    return edges.join(edges.groupBy("kind", "src").agg(F.count("*").alias("links")), ["kind", "src"]).select("kind", "src", "dst", "links")
+    links = edges.join(edges.groupBy("kind", "src").agg(F.count("*").alias("links")), ["kind", "src"])
+    ordered = mentions(spark, sf_dir).where("label = 'Medication'").select(F.col("key").alias("src"), "mentions")
+    return links.join(ordered, "src", "left").select("kind", "src", "dst", "links", F.coalesce("mentions", F.lit(0).cast("long")).alias("mentions"))
 
 
 _SOURCES = ("EHR", "LAB", "DEVICE", "PHARMACY", "CLAIMS", "OTHER")
@@ -633,6 +650,20 @@ def vocabulary_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("lab_name", "term.standard_system", "term.display").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_EV} SELECT lab_name, standard_system, display, count(*) AS n FROM ev LEFT JOIN {_VOCABULARY} ON v.family = 'labs' AND lower(v.local_code) = lower(lab_name) WHERE {_LAB} GROUP BY ALL")
+def yaml_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """[S11, R09, J03] Laboratory names with the terms of a directory of YAML mapping files."""
+    folder = new_folder(spark, "mappings")
+    rows = [dict(zip("family local_code standard_system display".split(), r)) for r in ontology.rows_of(ontology.VOCABULARY)]
+    for i, family in enumerate(dict.fromkeys(r["family"] for r in rows)):
+        entries = "".join(f"    - {json.dumps({k: v for k, v in r.items() if k != 'family'})}\n" for r in rows if r["family"] == family)
+        # The first files are those that later ones take nothing from: a family lies in one of them.
+        packs.write_text(spark, f"{folder}/{packs.MAPPING_FILES[i % len(packs.MAPPING_FILES)]}.yaml" if i < len(packs.MAPPING_FILES) else f"{folder}/more/{i}.yaml", f"local_mappings:\n  {family}:\n{entries}")
+    labs = clinical_events(spark, sf_dir, "LAB_RESULT").select("payload.lab_name")
+    found = normalise.mapped(labs, packs.local_mappings(spark, folder), F.col("lab_name"), "labs", "term")
+    return found.groupBy("lab_name", "term.standard_system", "term.display").agg(F.count("*").alias("n"))
+
+
 _TIERS = values_sql(ontology.REFERENCE_VOCABULARY, "family local_code standard_system standard_code display", "v")
 
 

@@ -10,6 +10,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources import packs
+
 #: Laboratory rules (id, observation, operator, value, unit, condition, reason, severity).
 LAB_RULES = """
 potassium_hyperkalemia | Potassium | gte | 5.5 | mmol/L | Hyperkalemia | elevated_potassium | high
@@ -363,29 +365,21 @@ STATUSES = ("draft", "accepted", "deprecated")
 
 
 def rule_packs(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
-    """[S11, S12, R11] Packs (id, rule as JSON) of a directory by file name: JSON files, each an object with a header and a list ``rules``.
+    """[S11, S12, R11] Packs (id, rule as JSON) of a directory by file name: YAML or JSON, each an object with a header and a list ``rules``.
 
     A file that is no object, lacks a header field, has another status, or repeats or lacks a rule's id is an
     error.  A later file of the same name in a subdirectory replaces an earlier one.
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(directory)
-    named = files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1).alias("name"), F.col("_metadata.file_path").alias("path"), "value")
-    packs = {}
-    for row in named.orderBy("path").collect():
-        try:
-            content = json.loads(row.value)
-        except ValueError as error:
-            raise ValueError(f"{row.path} is not JSON: {error}") from error
-        if not isinstance(content, dict):
-            raise ValueError(f"{row.path} is not an object")
+    found = {}
+    for name, (path, content) in packs.contents(spark, directory).items():
         if missing := [f for f in HEADER if not content.get(f)]:
-            raise ValueError(f"{row.path} lacks {missing}")
+            raise ValueError(f"{path} lacks {missing}")
         if content["status"] not in STATUSES:
-            raise ValueError(f"{row.path} has status {content['status']}")
-        rules = [json.dumps(r, sort_keys=True) for r in content.get("rules", [])]
+            raise ValueError(f"{path} has status {content['status']}")
+        rules = [json.dumps(r, sort_keys=True) for r in content.get("rules") or []]
         made = spark.createDataFrame([(r,) for r in rules], "rule string").select("rule", F.get_json_object("rule", "$.id").alias("id"))
-        packs[row.name] = checked_ids(made, "id")
-    return packs
+        found[name] = checked_ids(made, "id")
+    return found
 
 
 def rules_from_json(spark: SparkSession, path: str) -> DataFrame:
