@@ -23,7 +23,8 @@ from pyspark.sql.functions import pandas_udf
 
 from quern.llm.common import WORD, long_texts, replaced, smallest
 
-#: Labelled credentials of a kind, and ordinary words of so many texts, that the automata learn from at most.
+#: Labelled credentials of a kind, and ordinary words of so many texts, that the automata learn from at most.  The first
+#: are ranked within their kind: up to a thousand Spark cuts them before the shuffle, more would meet in three tasks.
 SAMPLE_CREDENTIALS = 600
 SAMPLE_WORDS = 3000
 SAMPLE_WORD_DOCS = 300
@@ -165,11 +166,30 @@ def infer(strings: list[str], alpha: float = ALPHA) -> Automaton:
     return Automaton([arrivals[r] for r in red], [endings[r] for r in red], kept)
 
 
+def numbers(seed: int = 11) -> list[str]:
+    """Ordinary numbers, as a sample of texts hardly has them: runs of digits of every length, dates, groups, amounts."""
+    rng = np.random.default_rng(seed)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    made = [digits(n) for n in range(CANDIDATE_CHARS, 65) for _ in range(4)] + [digits(n) for n in range(65, LEARNED_CHARS, 8)]
+    for _ in range(40):
+        year, month, day = rng.integers(1900, 2100), rng.integers(1, 13), rng.integers(1, 29)
+        made += [f"{year}-{month:02}-{day:02}", f"{day:02}.{month:02}.{year}", f"{year}/{month:02}/{day:02}", f"{year}{month:02}{day:02}T{digits(6)}Z", f"{digits(int(rng.integers(1, 9)))}.{digits(int(rng.integers(1, 5)))}"]
+        for sizes in ((4, 4, 4, 4), (3, 2, 4), (3, 3, 4), (4, 6, 5), (2, 3, 3, 3)):
+            made += [mark.join(map(digits, sizes)) for mark in "-./"]
+    return sorted(set(made))
+
+
+#: What a token can have for evidence.
+_EVIDENCE = {"letter": regex.compile("[A-Za-z]").search, "digit": regex.compile("[0-9]").search}
+
+
 @dataclass
 class Grammar:
     formats: dict[str, Automaton]
     words: Automaton
     thresholds: dict[str, float]
+    #: What nearly all labelled credentials of a format have: a token without it has another format.
+    evidence: dict[str, tuple[str, ...]]
 
     def score(self, token: str) -> dict[str, float]:
         """Bits per character that each format explains a token better than words do."""
@@ -177,18 +197,22 @@ class Grammar:
         return {k: (a.bits(token) - plain) / max(1, len(token)) for k, a in self.formats.items()}
 
     def secret(self, token: str) -> bool:
-        return any(s >= self.thresholds[k] for k, s in self.score(token).items())
+        likely = [k for k in self.formats if all(_EVIDENCE[e](token) for e in self.evidence[k])]
+        return bool(likely) and any(s >= self.thresholds[k] for k, s in self.score(token).items() if k in likely)
 
 
 def learn(credentials: dict[str, list[str]], words: list[str]) -> Grammar:
-    """Automata of the labelled credentials; thresholds that no ordinary word reaches."""
+    """Automata of the labelled credentials; thresholds that no ordinary word or number reaches."""
     # A word is ordinary in any case of its letters.
-    usable = sorted({v for w in words if all(c in _CLASS_OF for c in w) for v in (w, w.upper(), w.capitalize())})
-    grammar = Grammar({k: infer(vs) for k, vs in credentials.items() if vs}, infer(usable), {})
-    of_words = [grammar.score(w) for w in usable if len(w) >= CANDIDATE_CHARS]
+    usable = sorted({v for w in words if all(c in _CLASS_OF for c in w) for v in (w, w.upper(), w.capitalize())} | set(numbers()))
+    formats = {k: infer(vs) for k, vs in credentials.items() if vs}
+    evidence = {k: tuple(e for e, there in _EVIDENCE.items() if sum(map(bool, map(there, credentials[k]))) >= (1 - MISSED_SHARE) * len(credentials[k])) for k in formats}
+    grammar = Grammar(formats, infer(usable), {}, evidence)
+    of_words = [(w, grammar.score(w)) for w in usable if len(w) >= CANDIDATE_CHARS]
     for kind in grammar.formats:
         own = [grammar.score(v)[kind] for v in credentials[kind]]
-        grammar.thresholds[kind] = max([float(np.quantile(own, MISSED_SHARE)), *(s[kind] + MARGIN for s in of_words)])
+        likely = [s[kind] + MARGIN for w, s in of_words if all(_EVIDENCE[e](w) for e in evidence[kind])]
+        grammar.thresholds[kind] = max([float(np.quantile(own, MISSED_SHARE)), *likely])
     return grammar
 
 

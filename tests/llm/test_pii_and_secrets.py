@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import duckdb
@@ -230,3 +231,20 @@ def test_scores_follow_the_context(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     found = {r.doc_id: [x["score"] for x in r.pii if x["kind"] == "card"] for r in pii.find_pii(docs).collect()}
     assert found == {0: [1.0], 1: [0.8], 2: [1.0]}
+
+
+def test_numbers_and_words_are_no_secrets():
+    """Precision beside recall: texts of numbers, dates and words, and no credential, have no learned span."""
+    rng = random.Random(21)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([32, 40]))) for _ in range(200)]
+    keys = ["AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)) for _ in range(200)]
+    values = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(20)) for _ in range(200)]
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randrange(2, 12))) for _ in range(800)]
+    grammar = secrets.learn({"assign": values, "access": keys, "hex": hexes}, words)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    plain = [digits(n) for n in range(6, 60) for _ in range(20)] + ["-".join(digits(4) for _ in range(4)) for _ in range(100)]
+    plain += [f"20{digits(2)}-{digits(2)}-{digits(2)}" for _ in range(50)] + ["".join(rng.choice("aeinorst") for _ in range(rng.randrange(6, 14))) for _ in range(300)]
+    assert [t for t in plain if grammar.secret(t)] == []
+    fresh = ["".join(rng.choice("0123456789abcdef") for _ in range(20)) for _ in range(100)]
+    fresh += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(20)) for _ in range(100)]
+    assert sum(map(grammar.secret, fresh)) >= 0.9 * len(fresh)
