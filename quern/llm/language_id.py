@@ -20,10 +20,11 @@ from pyspark.sql.functions import pandas_udf
 
 from quern.llm.common import long_texts, replaced
 
-#: Different texts that the model learns from at most, for each language (the smallest hashes of texts).
-SAMPLE_DOCS = 700
-#: Languages that it can tell apart at most; more of them are an error.
-MAX_LANGUAGES = 2000
+#: Different texts that the model learns from at most, for each language (the smallest hashes of texts) and in all.
+#: They are ranked within their language: up to a thousand Spark cuts them before the shuffle.
+SAMPLE_DOCS, SAMPLE_TOTAL = 700, 6000
+#: Languages that it tells apart at most, the commonest ones; the last stands for all others.
+MAX_LANGUAGES = 200
 BUCKETS = 1 << 14
 WIDTH = 16
 NGRAMS = (2, 3, 4)
@@ -64,6 +65,8 @@ class Model:
     bias: np.ndarray
     temperature: float
     reject_below: float
+    #: The language that stands for the rare ones, if there are any: its predictions are rejected.
+    rare: str | None = None
 
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
         mean = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
@@ -112,7 +115,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate
     model = Model(languages, embedding, softmax, bias, 1.0, 0.0)
     held = np.flatnonzero(calibrate)
     if len(held):
-        logits = dense(held) @ embedding @ softmax + bias
+        logits = np.concatenate([dense(held[i : i + 256]) @ embedding @ softmax + bias for i in range(0, len(held), 256)])
         losses = [(-np.log(_softmax(logits / t)[np.arange(len(held)), target[held]] + 1e-12).mean(), t) for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0)]
         model.temperature = min(losses)[1]
         p = _softmax(logits / model.temperature)
@@ -125,18 +128,23 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int = 12, rate
     return model
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """Learn from at most ``sample_docs`` different texts of each language, rare ones included.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_total: int = SAMPLE_TOTAL, max_languages: int = MAX_LANGUAGES) -> Model | None:
+    """Learn from at most ``sample_docs`` different texts of each language, rare ones included, and ``sample_total`` in all.
 
+    Beyond ``max_languages`` (by rows, ties by name) the rarer ones are one class, named after the commonest of them.
     Repeated texts count once; None if no row with a language has a letter.
     """
     rows = long_texts(docs).select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang is not null and text is not null").withColumn("h", F.xxhash64("text"))
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages + 1).collect()
+    rare = counted[max_languages - 1].lang if len(counted) > max_languages else None
+    if rare is not None:
+        own = [r.lang for r in counted[: max_languages - 1]]
+        rows = rows.withColumn("lang", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(rare))
+    share = max(1, min(sample_docs, sample_total // max(1, min(len(counted), max_languages))))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    least = rows.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= sample_docs)
-    last = least.groupBy("lang").agg(F.max("h").alias("last")).limit(MAX_LANGUAGES + 1).collect()
-    if len(last) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    bound = F.broadcast(docs.sparkSession.createDataFrame(last, "lang string, last long"))
+    least = rows.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= share)
+    # A row for each language: max_languages at most.
+    bound = F.broadcast(docs.sparkSession.createDataFrame(least.groupBy("lang").agg(F.max("h").alias("last")).collect(), "lang string, last long"))
     chosen = rows.join(bound, "lang").where("h <= last").groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,14 +159,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     rows = chosen.mapInPandas(features, "h long, lang string, at binary, n binary").collect()
     rows = sorted((r.h, r.lang, bytes(r.at), bytes(r.n)) for r in rows)
-    return train([(lang, np.frombuffer(at, "<u2"), np.frombuffer(n, "<u4").astype(np.float32)) for _, lang, at, n in rows]) if rows else None
+    if not rows:
+        return None
+    model = train([(lang, np.frombuffer(at, "<u2"), np.frombuffer(n, "<u4").astype(np.float32)) for _, lang, at, n in rows])
+    model.rare = rare
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` with ``language`` struct<lang,score,rejected>; an input column of that name is replaced.
 
     Null texts and texts without a letter are ``und``, score 0, rejected; so is everything if there is
-    no model.  ``score`` is the calibrated probability; ``rejected`` marks one below the threshold.
+    no model.  ``score`` is the calibrated probability; ``rejected`` marks one below the threshold, and the class of
+    rare languages.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -173,7 +186,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
                     p = model.probabilities(np.stack([c for _, c in found]).astype(np.float32))
                     for (i, _), row in zip(found, p):
                         best = int(row.argmax())
-                        lang[i], score[i], rejected[i] = model.languages[best], min(1.0, float(row[best])), row[best] < model.reject_below
+                        lang[i], score[i], rejected[i] = model.languages[best], min(1.0, float(row[best])), row[best] < model.reject_below or model.languages[best] == model.rare
             yield pd.DataFrame({"lang": lang, "score": score, "rejected": rejected})
 
     return replaced(long_texts(docs), language=identify(F.col(f"`{text_col}`")))

@@ -85,3 +85,15 @@ def test_language_odd_documents(odd_docs, no_docs):
             if not r.text or not any(map(str.isalpha, r.text)):
                 assert (r.language.lang, r.language.score, r.language.rejected) == ("und", 0.0, True)
         assert language_id.predict(no_docs, model).collect() == []
+
+
+def test_many_languages_are_no_error(spark):
+    rows = [(i, "the quick brown fox and the lazy dog went over the hill " * 3 + str(i), "en") for i in range(60)]
+    rows += [(100 + i, "der schnelle braune fuchs und der faule hund gingen zum berg " * 3 + str(i), "de") for i in range(50)]
+    rows += [(200 + i, "zzyx qqvw " * 20 + str(i), f"odd{i % 30:02}") for i in range(60)] + [(300, "zzyx qqvw", "odd00")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, sample_total=90, max_languages=3)
+    assert model.languages == ["de", "en", "odd00"] and model.rare == "odd00"
+    found = {(r.lang, r.language.lang, r.language.rejected) for r in language_id.predict(docs, model).select("lang", "language").collect() if r.lang in ("en", "de")}
+    assert {f[:2] for f in found} == {("en", "en"), ("de", "de")}
+    assert all(r.language.lang == "odd00" and r.language.rejected for r in language_id.predict(docs.where("lang like 'odd%'"), model).collect())
