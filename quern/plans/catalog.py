@@ -1047,4 +1047,4 @@ def corrected_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrected(marked, apply=True).select("event_id", "event_type", "user_id")
 
 
-from quern.plans import domain, live  # noqa: E402,F401  register their queries
+from quern.plans import domain, live, reports  # noqa: E402,F401  register their queries

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -96,3 +96,17 @@ def plan_one(question: str, scope: str | None, limit: int, plans: tuple[Plan, ..
         top = min(limit, max(COHORT_LEAST, top))
     prefix = chosen.prefix.format(scope="patient plus cohort" if scope else "cohort")
     return {"name": chosen.name, "query_text": prefix + question, "top_k": top, "reason": chosen.reason}
+
+
+def skill_plans(goals: DataFrame, skills: DataFrame, needs: list[str]) -> DataFrame:
+    """[Q22, J20, U07] (goal, skills, needs): each goal's skills (goal, skills array) and what they need (skill, arrays).
+
+    Every need is there once, in the order in which the skills first mention it; a goal without skills needs
+    nothing, skills that are not there are left out of the needs.
+    """
+    named = goals.select("goal", F.posexplode("skills").alias("place", "skill")).join(skills, "skill", "left")
+    # What a goal lists is bounded by the layer's file.
+    found = named.groupBy("goal").agg(F.array_sort(F.collect_list(F.struct("place", *needs))).alias("in_order"))
+    none = F.array().cast("array<string>")
+    once = {n: F.array_distinct(F.flatten(F.transform(F.coalesce(F.col(f"in_order.{n}"), F.array().cast("array<array<string>>")), lambda x: F.coalesce(x, none)))) for n in needs}
+    return goals.join(found, "goal", "left").select("goal", "skills", *[c.alias(n) for n, c in once.items()])
