@@ -245,8 +245,17 @@ def _row(kind: str, src: tuple[str, str], dst: tuple[str, str], tag: str, at: in
     return "named_struct(" + ", ".join(f"'{n}', {e}" for n, e in fields.items()) + ")"
 
 
-def _rows(item: Node | Edge, at: int) -> str:
-    """SQL of the array of rows that an item of a program writes."""
+def _covered(end: tuple[str, str], edge: Edge, before: tuple) -> bool:
+    """Whether an item before the edge writes this end of it, wherever the edge is written: then the edge adds nothing.
+
+    A node whose properties are all kept only if known may leave no row of its own.
+    """
+    sure = lambda n: n.props or n.once or n.again or not n.keep
+    return any(isinstance(n, Node) and (n.label, n.key) == end and not n.each and n.when in ("true", edge.when) and sure(n) for n in before)
+
+
+def _rows(item: Node | Edge, at: int, before: tuple = ()) -> str:
+    """SQL of the array of rows that an item of a program writes, after the items ``before`` it."""
     policies = ((SET, item.props), (KEEP, item.keep), (ONCE, item.once), (AGAIN, item.again))
     entries = [f"named_struct('name', '{n}', 'value', cast({e} as variant), 'policy', '{policy}')" for policy, props in policies for n, e in props.items()]
     none = f"cast(array() as {_PROPS})"
@@ -257,7 +266,7 @@ def _rows(item: Node | Edge, at: int) -> str:
         made = [_row("", (item.label, item.key), nothing, "''", at, False, props)]
     else:
         there = f"({item.src[1]}) is not null and ({item.dst[1]}) is not null"
-        ends = (item.src,) if item.matched else (item.src, item.dst)
+        ends = [end for end in ((item.src,) if item.matched else (item.src, item.dst)) if not _covered(end, item, before)]
         made = [_row("", end, nothing, "''", at, False, none) for end in ends]
         made.append(_row(item.kind, item.src, item.dst, item.tag, at, item.matched, props))
     rows = f"if(coalesce(({item.when}) and {there}, false), cast(array({', '.join(made)}) as {_ROWS}), cast(array() as {_ROWS}))"
@@ -271,10 +280,11 @@ def writes(events: DataFrame, program: tuple, order: str = "arrival_seq", first:
     begin beyond the earlier.
 
     A node with a null key is left out, and so is an edge with a null end; the rest of the event is
-    written all the same.  An edge also writes its end nodes.
+    written all the same.  An edge also writes its end nodes, but for those that the program has written before it
+    anyway.
     """
     missing = {c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in events.columns}
-    made = F.expr(f"concat({', '.join(_rows(item, at) for at, item in enumerate(program, first))})")
+    made = F.expr(f"concat({', '.join(_rows(item, first + at, program[:at]) for at, item in enumerate(program))})")
     return events.withColumns(missing).select(F.col(order).cast("long").alias("seq"), F.explode(made).alias("w")).select("seq", "w.*")
 
 

@@ -490,13 +490,19 @@ _PLACES = {n: i for i, n in enumerate(_LISTS)}
 
 
 def linked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item, brand, type, size, links): every part with its interactions, at most one for each shift."""
-    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), "p_brand", "p_type", "p_size")
-    shifted = parts.withColumn("item_b", F.explode(F.array(F.col("item") + 7, F.col("item") + 13)))
-    there = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item_b"), F.lit(True).alias("there"))
+    """(item, brand, type, size, links): every part with its interactions, at most one for each shift.
+
+    Each part tells the parts so many places before it that it is there; a part's own row and what it is told meet
+    in one aggregation of one scan.
+    """
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+    own = F.struct(F.col("p_partkey").alias("item"), F.struct("p_brand", "p_type", "p_size").alias("own"), F.lit(0).alias("shift"))
+    told = [F.struct((F.col("p_partkey") - n).alias("item"), F.lit(None).cast("struct<p_brand:string,p_type:string,p_size:bigint>").alias("own"), F.lit(n).alias("shift")) for n in (7, 13)]
+    known = parts.select(F.explode(F.array(own, *told)).alias("x")).select("x.*").groupBy("item").agg(F.max("own").alias("own"), F.max(F.col("shift") == 7).alias("seven"), F.max(F.col("shift") == 13).alias("thirteen"))
+    found = known.where("own is not null").select("item", "own.*", "seven", "thirteen")
     severity = F.when(F.col("p_size") % 3 == 0, "high").when(F.col("p_size") % 3 == 1, "moderate").otherwise("low")
-    link = F.struct(F.col("item").alias("item_a"), "item_b", F.concat(F.lower("p_type"), F.lit("_risk")).alias("risk"), severity.alias("severity"))
-    return shifted.join(there, "item_b", "left").groupBy("item", "p_brand", "p_type", "p_size").agg(F.collect_list(F.when(F.col("there"), link)).alias("links"))
+    link = lambda there, n: F.when(there, F.struct(F.col("item").alias("item_a"), (F.col("item") + n).alias("item_b"), F.concat(F.lower("p_type"), F.lit("_risk")).alias("risk"), severity.alias("severity")))
+    return found.select("item", "p_brand", "p_type", "p_size", F.array_compact(F.array(link(F.col("seven"), 7), link(F.col("thirteen"), 13))).alias("links"))
 
 
 def _value(name: str, *values: "F.Column", when: "F.Column | None" = None) -> "F.Column":
