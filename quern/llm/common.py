@@ -43,6 +43,19 @@ def unestimated(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.createDataFrame(rows.toJavaRDD(), rows.schema()), spark)
 
 
+#: Rows of a small table that one task reads, at least.
+TASK_ROWS = 50_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """``materialize``, read again in as many tasks as its rows ask for.
+
+    A loop over few rows in many partitions is all small files: three for each task of each shuffle.
+    """
+    done = materialize(df)
+    return done.coalesce(done.count() // TASK_ROWS + 1)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: the unit in which hot groups are split."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

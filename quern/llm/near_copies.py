@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quern.llm import bloom
-from quern.llm.common import UPPER, WORD, long_texts, matched, materialize, shuffle_width, smallest
+from quern.llm.common import UPPER, WORD, few, long_texts, matched, materialize, smallest
 from quern.llm.simhash import _labels, _links
 
 #: Fixed values of a near copy: words of a shingle, and the similarity as a fraction.
@@ -137,7 +137,6 @@ def _shared_prefixes(keyed: DataFrame, sets: DataFrame, often: Broadcast) -> Dat
     """(s, fp, at, n, own): the prefix shingles that several sets have, and few others; ``own`` are the set's own before them."""
     there = sets.agg(F.count("*"), F.sum(F.col("n").cast("long"))).first()
     total = int(there[1] or 0)
-    segments = max(shuffle_width(sets.sparkSession), total // BUCKET_SHINGLES + 1)
     firsts = bloom.filter_of(sets, "key", there[0])
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -145,7 +144,7 @@ def _shared_prefixes(keyed: DataFrame, sets: DataFrame, often: Broadcast) -> Dat
             yield np.concatenate(sets) if sets else np.zeros(0, np.int64)
 
     # One shingle in ten is taken to be in several sets.
-    repeated = bloom.filter_of(keyed, every, total // 10, least=2, segments=segments)
+    repeated = bloom.filter_of(keyed, every, total // 10, least=2)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sets in _first_texts(batches, firsts.value):
@@ -156,7 +155,7 @@ def _shared_prefixes(keyed: DataFrame, sets: DataFrame, often: Broadcast) -> Dat
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], names=["s", "fp", "at", "n", "own"])
 
-    placed = materialize(keyed.mapInArrow(kept, "s long, fp long, at int, n int, own int").distinct())
+    placed = few(keyed.mapInArrow(kept, "s long, fp long, at int, n int, own int").distinct())
     for used in (firsts, repeated):
         used.unpersist()
     return placed
@@ -185,9 +184,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """
     known = sets.select("fp", "n", "text_hash")
     a, b = (known.select(F.col("fp").alias(k), F.col("n").alias(f"n_{k}"), F.col("text_hash").alias(f"text_{k}")) for k in ("a", "b"))
-    sized = materialize(pairs.join(a, "a"))
+    sized = few(pairs.join(a, "a"))
     blocks = sized.groupBy("b").agg(F.ceil(F.sum("n_a") / BUCKET_SHINGLES + 1).cast("int").alias("blocks"))
-    sized = materialize(matched(sized, b.join(blocks, "b"), "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")))
+    sized = few(matched(sized, b.join(blocks, "b"), "b").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")))
     places = sized.select(F.col("text_a").alias("text_hash"), F.col("a").alias("fp"), "b", "block").unionByName(sized.select(F.col("text_b").alias("text_hash"), F.col("b").alias("fp"), "b", "block").distinct())
     once = texts_of(texts, places)
 
@@ -215,7 +214,7 @@ def _classes(crowd: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     of them.  They share just these, so all of a class are alike to each other or none are, and a set is alike
     to all of a class or to none.
     """
-    known = materialize(crowd.join(sets.select("fp", "n", "text_hash"), "fp"))
+    known = few(crowd.join(sets.select("fp", "n", "text_hash"), "fp"))
     both = texts_of(texts, known).join(known.select("text_hash", "fp"), "text_hash").select("fp", "text")
     both = materialize(both)
 
@@ -236,13 +235,13 @@ def _classes(crowd: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
                 found.append((set_hash(core), len(core), len(whole)))
             yield pa.RecordBatch.from_arrays([batch.column("fp"), *[pa.array(c, k) for c, k in zip(zip(*found), (pa.int64(), pa.int32(), pa.int32()))]], names=["fp", "hash", "core", "n"])
 
-    found = materialize(both.mapInArrow(cored, "fp long, hash long, core int, n int"))
+    found = few(both.mapInArrow(cored, "fp long, hash long, core int, n int"))
     shared.unpersist()
     reps = found.groupBy("hash", "n").agg(F.min("fp").alias("rep"))
     # A class that most of the sets are in is a hot key here.
     found = found.withColumn("class", F.xxhash64("hash", "n"))
     reps = reps.select(F.xxhash64("hash", "n").alias("class"), "rep")
-    return materialize(matched(found, reps.groupBy("class").agg(F.min("rep").alias("rep")), "class").select("fp", "rep", "core", "n"))
+    return few(matched(found, reps.groupBy("class").agg(F.min("rep").alias("rep")), "class").select("fp", "rep", "core", "n"))
 
 
 def _met(rows: DataFrame) -> DataFrame:
@@ -252,7 +251,7 @@ def _met(rows: DataFrame) -> DataFrame:
     """
     sizes = rows.groupBy("s").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.col("label").isNull()).alias("open"))
     sizes = sizes.where("k > 1 and (open or low < high)").select("s", F.ceil(F.col("k") / BLOCK_SETS).cast("int").alias("blocks"))
-    dealt = materialize(matched(rows, sizes, "s").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")))
+    dealt = few(matched(rows, sizes, "s").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")))
     columns = ("s", "fp", "at", "n", "label")
     x = dealt.select(*columns, F.col("own").alias("i"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("j")).alias("x")
     y = dealt.select(*columns, F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j")).alias("y")
@@ -269,28 +268,28 @@ def _left_apart(placed: DataFrame, tried: DataFrame, sets: DataFrame, texts: Dat
     many copies with a word changed, all that lack the same shingles.
     """
     apart = placed.groupBy("s").agg(F.count("*").alias("k"), F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("s", "k")
-    grouped = materialize(matched(placed, apart, "s"))
-    crowd = materialize(grouped.where(F.col("k") > CROWD).select("fp").distinct())
+    grouped = few(matched(placed, apart, "s"))
+    crowd = few(grouped.where(F.col("k") > CROWD).select("fp").distinct())
     rows, more, classes = grouped.select("s", "fp", "at", "n", "label"), None, None
     if crowd.take(1):
         classes = _classes(crowd, sets, texts)
         alike = _alike(F.col("core"), F.col("n"), F.col("n"))
-        more = materialize(classes.where(alike & (F.col("fp") != F.col("rep"))).select(F.greatest("fp", "rep").alias("fp"), F.least("fp", "rep").alias("root")))
+        more = few(classes.where(alike & (F.col("fp") != F.col("rep"))).select(F.greatest("fp", "rep").alias("fp"), F.least("fp", "rep").alias("root")))
         # A class of which none is alike to another has no label, unless it is of one set.
         lone = classes.groupBy("rep").agg((F.first(alike) | (F.count("*") == 1)).alias("one"))
         reps = rows.select("fp", "label").distinct().join(classes.select("fp", "rep"), "fp", "left").select("fp", "label", F.coalesce("rep", "fp").alias("rep"))
         reps = reps.join(lone, "rep", "left").where("fp = rep").select("fp", F.when(F.coalesce("one", F.lit(True)), F.col("label")).alias("label"))
         rows = placed.select("s", "fp", "at", "n").join(reps, "fp").select("s", "fp", "at", "n", "label")
-    pairs = materialize(_met(rows))
-    pairs = materialize(pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")) if classes is None else pairs
+    pairs = few(_met(rows))
+    pairs = few(pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti")) if classes is None else pairs
     if not pairs.take(1):
         return None, more
-    links = materialize(_verified(pairs, sets, texts))
+    links = few(_verified(pairs, sets, texts))
     if classes is not None:
         # What one of a class is linked with, all are.
         ends = links.select(F.col("fp").alias("rep"), F.col("root").alias("to")).union(links.select("root", "fp")).groupBy("rep").agg(F.min("to").alias("to"))
         rest = matched(classes.where("fp <> rep"), ends, "rep").select(F.greatest("fp", "to").alias("fp"), F.least("fp", "to").alias("root"))
-        links = materialize(links.union(rest))
+        links = few(links.union(rest))
     return links, more
 
 
@@ -315,7 +314,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Copies of a set are one.
     first = F.min(F.struct("text_hash", "id"))
     sets = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("sim").alias("sim"), first.alias("first"), F.min("id").alias("first_id"))
-    sets = materialize(sets.select("fp", "n", "sim", "first_id", "first.text_hash", F.xxhash64("first.id", "first.text_hash").alias("key")))
+    sets = few(sets.select("fp", "n", "sim", "first_id", "first.text_hash", F.xxhash64("first.id", "first.text_hash").alias("key")))
     keyed = slim.select(F.xxhash64("id", F.xxhash64("text")).alias("key"), "text")
 
     # What the fingerprints link: sets of one fingerprint with one of them, and those with each other.
@@ -328,16 +327,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     # The set with the fewest shingles of its own is drawn: of a text and its edited copies, the text.
     drawn = placed.groupBy("s").agg(F.count("*").alias("sets"), F.min(F.struct("own", F.xxhash64("fp").alias("h"), "fp", "at", "n")).alias("drawn")).where("sets > 1").select("s", "drawn")
-    placed = materialize(matched(placed, drawn, "s"))
+    placed = few(matched(placed, drawn, "s"))
     hub = F.col("drawn")
     stars = placed.where((F.col("fp") != hub["fp"]) & _reachable(F.col("n"), F.col("at"), hub["n"], hub["at"])).select(F.col("fp").alias("a"), hub["fp"].alias("b"))
     # Each set is tried with the one it shares most of these shingles with; what that leaves apart is the rest's.
     stars = stars.groupBy("a", "b").agg(F.count("*").alias("n")).groupBy("a").agg(F.max(F.struct("n", "b"))["b"].alias("b"))
-    tried = materialize(stars.union(ends).union(near).distinct())
-    links = materialize(_verified(tried, sets, slim))
+    tried = few(stars.union(ends).union(near).distinct())
+    links = few(_verified(tried, sets, slim))
     labels = _labels(links)
 
-    placed = materialize(placed.join(labels, "fp", "left").select("s", "fp", "at", "n", F.coalesce("label", "fp").alias("label")))
+    placed = few(placed.join(labels, "fp", "left").select("s", "fp", "at", "n", F.coalesce("label", "fp").alias("label")))
     rest, more = _left_apart(placed, tried, sets, slim)
     if more is not None:
         links = links.union(more)
@@ -346,7 +345,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if more is not None or rest is not None:
         labels = _labels(links)
 
-    labelled = materialize(sets.select("fp", "first_id").join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "first_id"))
+    labelled = few(sets.select("fp", "first_id").join(labels, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "first_id"))
     components = labelled.groupBy("label").agg(F.min("first_id").alias("component"))
     component_of = labelled.join(components, "label").select("fp", "label", "component")
     return matched(prints.select("id", "text_hash", "fp"), component_of, "fp").select("id", "text_hash", "label", "component")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quern.llm.bloom import packed
-from quern.llm.common import UPPER, WORD, long_texts, matched, materialize, replaced, shuffle_width, unestimated
+from quern.llm.common import UPPER, WORD, few, long_texts, matched, materialize, replaced, shuffle_width, unestimated
 
 #: Fixed values of the binary Golay code (23,12): length, covering radius, generator polynomial.
 CODE_BITS = 23
@@ -240,18 +240,18 @@ def _links(distinct: DataFrame, threshold: int) -> DataFrame:
 
 def _labels(links: DataFrame) -> DataFrame:
     """(fp, label): the smallest (signed) fingerprint connected to each linked fingerprint."""
-    links = materialize(links.distinct())
-    both = materialize(links.select(F.col("fp").alias("u"), F.col("root").alias("v")).union(links.select(F.col("root").alias("u"), F.col("fp").alias("v"))))
-    labels = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")))
+    links = few(links.distinct())
+    both = few(links.select(F.col("fp").alias("u"), F.col("root").alias("v")).union(links.select(F.col("root").alias("u"), F.col("fp").alias("v"))))
+    labels = few(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label")))
     while True:
         # The least label among a vertex's neighbours goes to the vertex and to the one that it is named after, so
         # that chains take few rounds.
         offered = both.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("label").alias("offer"))
-        met = materialize(offered.join(labels, "u"))
+        met = few(offered.join(labels, "u"))
         hooked = met.select("u", F.least("label", "offer").alias("label")).union(met.where("offer < label").select("label", "offer"))
-        lower = materialize(hooked.groupBy("u").agg(F.min("label").alias("label")))
+        lower = few(hooked.groupBy("u").agg(F.min("label").alias("label")))
         above = lower.select(F.col("u").alias("at"), F.col("label").alias("further"))
-        jumped = materialize(lower.join(above, lower["label"] == above["at"], "left").select("u", F.least("label", F.coalesce("further", "label")).alias("label")))
+        jumped = few(lower.join(above, lower["label"] == above["at"], "left").select("u", F.least("label", F.coalesce("further", "label")).alias("label")))
         moved = jumped.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("total")).first()[0]
         before = labels.agg(F.sum(F.col("label").cast("decimal(38,0)")).alias("total")).first()[0]
         labels = unestimated(jumped)
