@@ -16,10 +16,11 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.functions import pandas_udf
 
-#: Bits of a filter at least and at most, and for each expected key; segments of it are filled by a task each.
+#: Bits of a filter at least and at most, and for each expected key.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 KEY_BITS = 12
-SEGMENTS = 64
+#: A filter is filled in segments, each by a task: so many at least, and keys of one about.
+SEGMENTS, SEGMENT_KEYS = 64, 1 << 20
 
 _PRIME = np.uint64(0x9E3779B185EBCA87)
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -54,14 +55,15 @@ def column_keys(batch: pa.RecordBatch) -> np.ndarray:
     return batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def filter_of(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]] | str, expected: int, least: int = 1, segments: int = SEGMENTS) -> Broadcast:
+def filter_of(rows: DataFrame, keys: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]] | str, expected: int, least: int = 1, segments: int | None = None) -> Broadcast:
     """Broadcast (bytes, segments) of the keys that ``rows`` hold ``least`` (1 or 2) times or more.
 
     ``keys``: a column of longs, or what makes arrays of keys of the batches.  A batch sends a key ``least``
-    times at most, so a key that most rows hold is no burden to its segment.  ``expected`` keys decide its size;
-    more of them only let more through.  32 bits of a key are sent, which
-    with ``segments`` in proportion to the keys tell nearly all of them apart.
+    times at most, so a key that most rows hold is no burden to its segment.  ``expected`` keys decide its size and
+    its ``segments``; more of them only let more through.  32 bits of a key are sent, which with segments in proportion
+    to the keys tell nearly all of them apart.
     """
+    segments = segments or min(MOST_BITS // 64, max(SEGMENTS, -(-expected // SEGMENT_KEYS)))
     size = max(1, min(MOST_BITS, max(LEAST_BITS, KEY_BITS * expected)) // segments // 8)
     made = keys if callable(keys) else lambda batches: map(column_keys, batches)
 

@@ -120,9 +120,8 @@ def _segments(slim: DataFrame, least: int = 2) -> DataFrame:
     """(id, text_hash, at, n, back, anchor, seg): segments around anchors that are there twice, and a few others."""
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = 2 * size // REACH
-    segments = max(bloom.SEGMENTS, shuffle_width(slim.sparkSession))
     # One anchor in four is taken to be there again.
-    twice = bloom.filter_of(slim.select("text"), _all_anchors, expected // 4, least=least, segments=segments)
+    twice = bloom.filter_of(slim.select("text"), _all_anchors, expected // 4, least=least)
     kind = slim.schema["id"].dataType.simpleString()
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
