@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import bloom, byte_bpe, co_training, line_dedup, mixing, near_copies
@@ -65,16 +65,34 @@ def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return reduce(DataFrame.unionByName, kept)
 
 
+#: Copies of a row that one task writes.
+MANY_COPIES = 1_000
+
+
+def _place(doc_id: Column, source: Column, text_hash: Column) -> Column:
+    """A row's key in the mix; nulls are values."""
+    return F.struct(doc_id.isNull().alias("a"), F.coalesce(doc_id, F.lit(0)).alias("id"), source.isNull().alias("b"), F.coalesce(source, F.lit("")).alias("source"), text_hash.alias("text_hash"))
+
+
+def _copied(rows: DataFrame) -> DataFrame:
+    """(row) as often as ``copies``; those with very many are dealt out before they are multiplied."""
+    upto = lambda n: F.explode(F.sequence(F.lit(1).cast("long"), n))
+    few = rows.where(F.col("copies") <= MANY_COPIES).select("row", upto(F.col("copies")))
+    last = F.ceil(F.col("copies") / MANY_COPIES) - 1
+    parts = rows.where(F.col("copies") > MANY_COPIES).select("row", "copies", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
+    many = parts.repartition("part").select("row", upto(F.least(F.lit(MANY_COPIES).cast("long"), F.col("copies") - F.col("part") * MANY_COPIES)))
+    return few.unionByName(many).select("row.*")
+
+
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, none to three times; repeated rows together as often as all of them."""
     mixed = mixing.mix(docs).groupBy("id", "source", "text_hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("repeats")).where("copies > 0")
+    mixed = materialize(mixed.select(_place(F.col("id"), F.col("source"), F.col("text_hash")).alias("key"), "copies", "repeats"))
     keyed = whole(docs)
     row = keyed["row"]
-    same = row["doc_id"].eqNullSafe(mixed["id"]) & row["source"].eqNullSafe(mixed["source"]) & F.xxhash64(row["text"]).eqNullSafe(mixed["text_hash"])
-    found = keyed.join(mixed, same)
-    again = found.where("repeats > 1").dropDuplicates(["id", "source", "text_hash"])
-    taken = found.where("repeats = 1").unionByName(again)
-    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+    found = matched(keyed.withColumn("key", _place(row["doc_id"], row["source"], F.xxhash64(row["text"]))), mixed, "key")
+    again = found.where("repeats > 1").dropDuplicates(["key"])
+    return _copied(found.where("repeats = 1").unionByName(again))
 
 
 def byte_bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,17 @@ def test_encoded_ids_decode(spark, sf_dir):
     texts = {r.doc_id: r.text for r in docs.collect()}
     for r in pipeline.byte_bpe_encoding(spark, docs.where(F.col("doc_id").isin(list(texts))), sf_dir).collect():
         assert len(np.frombuffer(bytes(r.ids), "<u4")) == r.n_tokens and bpe.decode(bytes(r.ids)).decode() == (texts[r.doc_id] or "")
+
+
+def test_mix_stage_with_a_hot_row_and_nulls(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(pipeline, "MANY_COPIES", 100)
+    rows = [(None, "the same text again", None, None, 9)] * 1500 + [(i, f"text number {i} and more", "en", ["a", "b", None][i % 3], 9) for i in range(300)] + [(None, None, "en", "a", 0)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda r: (r.id, r.source, r.text_hash)
+    want = {}
+    for r in mixing.mix(docs).collect():
+        want[key(r)] = want.get(key(r), 0) + r.copies
+    got = pipeline.source_mix(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    found = got.select(F.col("doc_id").alias("id"), "source", F.xxhash64("text").alias("text_hash")).groupBy("id", "source", "text_hash").count().collect()
+    assert {key(r): r["count"] for r in found} == {k: n for k, n in want.items() if n}
