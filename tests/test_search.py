@@ -45,7 +45,8 @@ def test_sessions_end_as_the_loop_does(spark):
     facts = {i: [i] for i in range(0, 30, 3)}
     made = [(i, rng.choice([None, rng.randrange(30)])) for i in range(40)]
     # What each round of a session finds: hits of earlier rounds may come again.
-    finds = {(i, n): [(rng.choice([None, *range(8)]), rng.choice([None, *range(30)])) for _ in range(rng.choice([0, 0, 1, 2]))] for i, _ in made for n in (1, 2, 3)}
+    owner = {None: 4} | {e: rng.choice([None, *range(30)]) for e in range(8)}
+    finds = {(i, n): [(e, owner[e]) for e in rng.choices([None, *range(8)], k=rng.choice([0, 0, 1, 2]))] for i, _ in made for n in (1, 2, 3)}
     table = spark.createDataFrame([(i, n, e, o) for (i, n), hits in finds.items() for e, o in hits], "session long, n int, event_id long, owner long")
     known = spark.createDataFrame([(i,) for i in facts], "owner long")
     searched = lambda open_, n: table.where(F.col("n") == n).join(open_.select("session"), "session")
