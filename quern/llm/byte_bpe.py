@@ -21,7 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 
 #: Pre-tokens and pairs in one generation of a worker's memo; two generations are held.
-MEMO_PIECES = 120_000
+MEMO_PIECES = 40_000
 #: Longer pre-tokens are encoded each time.
 MEMO_CHARS = 64
 
