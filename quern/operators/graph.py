@@ -246,12 +246,8 @@ def _row(kind: str, src: tuple[str, str], dst: tuple[str, str], tag: str, at: in
 
 
 def _covered(end: tuple[str, str], edge: Edge, before: tuple) -> bool:
-    """Whether an item before the edge writes this end of it, wherever the edge is written: then the edge adds nothing.
-
-    A node whose properties are all kept only if known may leave no row of its own.
-    """
-    sure = lambda n: n.props or n.once or n.again or not n.keep
-    return any(isinstance(n, Node) and (n.label, n.key) == end and not n.each and n.when in ("true", edge.when) and sure(n) for n in before)
+    """Whether an item before the edge writes this end of it, wherever the edge is written: then the edge adds nothing."""
+    return any(isinstance(n, Node) and (n.label, n.key) == end and not n.each and n.when in ("true", edge.when) for n in before)
 
 
 def _rows(item: Node | Edge, at: int, before: tuple = ()) -> str:
@@ -291,6 +287,11 @@ def writes(events: DataFrame, program: tuple, order: str = "arrival_seq", first:
 _NAMED = [*IDENTITY, "name"]
 
 
+def _keyed(*columns: str) -> list:
+    """``columns`` to group by, after a hash of them: sorts compare one number where they would compare six texts."""
+    return [F.xxhash64(*columns).alias("__hash"), *columns]
+
+
 def partials(written: DataFrame) -> DataFrame:
     """What some writes add to each identity and property: rows that ``merged`` can fold again with others.
 
@@ -298,12 +299,14 @@ def partials(written: DataFrame) -> DataFrame:
     place of the write that counts (``_at``) and its value.  A row with a null name is a write without properties.
     """
     single = written.select(*IDENTITY, "seq", "at", "matched", F.explode_outer("writes").alias("w")).select(*IDENTITY, "seq", "at", "matched", "w.*")
-    single = single.where("policy is null or policy <> 'keep' or value is not null")
+    # What is not known is not kept, but the write makes its node or edge all the same.
+    unknown = (F.col("policy") == KEEP) & F.col("value").isNull()
+    single = single.withColumns({c: F.when(~F.coalesce(unknown, F.lit(False)), F.col(c)) for c in ("name", "policy")})
     place = F.struct("seq", "at")
     # Of writes in one place (a redelivered event) the larger value wins, so reruns agree.
     ranked = F.struct("seq", "at", F.col("value").cast("string").alias("shown"))
     of = lambda *policies: F.when(F.col("policy").isin(*policies), ranked)
-    return single.groupBy(*_NAMED).agg(
+    added = single.groupBy(*_keyed(*_NAMED)).agg(
         F.min(place).alias("born"),
         F.max("seq").alias("last_seq"),
         F.min("matched").alias("matched"),
@@ -314,11 +317,12 @@ def partials(written: DataFrame) -> DataFrame:
         F.max(of(AGAIN)).alias("again_at"),
         F.max_by("value", of(AGAIN)).alias("again"),
     )
+    return added.drop("__hash")
 
 
 def merged(parts: DataFrame) -> DataFrame:
     """Partials of several batches as those of all of them; a batch that is there twice changes nothing."""
-    return parts.groupBy(*_NAMED).agg(
+    whole = parts.groupBy(*_keyed(*_NAMED)).agg(
         F.min("born").alias("born"),
         F.max("last_seq").alias("last_seq"),
         F.min("matched").alias("matched"),
@@ -329,25 +333,75 @@ def merged(parts: DataFrame) -> DataFrame:
         F.max("again_at").alias("again_at"),
         F.max_by("again", "again_at").alias("again"),
     )
+    return whole.drop("__hash")
 
 
 def finished(parts: DataFrame) -> DataFrame:
     """The rows of ``folded`` from partials with one row for each identity and property."""
     place = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.seq").alias("seq"), F.col(f"{c}.at").alias("at"))).alias(c)
     entry = F.struct("name", "last", "once", place("once_at"), "again", place("again_at"))
-    whole = parts.groupBy(*IDENTITY).agg(F.min("born").alias("born"), F.max("last_seq").alias("last_seq"), F.min("matched").alias("matched"), F.collect_list(F.when(F.col("name").isNotNull(), entry)).alias("entries"))
+    whole = parts.groupBy(*_keyed(*IDENTITY)).agg(F.min("born").alias("born"), F.max("last_seq").alias("last_seq"), F.min("matched").alias("matched"), F.collect_list(F.when(F.col("name").isNotNull(), entry)).alias("entries"))
     value = lambda e: F.coalesce(e["last"], F.when(e["again_at"] > F.col("born"), e["again"]), F.when(e["once_at"] == F.col("born"), e["once"]))
     known = F.filter(F.transform("entries", lambda e: F.struct(e["name"].alias("name"), value(e).alias("value"))), lambda e: e["value"].isNotNull())
     return whole.select(*IDENTITY, "matched", "born", "last_seq", F.map_from_entries(known).alias("props"))
 
 
-def folded(written: DataFrame) -> DataFrame:
+def _slots(program: tuple) -> tuple[dict[tuple[str, str, str], list[str]], list[dict[int, int]]] | None:
+    """Names of the properties of each sort of identity, and for each place in those lists where items write it.
+
+    None if an item writes a property twice.
+    """
+    names, places = {}, []
+    for at, item in enumerate(program):
+        sort = ("", item.label, "") if isinstance(item, Node) else (item.kind, item.src[0], item.dst[0])
+        written = [n for props in (item.props, item.keep, item.once, item.again) for n in props]
+        if len(set(written)) < len(written):
+            return None
+        known = names.setdefault(sort, [])
+        known += [n for n in written if n not in known]
+        places += [{} for _ in range(len(known) - len(places))]
+        for i, n in enumerate(written):
+            places[known.index(n)][at] = i
+    return names, places
+
+
+def folded(written: DataFrame, program: tuple = ()) -> DataFrame:
     """One row per identity: (identity, matched, born, last_seq, props map<string,variant>).
 
     ``born`` (seq, at) is the identity's first write; later events win, then later items of a program.  A
-    hot identity is combined map-side; what is collected for one is bounded by its program's properties.
+    hot identity is combined map-side; what is held for one is bounded by its program's properties.
+
+    With the ``program`` that wrote, numbered from 0, properties are folded side by side: one aggregation with a row
+    for each write, where without it each property is a row that is shuffled twice.
     """
-    return finished(partials(written))
+    slots = _slots(program) if program else None
+    if slots is None:
+        return finished(partials(written))
+    names, places = slots
+    used = [{p for item in program for p, props in ((SET, item.props), (KEEP, item.keep), (ONCE, item.once), (AGAIN, item.again)) if set(props) & {k[i] for k in names.values() if len(k) > i}} for i in range(len(places))]
+    entry = [F.get("writes", F.expr("case at " + " ".join(f"when {at} then {i}" for at, i in of.items()) + " end")) for of in places]
+    aggregates = [F.min(F.struct("seq", "at")).alias("born"), F.max("seq").alias("last_seq"), F.min("matched").alias("matched")]
+    for i, e in enumerate(entry):
+        place, value, policy = F.struct("seq", "at"), e["value"], e["policy"]
+        # As in ``partials``: the larger of two values in one place.
+        ranked = F.struct("seq", "at", value.cast("string").alias("shown"))
+        if used[i] & {SET, KEEP}:
+            aggregates.append(F.max_by(value, F.when((policy == SET) | ((policy == KEEP) & value.isNotNull()), ranked)).alias(f"last{i}"))
+        if ONCE in used[i]:
+            aggregates += [F.min(F.when(policy == ONCE, place)).alias(f"once_at{i}"), F.min_by(value, F.when(policy == ONCE, ranked)).alias(f"once{i}")]
+        if AGAIN in used[i]:
+            aggregates += [F.max(F.when(policy == AGAIN, place)).alias(f"again_at{i}"), F.max_by(value, F.when(policy == AGAIN, ranked)).alias(f"again{i}")]
+    whole = written.groupBy(*_keyed(*IDENTITY)).agg(*aggregates)
+
+    def slot(i: int):
+        sorts = " ".join(f"when kind = '{kind}' and src_label = '{src}' and dst_label = '{dst}' then '{known[i]}'" for (kind, src, dst), known in names.items() if len(known) > i)
+        values = [F.col(f"last{i}")] * bool(used[i] & {SET, KEEP})
+        values += [F.when(F.col(f"again_at{i}") > F.col("born"), F.col(f"again{i}"))] * (AGAIN in used[i])
+        values += [F.when(F.col(f"once_at{i}") == F.col("born"), F.col(f"once{i}"))] * (ONCE in used[i])
+        return F.struct(F.expr(f"case {sorts} end").alias("name"), F.coalesce(*values).alias("value"))
+
+    made = F.array(*map(slot, range(len(places)))) if places else F.array().cast("array<struct<name:string,value:variant>>")
+    return whole.select(*IDENTITY, "matched", "born", "last_seq", F.map_from_entries(F.filter(made, lambda e: e["value"].isNotNull())).alias("props"))
 
 
 def nodes_of(graph: DataFrame) -> DataFrame:
@@ -355,19 +409,33 @@ def nodes_of(graph: DataFrame) -> DataFrame:
     return graph.where("kind = ''").select(F.col("src_label").alias("label"), F.col("src").alias("key"), "props", F.col("born.seq").alias("born"))
 
 
-def edges_of(graph: DataFrame) -> DataFrame:
-    """(kind, src_label, src, dst_label, dst, tag, props): edges whose matched targets are there."""
-    edges = graph.where("kind <> ''")
-    target = nodes_of(graph).select(F.col("label").alias("dst_label"), F.col("key").alias("dst"), F.col("born").alias("there_from"))
-    met = edges.where("matched").join(target, ["dst_label", "dst"]).where("there_from <= last_seq")
+def matches(*programs: tuple) -> bool:
+    """Whether a program has edges that are only there if their target is."""
+    return any(isinstance(item, Edge) and item.matched for program in programs for item in program)
+
+
+def present(graph: DataFrame, matched: bool = True) -> DataFrame:
+    """(kind, src_label, src, dst_label, dst, tag, props): nodes (empty kind), and edges whose matched targets are there.
+
+    Looking for targets reads the graph again; ``matched`` false (see ``matches``) leaves that out, and all is one pass.
+    """
     columns = [*IDENTITY, "props"]
-    return edges.where("not matched").select(*columns).unionByName(met.select(*columns))
+    if not matched:
+        return graph.select(*columns)
+    target = nodes_of(graph).select(F.col("label").alias("dst_label"), F.col("key").alias("dst"), F.col("born").alias("there_from"))
+    met = graph.where("matched").join(target, ["dst_label", "dst"]).where("there_from <= last_seq")
+    return graph.where("not matched").select(*columns).unionByName(met.select(*columns))
+
+
+def edges_of(graph: DataFrame, matched: bool = True) -> DataFrame:
+    """The edges of ``present``."""
+    return present(graph, matched).where("kind <> ''")
 
 
 def build(events: DataFrame, program: tuple, order: str = "arrival_seq") -> tuple[DataFrame, DataFrame]:
     """[S10] Nodes and edges that ``events`` leave."""
-    graph = folded(writes(events, program, order))
-    return nodes_of(graph), edges_of(graph)
+    graph = folded(writes(events, program, order), program)
+    return nodes_of(graph), edges_of(graph, matches(program))
 
 
 def edge_table(edges: DataFrame, kind: str) -> DataFrame:

@@ -139,3 +139,22 @@ def test_a_hot_identity_is_a_row_of_each_batch(spark, sf_dir):
     assert stored.select("batch").distinct().count() >= 3 and {r.step for r in stored.select("step").distinct().collect()} == {"base", "reference"}
     hot = stored.where("kind = '' and src_label = 'SourceSystem' and name = 'type'").groupBy("batch").count().collect()
     assert {r["count"] for r in hot} == {1}  # however many events name it
+
+
+def test_folding_side_by_side_equals_folding_property_by_property(spark, sf_dir):
+    made = [(1, "a", 10, 7, "x"), (2, "a", 20, None, "y"), (3, "a", None, None, None), (3, "a", 30, None, "z"), (4, "b", 5, 1, "x"), (5, None, 1, 1, "y")]
+    events = spark.createDataFrame(made, "arrival_seq long, key string, v int, w int, other string")
+    program = (graph.Edge("E", ("N", "key"), ("M", "other"), {"v": "v"}, {"w": "w"}), graph.Node("N", "key", {"last": "v"}, {"known": "w"}, {"first": "v"}, {"later": "v"}), graph.Node("N", "key", keep={"last": "w", "more": "other"}), graph.Node("M", "other"))
+    columns = ("kind", "src", "dst", "born", "last_seq", "shown")
+    for e, p in ((events, program), (domain.clinical_events(spark, sf_dir), graph.program_of(graph.CLINICAL_BASE, graph.CLINICAL))):
+        written = graph.writes(e, p)
+        one, other = (f.withColumn("shown", graph.shown()) for f in (graph.folded(written, p), graph.folded(written)))
+        assert rows(one, *columns) == rows(other, *columns)
+    again = (graph.Node("N", "key", {"v": "v"}, once={"v": "w"}),)  # one property twice: folded one by one
+    assert rows(graph.folded(graph.writes(events, again), again), "src", "born") == [("a", (1, 0)), ("b", (4, 0))]
+
+
+@pytest.mark.parametrize("name", ["graph_supply_base", "graph_purchases", "graph_shipments", "graph_quality", "graph_disruptions", "graph_inventory", "graph_supply_reference", "graph_base"])
+def test_a_graph_is_read_and_shuffled_once(spark, sf_dir, name):
+    plan = domain.__dict__[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == (3 if name == "graph_supply_reference" else 1)
