@@ -284,6 +284,33 @@ def writes(events: DataFrame, program: tuple, order: str = "arrival_seq", first:
     return events.withColumns(missing).select(F.col(order).cast("long").alias("seq"), F.explode(made).alias("w")).select("seq", "w.*")
 
 
+def keys_written(events: DataFrame, program: tuple, order: str = "arrival_seq") -> DataFrame:
+    """(label, key, seq): the nodes that each event writes, once each, without their properties."""
+    missing = {c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in events.columns}
+    none = "cast(array() as array<struct<label:string,key:string>>)"
+    entries = []
+    for item in program:
+        if isinstance(item, Node):
+            ends, there = [(item.label, item.key)], f"({item.key}) is not null"
+        else:
+            ends, there = [item.src] if item.matched else [item.src, item.dst], f"({item.src[1]}) is not null and ({item.dst[1]}) is not null"
+        made = ", ".join(f"named_struct('label', '{label}', 'key', cast({key} as string))" for label, key in ends)
+        rows = f"if(coalesce(({item.when}) and {there}, false), cast(array({made}) as array<struct<label:string,key:string>>), {none})"
+        entries.append(f"coalesce(flatten(transform({item.each}, it -> {rows})), {none})" if item.each else rows)
+    nodes = F.expr(f"array_distinct(concat({', '.join(dict.fromkeys(entries))}))")
+    return events.withColumns(missing).select(F.col(order).cast("long").alias("seq"), F.explode(nodes).alias("n")).select("n.*", "seq")
+
+
+def key_counts(written: DataFrame) -> DataFrame:
+    """[M18] (label, keys, merged, broken) of ``keys_written``: keys, those that several events write, those that are there twice.
+
+    A row for each key and task is shuffled, once; looking for what is there twice needs no shuffle of its own.
+    """
+    nodes = written.groupBy("label", "key").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    there = nodes.groupBy("label", "key").agg(F.count("*").alias("rows"), F.max(F.col("first") < F.col("last")).alias("several"))
+    return there.groupBy("label").agg(F.count("*").alias("keys"), F.count_if("several").alias("merged"), F.count_if(F.col("rows") > 1).alias("broken"))
+
+
 _NAMED = [*IDENTITY, "name"]
 
 
