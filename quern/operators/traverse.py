@@ -12,11 +12,11 @@ HUB_EDGES = 10_000
 
 
 def split_hubs(edges: DataFrame, most: int = HUB_EDGES) -> tuple[DataFrame, DataFrame]:
-    """``edges`` with ``part``, and (src, parts) of the hubs: nodes with over ``most`` edges."""
-    degrees = edges.groupBy("src").agg(F.count("*").alias("n"))
-    hubs = materialize(degrees.where(F.col("n") > most).select("src", F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    """``edges`` with ``part``, and (src, kind, parts) of the hubs: nodes with over ``most`` edges of a kind."""
+    degrees = edges.groupBy("src", "kind").agg(F.count("*").alias("n"))
+    hubs = materialize(degrees.where(F.col("n") > most).select("src", "kind", F.ceil(F.col("n") / most).cast("int").alias("parts")))
     # Of all nodes at most edges / most are hubs; the join leaves their choice of strategy to the optimizer.
-    dealt = edges.join(hubs, "src", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("dst", "kind"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
+    dealt = edges.join(hubs, ["src", "kind"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
     return dealt, hubs
 
 
@@ -38,14 +38,17 @@ def reached(edges: DataFrame, starts: DataFrame, depth: int, kinds: list[list[st
     seen, found = materialize(frontier), []
     frontier = seen
     for hop in range(1, depth + 1):
-        allowed = dealt.where(F.col("kind").isin(kinds[hop - 1])) if kinds else dealt
-        at = frontier.join(hubs, frontier["node"] == hubs["src"], "left").drop("src")
-        # A row at a hub goes to each of the tasks that have some of its edges.
+        taken = F.col("kind").isin(kinds[hop - 1]) if kinds else F.lit(True)
+        allowed = dealt.where(taken)
+        split = hubs.where(taken).groupBy("src").agg(F.max("parts").alias("parts"))
+        at = frontier.join(split, frontier["node"] == split["src"], "left").drop("src")
+        # A row at a hub goes to each of the tasks that have some of its edges that this hop may take.
         at = at.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts") - 1, F.lit(0)))))
-        met = at.join(allowed, (at["node"] == allowed["src"]) & (at["part"] == allowed["part"]))
+        # Sizes of tables in between are guessed, often far too small: neither side may go through the driver.
+        met = at.join(allowed.hint("merge"), (at["node"] == allowed["src"]) & (at["part"] == allowed["part"]))
         longer = met.select("start", F.col("dst").alias("to"), F.concat("path", F.array(F.struct("kind", F.col("dst").alias("node")))).alias("path"))
         new = longer.groupBy("start", "to").agg(F.min("path").alias("path")).withColumnRenamed("to", "node")
-        frontier = materialize(new.join(seen.select("start", "node"), ["start", "node"], "left_anti").select("start", "node", F.lit(hop).alias("hops"), "path"))
+        frontier = materialize(new.join(seen.select("start", "node").hint("merge"), ["start", "node"], "left_anti").select("start", "node", F.lit(hop).alias("hops"), "path"))
         seen = seen.select("start", "node").unionByName(frontier.select("start", "node"))
         found.append(frontier)
     out = found[0]
