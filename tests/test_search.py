@@ -92,3 +92,22 @@ def test_traversal_with_hubs_cycles_and_typed_hops(spark, back):
                 frontier = new
         found = traverse.reached(df, s, 3, kinds, back, most=4)
         assert sorted((r.start, r.node, r.hops, str(tuple((p.kind, p.node) for p in r.path))) for r in found.collect()) == sorted(want)
+
+
+def test_questions_that_ask_the_same_meet_points_once(spark, monkeypatch):
+    p = spark.createDataFrame([(i, [i % 7, 100], [1, 1 + i % 3], "ab"[i % 2]) for i in range(90)], "point long, buckets array<int>, counts array<long>, kind string")
+    q = spark.createDataFrame([(i, [i % 3], [1], None if i % 2 else "a", 1 + i % 5) for i in range(60)], "question long, buckets array<int>, counts array<long>, want string, top_k int")
+    monkeypatch.setattr(search, "TILE_POINTS", 20)
+    monkeypatch.setattr(search, "TILE_QUESTIONS", 4)
+    found = search.top_k(q, p, 5, must=("want", "kind"))
+    want = []
+    for i in range(60):
+        near = sorted((-round(1 / math.sqrt(1 + (1 + n % 3) ** 2), 6), n) for n in range(90) if n % 7 == i % 3 and (i % 2 or n % 2 == 0))
+        want += [(i, n, -s, k + 1) for k, (s, n) in enumerate(near[: 1 + i % 5])]
+    assert rows(found, "question", "point", "score", "rank") == sorted(want, key=str)
+
+
+def test_a_hub_of_one_kind_is_whole_for_others(spark):
+    edges = [("hub", "x", f"n{i}") for i in range(20)] + [("hub", "y", "m"), ("a", "x", "hub")]
+    _, hubs = traverse.split_hubs(spark.createDataFrame(edges, "src string, kind string, dst string"), 4)
+    assert rows(hubs, "src", "kind", "parts") == [("hub", "x", 5)]
