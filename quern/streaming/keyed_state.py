@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: The provider that typed state needs.
@@ -30,22 +29,20 @@ class Keyed(StatefulProcessor):
         self.reference = handle.getValueState("reference", "known string", self.ttl_ms)
         self.steps = handle.getValueState("steps", "first_seq long, step long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        known = self.reference.get()[0] if self.reference.exists() else None
-        first, step = self.steps.get() if self.steps.exists() else (None, 0)
-        changed, before, out = False, step, []
+    def handleInputRows(self, key, rows: Iterator[Row], timers) -> Iterator[Row]:  # noqa: N802
+        known, (first, step) = (self.reference.get() or (None,))[0], self.steps.get() or (None, 0)
+        changed, before = False, step
         # One key's rows of one micro-batch, in the order of arrival.
-        for row in pd.concat(list(rows)).sort_values("seq", kind="stable").itertuples():
+        for row in sorted(rows, key=lambda r: r.seq):
             if row.is_reference:
                 known, changed = row.known, True
             else:
                 first, step = row.seq if first is None else first, step + 1
-                out.append((key[0], row.seq, known, first, step))
+                yield Row(key=key[0], seq=row.seq, known=known, first_seq=first, step=step)
         if changed:
             self.reference.update((known,))
         if step > before:
             self.steps.update((first, step))
-        yield pd.DataFrame(out, columns=["key", "seq", "known", "first_seq", "step"])
 
     def close(self) -> None:
         pass
@@ -57,4 +54,4 @@ def enriched(stream: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     The state of a key is two small values, however many rows it has.
     """
     mode = "ProcessingTime" if ttl_ms else "None"
-    return stream.where("key is not null").groupBy("key").transformWithStateInPandas(Keyed(ttl_ms), ENRICHED, "Append", mode)
+    return stream.where("key is not null").groupBy("key").transformWithState(Keyed(ttl_ms), ENRICHED, "Append", mode)

@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quern.operators import asof, budget, graph
@@ -158,3 +159,22 @@ def test_folding_side_by_side_equals_folding_property_by_property(spark, sf_dir)
 def test_a_graph_is_read_and_shuffled_once(spark, sf_dir, name):
     plan = domain.__dict__[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == (3 if name == "graph_supply_reference" else 1)
+
+
+def test_a_keys_rows_are_taken_as_they_are():
+    class Value:
+        now, reads = None, 0
+
+        def get(self):
+            self.reads += 1
+            return self.now
+
+        def update(self, value):
+            self.now = value
+
+    keyed = keyed_state.Keyed()
+    keyed.reference, keyed.steps = Value(), Value()
+    row = lambda seq, told, known=None: Row(key="k", seq=seq, is_reference=told, known=known)
+    out = [tuple(r) for batch in ([row(3, False), row(2, True, "x"), row(1, False)], [row(5, False), row(4, True)]) for r in keyed.handleInputRows(("k",), iter(batch), None)]
+    assert out == [("k", 1, None, 1, 1), ("k", 3, "x", 1, 2), ("k", 5, None, 1, 3)]
+    assert (keyed.reference.now, keyed.steps.now, keyed.reference.reads) == ((None,), (1, 3), 2)
