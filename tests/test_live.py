@@ -178,3 +178,8 @@ def test_a_keys_rows_are_taken_as_they_are():
     out = [tuple(r) for batch in ([row(3, False), row(2, True, "x"), row(1, False)], [row(5, False), row(4, True)]) for r in keyed.handleInputRows(("k",), iter(batch), None)]
     assert out == [("k", 1, None, 1, 1), ("k", 3, "x", 1, 2), ("k", 5, None, 1, 3)]
     assert (keyed.reference.now, keyed.steps.now, keyed.reference.reads) == ((None,), (1, 3), 2)
+
+
+def test_node_constraints_read_each_table_once(spark, sf_dir):
+    plan = live.node_constraints(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2
