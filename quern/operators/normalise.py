@@ -83,14 +83,14 @@ REFERENCE_SENTENCES = {
 }
 
 
-def sentence(pattern: str, payload: Column) -> Column:
-    """[P08, P10] ``pattern`` filled from JSON text: {field}, {first|else}, {flag?yes:no}, {{event column}}.
+#: A value that may not read as it is written once the whole object is read as text: a float, a list or an object.
+_RESTYLED = r"^(?:[\[{]|-?[0-9]+[.eE])"
 
-    Numbers keep the form they have in the JSON; booleans read True and False; a null reads None.
-    """
+
+def _filled(pattern: str, get) -> Column:
+    """``pattern`` filled with what ``get`` gives for a field."""
     import re
 
-    get = lambda f: F.get_json_object(payload, f"$.{f}")
     parts = []
     for token in re.split(r"(\{\{?[^{}]*\}?\})", pattern):
         name = token.strip("{}")
@@ -109,12 +109,40 @@ def sentence(pattern: str, payload: Column) -> Column:
     return F.concat(*parts)
 
 
-def rendered(event_type: Column, payload: Column, sentences: dict[str, str], whole: Column, limit: int | None = None) -> Column:
-    """[P08, P10] The sentence of the event's type; other types show ``whole``, cut to ``limit``."""
+def _chosen(event_type: Column, sentences: dict[str, str], get, other: Column) -> Column:
+    """The sentence of the event's type, or ``other``."""
     out = F
     for kind, pattern in sentences.items():
-        out = out.when(event_type == kind, sentence(pattern, payload))
-    return out.otherwise(F.left(whole, F.lit(limit)) if limit else whole)
+        out = out.when(event_type == kind, _filled(pattern, get))
+    return out.otherwise(other)
+
+
+def sentence(pattern: str, payload: Column) -> Column:
+    """[P08, P10] ``pattern`` filled from JSON text: {field}, {first|else}, {flag?yes:no}, {{event column}}.
+
+    Numbers keep the form they have in the JSON; booleans read True and False; a null reads None.
+    """
+    return _filled(pattern, lambda f: F.get_json_object(payload, f"$.{f}"))
+
+
+def rendered(event_type: Column, payload: Column, sentences: dict[str, str], whole: Column, limit: int | None = None) -> Column:
+    """[P08, P10] The sentence of the event's type; other types show ``whole``, cut to ``limit``.
+
+    An object is read once for all of its fields; what is no object is read field by field.
+    """
+    other = F.left(whole, F.lit(limit)) if limit else whole
+    single = lambda f: F.get_json_object(payload, f"$.{f}")
+
+    def of_object(fields: Column) -> Column:
+        def get(f: str) -> Column:
+            value = F.try_element_at(fields, F.lit(f))
+            return F.when(value.rlike(_RESTYLED), single(f)).otherwise(value)
+
+        return F.when(fields.isNull(), _chosen(event_type, sentences, single, other)).otherwise(_chosen(event_type, sentences, get, other))
+
+    # Half a character that is written as an escape, and numbers that are none, are read differently: field by field.
+    whole_object = F.when(~F.contains(payload, F.lit("\\u")), payload)
+    return F.transform(F.array(F.from_json(whole_object, "map<string,string>", {"allowNonNumericNumbers": "false"})), of_object)[0]
 
 
 def reference_summary(kinds: list[str]) -> Column:

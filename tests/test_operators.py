@@ -531,3 +531,16 @@ def test_waits_double(spark):
     waits, answers = [], iter(["LLM error: a", "LLM error: b", "fine"])
     assert control.retried(lambda: next(answers), wait=1.5, sleep=waits.append) == "fine" and waits == [1.5, 3.0]
     assert "supplier=s1" in control.supplier_prompt("q", [], [{"supplier_id": "s1", "parts": ["a"]}])
+
+
+def test_rendered_sentences_read_an_object_once(spark):
+    from quern.operators import normalise
+
+    odd = ['{"quantity": 1.50, "po_number": "1.50"}', '{"quantity": 1e5}', '{"quantity": {"a": 1, "b": [1, 2]}}', '{"quantity": "cut', None, "", "[{}]", "null", "{}", '{"quantity": true, "status": "true"}', '{"quantity": 1, "quantity": 2}', '{"part_name": null, "part_id": 7}', '{"quantity": -0, "status": " 1"}', '{"quantity": 12345678901234567890123, "status": NaN}', "{'quantity': 'q'}", '{"quantity": 1} more', '{"status": "\\ud83d"}', '{"x": {"quantity": 9}}']
+    rows = spark.createDataFrame([(j,) for j in odd], "j string")
+    pattern = normalise.SUPPLY_SENTENCES["PURCHASE_ORDER"]
+    made = rows.select(normalise.sentence(pattern, F.col("j")).alias("a"), normalise.rendered(F.lit("PURCHASE_ORDER"), F.col("j"), normalise.SUPPLY_SENTENCES, F.col("j")).alias("b"))
+    assert all(r.a == r.b for r in made.collect())
+    # Fields of an object are looked up; only those that may read differently are read again.
+    plan = made.select("b")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
