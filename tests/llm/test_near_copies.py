@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from quern.llm import near_copies, pipeline
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -140,3 +142,18 @@ def test_classes_of_sets_that_are_not_alike(spark, monkeypatch):
     rows += [(100 + i, " ".join([*words[: 9 + i], f"x{i}", *words[10 + i :], "tail"])) for i in range(6)] + [(50, " ".join(words)), (51, " ".join(words[:23]))]
     monkeypatch.setattr(near_copies, "CROWD", 2)
     check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+@pytest.mark.parametrize("lone", [True, False])
+def test_only_shingles_with_something_apart_meet(spark, monkeypatch, lone):
+    sets = [(fp, 10, fp) for fp in range(80)]
+    # A crowd of different labels, a pair of one label, and two shingles that one label alone has.
+    placed = [(1, fp, 0, 10, fp) for fp in range(78)] + [(2, 78, 0, 10, 78), (2, 79, 0, 10, 78)] + [(3, fp, 1, 10, 77) for fp in (77, 79)] + [(4, 0, 1, 10, 0)] * 2
+    seen = []
+    classes = spark.createDataFrame([(fp, fp if lone else 0, 0, 10) for fp in range(78)], "fp long, rep long, core int, n int")
+    monkeypatch.setattr(near_copies, "_classes", lambda *_: classes)
+    monkeypatch.setattr(near_copies, "_met", lambda rows: seen.extend(rows.collect()) or spark.createDataFrame([], "a long, b long"))
+    near_copies._left_apart(spark.createDataFrame(placed, "s long, fp long, at int, n int, label long"), spark.createDataFrame([], "a long, b long"), spark.createDataFrame(sets, "fp long, n int, text_hash long"), None)
+    # A set without a label (78 that differ in their own shingles, none alike) is looked at in all of its shingles.
+    assert {r.s for r in seen} == ({1} if lone else {1, 4})
+    assert len(seen) == (78 if lone else 3)
