@@ -544,3 +544,12 @@ def test_rendered_sentences_read_an_object_once(spark):
     # Fields of an object are looked up; only those that may read differently are read again.
     plan = made.select("b")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") == 1
+
+
+def test_a_context_parses_its_events_once(spark, sf_dir):
+    from quern.plans import domain
+
+    known = domain.read_once(spark, sf_dir)
+    for name in domain._CONTEXT:
+        plan = domain._context_rows(spark, sf_dir, name, known)._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_json" not in plan and "parquet" not in plan, name
