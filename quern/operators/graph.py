@@ -279,8 +279,13 @@ def writes(events: DataFrame, program: tuple, order: str = "arrival_seq", first:
     written all the same.  An edge also writes its end nodes, but for those that the program has written before it
     anyway.
     """
+    return writes_of(events, {first: program}, order)
+
+
+def writes_of(events: DataFrame, programs: dict[int, tuple], order: str = "arrival_seq") -> DataFrame:
+    """``writes`` of several programs at once, each with the number of its first item: the events are read once."""
     missing = {c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in events.columns}
-    made = F.expr(f"concat({', '.join(_rows(item, first + at, program[:at]) for at, item in enumerate(program))})")
+    made = F.expr(f"concat({', '.join(_rows(item, first + at, program[:at]) for first, program in programs.items() for at, item in enumerate(program))})")
     return events.withColumns(missing).select(F.col(order).cast("long").alias("seq"), F.explode(made).alias("w")).select("seq", "w.*")
 
 
@@ -373,13 +378,13 @@ def finished(parts: DataFrame) -> DataFrame:
     return whole.select(*IDENTITY, "matched", "born", "last_seq", F.map_from_entries(known).alias("props"))
 
 
-def _slots(program: tuple) -> tuple[dict[tuple[str, str, str], list[str]], list[dict[int, int]]] | None:
-    """Names of the properties of each sort of identity, and for each place in those lists where items write it.
+def _slots(items: dict[int, Node | Edge]) -> tuple[dict[tuple[str, str, str], list[str]], list[dict[int, int]]] | None:
+    """Names of the properties of each sort of identity, and for each place in those lists where (numbered) items write it.
 
     None if an item writes a property twice.
     """
     names, places = {}, []
-    for at, item in enumerate(program):
+    for at, item in items.items():
         sort = ("", item.label, "") if isinstance(item, Node) else (item.kind, item.src[0], item.dst[0])
         written = [n for props in (item.props, item.keep, item.once, item.again) for n in props]
         if len(set(written)) < len(written):
@@ -392,6 +397,30 @@ def _slots(program: tuple) -> tuple[dict[tuple[str, str, str], list[str]], list[
     return names, places
 
 
+def _used(items: dict[int, Node | Edge], names: dict[tuple[str, str, str], list[str]], places: list[dict[int, int]]) -> list[set[str]]:
+    """The policies that the properties in each place are written by."""
+    return [{p for item in items.values() for p, props in ((SET, item.props), (KEEP, item.keep), (ONCE, item.once), (AGAIN, item.again)) if set(props) & {k[i] for k in names.values() if len(k) > i}} for i in range(len(places))]
+
+
+def _entries(places: list[dict[int, int]]) -> list:
+    """What a row of ``writes`` has for each place."""
+    return [F.get("writes", F.expr("case at " + " ".join(f"when {at} then {i}" for at, i in of.items()) + " end")) for of in places]
+
+
+def _with_props(whole: DataFrame, names: dict[tuple[str, str, str], list[str]], used: list[set[str]]) -> DataFrame:
+    """The rows of ``folded`` from identities with ``last``, ``once``, ``once_at``, ``again`` and ``again_at`` of each place."""
+
+    def slot(i: int):
+        sorts = " ".join(f"when kind = '{kind}' and src_label = '{src}' and dst_label = '{dst}' then '{known[i]}'" for (kind, src, dst), known in names.items() if len(known) > i)
+        values = [F.col(f"last{i}")] * bool(used[i] & {SET, KEEP})
+        values += [F.when(F.col(f"again_at{i}") > F.col("born"), F.col(f"again{i}"))] * (AGAIN in used[i])
+        values += [F.when(F.col(f"once_at{i}") == F.col("born"), F.col(f"once{i}"))] * (ONCE in used[i])
+        return F.struct(F.expr(f"case {sorts} end").alias("name"), F.coalesce(*values).alias("value"))
+
+    made = F.array(*map(slot, range(len(used)))) if used else F.array().cast("array<struct<name:string,value:variant>>")
+    return whole.select(*IDENTITY, "matched", "born", "last_seq", F.map_from_entries(F.filter(made, lambda e: e["value"].isNotNull())).alias("props"))
+
+
 def folded(written: DataFrame, program: tuple = ()) -> DataFrame:
     """One row per identity: (identity, matched, born, last_seq, props map<string,variant>).
 
@@ -401,14 +430,14 @@ def folded(written: DataFrame, program: tuple = ()) -> DataFrame:
     With the ``program`` that wrote, numbered from 0, properties are folded side by side: one aggregation with a row
     for each write, where without it each property is a row that is shuffled twice.
     """
-    slots = _slots(program) if program else None
+    items = dict(enumerate(program))
+    slots = _slots(items) if program else None
     if slots is None:
         return finished(partials(written))
     names, places = slots
-    used = [{p for item in program for p, props in ((SET, item.props), (KEEP, item.keep), (ONCE, item.once), (AGAIN, item.again)) if set(props) & {k[i] for k in names.values() if len(k) > i}} for i in range(len(places))]
-    entry = [F.get("writes", F.expr("case at " + " ".join(f"when {at} then {i}" for at, i in of.items()) + " end")) for of in places]
+    used = _used(items, names, places)
     aggregates = [F.min(F.struct("seq", "at")).alias("born"), F.max("seq").alias("last_seq"), F.min("matched").alias("matched")]
-    for i, e in enumerate(entry):
+    for i, e in enumerate(_entries(places)):
         place, value, policy = F.struct("seq", "at"), e["value"], e["policy"]
         # As in ``partials``: the larger of two values in one place.
         ranked = F.struct("seq", "at", value.cast("string").alias("shown"))
@@ -418,17 +447,52 @@ def folded(written: DataFrame, program: tuple = ()) -> DataFrame:
             aggregates += [F.min(F.when(policy == ONCE, place)).alias(f"once_at{i}"), F.min_by(value, F.when(policy == ONCE, ranked)).alias(f"once{i}")]
         if AGAIN in used[i]:
             aggregates += [F.max(F.when(policy == AGAIN, place)).alias(f"again_at{i}"), F.max_by(value, F.when(policy == AGAIN, ranked)).alias(f"again{i}")]
-    whole = written.groupBy(*_keyed(*IDENTITY)).agg(*aggregates)
+    return _with_props(written.groupBy(*_keyed(*IDENTITY)).agg(*aggregates), names, used)
 
-    def slot(i: int):
-        sorts = " ".join(f"when kind = '{kind}' and src_label = '{src}' and dst_label = '{dst}' then '{known[i]}'" for (kind, src, dst), known in names.items() if len(known) > i)
-        values = [F.col(f"last{i}")] * bool(used[i] & {SET, KEEP})
-        values += [F.when(F.col(f"again_at{i}") > F.col("born"), F.col(f"again{i}"))] * (AGAIN in used[i])
-        values += [F.when(F.col(f"once_at{i}") == F.col("born"), F.col(f"once{i}"))] * (ONCE in used[i])
-        return F.struct(F.expr(f"case {sorts} end").alias("name"), F.coalesce(*values).alias("value"))
 
-    made = F.array(*map(slot, range(len(places)))) if places else F.array().cast("array<struct<name:string,value:variant>>")
-    return whole.select(*IDENTITY, "matched", "born", "last_seq", F.map_from_entries(F.filter(made, lambda e: e["value"].isNotNull())).alias("props"))
+class Sides:
+    """``partials``, ``merged`` and ``finished`` with a row for each identity, its properties side by side as in ``folded``.
+
+    ``programs``: each with the number of its first item, as for ``writes_of``.  ``fit`` is false if an item writes a
+    property twice; then only rows for each property will do.
+    """
+
+    def __init__(self, programs: dict[int, tuple]):
+        items = {first + at: item for first, program in programs.items() for at, item in enumerate(program)}
+        slots = _slots(items)
+        self.fit = slots is not None
+        self.names, self.places = slots or ({}, [])
+        self.used = _used(items, self.names, self.places)
+
+    def _of(self, i: int) -> list[str]:
+        return [n for n, policies in (("last", {SET, KEEP}), ("once", {ONCE}), ("again", {AGAIN})) if self.used[i] & policies]
+
+    def partials(self, written: DataFrame) -> DataFrame:
+        """(identity, born, last_seq, matched) and, for each place, what counts (``last0``) and where it was written (``last_at0``)."""
+        aggregates = [F.min(F.struct("seq", "at")).alias("born"), F.max("seq").alias("last_seq"), F.min("matched").alias("matched")]
+        for i, e in enumerate(_entries(self.places)):
+            value, policy = e["value"], e["policy"]
+            counts = {"last": (policy == SET) | ((policy == KEEP) & value.isNotNull()), "once": policy == ONCE, "again": policy == AGAIN}
+            for n in self._of(i):
+                at = F.when(counts[n], F.struct("seq", "at", value.cast("string").alias("shown")))
+                least, by = (F.min, F.min_by) if n == "once" else (F.max, F.max_by)
+                aggregates += [least(at).alias(f"{n}_at{i}"), by(value, at).alias(f"{n}{i}")]
+        return written.groupBy(*_keyed(*IDENTITY)).agg(*aggregates).drop("__hash")
+
+    def merged(self, parts: DataFrame) -> DataFrame:
+        """Partials of several batches as those of all of them; a batch that is there twice changes nothing."""
+        aggregates = [F.min("born").alias("born"), F.max("last_seq").alias("last_seq"), F.min("matched").alias("matched")]
+        for i in range(len(self.places)):
+            for n in self._of(i):
+                least, by = (F.min, F.min_by) if n == "once" else (F.max, F.max_by)
+                aggregates += [least(f"{n}_at{i}").alias(f"{n}_at{i}"), by(f"{n}{i}", f"{n}_at{i}").alias(f"{n}{i}")]
+        return parts.groupBy(*_keyed(*IDENTITY)).agg(*aggregates).drop("__hash")
+
+    def finished(self, parts: DataFrame) -> DataFrame:
+        """The rows of ``folded`` from partials with one row for each identity."""
+        place = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.seq").alias("seq"), F.col(f"{c}.at").alias("at")))
+        at = [f"{n}_at{i}" for i in range(len(self.places)) for n in self._of(i) if n != "last"]
+        return _with_props(parts.withColumns({c: place(c) for c in at}), self.names, self.used)
 
 
 def nodes_of(graph: DataFrame) -> DataFrame:

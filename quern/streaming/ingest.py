@@ -157,7 +157,8 @@ def fed(spark: SparkSession, rows: DataFrame, order: str, batches: int, start: C
     place, progress = F.col(order), []
     for n, (low, high) in enumerate(zip([None, *bounds], [*bounds, None])):
         inside = (F.lit(True) if low is None else place > low) & (F.lit(True) if high is None else place <= high)
-        rows.where(inside).write.parquet(f"{folder}/go={n}")
+        # A range of a sorted table lies in one part of it: a go that is not dealt out anew is one file, and so one task.
+        rows.where(inside).repartition(spark.sparkContext.defaultParallelism).write.parquet(f"{folder}/go={n}")
         run = start(spark.readStream.schema(rows.schema).parquet(folder))
         run.awaitTermination()
         progress += [json.loads(p.json) for p in run.recentProgress]

@@ -51,6 +51,26 @@ def test_partials_keep_once_and_again_across_batches(spark):
     assert rows(found, "key", "born") == [("a", 1), ("b", 4)]
 
 
+def test_a_batch_adds_one_row_to_an_identity(spark, sf_dir):
+    events = domain.clinical_events(spark, sf_dir)
+    log = GraphLog(spark, new_folder(spark, "log"), {"base": graph.CLINICAL_BASE, "reference": graph.CLINICAL_REFERENCE})
+    log.apply(events, 0)
+    added = spark.read.parquet(log.path)
+    assert added.count() == added.select(*graph.IDENTITY).distinct().count() == log.read().count()
+    twice = (graph.Node("N", "event_id", {"n": "1"}, {"n": "2"}),)  # here rows for each property are needed
+    log = GraphLog(spark, new_folder(spark, "log"), {"only": twice})
+    log.apply(events, 0)
+    assert rows(domain.shown_graph(log.read()), *SHOWN) == rows(domain.shown_graph(graph.folded(graph.writes(events, twice), twice)), *SHOWN)
+
+
+def test_a_go_is_dealt_to_many_tasks(spark):
+    found, root = [], new_folder(spark, "goes")
+    sink = lambda batch, n: found.append((batch.select(F.spark_partition_id()).distinct().count(), batch.count()))
+    ingest.fed(spark, spark.range(400), "id", 2, lambda s: ingest.ingest(s, [sink], f"{root}/checkpoint"))
+    assert len(found) == 2 and sum(n for _, n in found) == 400
+    assert min(tasks for tasks, _ in found) > 1
+
+
 def test_interval_join_bounds_its_state(spark):
     at = lambda minutes: 1_700_000_000 + 60 * minutes
     made = [(i, i % 3, "lab" if i % 2 else "next", float(at(10 * i))) for i in range(400)]
