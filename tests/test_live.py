@@ -66,7 +66,7 @@ def test_a_batch_adds_one_row_to_an_identity(spark, sf_dir):
 def test_a_go_is_dealt_to_many_tasks(spark):
     found, root = [], new_folder(spark, "goes")
     sink = lambda batch, n: found.append((batch.select(F.spark_partition_id()).distinct().count(), batch.count()))
-    ingest.fed(spark, spark.range(400), "id", 2, lambda s: ingest.ingest(s, [sink], f"{root}/checkpoint"))
+    ingest.fed(spark, spark.range(0, 400, 1, 1), "id", 2, lambda s: ingest.ingest(s, [sink], f"{root}/checkpoint"))
     assert len(found) == 2 and sum(n for _, n in found) == 400
     assert min(tasks for tasks, _ in found) > 1
 
