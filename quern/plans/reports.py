@@ -47,7 +47,7 @@ def supply_specialists(spark: SparkSession, sf_dir: str) -> DataFrame:
     fired = lines.select("l_suppkey", F.explode(F.array_compact(F.array(F.when(F.col("l_discount") > 0.05, signal("quality")), F.when(F.col("l_quantity") > 45, signal("delay"))))).alias("risk_signals"))
     found = patterns.together(fired, lines.select("l_suppkey", F.col("l_partkey").alias("parts")))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier_id"))
-    context = patterns.with_lists(suppliers, "supplier_id", found, "l_suppkey", {"risk_signals": 20, "parts": 20})
+    context = patterns.with_lists(suppliers, "supplier_id", found, "l_suppkey", {"risk_signals": 20, "parts": 20}, expected=2 * lines.count())
     parts = specialists.disruption_impact(context).drop("parts")
     return parts.join(specialists.supplier_risk(context).drop("risk_signals"), "supplier_id", "left").join(specialists.quality_review(context), "supplier_id", "left").select("supplier_id", "signal_count", "affected_parts", "quality_issues")
 

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -553,3 +554,13 @@ def test_a_context_parses_its_events_once(spark, sf_dir):
     for name in domain._CONTEXT:
         plan = domain._context_rows(spark, sf_dir, name, known)._jdf.queryExecution().optimizedPlan().toString()
         assert "from_json" not in plan and "parquet" not in plan, name
+
+
+def test_lists_of_many_values_take_as_many_tasks_as_their_rows_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(patterns, "ROWS_A_TASK", 100)
+    found = spark.range(2000).selectExpr("id % 7 as owner", "case when id % 2 = 0 then id % 50 end as a", "case when id % 2 = 1 then named_struct('x', 'y', 'v', id % 90) end as b")
+    found = found.unionByName(found.limit(100)).unionByName(spark.createDataFrame([(None, 1, None), (3, None, None)], found.schema))
+    of = lambda **known: patterns.collected(found, "owner", {"a": 3, "b": 20}, **known)
+    shown = lambda df: sorted(map(str, df.collect()))
+    assert shown(of(expected=2000)) == shown(of())
+    assert "21" in re.findall(r"RepartitionByExpression .*, (\d+)", of(expected=2000)._jdf.queryExecution().optimizedPlan().toString())
