@@ -8,7 +8,8 @@ is folded into a new one by ``compacted``.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from quern.functions.vectors import DIMENSION
 from quern.operators import upsert
-from quern.sources.shared import new_folder
+from quern.sources.shared import new_folder, shuffle_width
 
 
 class WriteLog:
@@ -70,10 +71,41 @@ class Collection(WriteLog):
         super().apply(batch.withColumn("embedding", fits), batch_id)
 
 
-def ingest(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, every: str | None = None):
+#: Rows of a go for each partition of a stream's state, about.
+STATE_ROWS = 100_000
+
+
+@contextmanager
+def _in_force(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """``settings`` of the session for a while; a stream that starts meanwhile keeps them."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def state_settings(rows: DataFrame, batches: int, joins: bool = False) -> dict[str, str]:
+    """What a stream of ``rows`` in so many goes that keeps state by key is to start with.
+
+    A partition of the state commits the files of each of its stores (four for a join) in every micro-batch, however few
+    rows it holds, so partitions follow the rows of a go and not the session's shuffles, of which they are never more.
+    An inner join (``joins``) has no use for the batches without data that only move the watermark: what they would drop, the next
+    batch does.
+    """
+    spark = rows.sparkSession
+    wanted = max(spark.sparkContext.defaultParallelism, -(-rows.count() // (batches * STATE_ROWS)))
+    settings = {"spark.sql.shuffle.partitions": str(min(shuffle_width(spark), wanted))}
+    return settings | ({"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if joins else {})
+
+
+def ingest(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, every: str | None = None, settings: dict[str, str] | None = None):
     """[S02, S10, T05] Start a query that gives every micro-batch to all sinks; ``every``: a trigger interval.
 
-    Without an interval it takes what is there and stops.
+    Without an interval it takes what is there and stops.  ``settings`` of the session hold for this query alone.
     """
 
     def both(batch: DataFrame, batch_id: int) -> None:
@@ -81,7 +113,8 @@ def ingest(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], che
             sink(batch, batch_id)
 
     writer = stream.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    with _in_force(stream.sparkSession, settings or {}):
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def references_first(batch: DataFrame, apply_reference: Callable[[DataFrame], None], apply_events: Callable[[DataFrame], None]) -> None:

@@ -203,3 +203,31 @@ def test_a_keys_rows_are_taken_as_they_are():
 def test_node_constraints_read_each_table_once(spark, sf_dir):
     plan = live.node_constraints(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 2
+
+
+def test_state_lies_in_as_many_partitions_as_its_rows_ask_for(spark, monkeypatch):
+    """A join's partition commits the files of four stores in each batch, so 40 partitions of 200 rows are mostly files."""
+    at = lambda minutes: 1_700_000_000 + 60 * minutes
+    events = spark.createDataFrame([(i, i % 3, "lab" if i % 2 else "next", float(at(10 * i))) for i in range(200)], "id long, owner long, kind string, at double")
+    root = new_folder(spark, "state-width")
+    of = lambda stream, kind: stream.where(F.col("kind") == kind).select("owner", F.col("id").alias(kind), F.timestamp_seconds("at").alias(f"{kind}_ts"))
+    join = lambda s: ingest.interval_joined(of(s, "lab"), of(s, "next"), ["owner"], "lab_ts", "next_ts", "40 minutes", "5 minutes")
+    sink = lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/found/batch={n}")
+    width, empty, provider = "spark.sql.shuffle.partitions", "spark.sql.streaming.noDataMicroBatches.enabled", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(width), spark.conf.get(empty)
+    spark.conf.set(width, "40")
+    spark.conf.unset(provider)
+    try:
+        settings = ingest.state_settings(events, 2, joins=True)
+        progress = ingest.fed(spark, events, "at", 2, lambda s: ingest.ingest(join(s), [sink], f"{root}/checkpoint", settings=settings))
+        assert spark.conf.get(width) == "40" and spark.conf.get(empty) == before[1]
+        monkeypatch.setattr(ingest, "STATE_ROWS", 10)
+        assert ingest.state_settings(events, 2)[width] == "10"
+        monkeypatch.setattr(ingest, "STATE_ROWS", 1)
+        assert ingest.state_settings(events, 2)[width] == "40"
+    finally:
+        spark.conf.set(width, before[0])
+    assert len(progress) == 2
+    assert {p["stateOperators"][0]["numShufflePartitions"] for p in progress} == {spark.sparkContext.defaultParallelism}
+    batch = ingest.interval_joined(of(events, "lab"), of(events, "next"), ["owner"], "lab_ts", "next_ts", "40 minutes")
+    assert rows(spark.read.parquet(f"{root}/found"), "next", "lab") == rows(batch, "next", "lab")
