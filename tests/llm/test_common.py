@@ -1,3 +1,5 @@
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quern.llm import common
@@ -38,3 +40,21 @@ def test_matched_joins_hot_and_cold_keys(spark):
     want = rows.join(lookup, "k")
     got = common.matched(rows, lookup, "k")
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_batches_of_long_texts_are_small(spark):
+    """A Python worker holds many times a batch at its peak; 8 MB of text took two workers past 250 MB each."""
+    from pyspark.sql.functions import pandas_udf
+
+    docs = common.long_texts(spark.range(0, 120, 1, 1).select(F.repeat(F.lit("0123456789"), 10_000).alias("t")))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [sum(map(len, batch.column("t").to_pylist()))]}, pa.schema([("n", pa.int64())]))
+
+    @pandas_udf("long")
+    def together(texts: pd.Series) -> pd.Series:
+        return pd.Series([texts.str.len().sum()] * len(texts))
+
+    assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) <= 3_000_000
+    assert max(r.n for r in docs.select(together("t").alias("n")).collect()) <= 3_000_000

@@ -157,3 +157,15 @@ def test_only_shingles_with_something_apart_meet(spark, monkeypatch, lone):
     # A set without a label (78 that differ in their own shingles, none alike) is looked at in all of its shingles.
     assert {r.s for r in seen} == ({1} if lone else {1, 4})
     assert len(seen) == (78 if lone else 3)
+
+
+def test_words_a_worker_keeps_are_bounded_within_a_batch(monkeypatch):
+    """One batch holds more different words than are to be kept; sets do not depend on what is."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(50)]
+    want = [near_copies.shingle_set(t, {}) for t in texts]
+    kept, plain = [], near_copies.shingle_set
+    monkeypatch.setattr(near_copies, "MEMO_WORDS", 200, raising=False)
+    monkeypatch.setattr(near_copies, "shingle_set", lambda t, known: (plain(t, known), kept.append(len(known)))[0])
+    got = next(near_copies._hashed(iter([texts])))
+    assert all((a == b).all() for a, b in zip(got, want, strict=True))
+    assert max(kept) <= 200 + 60
