@@ -37,19 +37,20 @@ def lab_specialist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return specialists.lab_interpretation(context, "id").select(F.col("id").alias("patient_id"), "lab_signal_count", "abnormal_observation_count")
 
 
-@query("""WITH r AS (SELECT l_suppkey, list_sort(list(DISTINCT {'signal': signal, 'part': l_partkey}))[1:20] AS v FROM (SELECT l_suppkey, l_partkey, 'quality' AS signal FROM lineitem WHERE l_discount > 0.05 UNION ALL SELECT l_suppkey, l_partkey, 'delay' FROM lineitem WHERE l_quantity > 45) GROUP BY 1),
-p AS (SELECT l_suppkey, len(list_sort(list(DISTINCT l_partkey))[1:20]) AS n FROM lineitem GROUP BY 1)
+@query("""WITH r AS (SELECT l_suppkey, list_sort(list(DISTINCT {'signal': signal, 'part': l_partkey})) AS v FROM (SELECT l_suppkey, l_partkey, 'quality' AS signal FROM lineitem WHERE l_discount > 0.05 UNION ALL SELECT l_suppkey, l_partkey, 'delay' FROM lineitem WHERE l_quantity > 45) GROUP BY 1),
+p AS (SELECT l_suppkey, len(list_sort(list(DISTINCT l_partkey))) AS n FROM lineitem GROUP BY 1)
 SELECT s_suppkey AS supplier_id, CAST(len(r.v) AS INTEGER) AS signal_count, CAST(p.n AS INTEGER) AS affected_parts, CAST(nullif(len([x FOR x IN r.v IF x.signal = 'quality']), 0) AS INTEGER) AS quality_issues FROM supplier LEFT JOIN r ON r.l_suppkey = s_suppkey LEFT JOIN p ON p.l_suppkey = s_suppkey WHERE p.n > 0""")
 def supply_specialists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """[Q12] What each supply specialist says of each supplier."""
-    lines = table(spark, sf_dir, "lineitem")
-    signal = lambda name: F.struct(F.lit(name).alias("signal"), F.col("l_partkey").alias("part"))
-    fired = lines.select("l_suppkey", F.explode(F.array_compact(F.array(F.when(F.col("l_discount") > 0.05, signal("quality")), F.when(F.col("l_quantity") > 45, signal("delay"))))).alias("risk_signals"))
-    found = patterns.together(fired, lines.select("l_suppkey", F.col("l_partkey").alias("parts")))
+    """[Q12] What each supply specialist says of each supplier, of all its signals and parts."""
+    part = F.col("l_partkey")
+    pairs = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", part).agg(F.max(F.col("l_discount") > 0.05).alias("quality"), F.max(F.col("l_quantity") > 45).alias("delay"))
+    counts = pairs.groupBy("l_suppkey").agg(F.count("*").alias("n_parts"), F.count_if("quality").alias("n_quality"), F.count_if("delay").alias("n_delay"))
+    counts = counts.withColumn("n_risk_signals", F.col("n_quality") + F.col("n_delay"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier_id"))
-    context = patterns.with_lists(suppliers, "supplier_id", found, "l_suppkey", {"risk_signals": 20, "parts": 20}, expected=2 * lines.count())
-    parts = specialists.disruption_impact(context).drop("parts")
-    return parts.join(specialists.supplier_risk(context).drop("risk_signals"), "supplier_id", "left").join(specialists.quality_review(context), "supplier_id", "left").select("supplier_id", "signal_count", "affected_parts", "quality_issues")
+    context = suppliers.join(counts, F.col("supplier_id") == F.col("l_suppkey"), "left").na.fill(0, ["n_parts", "n_quality", "n_risk_signals"])
+    parts = specialists.disruption_impact(context)
+    found = parts.join(specialists.supplier_risk(context), "supplier_id", "left").join(specialists.quality_review(context), "supplier_id", "left")
+    return found.select("supplier_id", *[F.col(n).cast("int").alias(n) for n in ("signal_count", "affected_parts", "quality_issues")])
 
 
 @query(r"""SELECT CASE conv_id % 3 WHEN 0 THEN 'single_pass' WHEN 1 THEN 'loop' ELSE 'graph' END AS mode, round(avg(CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' OR starts_with(text, 'LLM error:') THEN 0.0 WHEN length(text) > 50 AND length(text) < 5000 THEN 1.0 ELSE 0.5 END), 4) AS quality,
