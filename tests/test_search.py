@@ -111,3 +111,23 @@ def test_a_hub_of_one_kind_is_whole_for_others(spark):
     edges = [("hub", "x", f"n{i}") for i in range(20)] + [("hub", "y", "m"), ("a", "x", "hub")]
     _, hubs = traverse.split_hubs(spark.createDataFrame(edges, "src string, kind string, dst string"), 4)
     assert rows(hubs, "src", "kind", "parts") == [("hub", "x", 5)]
+
+
+def test_blocks_are_not_copied_for_each_other(spark, monkeypatch):
+    """Points that meet many blocks of questions are shuffled once, and come out as from one block."""
+    p = spark.createDataFrame([(i, [i % 7, 100 + i % 50], [1, 1 + i % 3], "abc"[i % 3]) for i in range(300)], "point long, buckets array<int>, counts array<long>, kind string")
+    q = spark.createDataFrame([(i, [i % 7, 100 + i % 40], [1, 2], None if i % 2 else "ab"[i % 4 // 2], 3) for i in range(200)], "question long, buckets array<int>, counts array<long>, want string, top_k int")
+    shown = lambda: rows(search.top_k(q, p, 5, must=("want", "kind")), "question", "point", "score", "rank")
+    whole = shown()
+    monkeypatch.setattr(search, "BLOCK_POINTS", 20)
+    monkeypatch.setattr(search, "BLOCK_QUESTIONS", 10)
+    found = search.top_k(q, p, 5, must=("want", "kind"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "sequence(" not in plan
+    assert rows(found, "question", "point", "score", "rank") == whole and len(whole) == 600
+
+
+def test_repeated_keys_are_one_vector_with_each_of_their_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "b c", "y"), (2, "a a", "x"), (None, "a", "x"), (3, "", "x"), (4, None, "x")], "id long, text string, source string")
+    got = search.sparse(docs, "id", "text", keep=("source",)).collect()
+    assert sorted((r.id, r.source, sorted(r.counts)) for r in got) == [(1, "x", [1, 1, 2]), (1, "y", [1, 1, 2]), (2, "x", [2])]
