@@ -250,22 +250,38 @@ def _covered(end: tuple[str, str], edge: Edge, before: tuple) -> bool:
     return any(isinstance(n, Node) and (n.label, n.key) == end and not n.each and n.when in ("true", edge.when) for n in before)
 
 
-def _rows(item: Node | Edge, at: int, before: tuple = ()) -> str:
-    """SQL of the array of rows that an item of a program writes, after the items ``before`` it."""
+def _sort(kind: str, src: tuple[str, str], dst: tuple[str, str]) -> tuple[str, str, str]:
+    """What an identity is but for its keys."""
+    return kind, src[0], dst[0]
+
+
+_NOTHING = ("", "''")
+
+
+def _made(item: Node | Edge, before: tuple = ()) -> list[tuple]:
+    """(kind, src, dst, tag) of what an item of a program writes, after the items ``before`` it; the last one has the properties."""
+    if isinstance(item, Node):
+        return [("", (item.label, item.key), _NOTHING, "''")]
+    ends = [end for end in ((item.src,) if item.matched else (item.src, item.dst)) if not _covered(end, item, before)]
+    return [*[("", end, _NOTHING, "''") for end in ends], (item.kind, item.src, item.dst, item.tag)]
+
+
+def _there(item: Node | Edge) -> str:
+    keys = f"({item.key}) is not null" if isinstance(item, Node) else f"({item.src[1]}) is not null and ({item.dst[1]}) is not null"
+    return f"coalesce(({item.when}) and {keys}, false)"
+
+
+def _rows(item: Node | Edge, at: int, before: tuple = (), but: frozenset = frozenset()) -> str:
+    """SQL of the array of rows that an item of a program writes, after the items ``before`` it, but for some sorts of identities."""
     policies = ((SET, item.props), (KEEP, item.keep), (ONCE, item.once), (AGAIN, item.again))
     entries = [f"named_struct('name', '{n}', 'value', cast({e} as variant), 'policy', '{policy}')" for policy, props in policies for n, e in props.items()]
     none = f"cast(array() as {_PROPS})"
     props = f"array({', '.join(entries)})" if entries else none
-    nothing = ("", "''")
-    if isinstance(item, Node):
-        there = f"({item.key}) is not null"
-        made = [_row("", (item.label, item.key), nothing, "''", at, False, props)]
-    else:
-        there = f"({item.src[1]}) is not null and ({item.dst[1]}) is not null"
-        ends = [end for end in ((item.src,) if item.matched else (item.src, item.dst)) if not _covered(end, item, before)]
-        made = [_row("", end, nothing, "''", at, False, none) for end in ends]
-        made.append(_row(item.kind, item.src, item.dst, item.tag, at, item.matched, props))
-    rows = f"if(coalesce(({item.when}) and {there}, false), cast(array({', '.join(made)}) as {_ROWS}), cast(array() as {_ROWS}))"
+    *ends, last = _made(item, before)
+    made = [_row(*end, at, False, none) for end in ends if _sort(*end[:3]) not in but]
+    if _sort(*last[:3]) not in but:
+        made.append(_row(*last, at, isinstance(item, Edge) and item.matched, props))
+    rows = f"if({_there(item)}, cast(array({', '.join(made)}) as {_ROWS}), cast(array() as {_ROWS}))" if made else f"cast(array() as {_ROWS})"
     return f"coalesce(flatten(transform({item.each}, it -> {rows})), cast(array() as {_ROWS}))" if item.each else rows
 
 
@@ -407,7 +423,7 @@ def _entries(places: list[dict[int, int]]) -> list:
     return [F.get("writes", F.expr("case at " + " ".join(f"when {at} then {i}" for at, i in of.items()) + " end")) for of in places]
 
 
-def _with_props(whole: DataFrame, names: dict[tuple[str, str, str], list[str]], used: list[set[str]]) -> DataFrame:
+def _with_props(whole: DataFrame, names: dict[tuple[str, str, str], list[str]], used: list[set[str]], *others: str) -> DataFrame:
     """The rows of ``folded`` from identities with ``last``, ``once``, ``once_at``, ``again`` and ``again_at`` of each place."""
 
     def slot(i: int):
@@ -418,7 +434,23 @@ def _with_props(whole: DataFrame, names: dict[tuple[str, str, str], list[str]],
         return F.struct(F.expr(f"case {sorts} end").alias("name"), F.coalesce(*values).alias("value"))
 
     made = F.array(*map(slot, range(len(used)))) if used else F.array().cast("array<struct<name:string,value:variant>>")
-    return whole.select(*IDENTITY, "matched", "born", "last_seq", F.map_from_entries(F.filter(made, lambda e: e["value"].isNotNull())).alias("props"))
+    return whole.select(*IDENTITY, "matched", "born", "last_seq", F.map_from_entries(F.filter(made, lambda e: e["value"].isNotNull())).alias("props"), *others)
+
+
+def _aggregates(places: list[dict[int, int]], used: list[set[str]]) -> list:
+    """What counts for an identity and for each place of its properties."""
+    aggregates = [F.min(F.struct("seq", "at")).alias("born"), F.max("seq").alias("last_seq"), F.min("matched").alias("matched")]
+    for i, e in enumerate(_entries(places)):
+        place, value, policy = F.struct("seq", "at"), e["value"], e["policy"]
+        # As in ``partials``: the larger of two values in one place.
+        ranked = F.struct("seq", "at", value.cast("string").alias("shown"))
+        if used[i] & {SET, KEEP}:
+            aggregates.append(F.max_by(value, F.when((policy == SET) | ((policy == KEEP) & value.isNotNull()), ranked)).alias(f"last{i}"))
+        if ONCE in used[i]:
+            aggregates += [F.min(F.when(policy == ONCE, place)).alias(f"once_at{i}"), F.min_by(value, F.when(policy == ONCE, ranked)).alias(f"once{i}")]
+        if AGAIN in used[i]:
+            aggregates += [F.max(F.when(policy == AGAIN, place)).alias(f"again_at{i}"), F.max_by(value, F.when(policy == AGAIN, ranked)).alias(f"again{i}")]
+    return aggregates
 
 
 def folded(written: DataFrame, program: tuple = ()) -> DataFrame:
@@ -436,18 +468,65 @@ def folded(written: DataFrame, program: tuple = ()) -> DataFrame:
         return finished(partials(written))
     names, places = slots
     used = _used(items, names, places)
-    aggregates = [F.min(F.struct("seq", "at")).alias("born"), F.max("seq").alias("last_seq"), F.min("matched").alias("matched")]
-    for i, e in enumerate(_entries(places)):
-        place, value, policy = F.struct("seq", "at"), e["value"], e["policy"]
-        # As in ``partials``: the larger of two values in one place.
-        ranked = F.struct("seq", "at", value.cast("string").alias("shown"))
-        if used[i] & {SET, KEEP}:
-            aggregates.append(F.max_by(value, F.when((policy == SET) | ((policy == KEEP) & value.isNotNull()), ranked)).alias(f"last{i}"))
-        if ONCE in used[i]:
-            aggregates += [F.min(F.when(policy == ONCE, place)).alias(f"once_at{i}"), F.min_by(value, F.when(policy == ONCE, ranked)).alias(f"once{i}")]
-        if AGAIN in used[i]:
-            aggregates += [F.max(F.when(policy == AGAIN, place)).alias(f"again_at{i}"), F.max_by(value, F.when(policy == AGAIN, ranked)).alias(f"again{i}")]
-    return _with_props(written.groupBy(*_keyed(*IDENTITY)).agg(*aggregates), names, used)
+    return _with_props(written.groupBy(*_keyed(*IDENTITY)).agg(*_aggregates(places, used)), names, used)
+
+
+def _owned(program: tuple, owner: str) -> dict[int, tuple[str, str, str]]:
+    """The items whose identities are an event's own (at: sort): their source is the event's key, and nothing else writes that sort."""
+    made = [(at, item, _sort(*row[:3]), row[1][1], n == len(rows) - 1) for at, item in enumerate(program) for rows in [_made(item, program[:at])] for n, row in enumerate(rows)]
+    of: dict[tuple, list] = {}
+    for row in made:
+        of.setdefault(row[2], []).append(row)
+    one = [rows[0] for rows in of.values() if len(rows) == 1]
+    return {at: sort for at, item, sort, key, main in one if key == owner and main and not item.each and not (isinstance(item, Edge) and item.matched)}
+
+
+#: The kind of a row that holds all that is an event's own.
+_PACK = "*"
+
+
+def folded_events(events: DataFrame, program: tuple, owner: str = "event_id", order: str = "arrival_seq") -> DataFrame:
+    """``folded(writes(events, program), program)``, with what is an event's own in one row until it has been shuffled.
+
+    A node with the key of its event, and edges from it, are written once if the keys of events are: then one row has
+    their ends and properties, where each would be a row.  Keys are looked at first, by their hashes alone; if any is
+    there twice, as after a redelivery, each identity is folded by itself.
+    """
+    own = _owned(program, owner)
+    shared = {at: item for at, item in enumerate(program) if at not in own}
+    slots = _slots(shared)
+    if len(own) < 2 or owner not in events.columns or slots is None:
+        return folded(writes(events, program, order), program)
+    if not events.where(F.col(owner).isNotNull()).groupBy(F.xxhash64(owner).alias("h")).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return folded(writes(events, program, order), program)
+    missing = {c: F.lit(None).cast(t) for c, t in _OPTIONAL.items() if c not in events.columns}
+    fields = []
+    for at in own:
+        item = program[at]
+        dst, tag = ("''", "''") if isinstance(item, Node) else (item.dst[1], item.tag)
+        fields += [F.expr(f"if({_there(item)}, cast({dst} as string), cast(null as string))").alias(f"dst{at}")]
+        fields += [F.expr(f"cast({tag} as string)").alias(f"tag{at}")] * (tag != "''")
+        fields += [F.expr(e).alias(f"{n}{at}") for props in (item.props, item.keep, item.once) for n, e in props.items()]
+    pack = f"if({owner} is not null, cast(array({_row(_PACK, ('', owner), _NOTHING, "''", -1, False, f'cast(array() as {_PROPS})')}) as {_ROWS}), cast(array() as {_ROWS}))"
+    rest = [_rows(item, at, program[:at], frozenset(own.values())) for at, item in enumerate(program)]
+    written = events.withColumns(missing).select(F.col(order).cast("long").alias("seq"), F.struct(*fields).alias("own"), F.explode(F.expr(f"concat({', '.join([pack, *rest])})")).alias("w"))
+    written = written.select("seq", "w.*", F.when(F.col("w.kind") == _PACK, F.col("own")).alias("own"))
+    names, places = slots
+    used = _used(shared, names, places)
+    whole = written.groupBy(*_keyed(*IDENTITY)).agg(*_aggregates(places, used), F.first("own", ignorenulls=True).alias("own"))
+    columns = [*IDENTITY, "matched", "born", "last_seq", "props"]
+
+    def unpacked(at: int, kind: str, src_label: str, dst_label: str):
+        item = program[at]
+        entries = [F.struct(F.lit(n).alias("name"), F.col(f"own.{n}{at}").cast("variant").alias("value")) for props in (item.props, item.keep, item.once) for n in props]
+        props = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()) if entries else F.array().cast("array<struct<name:string,value:variant>>"))
+        tag = F.lit("") if isinstance(item, Node) or item.tag == "''" else F.col(f"own.tag{at}")
+        values = [F.lit(kind), F.lit(src_label), F.col("src"), F.lit(dst_label), F.col(f"own.dst{at}"), tag, F.lit(False), F.struct(F.col("last_seq").alias("seq"), F.lit(at).alias("at")), F.col("last_seq"), props]
+        return F.when(F.col(f"own.dst{at}").isNotNull(), F.struct(*[v.alias(c) for v, c in zip(values, columns)]))
+
+    itself = F.when(F.col("kind") != _PACK, F.struct(*columns))
+    rows = _with_props(whole, names, used, "own").select(F.explode(F.array(itself, *[unpacked(at, *sort) for at, sort in own.items()])).alias("r"))
+    return rows.where("r is not null").select("r.*")
 
 
 class Sides:

@@ -231,3 +231,24 @@ def test_state_lies_in_as_many_partitions_as_its_rows_ask_for(spark, monkeypatch
     assert {p["stateOperators"][0]["numShufflePartitions"] for p in progress} == {spark.sparkContext.defaultParallelism}
     batch = ingest.interval_joined(of(events, "lab"), of(events, "next"), ["owner"], "lab_ts", "next_ts", "40 minutes")
     assert rows(spark.read.parquet(f"{root}/found"), "next", "lab") == rows(batch, "next", "lab")
+
+
+def test_what_is_an_events_own_is_one_row_until_it_is_shuffled(spark):
+    made = [("e1", 1, "p", "f", "x"), ("e2", 2, "p", None, None), ("e3", 3, None, "f", "y"), (None, 4, "q", "g", "z")]
+    events = spark.createDataFrame(made, "event_id string, arrival_seq long, part string, place string, said string")
+    ev = ("Event", "event_id")
+    program = (
+        graph.Node(*ev, {"said": "said", "n": "arrival_seq"}, {"kept": "place"}, {"first": "part"}, {"later": "part"}),
+        graph.Edge("ABOUT", ev, ("Part", "part"), {"at": "arrival_seq"}),
+        graph.Edge("AT", ev, ("Place", "place"), when="said is not null", tag="said"),
+        graph.Node("Part", "part", {"seen": "arrival_seq"}),
+    )
+    columns = ("kind", "src_label", "src", "dst_label", "dst", "tag", "matched", "born", "last_seq", "shown")
+    shown = lambda df: rows(df.withColumn("shown", graph.shown()), *columns)
+    packed = graph.folded_events(events, program)
+    assert shown(packed) == shown(graph.folded(graph.writes(events, program), program)) and packed.count() == 10
+    plan = packed._jdf.queryExecution().optimizedPlan().toString()
+    assert "'*'" in plan or "= *" in plan
+    # A key that is there twice, with other ends: each identity is folded by itself.
+    again = events.unionByName(spark.createDataFrame([("e1", 5, "q", "f", "w")], events.schema))
+    assert shown(graph.folded_events(again, program)) == shown(graph.folded(graph.writes(again, program), program))
