@@ -481,6 +481,11 @@ def _owned(program: tuple, owner: str) -> dict[int, tuple[str, str, str]]:
     return {at: sort for at, item, sort, key, main in one if key == owner and main and not item.each and not (isinstance(item, Edge) and item.matched)}
 
 
+def _settled(item: Node | Edge) -> list[tuple[str, str]]:
+    """(name, expression) of the properties that a single write leaves."""
+    return [pair for props in (item.props, item.keep, item.once) for pair in props.items()]
+
+
 #: The kind of a row that holds all that is an event's own.
 _PACK = "*"
 
@@ -495,7 +500,7 @@ def folded_events(events: DataFrame, program: tuple, owner: str = "event_id", or
     own = _owned(program, owner)
     shared = {at: item for at, item in enumerate(program) if at not in own}
     slots = _slots(shared)
-    if len(own) < 2 or owner not in events.columns or slots is None:
+    if len(own) < 2 or owner not in events.columns or _slots(dict(enumerate(program))) is None:
         return folded(writes(events, program, order), program)
     if not events.where(F.col(owner).isNotNull()).groupBy(F.xxhash64(owner).alias("h")).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return folded(writes(events, program, order), program)
@@ -506,7 +511,7 @@ def folded_events(events: DataFrame, program: tuple, owner: str = "event_id", or
         dst, tag = ("''", "''") if isinstance(item, Node) else (item.dst[1], item.tag)
         fields += [F.expr(f"if({_there(item)}, cast({dst} as string), cast(null as string))").alias(f"dst{at}")]
         fields += [F.expr(f"cast({tag} as string)").alias(f"tag{at}")] * (tag != "''")
-        fields += [F.expr(e).alias(f"{n}{at}") for props in (item.props, item.keep, item.once) for n, e in props.items()]
+        fields += [F.expr(e).alias(f"value{at}_{i}") for i, (_, e) in enumerate(_settled(item))]
     pack = f"if({owner} is not null, cast(array({_row(_PACK, ('', owner), _NOTHING, "''", -1, False, f'cast(array() as {_PROPS})')}) as {_ROWS}), cast(array() as {_ROWS}))"
     rest = [_rows(item, at, program[:at], frozenset(own.values())) for at, item in enumerate(program)]
     written = events.withColumns(missing).select(F.col(order).cast("long").alias("seq"), F.struct(*fields).alias("own"), F.explode(F.expr(f"concat({', '.join([pack, *rest])})")).alias("w"))
@@ -518,7 +523,7 @@ def folded_events(events: DataFrame, program: tuple, owner: str = "event_id", or
 
     def unpacked(at: int, kind: str, src_label: str, dst_label: str):
         item = program[at]
-        entries = [F.struct(F.lit(n).alias("name"), F.col(f"own.{n}{at}").cast("variant").alias("value")) for props in (item.props, item.keep, item.once) for n in props]
+        entries = [F.struct(F.lit(n).alias("name"), F.col(f"own.value{at}_{i}").cast("variant").alias("value")) for i, (n, _) in enumerate(_settled(item))]
         props = F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()) if entries else F.array().cast("array<struct<name:string,value:variant>>"))
         tag = F.lit("") if isinstance(item, Node) or item.tag == "''" else F.col(f"own.tag{at}")
         values = [F.lit(kind), F.lit(src_label), F.col("src"), F.lit(dst_label), F.col(f"own.dst{at}"), tag, F.lit(False), F.struct(F.col("last_seq").alias("seq"), F.lit(at).alias("at")), F.col("last_seq"), props]

@@ -238,7 +238,7 @@ def test_what_is_an_events_own_is_one_row_until_it_is_shuffled(spark):
     events = spark.createDataFrame(made, "event_id string, arrival_seq long, part string, place string, said string")
     ev = ("Event", "event_id")
     program = (
-        graph.Node(*ev, {"said": "said", "n": "arrival_seq"}, {"kept": "place"}, {"first": "part"}, {"later": "part"}),
+        graph.Node(*ev, {"said": "said", "dst": "arrival_seq"}, {"kept": "place"}, {"first": "part"}, {"later": "part"}),
         graph.Edge("ABOUT", ev, ("Part", "part"), {"at": "arrival_seq"}),
         graph.Edge("AT", ev, ("Place", "place"), when="said is not null", tag="said"),
         graph.Node("Part", "part", {"seen": "arrival_seq"}),
@@ -249,6 +249,9 @@ def test_what_is_an_events_own_is_one_row_until_it_is_shuffled(spark):
     assert shown(packed) == shown(graph.folded(graph.writes(events, program), program)) and packed.count() == 10
     plan = packed._jdf.queryExecution().optimizedPlan().toString()
     assert "'*'" in plan or "= *" in plan
+    # A property that an item writes twice, and one with the name of a field.
+    twice = (graph.Node(*ev, {"dst": "said"}, once={"dst": "part"}), *program[1:])
+    assert shown(graph.folded_events(events, twice)) == shown(graph.folded(graph.writes(events, twice), twice))
     # A key that is there twice, with other ends: each identity is folded by itself.
     again = events.unionByName(spark.createDataFrame([("e1", 5, "q", "f", "w")], events.schema))
     assert shown(graph.folded_events(again, program)) == shown(graph.folded(graph.writes(again, program), program))
